@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .contamination import find_contamination
+from .jaccard_join import shingle_components
 from .line_runs import dedup_lines
+from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -24,6 +26,22 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_held_out() -> Column:
+    """Rows that no label may be learned from; a null id counts as not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~toxicity_held_out())
+    out = score_toxicity(docs, model).withColumn("held_out", toxicity_held_out())
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -47,6 +65,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op9_decontamination": op9_decontamination,
