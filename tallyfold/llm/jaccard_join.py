@@ -12,14 +12,16 @@ shingles under each of them, so that a pair that fails one needs no verification
    sent more than once. Documents with fewer than l such answers have no partner.
 3. The others keep the rarest of their answers (the prefix in frequency order,
    needed overlap l); these make the postings. Postings of the same documents
-   are one bucket.
-4. Buckets are joined leader by leader: the first leaders of a bucket are
-   compared with its members of other components, and leave it. Verified links
-   merge components, so that a group of n near copies costs about n comparisons
-   and no group is ever expanded into all pairs, yet every pair of a bucket is
-   compared or already connected when the rounds end.
-5. Verification first asks for common prefixes in hash order and in the second
-   hash order, then for the exact overlap of the two sets.
+   are one bucket, and buckets that share documents make a cluster. Documents of
+   different clusters cannot link.
+4. In large clusters every document is first compared with the one that leads
+   most of its buckets, where the member with the fewest shingles of its own
+   leads. A group of n near copies costs n comparisons here.
+5. What stays apart is compared with all other components of its cluster in
+   tasks of bounded size: documents must share prefixes in hash order and in
+   the second hash order, and then the exact overlap counts. A task returns only
+   the links that join components. Large clusters are cut into a grid of tasks,
+   the documents outside the largest component against all.
 
 Sets are held as 64-bit shingle hashes.
 """
@@ -45,7 +47,9 @@ EXTRA = 5
 #: Shingles a block-building step holds at once.
 CHUNK_SHINGLES = 1_500_000
 CHUNK_ROWS = 1_000
-LEADER_GROWTH = 8
+#: Clusters beyond this many documents are compared with leaders first; a task holds about TASK_DOCS documents of a side.
+LARGE_CLUSTER = 200
+TASK_DOCS = 2_000
 
 SKETCH = "doc_id long, n long, set_a long, set_b long, part int, tokens binary, ids binary"
 _LOW = np.uint64((1 << 40) - 1)
@@ -159,43 +163,101 @@ def _full_sets(width: int):
             for start in range(0, batch.num_rows, CHUNK_ROWS):
                 part = batch.slice(start, CHUNK_ROWS)
                 sets = [shingle_hashes(spaced_words(t.as_py()), width) for t in part.column(1)]
-                other = []
-                for s in sets:
-                    turned = scramble(s ^ np.uint64(0x5851F42D4C957F2D))
-                    other.append(np.sort(turned)[: len(s) - needed(len(s)) + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array([s.view(np.int64) for s in other], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n", "shingles", "second"],
-                )
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "shingles"])
 
     return build
 
 
+class _Index:
+    """Documents by token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, self.starts = np.unique(tokens[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(tokens))
+        self.size = len(sets)
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each document has."""
+        at = np.searchsorted(self.tokens, tokens)
+        inside = at < len(self.tokens)
+        at = at[inside][self.tokens[at[inside]] == tokens[inside]]
+        if not len(at):
+            return np.zeros(self.size, np.int64)
+        return np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(self.starts[at], self.ends[at])]), minlength=self.size)
+
+
+def _second_prefix(tokens: np.ndarray) -> np.ndarray:
+    turned = np.sort(scramble(tokens ^ np.uint64(0x5851F42D4C957F2D)))
+    return turned[: len(tokens) - needed(len(tokens)) + 1]
+
+
+def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of a task's documents, one for each time that two of them join."""
+    sets = [np.asarray(s, np.int64).view(np.uint64) for s in rows["shingles"]]
+    ids, mine = rows["doc_id"].to_numpy(), rows["mine"].to_numpy()
+    held = np.flatnonzero(rows["held"].to_numpy())
+    root = {c: c for c in rows["component"]}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    component = rows["component"].to_numpy()
+    out: list[tuple[int, int]] = []
+    if len(held) and mine.any():
+        whole = [sets[i] for i in held]
+        sizes = np.array([len(s) for s in whole])
+        every = _Index(whole)
+        first = _Index([s[: len(s) - needed(len(s)) + 1] for s in whole])
+        second = _Index([_second_prefix(s) for s in whole])
+        for u in np.flatnonzero(mine):
+            n = len(sets[u])
+            near = (first.shared(sets[u][: n - needed(n) + 1]) > 0) & (100 * sizes >= PERCENT * n) & (100 * n >= PERCENT * sizes) & (ids[held] != ids[u])
+            own = find(component[u])
+            if not any(find(component[held[k]]) != own for k in np.flatnonzero(near)):
+                continue
+            near &= second.shared(_second_prefix(sets[u])) > 0
+            if not near.any():
+                continue
+            both = every.shared(sets[u])
+            for k in np.flatnonzero(near & (100 * both >= PERCENT * (n + sizes - both))):
+                a, b = find(component[u]), find(component[held[k]])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[u]), int(ids[held[k]])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def _least(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
 def _postings(answers: DataFrame, representatives: DataFrame) -> DataFrame:
-    """token, doc_id, n of the frequency-order prefixes of documents that may have a partner."""
+    """token, doc_id and alone of the frequency-order prefixes of documents that may have a partner.
+
+    ``alone`` counts the sent shingles that no other document sent.
+    """
     # ``least_extra``: the overlap that even the smallest possible partner asks for.
     known = answers.join(representatives, "doc_id")
     each = Window.partitionBy("doc_id")
     least_extra = F.greatest(F.lit(1), F.floor(_least(F.col("n")) / EXTRA))
     ranked = known.select(
         "doc_id",
-        "n",
         "token",
+        (F.col("n") - _least(F.col("n")) + F.greatest(F.lit(1), F.floor(F.col("n") / EXTRA))).alias("sent_length"),
         F.count("*").over(each).alias("shared"),
         F.row_number().over(each.orderBy("sent", "token")).alias("rank"),
         least_extra.alias("least_extra"),
     )
     kept = ranked.where(F.col("rank") <= F.col("shared") - F.col("least_extra") + 1)
-    return kept.select("token", "doc_id", "n")
+    return kept.select("token", "doc_id", (F.col("sent_length") - F.col("shared")).alias("alone"))
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
@@ -208,17 +270,53 @@ def _buckets(postings: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets share prefixes under both hash orders and reach the threshold."""
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"), F.col("second").alias("second_b"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"), F.col("second").alias("second_a"))
+    """The pairs that share a prefix in hash order and whose sets reach the threshold."""
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
     prefix = lambda s, n: F.slice(s, F.lit(1), (n - _least(n) + 1).cast("int"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     rows = pairs.join(right, "b").join(left, "a")
     rows = rows.where(F.arrays_overlap(prefix(F.col("set_a"), F.col("n_a")), prefix(F.col("set_b"), F.col("n_b"))))
-    rows = rows.where(F.arrays_overlap("second_a", "second_b"))
     return rows.where(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
+def _leader_pairs(buckets: DataFrame, members: DataFrame) -> DataFrame:
+    """Each document of a large cluster with the one that leads most of its buckets."""
+    large = buckets.join(members.where(F.col("docs") > LARGE_CLUSTER).select("doc_id"), "doc_id", "left_semi")
+    leads = large.groupBy("token").agg(F.min(F.struct("alone", "doc_id")).getField("doc_id").alias("a"))
+    led = large.join(leads, "token").where(F.col("a") != F.col("doc_id")).groupBy("doc_id", "a").agg(F.count("*").alias("n"))
+    best = led.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("a")).alias("last"), "a")).getField("a").alias("a"))
+    return best.select("a", F.col("doc_id").alias("b"))
+
+
+def _tasks(members: DataFrame, components: DataFrame, spread: int) -> DataFrame:
+    """task, doc_id, component, mine (to be compared with the task's held documents), held."""
+    joined = members.join(components, members.doc_id == components.id, "left")
+    known = joined.select("cluster", "docs", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = known.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("cluster").agg(
+        F.max(F.struct("size", (-F.col("component")).alias("last"))).alias("top"), F.sum("size").alias("all")
+    )
+    largest = largest.select(F.col("cluster").alias("of"), (-F.col("top.last")).alias("main"), (F.col("all") - F.col("top.size")).alias("outside"))
+    rows = known.join(largest, F.col("cluster") == F.col("of")).where(F.col("outside") > 0)
+    mine = F.col("component") != F.col("main")
+    across = F.ceil(F.col("docs") / TASK_DOCS).cast("int")
+    down = F.ceil(F.col("outside") / TASK_DOCS).cast("int")
+    slot = F.pmod(F.xxhash64("doc_id"), across)
+    row = F.pmod(F.xxhash64(F.lit("row"), "doc_id"), down)
+    small = rows.where(F.col("docs") <= TASK_DOCS).select(
+        F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(spread))).alias("task"), "doc_id", "component", mine.alias("mine"), F.lit(True).alias("held")
+    )
+    big = rows.where(F.col("docs") > TASK_DOCS).withColumns({"down": down, "across": across, "slot": slot, "row": row})
+    held = big.select("*", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i")).select(
+        F.concat_ws(":", F.lit("b"), "cluster", "i", "slot").alias("task"), "doc_id", "component", F.lit(False).alias("mine"), F.lit(True).alias("held")
+    )
+    asked = big.where(mine).select("*", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j")).select(
+        F.concat_ws(":", F.lit("b"), "cluster", "row", "j").alias("task"), "doc_id", "component", F.lit(True).alias("mine"), F.lit(False).alias("held")
+    )
+    return small.unionByName(held).unionByName(asked)
+
+
 def shingle_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (columns doc_id, text).
 
@@ -245,29 +343,22 @@ def shingle_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     scratch.drop("sketch")
     left = scratch.keep(_buckets(postings), "buckets-0")
     partners = scratch.keep(left.select("doc_id").distinct(), "partners")
-    mine = named.join(partners, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, n long, shingles array<long>, second array<long>")
+    mine = named.join(partners, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, n long, shingles array<long>")
     sets = scratch.keep(mine.dropDuplicates(["doc_id"]), "sets")
 
-    labels = spark.createDataFrame([], "id long, component long")
-    leaders, step = 1, 0
-    while not left.isEmpty():
-        step += 1
-        member = left.join(labels, left.doc_id == labels.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        ranked = member.withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("doc_id")))
-        first = ranked.where(F.col("rank") <= leaders)
-        lead = first.select("token", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        pairs = lead.join(member, "token").where((F.col("c_a") != F.col("component")) & (F.col("a") != F.col("doc_id")))
-        pairs = pairs.where((F.col("n_a") >= _least(F.col("n"))) & (F.col("n") >= _least(F.col("n_a"))))
-        pairs = scratch.keep(pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), f"pairs-{step}")
-        links = _verified(pairs, sets).union(labels.select(F.col("id"), F.col("component")))
-        labels = scratch.keep(connected_components(links, scratch=Scratch(spark, "jaccard-components")), f"labels-{step}")
-        rest = left.join(first.select("token", "doc_id"), ["token", "doc_id"], "left_anti")
-        named_rest = rest.join(labels, rest.doc_id == labels.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        mixed = named_rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-        left = scratch.keep(named_rest.join(mixed.select("token"), "token", "left_semi").select("token", "doc_id", "n"), f"buckets-{step}")
-        scratch.drop(f"buckets-{step - 1}", f"pairs-{step}")
-        leaders *= LEADER_GROWTH
-    scratch.drop("postings", "partners", "sets")
+    edges = left.join(left.groupBy("token").agg(F.min("doc_id").alias("b")), "token").select(F.col("doc_id").alias("a"), "b")
+    clusters = scratch.keep(connected_components(edges, scratch=Scratch(spark, "jaccard-clusters")), "clusters")
+    counts = clusters.groupBy("component").agg(F.count("*").alias("docs"))
+    members = clusters.join(counts, "component").select(F.col("component").alias("cluster"), F.col("id").alias("doc_id"), "docs")
+    members = scratch.keep(members, "members")
+    joined = scratch.keep(_verified(_leader_pairs(left, members), sets), "leader-links")
+    led = scratch.keep(connected_components(joined, scratch=Scratch(spark, "jaccard-led")), "led")
+    spread = max(1, partners.count() // TASK_DOCS)
+    work = _tasks(members, led, spread).join(sets.select("doc_id", "shingles"), "doc_id")
+    links = work.groupBy("task").applyInPandas(_joining_links, "a long, b long")
+    every = scratch.keep(links.union(led.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
+    labels = scratch.keep(connected_components(every, scratch=Scratch(spark, "jaccard-components")), "labels")
+    scratch.drop("postings", "buckets-0", "partners", "sets", "clusters", "members", "leader-links", "led", "links")
 
     classes = same.select(F.col("n").alias("n_c"), F.col("set_a").alias("a_c"), F.col("set_b").alias("b_c"), "first")
     joined = info.join(classes, (F.col("n") == F.col("n_c")) & (F.col("set_a") == F.col("a_c")) & (F.col("set_b") == F.col("b_c")), "left")
