@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .contamination import find_contamination
+from .context_mixing import score_documents
 from .jaccard_join import shingle_components
+from .learned_partitions import search_neighbours
+from .licenses import scan_licenses
 from .line_runs import dedup_lines
+from .perspectives import rotate_perspectives
+from .secret_scan import scan_secrets
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -42,6 +47,19 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), training)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,6 +70,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -64,12 +87,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate_perspectives(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    digest = F.sha2("segment", 256).alias("segment_sha256")
+    return out.select("conv_id", "perspective", "position", "speaker", digest, "start", "stop", "mask_start", "mask_stop")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_context_mixing": op3_context_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op5_learned_partitions": op5_learned_partitions,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
+    "op10_perspectives": op10_perspectives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +146,34 @@ ids AS (SELECT doc_id, count(*) AS c, string_agg(s, ',' ORDER BY s) AS l
 SELECT words.doc_id AS doc_id, len(w) AS n_words, coalesce(h, 0) AS n_hit, coalesce(c, 0) AS n_items,
        sha256(coalesce(l, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN hits ON hits.doc_id = words.doc_id LEFT JOIN ids ON ids.doc_id = words.doc_id""",
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+starts AS (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM words UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT words.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+FROM words JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) AS r ON r.x = words.doc_id LEFT JOIN sizes ON sizes.doc_id = words.doc_id""",
+    "op10_perspectives": r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
+people AS (SELECT DISTINCT conv_id AS c, speaker AS p FROM turns WHERE speaker <> 'system'),
+seen AS (SELECT turns.*, coalesce(p, 'system') AS perspective FROM turns LEFT JOIN people ON c = conv_id),
+opened AS (
+  SELECT *, speaker = perspective AND speaker <> 'system' AS own,
+         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM seen),
+sized AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment, length(head) AS lead, length(head || said || '<|im_end|>' || chr(10)) AS size FROM opened),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said) - 1 AS position,
+         sum(size) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, said ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS till
+  FROM sized)
+SELECT conv_id, perspective, position, speaker, sha256(segment) AS segment_sha256,
+       CAST(till - size AS BIGINT) AS start, CAST(till AS BIGINT) AS stop,
+       CASE WHEN own THEN CAST(till - size + lead AS BIGINT) END AS mask_start, CASE WHEN own THEN CAST(till AS BIGINT) END AS mask_stop
+FROM placed""",
 }
