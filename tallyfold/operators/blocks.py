@@ -108,9 +108,9 @@ def bundle_options(blocks: DataFrame) -> DataFrame:
     """file_id, pos, page_numbers, block_type, text: stems with their options as one mcq_group, other long or stemless runs tagged."""
     rows = option_runs(blocks).withColumn("shown", F.concat_ws(" ", F.nullif("marker", F.lit("")), "text"))
     options = rows.where(F.col("stem").isNotNull()).select("file_id", F.col("stem").alias("at"), F.col("pos").alias("opt_pos"), "shown", "page_numbers")
-    grouped = options.groupBy("file_id", "at").agg(F.array_sort(F.collect_list(F.struct("opt_pos", "shown", "page_numbers"))).alias("o"))
-    stems = rows.join(grouped, (rows.file_id == grouped.file_id) & (rows.pos == grouped["at"])).select(
-        rows.file_id,
+    grouped = options.groupBy(F.col("file_id").alias("of"), "at").agg(F.array_sort(F.collect_list(F.struct("opt_pos", "shown", "page_numbers"))).alias("o"))
+    stems = rows.join(grouped, (F.col("file_id") == F.col("of")) & (F.col("pos") == F.col("at"))).select(
+        "file_id",
         "pos",
         F.array_sort(F.array_distinct(F.concat("page_numbers", F.flatten(F.transform("o", lambda x: x["page_numbers"]))))).alias("page_numbers"),
         F.lit("mcq_group").alias("block_type"),

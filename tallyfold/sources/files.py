@@ -13,9 +13,19 @@ INDEX_PAGES = 150
 BLOCKS = "file_id string, pos long, page_numbers array<int>, block_type string, text string, marker string"
 #: Labels of a layout reader and the block types they stand for; others are 'other'.
 BLOCK_TYPES = {
-    "title": "title", "section_header": "section_header", "text": "text", "paragraph": "text", "list_item": "list_item", "table": "table",
-    "document_index": "document_index", "page_header": "page_header", "page_footer": "page_footer", "caption": "caption", "footnote": "footnote",
-}
+    "title": "title",
+    "section_header": "section_header",
+    "text": "text",
+    "paragraph": "text",
+    "reference": "text",
+    "footnote": "text",
+    "list_item": "list_item",
+    "caption": "caption",
+    "page_header": "page_header",
+    "page_footer": "page_footer",
+    "table": "table",
+    "document_index": "document_index",
+}
 
 
 def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
