@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMERIC_NAME, collapse, letter_spaced, strip, topic_slug
+from ..scratch import Scratch
 
 SMALL_LIST, LARGE_LIST = 3, 500
 LAST_PAGES, BOOK_OFFSET, PAD_BEFORE, PAD_AFTER, RANGE_CAP = 30, 9, 6, 4, 60
@@ -127,9 +128,11 @@ def cycle_members(nodes: DataFrame, id_col: str = "id", parent_col: str = "paren
     jump = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("to")).where(F.col("to").isNotNull())
     jump = jump.join(nodes.select(F.col(id_col).alias("to")), "to", "left_semi").select("id", "to")
     rounds = max(1, jump.count()).bit_length()
-    for _ in range(rounds):
+    scratch = Scratch(nodes.sparkSession, "cycles")
+    for step in range(rounds):
         ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        jump = jump.join(ahead, "to").select("id", F.col("far").alias("to"))
+        # Written each round: the plan would double otherwise. Pointers that meet are one.
+        jump = scratch.keep(jump.join(ahead, "to").select("id", F.col("far").alias("to")).distinct(), f"jump-{step}")
     return jump.select(F.col("to").alias("id")).distinct()
 
 
@@ -173,11 +176,12 @@ def validate(topics: DataFrame, low: int, high: int) -> DataFrame:
 
 def ancestors_or_self(nodes: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
     """Ids of ``start`` and everything above them; stops when nothing new is found, so cycles end."""
+    scratch = Scratch(nodes.sparkSession, "ancestors")
     reached = start.select("id").distinct()
     fresh = reached
-    for _ in range(depth):
+    for step in range(depth):
         up = fresh.join(nodes.select("id", "parent_id"), "id").where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct()
-        fresh = up.join(reached, "id", "left_anti").checkpoint()
+        fresh = scratch.keep(up.join(reached, "id", "left_anti"), f"level-{step}")
         if fresh.isEmpty():
             break
         reached = reached.union(fresh)
@@ -217,10 +221,12 @@ def tree_paths(topics: DataFrame, depth: int = 32) -> DataFrame:
     step = lambda o: F.lpad(o.cast("string"), 8, "0")
     nodes = topics.select("id", "name", "parent_id", "ord")
     level = nodes.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", "name", F.lit(0).alias("depth"), step(F.col("ord")).alias("path"))
+    scratch = Scratch(topics.sparkSession, "tree")
     out = level
     for d in range(1, depth):
         above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent_id").select("id", "name", F.lit(d).alias("depth"), F.concat("above", step(F.col("ord"))).alias("path")).checkpoint()
+        level = nodes.join(above, "parent_id").select("id", "name", F.lit(d).alias("depth"), F.concat("above", step(F.col("ord"))).alias("path"))
+        level = scratch.keep(level, f"level-{d}")
         if level.isEmpty():
             break
         out = out.union(level)
