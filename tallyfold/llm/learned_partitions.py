@@ -22,7 +22,7 @@ TOP = 20
 #: Bounds of the fit: sampled vectors, and of them those that choose the number of searched parts.
 SAMPLE_ROWS, PROBE_ROWS = 3_000, 500
 GRAPH_NEIGHBOURS = 10
-ROWS_PER_PART, LEAST_PARTS, MOST_PARTS = 1_000, 8, 64
+ROWS_PER_PART, LEAST_PARTS, MOST_PARTS = 4_000, 8, 64
 WANTED_RECALL = 0.95
 HIDDEN, STEPS = 96, 300
 #: Rows and queries that meet in one task.
