@@ -81,6 +81,8 @@ class LineRunStore:
 
 def _batch_bounds(keys: DataFrame, batches: int) -> list[int]:
     """Document ids that cut the keys into about equal batches, in ascending order."""
+    if batches < 2:
+        return []
     cuts = keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)
     return sorted({int(x) for x in cuts})
 
@@ -110,10 +112,14 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_KE
     """
     scratch = Scratch(docs.sparkSession, "line-runs")
     lost = dropped_lines(docs.select("doc_id", "text"), scratch, batches, min_chars)
-    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), "lost")
-    whole = docs.select(F.struct("*").alias("row"))
-    text, gone = F.col("row.text"), F.col("lost")
-    joined = whole.join(lost, (F.col("row.doc_id") == F.col("lost_id")) & (F.xxhash64(text) == F.col("lost_hash")), "left")
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    row, gone = F.col(f"{mark}row"), F.col(f"{mark}lost")
+    lost = lost.select(*[F.col(c).alias(mark + c) for c in ("doc_id", "text_hash", "lost")])
+    whole = docs.select(F.struct("*").alias(f"{mark}row"))
+    text = row["text"]
+    joined = whole.join(lost, (row["doc_id"] == F.col(f"{mark}doc_id")) & (F.xxhash64(text) == F.col(f"{mark}text_hash")), "left")
     lines = split_lines(text)
     first = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
     until = F.concat(gone, F.array(F.size(lines)))
@@ -123,5 +129,5 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_KE
         "n_dropped": F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"),
         "kept_text": F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")),
     }
-    passed = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in added]
+    passed = [row.getField(c).alias(c) for c in docs.columns if c not in added]
     return joined.select(*passed, *[c.alias(name) for name, c in added.items()])
