@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
 from struct import pack
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
+
+from .rows import with_computed
 
 NO_RANK = 1 << 30
 SHORT = 128
@@ -143,7 +143,10 @@ def parsed(vocabulary_json: str) -> RankArrayBPE:
     return RankArrayBPE(json.loads(vocabulary_json))
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+CODED = StructType().add("ids", BinaryType()).add("n_tokens", LongType()).add("decoded", StringType())
+
+
+def encode_documents(docs: DataFrame, vocabulary_path: str, keep_text: bool = True) -> DataFrame:
     """``docs`` with ids (binary, little-endian unsigned 32-bit), n_tokens and decoded.
 
     A null text encodes as an empty one. Columns named like an added one are
@@ -152,22 +155,13 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     with open(vocabulary_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         bpe = parsed(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(start, CHUNK_ROWS)
-                packed = [bpe.encode_packed(t.as_py() or "") for t in part.column(part.num_columns - 1)]
-                decoded = [bpe.decode(np.frombuffer(p, "<u4").tolist()) for p in packed]
-                added = [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + added, names=names)
-
-    kept = [c for c in docs.columns if c not in {"ids", "n_tokens", "decoded"}]
-    names = [f"c{i}" for i in range(len(kept))] + ["ids", "n_tokens", "decoded"]
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("text").alias("text"))
-    schema = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(kept)))
-    out = inner.mapInArrow(encode, f"{schema}, ids binary, n_tokens long, decoded string")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "ids", "n_tokens", "decoded")
-
-
-CHUNK_ROWS = 500
+
+        def encode(texts: list[str | None]) -> list[tuple]:
+            packed = [bpe.encode_packed(t or "") for t in texts]
+            return [(p, len(p) // 4, bpe.decode(np.frombuffer(p, "<u4").tolist())) for p in packed]
+
+        return encode
+
+    return with_computed(docs, CODED, start, keep_text)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructType
 
+from .rows import with_computed
 from .words import alnum_words
 
 WINDOW = 13
@@ -17,7 +15,14 @@ HIT_SHARE = 20
 #: Words of the windows in one automaton. Items beyond it get an automaton of their own, in another pass over the same batch.
 AUTOMATON_WORDS = 4_000_000
 
-SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+REPORT = (
+    StructType()
+    .add("n_words", LongType())
+    .add("n_hit", LongType())
+    .add("items", ArrayType(StringType()))
+    .add("spans", ArrayType(StructType().add("first", LongType()).add("last", LongType())))
+    .add("contaminated", BooleanType())
+)
 
 
 
@@ -53,15 +58,15 @@ def automaton(windows: dict[str, list[str]]) -> ahocorasick.Automaton:
     return made
 
 
-def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int, int, list[str], list[dict]]:
-    """Words, hit words, matched item ids and merged word spans of one text."""
+def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int, int, list[str], list[dict], bool]:
+    """Words, hit words, matched item ids, merged word spans and the verdict on one text."""
     words = alnum_words(text)
     if not words or not automata:
-        return len(words), 0, [], []
+        return len(words), 0, [], [], False
     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
     found = [(end, hit) for machine in automata for end, hit in machine.iter(joined)]
     if not found:
-        return len(words), 0, [], []
+        return len(words), 0, [], [], False
     gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 0x20)
     ends = np.searchsorted(gaps, [end for end, _ in found])
     edges = np.zeros(len(words) + 1, np.int64)
@@ -70,10 +75,11 @@ def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int,
     covered = np.cumsum(edges[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
     spans = [{"first": int(a), "last": int(b) - 1} for a, b in turns.reshape(-1, 2)]
-    return len(words), int(covered.sum()), sorted({i for _, (_, _, ids) in found for i in ids}), spans
+    hit = int(covered.sum())
+    return len(words), hit, sorted({i for _, (_, _, ids) in found for i in ids}), spans, HIT_SHARE * hit >= len(words)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, items, spans and contaminated.
 
     A word is hit when it lies in an occurrence of 13 consecutive words of an
@@ -86,27 +92,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = [(("" if r[0] is None else str(r[0])), r[1]) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()]
     parts = docs.sparkSession.sparkContext.broadcast(shards(items))
 
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         machines = [automaton(x) for x in parts.value]
-        for batch in batches:
-            rows = [scan(text.as_py(), machines) for text in batch.column("text")]
-            n_words, n_hit, ids, spans = zip(*rows) if rows else ((), (), (), ())
-            payload = [batch.column(i) for i in range(batch.num_columns - 1)]
-            added = [
-                pa.array(n_words, pa.int64()),
-                pa.array(n_hit, pa.int64()),
-                pa.array(ids, pa.list_(pa.string())),
-                pa.array(spans, SPANS),
-                pa.array([h > 0 and HIT_SHARE * h >= n for n, h in zip(n_words, n_hit)], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(payload + added, names=names)
-
-    added = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>, contaminated boolean"
-    replaced = {"n_words", "n_hit", "items", "spans", "contaminated"}
-    kept = [c for c in docs.columns if c not in replaced]
-    names = [f"c{i}" for i in range(len(kept))] + ["n_words", "n_hit", "items", "spans", "contaminated"]
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("text").alias("text"))
-    schema = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(kept)))
-    out = inner.mapInArrow(report, f"{schema}, {added}")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_words", "n_hit", "items", "spans", "contaminated")
+        return lambda texts: [scan(text, machines) for text in texts]
 
+    return with_computed(docs, REPORT, start, keep_text)

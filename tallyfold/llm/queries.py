@@ -39,7 +39,7 @@ def toxicity_held_out() -> Column:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~toxicity_held_out())
-    out = score_toxicity(docs, model).withColumn("held_out", toxicity_held_out())
+    out = score_toxicity(docs, model, keep_text=False).withColumn("held_out", toxicity_held_out())
     return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -66,7 +66,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep_text=False)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -76,7 +76,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return out.select(
         "doc_id",
         "n_words",

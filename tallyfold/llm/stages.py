@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with hashes of the ids and of the text they decode to."""
-    coded = encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    coded = encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), keep_text=False)
     return coded.select(
         "doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

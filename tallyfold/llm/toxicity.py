@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
+from .rows import with_computed
 from .words import alnum_words
 
 #: Bounds of the fitting sample: documents confirmed toxic, and documents taken as unlabelled.
@@ -229,18 +231,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> PUMo
     return PUModel(chosen, np.array([w for w, _ in fits]), np.array([b for _, b in fits]))
 
 
-def score_toxicity(docs: DataFrame, model: PUModel) -> DataFrame:
-    """doc_id and score (0 to 1, higher: more likely toxic) of each row; empty and null texts have a score too."""
+def score_toxicity(docs: DataFrame, model: PUModel, keep_text: bool = True) -> DataFrame:
+    """``docs`` with score (0 to 1, higher: more likely toxic); empty and null texts have one too."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = sent.value.score_rows([t.as_py() for t in batch.column(batch.num_columns - 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(scores, pa.float64())], names=names)
-
-    kept = [c for c in docs.columns if c != "score"]
-    names = [f"c{i}" for i in range(len(kept))] + ["score"]
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("text").alias("text"))
-    schema = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(kept)))
-    out = inner.mapInArrow(score, f"{schema}, score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "score")
+    start = lambda: lambda texts: [(s,) for s in sent.value.score_rows(texts)]
+    return with_computed(docs, StructType().add("score", DoubleType()), start, keep_text)
