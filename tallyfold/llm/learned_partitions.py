@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .samples import first_in_hash_order
+
 TOP = 20
 #: Bounds of the fit: sampled vectors, and of them those that choose the number of searched parts.
 SAMPLE_ROWS, PROBE_ROWS = 3_000, 500
@@ -196,7 +198,7 @@ def search_neighbours(vectors: DataFrame, is_query: Column, top: int = TOP) -> D
     spark = vectors.sparkSession
     usable = _usable(vectors)
     total = usable.count()
-    sample = usable.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    sample = first_in_hash_order(usable, "vec_id", SAMPLE_ROWS).collect()
     parts = max(LEAST_PARTS, min(MOST_PARTS, total // ROWS_PER_PART))
     fitted = fit_router(np.array([r["embedding"] for r in sample]), parts) if len(sample) > 1 else None
     router = spark.sparkContext.broadcast(fitted)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .rows import with_computed
+from .samples import first_in_hash_order
 from .words import alnum_words
 
 #: Bounds of the fitting sample: documents confirmed toxic, and documents taken as unlabelled.
@@ -34,7 +35,8 @@ UNLABELLED_ROWS = 18_000
 PROPOSED_FEATURES = 60_000
 MODEL_FEATURES = 8_192
 WORD_STARTS = (4, 5, 6)
-LEAST_POSITIVES = 3
+#: A feature must be in so many positives, and in this share of them.
+LEAST_POSITIVES, LEAST_SHARE = 3, 0.005
 LEAST_RATIO = 4.0
 FALSE_DISCOVERIES = 0.01
 CLASSIFIERS = 3
@@ -174,11 +176,6 @@ def _excess(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return np.where(seen > expected, seen - expected - seen * np.log(seen / expected), 0.0)
 
 
-def _sample(ids: DataFrame, rows: int) -> DataFrame:
-    """Up to ``rows`` ids, the first in hash order."""
-    return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-
 def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> PUModel:
     """A model from the rows of ``docs`` (doc_id, text) for which ``training`` holds.
 
@@ -195,7 +192,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> PUMo
     share = judged.agg(F.count("*"), F.sum("toxic")).first()
     prior = float(min(0.9, max(0.005, (share[1] or 0) / share[0] if share[0] else 0)))
     constant = PUModel([], np.zeros((1, 0)), np.array([np.log(prior / (1 - prior))]))
-    positive_ids = F.broadcast(_sample(judged.where("toxic = 1").select("doc_id"), POSITIVE_ROWS))
+    positive_ids = F.broadcast(first_in_hash_order(judged.where("toxic = 1").select("doc_id"), "doc_id", POSITIVE_ROWS))
     positive = usable.join(positive_ids, "doc_id", "left_semi")
     proposed = positive.select("text").mapInArrow(_count_all, "name binary, n long").groupBy("name").agg(F.sum("n").alias("n"))
     proposed = proposed.where(F.col("n") >= LEAST_POSITIVES).orderBy(F.desc("n"), "name").limit(PROPOSED_FEATURES).collect()
@@ -215,14 +212,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> PUMo
     allowed = np.log(FALSE_DISCOVERIES * np.arange(1, len(names) + 1) / len(names))
     passed = np.flatnonzero(ranked <= allowed)
     limit = ranked[passed[-1]] if len(passed) else -np.inf
-    good = np.flatnonzero((evidence <= limit) & (in_positive >= LEAST_RATIO * u * n_positive))
+    good = np.flatnonzero((evidence <= limit) & (in_positive >= LEAST_RATIO * u * n_positive) & (in_positive >= LEAST_SHARE * n_positive))
     good = np.sort(good[np.argsort(evidence[good], kind="stable")][:MODEL_FEATURES])
     chosen = [names[i] for i in good]
     sent.unpersist()
     if not chosen:
         return constant
     sent = context.broadcast(chosen)
-    unlabelled_ids = F.broadcast(_sample(usable.select("doc_id"), UNLABELLED_ROWS))
+    unlabelled_ids = F.broadcast(first_in_hash_order(usable.select("doc_id"), "doc_id", UNLABELLED_ROWS))
     unlabelled = usable.join(unlabelled_ids, "doc_id", "left_semi")
     project = _project(sent)
     rows = lambda df: _Rows([tuple(r["found"]) for r in df.mapInArrow(project, "doc_id long, found array<int>").collect()])
