@@ -89,3 +89,14 @@ def ask_new(prompts: DataFrame, provider: Provider, recorded: DataFrame) -> Data
     """Answers only for prompts that this provider has not answered; recorded has key, model."""
     known = recorded.where(F.col("model") == provider.name).select("key")
     return ask(prompts.join(known, "key", "left_anti"), provider).withColumn("model", F.lit(provider.name))
+
+
+def load_models(path: str, fallback: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The models of a JSON list; the fallback where there is no readable one."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+    except (OSError, ValueError):
+        return fallback
+    models = tuple(m for m in found if isinstance(m, str) and m.strip()) if isinstance(found, list) else ()
+    return models or fallback
