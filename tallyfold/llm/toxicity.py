@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from ..scratch import Scratch
 from .rows import with_computed
 from .samples import first_in_hash_order
 from .words import alnum_words
@@ -194,8 +195,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> PUMo
     constant = PUModel([], np.zeros((1, 0)), np.array([np.log(prior / (1 - prior))]))
     positive_ids = F.broadcast(first_in_hash_order(judged.where("toxic = 1").select("doc_id"), "doc_id", POSITIVE_ROWS))
     positive = usable.join(positive_ids, "doc_id", "left_semi")
+    scratch = Scratch(spark, "toxicity")
     proposed = positive.select("text").mapInArrow(_count_all, "name binary, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    proposed = proposed.where(F.col("n") >= LEAST_POSITIVES).orderBy(F.desc("n"), "name").limit(PROPOSED_FEATURES).collect()
+    proposed = scratch.keep(proposed.where(F.col("n") >= LEAST_POSITIVES), "proposed")
+    # Counts of counts say from which count on there are few enough; a sort would send each task's best to the driver.
+    room, least = PROPOSED_FEATURES, None
+    for row in proposed.groupBy("n").agg(F.count("*").alias("features")).orderBy(F.desc("n")).collect():
+        room -= row["features"]
+        if room < 0:
+            break
+        least = row["n"]
+    proposed = proposed.where(F.col("n") >= least).orderBy("name").collect() if least else []
+    scratch.drop("proposed")
     if not proposed:
         return constant
     names = [bytes(r["name"]) for r in proposed]
