@@ -11,6 +11,8 @@ from .graph import connected_components
 SAME_TYPE, CROSS_TYPE = 0.85, 0.95
 MERGE_FLOOR = 0.6
 PAIR_BATCH = 40
+#: Members of a group that one task compares with as many others.
+PAIR_SLICE = 1_000
 EXACT = "exact_duplicate"
 DETERMINISTIC_MODEL = "deterministic"
 
@@ -28,13 +30,22 @@ def exact_duplicate_links(keyed: DataFrame) -> DataFrame:
     return hashed.join(first, "key_hash").where(F.col("a") < F.col("question_id")).select("a", F.col("question_id").alias("b"))
 
 
-def exact_duplicate_pairs(keyed: DataFrame, largest: int = 1_000) -> DataFrame:
-    """All pairs a < b of the groups of up to ``largest`` members (a record-level report), star edges of larger ones."""
+def exact_duplicate_pairs(keyed: DataFrame) -> DataFrame:
+    """All pairs a < b of each group (a record-level report).
+
+    A group is cut into slices of about ``PAIR_SLICE`` members and each pair of
+    slices meets once, so a large group is spread over many tasks.
+    """
     hashed = keyed.select("question_id", F.sha2("exact_key", 256).alias("key_hash"))
-    sizes = hashed.groupBy("key_hash").agg(F.count("*").alias("members"), F.min("question_id").alias("first_id")).where(F.col("members") > 1)
-    rows = hashed.join(sizes, "key_hash")
-    left = rows.where((F.col("members") <= largest) | (F.col("question_id") == F.col("first_id"))).select("key_hash", F.col("question_id").alias("a"))
-    return left.join(hashed.withColumnRenamed("question_id", "b"), "key_hash").where(F.col("a") < F.col("b")).select("a", "b")
+    sizes = hashed.groupBy("key_hash").agg(F.count("*").alias("members")).where(F.col("members") > 1)
+    cut = F.ceil(F.col("members") / PAIR_SLICE).cast("int")
+    rows = hashed.join(sizes, "key_hash").withColumn("cut", cut).withColumn("slice", F.pmod(F.xxhash64("question_id"), F.col("cut")).cast("int"))
+    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
+    meet = spread.select("key_hash", "question_id", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"), "slice")
+    left, right = (meet.select("key_hash", "lo", "hi", F.col("question_id").alias(c), F.col("slice").alias(f"slice_{c}")) for c in "ab")
+    pairs = left.join(right, ["key_hash", "lo", "hi"]).where(F.col("a") < F.col("b"))
+    # Members of one slice meet in every task of that slice; the pair counts where it alone is named.
+    return pairs.where((F.least("slice_a", "slice_b") == F.col("lo")) & (F.greatest("slice_a", "slice_b") == F.col("hi"))).select("a", "b")
 
 
 def representative_order() -> list[Column]:

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyfold.operators import dedup, frequency, reconcile, report
 from tallyfold.operators.graph import connected_components
@@ -67,6 +68,16 @@ def test_pair_and_topic_verdicts(spark):
     assert rows == {"q0": ("classified", "t1", 0.8), "q1": ("unclassified", None, 0.0), "q2": ("no_match", None, 0.7), "q3": ("unclassified", None, 0.0)}
 
 
+def test_all_pairs_of_a_large_group(spark):
+    n = 1_203
+    keyed = spark.range(n + 3).select(
+        F.format_string("q%05d", "id").alias("question_id"), F.when(F.col("id") < n, "x").when(F.col("id") < n + 2, "y").otherwise("z").alias("exact_key")
+    )
+    got = dedup.exact_duplicate_pairs(keyed)
+    assert got.count() == got.distinct().count() == n * (n - 1) // 2 + 1
+    assert got.where("a >= b").count() == 0
+
+
 def test_canonical_states(spark):
     decisions = spark.createDataFrame(
         [("q0", "q1", "exact_duplicate", "same_question", 1.0), ("q1", "q2", "llm_judge", "same_question", 0.8), ("q2", "q3", "llm_judge", "uncertain", 0.4)],
