@@ -12,8 +12,9 @@ Predictors are tables of bit counts under hashed contexts of several orders. Aft
 n sightings with the adaptive rate 1/n a predictor is the mean of its bits, so the
 tables are sums and can be gathered in parallel from all training text. A mixer
 whose weights are chosen by a gate (bit of the byte, place in the piece) is then
-trained online on a bounded sample, each bit being predicted from counts that leave
-it out. Two adaptive maps refine its probability.
+trained on all training pieces with their counts, each bit being predicted from
+counts that leave it out: a pass gathers slope and curvature of the cost, whose sums
+give the weights of the next. Two adaptive maps refine its probability.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from operator import add, itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +41,17 @@ SLOT_BITS = 20
 #: Parts in which a table's sums are gathered, so that no task holds whole tables of all others.
 SEGMENTS = 16
 PLACES = 6
-#: Bounds: documents that train the mixer, priced pieces sent to every worker (and their length), pieces counted before they are sent on.
-MIXER_ROWS = 1_500
+#: Bounds: passes that train the mixer, priced pieces sent to every worker (and their length), pieces counted before they are sent on.
+MIXER_ROUNDS = 3
 COMMON_PIECES = 250_000
 COMMON_BYTES = 64
 COUNTED_PIECES = 400_000
-BLOCK_BYTES, COUNTED_BLOCK_BYTES, TRAINED_BLOCK_BYTES = 16_000, 250_000, 6_000
+BLOCK_BYTES, COUNTED_BLOCK_BYTES = 16_000, 250_000
 #: Pieces for one table-building task, and the most such tasks.
 TASK_PIECES, MOST_TASKS = 1_000_000, 64
 MAP_STEPS = 33
+#: Weights that training starts from, and lengths of a step that each pass tries.
+FIRST_WEIGHTS, STEPS = (0.3, 0.2, 0.1), (1.0, 0.4, 0.1)
 
 
 class _Marks(dict):
@@ -185,40 +188,110 @@ def refined(logit: np.ndarray, partial: np.ndarray, gate: np.ndarray, maps: np.n
     return np.clip((2 * p + maps[a] + maps[b]) / 4, 1e-6, 1 - 1e-6)
 
 
-def fit_mixer(counts: np.ndarray, sample: dict[bytes, int], rate: float = 0.02) -> MixingModel:
-    """Weights and maps from one online pass over the pieces of the sample."""
-    gates = PLACES * 8
-    weights = np.full((len(ORDERS) + 1, gates), 0.3, np.float32)
-    weights[-1] = 0
-    centre = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) / 2 - 8)))
-    seen, ones = np.tile(np.full(MAP_STEPS, 2.0), 256 + gates), np.tile(2 * centre, 256 + gates)
-    items = sorted(sample, key=lambda p: (hash_of(p), p))
-    often = np.minimum(np.array([sample[p] for p in items], float), 50.0)
-    for part in _blocks(items, TRAINED_BLOCK_BYTES):
+@dataclass
+class MixerSums:
+    """What one pass over the pieces tells about several weights: their cost, its slope and curvature per gate; the bits and ones of the maps for a single one."""
+
+    cost: np.ndarray
+    slope: np.ndarray
+    curvature: np.ndarray
+    seen: np.ndarray
+    ones: np.ndarray
+
+    @staticmethod
+    def zero(tried: int) -> MixerSums:
+        gates, inputs = PLACES * 8, len(ORDERS) + 1
+        shapes = [(tried, gates), (tried, gates, inputs), (tried, gates, inputs, inputs)]
+        return MixerSums(*map(np.zeros, shapes), *np.zeros((2, (256 + gates) * MAP_STEPS)))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.cost, self.slope, self.curvature, self.seen, self.ones]
+
+    def to_bytes(self) -> bytes:
+        return np.concatenate([p.ravel() for p in self.parts()]).astype("<f8").tobytes()
+
+    def add_bytes(self, data: bytes) -> None:
+        values, at = np.frombuffer(data, "<f8"), 0
+        for p in self.parts():
+            p += values[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+
+def left_out_inputs(counts: np.ndarray) -> list[np.ndarray]:
+    """For each order, at 2 * slot + bit, the log odds in sixteenths from the slot's counts without one sighting of that bit."""
+    out = []
+    for total, ones in counts:
+        rest = np.maximum(total - 1, 0)
+        both = [_stretched(np.maximum(ones - bit, 0), rest) for bit in (0, 1)]
+        out.append(np.rint(np.stack(both, axis=1) * 16).astype(np.int8).ravel())
+    return out
+
+
+def add_mixer_sums(sums: MixerSums, left_out: list[np.ndarray], tried: np.ndarray, items: list[bytes], counts: np.ndarray) -> None:
+    """Adds the pieces, each as often as it is counted, to the ``sums`` of the weights ``tried``."""
+    for part in _blocks(items):
         owner, bit, partial, gate, slots = _bits(items[part])
-        weight, bit, flat = np.repeat(often[part][owner], 8), bit.ravel().astype(float), gate.ravel()
-        inputs = []
-        for (total, of_ones), slot in zip(counts, slots):
-            s = slot.ravel()
-            inputs.append(_stretched(np.maximum(of_ones[s] - bit, 0), np.maximum(total[s] - 1, 0)))
-        inputs.append(np.ones(len(flat)))
-        logit = sum(w[flat] * x for w, x in zip(weights, inputs))
-        error = (bit - 1 / (1 + np.exp(-np.clip(logit, -12, 12)))) * weight
-        mass = np.bincount(flat, weight, gates) + 1.0
-        for w, x in zip(weights, inputs):
-            w += (rate * np.bincount(flat, error * x, gates) / mass).astype(np.float32)
-        for places in _map_places(logit, partial.ravel(), flat):
-            seen += np.bincount(places, weight, len(seen))
-            ones += np.bincount(places, weight * bit, len(seen))
-    inputs = [np.rint(_stretched(o, t) * 16).astype(np.int8) for t, o in counts]
-    return MixingModel(inputs, weights, (ones / seen).astype(np.float32))
-
-
-def hash_of(piece: bytes) -> int:
-    value = 0xCBF29CE484222325
-    for b in piece:
-        value = (value ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return value
+        often = counts[part][owner].astype(np.float32)
+        inputs = np.ones((len(ORDERS) + 1, *bit.shape), np.int8)
+        for i, slot in enumerate(slots):
+            inputs[i] = left_out[i][slot * 2 + bit]
+        place = gate[:, 0] // 8
+        # A text without blanks is one long piece: its bytes are taken in steps too.
+        for k, at in ((k, at[i : i + BLOCK_BYTES]) for k in range(PLACES) for at in [np.flatnonzero(place == k)] for i in range(0, len(at), BLOCK_BYTES)):
+            x = np.ascontiguousarray(inputs[:, at].transpose(2, 1, 0)) * _IN_SIXTEENTHS
+            across = x.transpose(0, 2, 1)
+            value, n, gates = bit[at].T, often[at], slice(k * 8, k * 8 + 8)
+            for i, weights in enumerate(tried):
+                logit = np.matmul(x, weights[:, gates].T[:, :, None])[:, :, 0]
+                p = 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
+                sums.cost[i, gates] -= (n * np.log2(np.where(value == 1, p, 1 - p))).sum(axis=1, dtype=float)
+                if len(tried) > 1:
+                    sums.slope[i, gates] += np.matmul(across, ((value - p) * n)[:, :, None])[:, :, 0]
+                    sums.curvature[i, gates] += np.matmul(across * (p * (1 - p) * n)[:, None, :], x)
+                    continue
+                weight = np.broadcast_to(n, p.shape).ravel()
+                for places in _map_places(logit.ravel(), partial[at].T.ravel(), gate[at].T.ravel()):
+                    sums.seen += np.bincount(places, weight, len(sums.seen))
+                    sums.ones += np.bincount(places, weight * value.ravel(), len(sums.ones))
+
+
+def mixer_sums(counted: DataFrame, left_out: Broadcast, tried: np.ndarray, tasks: int) -> MixerSums:
+    """The sums over all of ``counted`` (piece, n), gathered in at most ``tasks`` tasks."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = MixerSums.zero(len(tried))
+        for batch in batches:
+            add_mixer_sums(sums, left_out.value, tried, batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([sums.to_bytes()], pa.binary())], names=["sums"])
+
+    total = MixerSums.zero(len(tried))
+    for row in counted.coalesce(tasks).mapInArrow(gather, "sums binary").collect():
+        total.add_bytes(row["sums"])
+    return total
+
+
+def fit_mixer(counts: np.ndarray, counted: DataFrame, tasks: int) -> MixingModel:
+    """Weights by Newton steps on the cost of all counted pieces, each gate taking the best length; maps from one more pass."""
+    left_out = counted.sparkSession.sparkContext.broadcast(left_out_inputs(counts))
+    inputs, gates = len(ORDERS) + 1, PLACES * 8
+    tried = np.zeros((len(STEPS), inputs, gates), np.float32)
+    tried[:, :-1] = np.array(FIRST_WEIGHTS)[:, None, None]
+    weights, least = tried[0], np.full(gates, np.inf)
+    slope, curvature = np.zeros((gates, inputs)), np.zeros((gates, inputs, inputs))
+    for _ in range(MIXER_ROUNDS):
+        sums = mixer_sums(counted, left_out, tried, tasks)
+        for i in range(len(STEPS)):
+            better = sums.cost[i] < least
+            weights = np.where(better, tried[i], weights)
+            least = np.where(better, sums.cost[i], least)
+            slope[better], curvature[better] = sums.slope[i, better], sums.curvature[i, better]
+        step = np.linalg.solve(curvature + np.eye(inputs), slope[:, :, None])[:, :, 0].T
+        tried = np.stack([weights + length * step for length in STEPS]).astype(np.float32)
+    sums = mixer_sums(counted, left_out, weights[None], tasks)
+    left_out.unpersist()
+    centre = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) / 2 - 8)))
+    maps = (sums.ones + np.tile(2 * centre, 256 + gates)) / (sums.seen + 2)
+    return MixingModel([np.rint(_stretched(o, t) * 16).astype(np.int8) for t, o in counts], weights.astype(np.float32), maps.astype(np.float32))
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,12 +379,7 @@ def score_documents(docs: DataFrame, training: Column) -> DataFrame:
         table, part = divmod(row["segment"], SEGMENTS)
         width = (1 << SLOT_BITS) // SEGMENTS
         counts[table, :, part * width : (part + 1) * width] = np.frombuffer(row["counts"], "<f4").reshape(2, -1)
-    chosen = learned.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIXER_ROWS)
-    sample = learned.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "training").mapInArrow(_count_pieces, "piece binary, n long")
-    drawn: Counter[bytes] = Counter()
-    for row in sample.toLocalIterator():
-        drawn[bytes(row["piece"])] += row["n"]
-    model = context.broadcast(fit_mixer(counts, drawn))
+    model = context.broadcast(fit_mixer(counts, seen, tasks))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.bpe import RankArrayBPE, encode_documents
 from tallyfold.llm.contamination import find_contamination
-from tallyfold.llm.context_mixing import pieces, score_documents
+from tallyfold.llm.context_mixing import MAP_STEPS, ORDERS, PLACES, MixerSums, add_mixer_sums, bit_counts, left_out_inputs, mixer_sums, pieces, score_documents
 from tallyfold.llm.jaccard_join import shingle_components
 from tallyfold.llm.learned_partitions import balanced_parts, neighbours, search_neighbours
 from tallyfold.llm.licenses import TEMPLATES, matching_templates, ordered_templates, pairs, scan_licenses
@@ -271,3 +271,19 @@ def test_pipeline_against_its_parts(spark, corpus, tmp_path):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     clean = {r["doc_id"] for r in find_contamination(kept, bench).collect() if not r["contaminated"]}
     assert got == {i: hashlib.sha256(lines[i].encode()).hexdigest() for i in alone & clean}
+
+
+def test_mixer_learns_from_every_training_piece(spark):
+    rows = [(b"\x05" + str(i).encode() + b" ", 1 + i % 3) for i in range(2_000)] + [(b"\x05the ", 7_000), (b"\x05a ", 60)]
+    counted = spark.createDataFrame(rows, "piece binary, n long").repartition(5)
+    items, n = [r[0] for r in rows], np.array([r[1] for r in rows])
+    left_out = left_out_inputs(bit_counts(items, n.astype(float)))
+    tried = np.full((2, len(ORDERS) + 1, PLACES * 8), [[[0.3]], [[0.2]]], np.float32)
+    handed = spark.sparkContext.broadcast(left_out)
+    # Every bit of every piece counts as often as the training text has it, in both maps.
+    got, bits = mixer_sums(counted, handed, tried[:1], 3), sum(8 * (len(p) - 1) * k for p, k in rows)
+    assert got.seen[: 256 * MAP_STEPS].sum() == got.seen[256 * MAP_STEPS :].sum() == bits
+    got, whole = mixer_sums(counted, handed, tried, 3), MixerSums.zero(2)
+    add_mixer_sums(whole, left_out, tried, items, n)
+    for a, b in zip(got.parts(), whole.parts()):
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-1)
