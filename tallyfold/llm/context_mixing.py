@@ -1,424 +1,176 @@
 """Language-model scores by logistic context mixing, beside a word-unigram base.
 
-The model predicts the UTF-8 bytes of a text bit by bit. Texts are cut after each
-blank; a piece is a word with the blank that ends it (0xFF, no byte of UTF-8, ends
-the text), and the predictors see the piece so far and how the piece before it
-ended. Because nothing else is seen, a piece costs the same wherever it stands:
-pieces are counted once, each distinct one is priced once, and a text's score is a
-sum of prices: of common pieces from a bounded table that every worker has, of the
-others by a join.
-
-Predictors are tables of bit counts under hashed contexts of several orders. After
-n sightings with the adaptive rate 1/n a predictor is the mean of its bits, so the
-tables are sums and can be gathered in parallel from all training text. A mixer
-whose weights are chosen by a gate (bit of the byte, place in the piece) is then
-trained on all training pieces with their counts, each bit being predicted from
-counts that leave it out: a pass gathers slope and curvature of the cost, whose sums
-give the weights of the next. Two adaptive maps refine its probability.
+The byte model (``byte_model``) is learned in tasks that each run along a share of
+the training text, predicting every block from what came before it; their tables,
+weights and maps are summed segment by segment, in rounds of bounded fan-in, and
+the sum is sent to every worker. Scoring is one pass over all texts. The base needs
+the count of each word: those of common words go to every worker, the others are
+joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import chain, repeat
-from operator import add, itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .words import _powers, scramble, utf8
+from .byte_model import BEFORE, Code, Learner, Model, Scorer, Sizes, follower_counts, merged
+from .words import utf8
 
-BLANKS = [b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"]
-ORDERS = (1, 2, 3, 5, 0)  # 0: all of the piece so far
-SLOT_BITS = 20
-#: Parts in which a table's sums are gathered, so that no task holds whole tables of all others.
-SEGMENTS = 16
-PLACES = 6
-#: Bounds: passes that train the mixer, priced pieces sent to every worker (and their length), pieces counted before they are sent on.
-MIXER_ROUNDS = 3
-COMMON_PIECES = 250_000
+#: Bounds: word counts sent to every worker (and their length), distinct words counted before they are sent on.
+COMMON_WORDS = 250_000
 COMMON_BYTES = 64
-COUNTED_PIECES = 400_000
-BLOCK_BYTES, COUNTED_BLOCK_BYTES = 16_000, 250_000
-#: Pieces for one table-building task, and the most such tasks.
-TASK_PIECES, MOST_TASKS = 1_000_000, 64
-MAP_STEPS = 33
-#: Weights that training starts from, and lengths of a step that each pass tries.
-FIRST_WEIGHTS, STEPS = (0.3, 0.2, 0.1), (1.0, 0.4, 0.1)
-
-
-class _Marks(dict):
-    """What the last two bytes of a piece say to the next one."""
-
-    def __missing__(self, end: bytes) -> bytes:
-        last = end[:1] if len(end) == 2 else b""
-        mark = b"\x02" if end[-1:] == b"\n" else b"\x03" if last and last in b".!?" else b"\x04" if last and last in b",;:" else b"\x05"
-        self[end] = mark
-        return mark
-
-
-_MARK_OF = _Marks()
-
-
-_END_OF = itemgetter(slice(-2, None))
-
-
-def marked_pieces(raw: bytes) -> Iterator[bytes]:
-    """The pieces of a text, each behind a byte for the end of the piece before it."""
-    for blank in BLANKS:
-        raw = raw.replace(blank, blank + b"\xff")
-    cut = raw.split(b"\xff")
-    cut[-1] += b"\xff"
-    return map(add, chain((b"\x01",), map(_MARK_OF.__getitem__, map(_END_OF, cut))), cut)
-
-
-def pieces(raw: bytes) -> list[bytes]:
-    return list(marked_pieces(raw))
-
-
-def word_of(piece: bytes) -> bytes:
-    """The lower-cased word of a marked piece, empty for a blank alone."""
-    return piece[1:-1].lower()
-
-
-def _bits(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    """For every bit: its piece, value, partial byte, gate, and its slot under each order."""
-    lengths = np.fromiter(map(len, block), np.int64, len(block))
-    data = np.frombuffer(b"".join(block), np.uint8)
-    ends = np.cumsum(lengths)
-    first = np.repeat(ends - lengths, lengths)
-    place = np.arange(len(data)) - first
-    at = np.flatnonzero(place)
-    byte, start, place = data[at], first[at], place[at]
-    partial = _PARTIAL[byte]
-    gate = np.minimum(place - 1, PLACES - 1)[:, None] * 8 + np.arange(8)
-    salted = _SALTED[byte]
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-
-    def slots() -> Iterator[np.ndarray]:
-        for order in ORDERS:
-            since = np.maximum(start, at - order) if order else start
-            context = (scramble((sums[at] - sums[since]) * down[since] + np.uint64(order + 1)) >> np.uint64(32)).astype(np.uint32)
-            yield (((context[:, None] ^ salted) * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
-
-    return np.repeat(np.arange(len(block)), lengths)[at], _BIT[byte], partial, gate, slots()
-
-
-_PARTIAL = (1 << np.arange(8)) | (np.arange(256)[:, None] >> (8 - np.arange(8)))
-_BIT = ((np.arange(256)[:, None] >> (7 - np.arange(8))) & 1).astype(np.int8)
-_SALTED = (_PARTIAL.astype(np.uint32) * np.uint32(0x85EBCA6B)).astype(np.uint32)
-
-
-def _blocks(items: list[bytes], block_bytes: int = BLOCK_BYTES) -> Iterator[slice]:
-    size, begin = 0, 0
-    for i, item in enumerate(items):
-        size += len(item)
-        if size >= block_bytes:
-            yield slice(begin, i + 1)
-            size, begin = 0, i + 1
-    if begin < len(items):
-        yield slice(begin, len(items))
-
-
-def _stretched(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
-    # Counts held in 32 bits may round past each other.
-    p = (ones.astype(float) + 0.2) / (np.maximum(total, ones).astype(float) + 0.4)
-    return np.clip(np.log(p / (1 - p)), -7.9, 7.9)
-
-
-def bit_counts(items: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Per order the sightings and the ones of each slot."""
-    tables = np.zeros((len(ORDERS), 2, 1 << SLOT_BITS))
-    for part in _blocks(items, COUNTED_BLOCK_BYTES):
-        owner, bit, _, _, slots = _bits(items[part])
-        seen, bit = np.repeat(counts[part][owner], 8), bit.ravel()
-        for table, slot in zip(tables, slots):
-            both = np.bincount(slot.ravel() * 2 + bit, seen, 2 << SLOT_BITS).reshape(-1, 2)
-            table[0] += both[:, 0]
-            table[1] += both[:, 1]
-    tables[:, 0] += tables[:, 1]
-    return tables
-
-
-_IN_SIXTEENTHS = np.array([1 / 16] * len(ORDERS) + [1], np.float32)
-
-
-@dataclass
-class MixingModel:
-    """inputs[order][slot]: a predictor's log odds in sixteenths; weights: for each order, and last the bias, one per gate."""
-
-    inputs: list[np.ndarray]
-    weights: np.ndarray
-    maps: np.ndarray
-
-    def prices(self, items: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each marked piece, given its mark."""
-        out = np.zeros(len(items))
-        for part in _blocks(items):
-            owner, bit, partial, gate, slots = _bits(items[part])
-            flat = gate.ravel()
-            weights = (self.weights * _IN_SIXTEENTHS[:, None])[:, flat]
-            logit = weights[len(ORDERS)]
-            for i, slot in enumerate(slots):
-                logit = logit + weights[i] * self.inputs[i][slot.ravel()]
-            p = refined(logit, partial.ravel(), flat, self.maps)
-            price = np.log10(np.where(bit.ravel() == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-            out[part] += np.bincount(owner, price, part.stop - part.start)
-        return out
-
-
-def _map_places(logit: np.ndarray, partial: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step = np.clip(np.rint((logit + 8) * 2), 0, MAP_STEPS - 1).astype(np.int64)
-    return partial * MAP_STEPS + step, (256 + gate) * MAP_STEPS + step
-
-
-def refined(logit: np.ndarray, partial: np.ndarray, gate: np.ndarray, maps: np.ndarray) -> np.ndarray:
-    """The mixer's probability averaged with what followed such probabilities before."""
-    p = 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
-    a, b = _map_places(logit, partial, gate)
-    return np.clip((2 * p + maps[a] + maps[b]) / 4, 1e-6, 1 - 1e-6)
+COUNTED_WORDS = 400_000
+#: Training text of one learner, and learners summed by one task.
+LEARNER_BYTES, FAN_IN = 72_000_000, 16
+SCORED_ROWS = 500
+_FOLLOWERS = b" "
 
 
-@dataclass
-class MixerSums:
-    """What one pass over the pieces tells about several weights: their cost, its slope and curvature per gate; the bits and ones of the maps for a single one."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lower-cased words, and behind a blank the places in ``follower_counts``, with their counts."""
 
-    cost: np.ndarray
-    slope: np.ndarray
-    curvature: np.ndarray
-    seen: np.ndarray
-    ones: np.ndarray
+    def out(items: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(items), pa.binary()), pa.array(list(items.values()), pa.int64())], names=["word", "n"])
 
-    @staticmethod
-    def zero(tried: int) -> MixerSums:
-        gates, inputs = PLACES * 8, len(ORDERS) + 1
-        shapes = [(tried, gates), (tried, gates, inputs), (tried, gates, inputs, inputs)]
-        return MixerSums(*map(np.zeros, shapes), *np.zeros((2, (256 + gates) * MAP_STEPS)))
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.cost, self.slope, self.curvature, self.seen, self.ones]
-
-    def to_bytes(self) -> bytes:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype("<f8").tobytes()
-
-    def add_bytes(self, data: bytes) -> None:
-        values, at = np.frombuffer(data, "<f8"), 0
-        for p in self.parts():
-            p += values[at : at + p.size].reshape(p.shape)
-            at += p.size
-
-
-def left_out_inputs(counts: np.ndarray) -> list[np.ndarray]:
-    """For each order, at 2 * slot + bit, the log odds in sixteenths from the slot's counts without one sighting of that bit."""
-    out = []
-    for total, ones in counts:
-        rest = np.maximum(total - 1, 0)
-        both = [_stretched(np.maximum(ones - bit, 0), rest) for bit in (0, 1)]
-        out.append(np.rint(np.stack(both, axis=1) * 16).astype(np.int8).ravel())
-    return out
-
-
-def add_mixer_sums(sums: MixerSums, left_out: list[np.ndarray], tried: np.ndarray, items: list[bytes], counts: np.ndarray) -> None:
-    """Adds the pieces, each as often as it is counted, to the ``sums`` of the weights ``tried``."""
-    for part in _blocks(items):
-        owner, bit, partial, gate, slots = _bits(items[part])
-        often = counts[part][owner].astype(np.float32)
-        inputs = np.ones((len(ORDERS) + 1, *bit.shape), np.int8)
-        for i, slot in enumerate(slots):
-            inputs[i] = left_out[i][slot * 2 + bit]
-        place = gate[:, 0] // 8
-        # A text without blanks is one long piece: its bytes are taken in steps too.
-        for k, at in ((k, at[i : i + BLOCK_BYTES]) for k in range(PLACES) for at in [np.flatnonzero(place == k)] for i in range(0, len(at), BLOCK_BYTES)):
-            x = np.ascontiguousarray(inputs[:, at].transpose(2, 1, 0)) * _IN_SIXTEENTHS
-            across = x.transpose(0, 2, 1)
-            value, n, gates = bit[at].T, often[at], slice(k * 8, k * 8 + 8)
-            for i, weights in enumerate(tried):
-                logit = np.matmul(x, weights[:, gates].T[:, :, None])[:, :, 0]
-                p = 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
-                sums.cost[i, gates] -= (n * np.log2(np.where(value == 1, p, 1 - p))).sum(axis=1, dtype=float)
-                if len(tried) > 1:
-                    sums.slope[i, gates] += np.matmul(across, ((value - p) * n)[:, :, None])[:, :, 0]
-                    sums.curvature[i, gates] += np.matmul(across * (p * (1 - p) * n)[:, None, :], x)
-                    continue
-                weight = np.broadcast_to(n, p.shape).ravel()
-                for places in _map_places(logit.ravel(), partial[at].T.ravel(), gate[at].T.ravel()):
-                    sums.seen += np.bincount(places, weight, len(sums.seen))
-                    sums.ones += np.bincount(places, weight * value.ravel(), len(sums.ones))
-
-
-def mixer_sums(counted: DataFrame, left_out: Broadcast, tried: np.ndarray, tasks: int) -> MixerSums:
-    """The sums over all of ``counted`` (piece, n), gathered in at most ``tasks`` tasks."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = MixerSums.zero(len(tried))
-        for batch in batches:
-            add_mixer_sums(sums, left_out.value, tried, batch.column(0).to_pylist(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([sums.to_bytes()], pa.binary())], names=["sums"])
-
-    total = MixerSums.zero(len(tried))
-    for row in counted.coalesce(tasks).mapInArrow(gather, "sums binary").collect():
-        total.add_bytes(row["sums"])
-    return total
-
-
-def fit_mixer(counts: np.ndarray, counted: DataFrame, tasks: int) -> MixingModel:
-    """Weights by Newton steps on the cost of all counted pieces, each gate taking the best length; maps from one more pass."""
-    left_out = counted.sparkSession.sparkContext.broadcast(left_out_inputs(counts))
-    inputs, gates = len(ORDERS) + 1, PLACES * 8
-    tried = np.zeros((len(STEPS), inputs, gates), np.float32)
-    tried[:, :-1] = np.array(FIRST_WEIGHTS)[:, None, None]
-    weights, least = tried[0], np.full(gates, np.inf)
-    slope, curvature = np.zeros((gates, inputs)), np.zeros((gates, inputs, inputs))
-    for _ in range(MIXER_ROUNDS):
-        sums = mixer_sums(counted, left_out, tried, tasks)
-        for i in range(len(STEPS)):
-            better = sums.cost[i] < least
-            weights = np.where(better, tried[i], weights)
-            least = np.where(better, sums.cost[i], least)
-            slope[better], curvature[better] = sums.slope[i, better], sums.curvature[i, better]
-        step = np.linalg.solve(curvature + np.eye(inputs), slope[:, :, None])[:, :, 0].T
-        tried = np.stack([weights + length * step for length in STEPS]).astype(np.float32)
-    sums = mixer_sums(counted, left_out, weights[None], tasks)
-    left_out.unpersist()
-    centre = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) / 2 - 8)))
-    maps = (sums.ones + np.tile(2 * centre, 256 + gates)) / (sums.seen + 2)
-    return MixingModel([np.rint(_stretched(o, t) * 16).astype(np.int8) for t, o in counts], weights.astype(np.float32), maps.astype(np.float32))
-
-
-def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of all texts with how often training texts (second column true) have them."""
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
-
-    counts: Counter[bytes] = Counter()
+    words: Counter[bytes] = Counter()
+    followers = np.zeros((BEFORE, 256), np.int64)
     for batch in batches:
-        for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = marked_pieces(utf8(text))
-            counts.update(found if learn else {p: 0 for p in found if p not in counts})
-            if len(counts) >= COUNTED_PIECES:
-                yield out()
-                counts = Counter()
-    yield out()
-
-
-def _tables_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals = np.zeros((len(ORDERS), 2, 1 << SLOT_BITS))
-    for batch in batches:
-        totals += bit_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
-    cut = [np.ascontiguousarray(c).astype("<f4").tobytes() for t in totals for c in np.split(t, SEGMENTS, axis=1)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["segment", "counts"])
-
-
-def _add_tables(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(block, "<f4") for block in blocks["counts"]], axis=0, dtype=float)
-    return pd.DataFrame({"segment": [key[0]], "counts": [total.astype("<f4").tobytes()]})
-
-
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([word_of(p) for p in batch.column(0).to_pylist()], pa.binary()), *batch.columns], names=["word", "piece", "n"])
-
-
-SCORED = "row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rest array<struct<piece:binary,times:int>>"
-REST = pa.list_(pa.struct([("piece", pa.binary()), ("times", pa.int32())]))
+        for begin in range(0, batch.num_rows, SCORED_ROWS):
+            texts = [utf8(t) for t in batch.column(0).slice(begin, SCORED_ROWS).to_pylist()]
+            follower_counts(texts, followers)
+            for raw in texts:
+                words.update(raw.lower().split())
+            if len(words) >= COUNTED_WORDS:
+                yield out(words)
+                words = Counter()
+    yield out(words)
+    seen = np.flatnonzero(followers)
+    yield out({_FOLLOWERS + int(k).to_bytes(4, "big"): n for k, n in zip(seen.tolist(), followers.ravel()[seen].tolist())})
+
+
+def _followers(counted: DataFrame) -> np.ndarray:
+    out = np.zeros(BEFORE * 256, np.int64)
+    # At most one row for each place.
+    rows = counted.where(F.substring("word", 1, 1) == F.lit(_FOLLOWERS)).toArrow()
+    places = [int.from_bytes(w[1:], "big") for w in rows.column(0).to_pylist()]
+    out[places] = rows.column(1).to_numpy()
+    return out.reshape(BEFORE, 256)
+
+
+def _add_segments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"part": [int(key[2])], "table": [key[0]], "segment": [key[1]], "content": [merged(key[0], list(rows["content"]))]})
+
+
+def train(texts: DataFrame, followers: np.ndarray, scratch: Scratch) -> Model:
+    """The model of all ``texts`` (column text) whose follower counts are given."""
+    size = int(followers.sum())
+    learners = max(1, round(size / LEARNER_BYTES))
+    code, sizes = Code.of(followers), Sizes.of(size, learners)
+    sent = texts.sparkSession.sparkContext.broadcast((code, sizes))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(*sent.value)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SCORED_ROWS):
+                learner.learn([utf8(t) for t in batch.column(0).slice(begin, SCORED_ROWS).to_pylist()])
+        learner.learn([], last=True)
+        number = TaskContext.get().partitionId()
+        for table, segment, content in learner.segments():
+            columns = [pa.array([number], pa.int32()), pa.array([table], pa.int32()), pa.array([segment], pa.int32()), pa.array([content], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "table", "segment", "content"])
+
+    schema = "part int, table int, segment int, content binary"
+    rows = texts.select("text").coalesce(learners).mapInArrow(learn, schema)
+    step = 0
+    while True:
+        rows = rows.groupBy("table", "segment", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).applyInPandas(_add_segments, schema)
+        learners = -(-learners // FAN_IN)
+        if learners == 1:
+            break
+        rows, step = scratch.keep(rows, f"segments-{step}"), step + 1
+    segments = {(r["table"], r["segment"]): bytes(r["content"]) for r in rows.toLocalIterator()}
+    if not segments:
+        # A scan without a single partition starts no learner.
+        segments = {(t, k): c for t, k, c in Learner(code, sizes).segments()}
+    return Model.of(code, sizes, segments)
 
 
-def _least_common(pieces_: DataFrame, most: int) -> int:
-    """The count from which on there are at most ``most`` pieces, by counts of counts in bands."""
+def _least_common(words: DataFrame, most: int) -> int:
+    """The count from which on there are at most ``most`` words, by counts of counts in bands."""
     band = F.floor(F.log2("n") * 8)
-    rows = pieces_.where("n > 0").groupBy(band.alias("band")).agg(F.count("*").alias("pieces"), F.min("n").alias("least")).orderBy(F.desc("band")).collect()
+    rows = words.groupBy(band.alias("band")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("band")).collect()
     total, least = 0, 1 << 62
     for row in rows:
-        total += row["pieces"]
+        total += row["words"]
         if total > most:
             break
         least = row["least"]
     return least
 
 
+SCORED = "row_id long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, score double, rest array<struct<word:binary,times:int>>"
+REST = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+
+
 def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row.
 
     Rows of ``docs`` (doc_id, text) for which ``training`` is true are learned
     from; held_out is true where it is false, rows where it is null are neither.
-    Null texts are empty: one token, the end. Without training rows every base
-    probability is one, and every bit costs one bit. score counts the end of the
-    text too; bits_per_byte shares the cost among the bytes and that end.
+    Null texts are empty: one token, the end. Repeated rows count as often as they
+    stand. Texts of any length are taken whole, in parts that see the bytes before
+    them. Without training rows every base probability is one, and every decision
+    costs one bit. score counts the end of the text too; bits_per_byte shares the
+    cost among the bytes and that end.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
     scratch = Scratch(spark, "mixing")
     texts = docs.select("doc_id", "text", training.alias("training"))
-    learned = texts.where("training")
-    counted = texts.select("text", "training").mapInArrow(_count_pieces, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    counted = scratch.keep(counted, "pieces")
-    words = counted.mapInArrow(_words_of, "word binary, piece binary, n long").groupBy("word")
-    # A word's pieces differ in case and in what stands around it: their number does not grow with its count.
-    words = scratch.keep(words.agg(F.sum("n").alias("n"), F.collect_list(F.struct("piece", F.col("n").alias("times"))).alias("pieces")), "words")
-    n_docs = learned.count()
-    size = words.where((F.col("n") > 0) & (F.length("word") > 0)).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    learned = texts.where("training").select("text")
+    counted = learned.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(counted, "counted")
+    followers = _followers(counted)
+    words = counted.where(F.substring("word", 1, 1) != F.lit(_FOLLOWERS))
+    n_docs = int(followers[:, 0xFF].sum())
+    size = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_train, n_distinct = size[1] + n_docs, size[0] + (n_docs > 0)
     divisor = n_train + 0.5 * (n_distinct + 1)
+    model = context.broadcast(train(learned, followers, scratch))
 
-    seen = counted.where("n > 0")
-    tasks = max(1, min(MOST_TASKS, -(-seen.count() // TASK_PIECES)))
-    tables = seen.coalesce(tasks).mapInArrow(_tables_of_task, "segment int, counts binary")
-    tables = tables.groupBy("segment").applyInPandas(_add_tables, "segment int, counts binary")
-    counts = np.zeros((len(ORDERS), 2, 1 << SLOT_BITS), np.float32)
-    for row in tables.toLocalIterator():
-        table, part = divmod(row["segment"], SEGMENTS)
-        width = (1 << SLOT_BITS) // SEGMENTS
-        counts[table, :, part * width : (part + 1) * width] = np.frombuffer(row["counts"], "<f4").reshape(2, -1)
-    model = context.broadcast(fit_mixer(counts, seen, tasks))
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 4_000):
-                part = batch.slice(begin, 4_000)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(model.value.prices(part.column(0).to_pylist()), pa.float64())], names=["piece", "times", "is_word", "n", "price"]
-                )
-
-    each = words.select(F.explode("pieces").alias("p"), (F.length("word") > 0).alias("is_word"), "n").select("p.piece", F.col("p.times").alias("times"), "is_word", "n")
-    priced = each.mapInArrow(price, "piece binary, times long, is_word boolean, n long, price double")
-    base = F.when(F.col("is_word"), F.log10((F.col("n") + 0.5) / F.lit(float(divisor)))).otherwise(F.lit(0.0))
-    known = (F.col("is_word") & (F.col("n") > 0)).cast("int")
-    priced = scratch.keep(priced.select("piece", "times", "price", base.alias("base"), known.alias("known")), "prices")
-    short = F.length("piece") <= COMMON_BYTES
-    common = priced.where(short & (F.col("times") >= _least_common(counted.where(short), COMMON_PIECES))).drop("times").collect()
-    frequent = context.broadcast(
-        ({bytes(r["piece"]): i for i, r in enumerate(common)}, np.array([[*(r[c] for r in common), 0] for c in ("price", "base", "known")], float))
-    )
+    base = F.log10((F.col("n") + 0.5) / F.lit(float(divisor)))
+    short = words.where(F.length("word") <= COMMON_BYTES)
+    common = short.where(F.col("n") >= _least_common(short, COMMON_WORDS)).select("word", base.alias("base")).toArrow()
+    frequent = context.broadcast(dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist())))
     end = float(np.log10((n_docs + 0.5) / divisor))
+    unknown = float(np.log10(0.5 / divisor))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, values = frequent.value
+        scorer, price = Scorer(model.value), frequent.value
         number = TaskContext.get().partitionId() << 33
-        nowhere = len(place)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(begin, SCORED_ROWS)
+                raws = [utf8(t) for t in part.column(1).to_pylist()]
                 rows, rare, times, bounds = [], [], [], [0]
-                for text in part.column(1).to_pylist():
-                    raw = utf8(text)
-                    own = pieces(raw)
-                    at = np.fromiter(map(place.get, own, repeat(nowhere)), np.intp, len(own))
-                    rest = Counter([own[i] for i in np.flatnonzero(at == nowhere).tolist()])
+                for raw, value in zip(raws, scorer.scores(raws).tolist()):
+                    own = raw.lower().split()
+                    prices = list(map(price.get, own))
+                    rest = Counter([w for w, p in zip(own, prices) if p is None])
                     rare += rest
                     times += rest.values()
                     bounds.append(len(rare))
-                    price_sum, base_sum, known_sum = values[:, at].sum(axis=1).tolist()
-                    rows.append((len(raw.split()) + 1, len(raw), int(known_sum) + (n_docs > 0), end + base_sum, price_sum))
+                    known = [p for p in prices if p is not None]
+                    # Words of the rest count as unknown until the join.
+                    rows.append((len(own) + 1, len(raw), len(known) + (n_docs > 0), end + sum(known) + unknown * (len(own) - len(known)), value))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 kept = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], fields=list(REST.value_type))
@@ -431,11 +183,10 @@ def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = texts.select("doc_id", "text", F.coalesce(~F.col("training"), F.lit(False)).alias("held_out"))
     scored = scratch.keep(held.mapInArrow(score, SCORED.format(kind=kind)), "scored")
-    rare = scored.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.piece", F.col("r.times").alias("had"))
-    met = rare.join(priced.select("piece", "price", "base", "known"), "piece")
-    late = met.groupBy(F.col("row_id").alias("late_id")).agg(*[F.sum(F.col("had") * F.col(c)).alias(f"late_{c}") for c in ("price", "base", "known")])
+    rare = scored.select("row_id", F.explode("rest").alias("r")).select("row_id", "r.word", F.col("r.times").alias("had"))
+    met = rare.join(words.select("word", (base - F.lit(unknown)).alias("more")), "word")
+    late = met.groupBy(F.col("row_id").alias("late_id")).agg(F.sum(F.col("had") * F.col("more")).alias("late_base"), F.sum("had").alias("late_known"))
     whole = scored.drop("rest").join(late, F.col("row_id") == F.col("late_id"), "left")
-    total = F.col("score") + F.coalesce("late_price", F.lit(0.0))
     return whole.select(
         "doc_id",
         "held_out",
@@ -443,6 +194,6 @@ def score_documents(docs: DataFrame, training: Column) -> DataFrame:
         (F.col("n_known") + F.coalesce("late_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("late_base", F.lit(0.0))).alias("base_score"),
-        total.alias("score"),
-        (-total / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
