@@ -30,11 +30,11 @@ from .words import _powers, scramble
 
 END = 0xFF
 LOOK_BACK, WORD_BACK = 32, 24
-NODES = (2, 4, 6, "word")
+NODES = (3, 5, 6, "word")
 RUNS = (16, "words")
 INPUTS = len(NODES) + len(RUNS) + 1
-#: Which group of predictors an input belongs to: bytes (and the bias), the word, long contexts.
-GROUP_OF = np.array([0, 0, 0, 1, 2, 2, 0])
+#: Which group of predictors an input belongs to: near bytes (and the bias), more bytes, the word, long contexts.
+GROUP_OF = np.array([0, 1, 1, 2, 3, 3, 0])
 GROUPS = int(GROUP_OF.max()) + 1
 #: Gates: place in the word, the first following predictor that knows its context (or none), and whether it is sure.
 DEPTHS, PLACES, SURE = 8, 3, 3
@@ -166,7 +166,7 @@ class Sizes:
         return Sizes(bits, bits - 1)
 
     def of_node(self, i: int) -> int:
-        return min(self.node, {2: 18}.get(NODES[i], 64))
+        return min(self.node, {3: 22}.get(NODES[i], 64))
 
 
 def units(raw: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
