@@ -41,18 +41,21 @@ DEPTHS, PLACES, SURE = 8, 3, 3
 GATES = PLACES * (1 + 2 * len(RUNS))
 MAP_STEPS = 33
 #: Bounds of the tables: 2**MOST_BITS slots of two bytes in a counting table, half as many of four bytes in a following one.
-MOST_BITS, TABLE_SHARE = 24, 2.5
+FREE_BITS, MOST_BITS = 23, 24
 SEGMENTS = 32
 BLOCK_BYTES, LEAST_BLOCK = 128_000, 1_000
 #: Mixer: weights that learning starts from, how firmly, and how much of its past a block keeps.
 FIRST_WEIGHTS, FIRMNESS, KEPT = np.array([0.2, 0.2, 0.3, 0.4, 0.3, 0.3, 0.0]), 20.0, 0.995
 #: Texts: how firmly their groups' weights start from one; bits after which they are adapted, the last one over and over.
-TEXT_FIRMNESS, STEPS = 25.0, (256, 512, 1_024, 2_048, 4_096)
+TEXT_FIRMNESS, STEPS = 25.0, (256, 512, 1_024, 2_048)
 RUN_BIN = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 64, 128], np.arange(256), side="right").astype(np.int16)
 RUN_BINS = int(RUN_BIN.max()) + 1
 #: What a slot of a counting table (times the second branch was taken in the high byte, the first in the low one) says: log odds.
 MOST = 255
 ODDS = (np.log(np.arange(65_536) // 256 + 0.2) - np.log(np.arange(65_536) % 256 + 0.2)).astype(np.float32)
+#: The same in sixteenths, as a model holds it.
+ROUND_ODDS = ((np.arange(256) - 128) / 16).astype(np.float32)
+_ROUNDED = (np.rint(ODDS * 16) + 128).astype(np.uint8)
 _BLANK = np.isin(np.arange(256), list(b" \n\t\r\x0b\x0c\xff"))
 _FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
 _ONE, _SPREAD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
@@ -155,15 +158,11 @@ class Sizes:
     run: int
 
     @staticmethod
-    def of(training_bytes: int, learners: int) -> Sizes:
-        """Slots in proportion to the training text up to MOST_BITS (a bound on a worker's memory).
-
-        The tables of several learners together are at most TABLE_SHARE times the text.
-        """
-        bits = min(MOST_BITS, max(12, max(1, int(training_bytes)).bit_length()))
-        while learners > 1 and bits > 12 and learners * (10 << bits) > TABLE_SHARE * training_bytes:
-            bits -= 1
-        return Sizes(bits, bits - 1)
+    def of(training_bytes: int) -> Sizes:
+        """Slots in proportion to the training text from 2**FREE_BITS on, up to 2**MOST_BITS."""
+        bits = max(1, int(training_bytes)).bit_length()
+        node = min(MOST_BITS, max(min(FREE_BITS, bits - 2), bits - 6, 10))
+        return Sizes(node, node - 1)
 
     def of_node(self, i: int) -> int:
         return min(self.node, {3: 22}.get(NODES[i], 64))
@@ -233,8 +232,8 @@ class Batch:
         self.until = np.cumsum(length)
         self.bits_before = self.until - length
 
-    def depths(self, states: list[np.ndarray], worth: np.ndarray, sizes: Sizes) -> Iterator[Depth]:
-        """All bits at one depth of the code after another, ordered by gate; ``states`` are the counting tables."""
+    def depths(self, states: list[np.ndarray], odds: np.ndarray, worth: np.ndarray, sizes: Sizes) -> Iterator[Depth]:
+        """All bits at one depth of the code after another, ordered by gate; ``odds`` tells what the ``states`` of counting tables mean."""
         code, order = self.code, self.order
         rank, gate, alive = self.rank[order], self.gate, order
         bases = [(h >> np.uint64(64 - sizes.of_node(i))).astype(np.int64)[order] for i, h in enumerate(self.node_hash)]
@@ -256,7 +255,7 @@ class Batch:
             slots = []
             for i, base in enumerate(bases):
                 slots.append(base ^ _salts(sizes.of_node(i))[node])
-                ODDS.take(states[i].take(slots[i]), out=x[i])
+                odds.take(states[i].take(slots[i]), out=x[i], mode="clip")
             guessed = []
             for r, same in enumerate(agree):
                 still = np.flatnonzero(same >= j)
@@ -286,9 +285,10 @@ class Depth:
     alive: np.ndarray
 
     def gates(self) -> Iterator[tuple[int, slice]]:
+        """Runs of bits of one gate, short enough for caches and for one thread of the matrix library."""
         for g in range(GATES):
-            if self.cuts[g] < self.cuts[g + 1]:
-                yield g, slice(self.cuts[g], self.cuts[g + 1])
+            for begin in range(self.cuts[g], self.cuts[g + 1], 1_024):
+                yield g, slice(begin, min(begin + 1_024, self.cuts[g + 1]))
 
 
 _SALTS: dict[int, np.ndarray] = {}
@@ -359,27 +359,29 @@ def _add_runs(table: np.ndarray, slot: np.ndarray, check: np.ndarray, symbol: np
 
 def _states(pairs: np.ndarray) -> np.ndarray:
     """Pairs of counts in two bytes; both are halved until they fit, so that their ratio stays."""
-    while len(over := np.flatnonzero(pairs.max(axis=1, initial=0) > MOST)):
+    while len(over := np.flatnonzero(np.maximum(pairs[:, 0], pairs[:, 1]) > MOST)):
         pairs[over] >>= 1
     return (pairs[:, 1] << 8 | pairs[:, 0]).astype(np.uint16)
 
 
+_WAY = np.uint32(1 << 31)
+
+
 def _add_counts(table: np.ndarray, keys: np.ndarray) -> None:
-    """Counts the keys 2 * slot + bit."""
-    if len(table) <= len(keys) // 2:
-        many = np.bincount(keys, minlength=2 * len(table))
-        keys = np.flatnonzero(many)
-        many = many[keys]
-    else:
-        keys, many = _summed(keys)
-    slots = keys >> 1
-    new = np.concatenate([[True], slots[1:] != slots[:-1]])
-    slots = slots[np.flatnonzero(new)]
-    held = table[slots]
-    pairs = np.empty((len(slots), 2), np.int64)
-    pairs[:, 0], pairs[:, 1] = held & 0xFF, held >> 8
-    pairs.reshape(-1)[2 * (np.cumsum(new) - 1) + (keys & 1)] += many
-    table[slots] = _states(pairs)
+    """Counts the slots in ``keys``; those with the bit _WAY went the second way."""
+    keys, many = _summed(keys)
+    cut = np.searchsorted(keys, _WAY)
+    for way, part in ((0, slice(0, cut)), (1, slice(cut, None))):
+        slots, more = (keys[part] & ~_WAY).astype(np.int64), many[part]
+        held = table.take(slots)
+        count = (held >> 8 if way else held & 0xFF) + more
+        over = np.flatnonzero(count > MOST)
+        fits = held + (more << 8 * way).astype(np.uint16)
+        if len(over):
+            pairs = np.empty((len(over), 2), np.int64)
+            pairs[:, way], pairs[:, 1 - way] = count[over], (held[over] & 0xFF if way else held[over] >> 8)
+            fits[over] = _states(pairs)
+        table[slots] = fits
 
 
 class Learner:
@@ -414,8 +416,8 @@ class Learner:
         worth = run_worth(self.right, self.wrong)
         slope = np.zeros((DEPTHS, GATES, INPUTS))
         new = np.zeros_like(self.curvature)
-        counted: list[list[np.ndarray]] = [[] for _ in NODES]
-        for d in batch.depths(self.nodes, worth, self.sizes):
+        keys, done = np.empty((len(NODES), int(batch.until[-1])), np.uint32), 0
+        for d in batch.depths(self.nodes, ODDS, worth, self.sizes):
             logit = np.empty(len(d.bit), np.float32)
             weights = self.weights[d.level].astype(np.float32)
             for g, s in d.gates():
@@ -432,13 +434,15 @@ class Learner:
                 outcome = np.bincount(guesses, minlength=2 * RUN_BINS)
                 self.wrong[r, d.level] += outcome[::2]
                 self.right[r, d.level] += outcome[1::2]
-            for i, slot in enumerate(d.slots):
-                counted[i].append((slot * 2 + d.bit).astype(np.uint32))
+            way = d.bit.astype(np.int64) << 31
+            for own, slot in zip(keys, d.slots):
+                np.bitwise_or(slot, way, out=own[done : done + len(way)], casting="unsafe")
+            done += len(way)
         start = FIRMNESS * np.eye(INPUTS)
         self.curvature = start + KEPT * (self.curvature - start) + new
         self.weights += np.linalg.solve(self.curvature, slope[..., None])[..., 0]
-        for table, keys in zip(self.nodes, counted):
-            _add_counts(table, np.concatenate(keys))
+        for table, own in zip(self.nodes, keys):
+            _add_counts(table, own)
         for r, table in enumerate(self.runs):
             _add_runs(table, batch.run_slot[r], batch.run_check[r], batch.symbol)
         self.bytes += len(batch.symbol)
@@ -474,6 +478,11 @@ def merged(table: int, contents: list[bytes]) -> bytes:
     return out.tobytes()
 
 
+def finished(table: int, content: bytes) -> bytes:
+    """A merged segment as a model holds it."""
+    return _ROUNDED[np.frombuffer(content, np.uint16)].tobytes() if 0 <= table < len(NODES) else content
+
+
 @dataclass
 class Model:
     code: Code
@@ -485,12 +494,12 @@ class Model:
 
     @staticmethod
     def of(code: Code, sizes: Sizes, segments: dict[tuple[int, int], bytes]) -> Model:
-        """From merged segments; each learner's weights count by its curvature."""
+        """From merged and finished segments; each learner's weights count by its curvature."""
         tables = []
         for t in range(len(NODES) + len(RUNS)):
             parts = sorted(k for k in segments if k[0] == t)
             content = b"".join(segments.pop(k) for k in parts)
-            tables.append(np.frombuffer(content, np.uint16 if t < len(NODES) else np.uint32))
+            tables.append(np.frombuffer(content, np.uint8 if t < len(NODES) else np.uint32))
         shapes = [(DEPTHS, GATES, INPUTS, INPUTS), (DEPTHS, GATES, INPUTS), *[(len(RUNS), DEPTHS, RUN_BINS)] * 2, ((256 + DEPTHS * GATES) * MAP_STEPS, 2)]
         sums, at, arrays = np.frombuffer(segments[-1, 0]), 0, []
         for shape in shapes:
@@ -538,7 +547,7 @@ class Scorer:
         logits = np.empty((GROUPS, bits), np.float32)
         #: Gate, node and bit in one number.
         told = np.empty(bits, np.int32)
-        for d in batch.depths(model.tables, model.worth, model.sizes):
+        for d in batch.depths(model.tables, ROUND_ODDS, model.worth, model.sizes):
             where = batch.in_text_order(d)
             part = np.empty((GROUPS, len(where)), np.float32)
             for g, s in d.gates():

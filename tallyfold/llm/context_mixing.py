@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .byte_model import BEFORE, Code, Learner, Model, Scorer, Sizes, follower_counts, merged
+from .byte_model import BEFORE, Code, Learner, Model, Scorer, Sizes, finished, follower_counts, merged
 from .words import utf8
 
 #: Bounds: word counts sent to every worker (and their length), distinct words counted before they are sent on.
 COMMON_WORDS = 250_000
 COMMON_BYTES = 64
 COUNTED_WORDS = 400_000
-#: Training text of one learner, and learners summed by one task.
-LEARNER_BYTES, FAN_IN = 72_000_000, 16
+#: Training text of one learner (some run side by side from so many bytes each on), and learners summed by one task.
+LEARNER_BYTES, LEAST_BYTES, LEAST_LEARNERS, FAN_IN = 115_000_000, 60_000_000, 4, 16
 SCORED_ROWS = 500
 _FOLLOWERS = b" "
 
@@ -72,8 +72,8 @@ def _add_segments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def train(texts: DataFrame, followers: np.ndarray, scratch: Scratch) -> Model:
     """The model of all ``texts`` (column text) whose follower counts are given."""
     size = int(followers.sum())
-    learners = max(1, round(size / LEARNER_BYTES))
-    code, sizes = Code.of(followers), Sizes.of(size, learners)
+    learners = max(1, min(LEAST_LEARNERS, size // LEAST_BYTES), round(size / LEARNER_BYTES))
+    code, sizes = Code.of(followers), Sizes.of(size)
     sent = texts.sparkSession.sparkContext.broadcast((code, sizes))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +96,10 @@ def train(texts: DataFrame, followers: np.ndarray, scratch: Scratch) -> Model:
         if learners == 1:
             break
         rows, step = scratch.keep(rows, f"segments-{step}"), step + 1
-    segments = {(r["table"], r["segment"]): bytes(r["content"]) for r in rows.toLocalIterator()}
+    segments = {(r["table"], r["segment"]): finished(r["table"], bytes(r["content"])) for r in rows.toLocalIterator()}
     if not segments:
         # A scan without a single partition starts no learner.
-        segments = {(t, k): c for t, k, c in Learner(code, sizes).segments()}
+        segments = {(t, k): finished(t, c) for t, k, c in Learner(code, sizes).segments()}
     return Model.of(code, sizes, segments)
 
 
