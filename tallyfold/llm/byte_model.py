@@ -37,7 +37,7 @@ INPUTS = len(NODES) + len(RUNS) + 1
 GROUP_OF = np.array([0, 1, 1, 2, 3, 3, 0])
 GROUPS = int(GROUP_OF.max()) + 1
 #: Gates: place in the word, the first following predictor that knows its context (or none), and whether it is sure.
-DEPTHS, PLACES, SURE = 8, 3, 3
+DEPTHS, PLACES, SURE = 8, 5, 3
 GATES = PLACES * (1 + 2 * len(RUNS))
 MAP_STEPS = 33
 #: Bounds of the tables: 2**MOST_BITS slots of two bytes in a counting table, half as many of four bytes in a following one.
