@@ -1,4 +1,4 @@
-"""The byte model of context mixing: hashed bit predictors, a gated mixer, adaptive maps.
+"""The byte model of context mixing: hashed bit predictors, a gated mixer, an adaptive map.
 
 A byte is told by its rank among the bytes that follow the two before it in training
 text, and the rank by the bits of a prefix code, so that a byte takes about three
@@ -30,24 +30,24 @@ from .words import _powers, scramble
 
 END = 0xFF
 LOOK_BACK, WORD_BACK = 32, 24
-NODES = (3, 5, 6, "word")
+NODES = (4, 6, "word")
 RUNS = (16, "words")
 INPUTS = len(NODES) + len(RUNS) + 1
 #: Which group of predictors an input belongs to: near bytes (and the bias), more bytes, the word, long contexts.
-GROUP_OF = np.array([0, 1, 1, 2, 3, 3, 0])
+GROUP_OF = np.array([0, 1, 2, 3, 3, 0])
 GROUPS = int(GROUP_OF.max()) + 1
 #: Gates: place in the word, the first following predictor that knows its context (or none), and whether it is sure.
-DEPTHS, PLACES, SURE = 8, 5, 3
+DEPTHS, PLACES, SURE = 8, 7, 3
 GATES = PLACES * (1 + 2 * len(RUNS))
 MAP_STEPS = 33
-#: Bounds of the tables: 2**MOST_BITS slots of two bytes in a counting table, half as many of four bytes in a following one.
-FREE_BITS, MOST_BITS = 23, 24
+#: Bounds of the tables: at most 2**MOST_BITS slots, of two bytes in a counting table and of four in a following one.
+MOST_BITS, FREE_RUN_BITS = 24, 22
 SEGMENTS = 32
 BLOCK_BYTES, LEAST_BLOCK = 128_000, 1_000
 #: Mixer: weights that learning starts from, how firmly, and how much of its past a block keeps.
-FIRST_WEIGHTS, FIRMNESS, KEPT = np.array([0.2, 0.2, 0.3, 0.4, 0.3, 0.3, 0.0]), 20.0, 0.995
+FIRST_WEIGHTS, FIRMNESS, KEPT = np.array([0.2, 0.4, 0.4, 0.3, 0.3, 0.0]), 20.0, 0.995
 #: Texts: how firmly their groups' weights start from one; bits after which they are adapted, the last one over and over.
-TEXT_FIRMNESS, STEPS = 25.0, (256, 512, 1_024, 2_048)
+TEXT_FIRMNESS, STEPS = 25.0, (512, 1_024, 2_048)
 RUN_BIN = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 64, 128], np.arange(256), side="right").astype(np.int16)
 RUN_BINS = int(RUN_BIN.max()) + 1
 #: What a slot of a counting table (times the second branch was taken in the high byte, the first in the low one) says: log odds.
@@ -159,13 +159,9 @@ class Sizes:
 
     @staticmethod
     def of(training_bytes: int) -> Sizes:
-        """Slots in proportion to the training text from 2**FREE_BITS on, up to 2**MOST_BITS."""
+        """Slots in proportion to the training text, up to 2**MOST_BITS; following tables, whose contexts mostly stand once, grow slower."""
         bits = max(1, int(training_bytes)).bit_length()
-        node = min(MOST_BITS, max(min(FREE_BITS, bits - 2), bits - 6, 10))
-        return Sizes(node, node - 1)
-
-    def of_node(self, i: int) -> int:
-        return min(self.node, {3: 22}.get(NODES[i], 64))
+        return Sizes(min(MOST_BITS, max(bits - 1, 10)), min(MOST_BITS, max(min(FREE_RUN_BITS, bits - 3), bits - 7, 10)))
 
 
 def units(raw: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
@@ -186,14 +182,15 @@ class Batch:
         at = _told(parts, len(data))
         self.symbol = data[at]
         self.before = before(data[at - 1], data[at - 2])
-        self.rank = code.rank[self.before, self.symbol]
+        self.rank = code.rank.take(self.before * 256 + self.symbol)
         blank = np.where(_BLANK[data], np.arange(1, len(data) + 1), 0)
         begins = np.append(0, np.maximum.accumulate(blank))
         # Where the word at a place begins, and the word before it.
         word = begins[at]
         last = begins[np.maximum(word - 1, 0)]
         self.place = np.minimum((at - word + 1) // 2, PLACES - 1).astype(np.uint8)
-        eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at - 8].view(np.uint64).ravel()
+        # The eight bytes before, as one number.
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).take(at - 8)
         up, down = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((_FOLD[data] + _ONE) * up[:-1], out=sums[1:])
@@ -221,7 +218,7 @@ class Batch:
         for table, slot, check in zip(runs, self.run_slot, self.run_check):
             entry = table.take(slot)
             self.sightings.append(np.where(entry >> 16 == check, entry & 0xFF, 0).astype(np.uint8))
-            self.guess.append(self.code.rank[self.before, entry >> 8 & 0xFF])
+            self.guess.append(self.code.rank.take(self.before * 256 + (entry >> 8 & 0xFF)))
         gate = np.zeros(len(self.place), np.uint8)
         for r, seen in reversed(list(enumerate(self.sightings, 1))):
             gate = np.where(seen > 0, 2 * r - 1 + (seen >= SURE), gate)
@@ -236,10 +233,10 @@ class Batch:
         """All bits at one depth of the code after another, ordered by gate; ``odds`` tells what the ``states`` of counting tables mean."""
         code, order = self.code, self.order
         rank, gate, alive = self.rank[order], self.gate, order
-        bases = [(h >> np.uint64(64 - sizes.of_node(i))).astype(np.int64)[order] for i, h in enumerate(self.node_hash)]
+        bases = [(h >> np.uint64(64 - sizes.node)).astype(np.int64)[order] for h in self.node_hash]
         guess = [g[order] for g in self.guess]
         bins = [RUN_BIN[s[order]] for s in self.sightings]
-        agree = [np.where(b > 0, code.common[g, rank], -1).astype(np.int8) for g, b in zip(guess, bins)]
+        agree = [np.where(b > 0, code.common.take(g.astype(np.int64) * 256 + rank), np.int8(-1)) for g, b in zip(guess, bins)]
         signed = np.concatenate([-worth, worth], axis=2)
         for j in range(len(code.node)):
             if code.least <= j:
@@ -254,7 +251,7 @@ class Batch:
             x = np.empty((INPUTS, len(rank)), np.float32)
             slots = []
             for i, base in enumerate(bases):
-                slots.append(base ^ _salts(sizes.of_node(i))[node])
+                slots.append(base ^ _salts(sizes.node)[node])
                 odds.take(states[i].take(slots[i]), out=x[i], mode="clip")
             guessed = []
             for r, same in enumerate(agree):
@@ -264,7 +261,7 @@ class Batch:
                 x[len(NODES) + r, still] = signed[r, level][told * RUN_BINS + bin_]
                 guessed.append(bin_ * 2 + (told == bit[still]))
             x[-1] = 1
-            yield Depth(level, j, x, bit, node, gate, np.searchsorted(gate, np.arange(GATES + 1)).tolist(), slots, guessed, alive)
+            yield Depth(level, j, x, bit, gate, np.searchsorted(gate, np.arange(GATES + 1)).tolist(), slots, guessed, alive)
 
     def in_text_order(self, depth: Depth) -> np.ndarray:
         return self.bits_before[depth.alive] + depth.depth
@@ -276,7 +273,6 @@ class Depth:
     depth: int
     x: np.ndarray
     bit: np.ndarray
-    node: np.ndarray
     gate: np.ndarray
     cuts: list[int]
     slots: list[np.ndarray]
@@ -306,9 +302,8 @@ def probability(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
 
 
-def _map_places(logit: np.ndarray, node: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    step = (np.clip(logit, -8, 8) * 2 + 16.5).astype(np.int64)
-    return node * MAP_STEPS + step, (gate + 256) * MAP_STEPS + step
+def _map_places(logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return gate * MAP_STEPS + (np.clip(logit, -8, 8) * 2 + 16.5).astype(np.int64)
 
 
 def run_worth(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
@@ -364,24 +359,21 @@ def _states(pairs: np.ndarray) -> np.ndarray:
     return (pairs[:, 1] << 8 | pairs[:, 0]).astype(np.uint16)
 
 
-_WAY = np.uint32(1 << 31)
-
-
 def _add_counts(table: np.ndarray, keys: np.ndarray) -> None:
-    """Counts the slots in ``keys``; those with the bit _WAY went the second way."""
+    """Counts the keys 2 * slot + way."""
     keys, many = _summed(keys)
-    cut = np.searchsorted(keys, _WAY)
-    for way, part in ((0, slice(0, cut)), (1, slice(cut, None))):
-        slots, more = (keys[part] & ~_WAY).astype(np.int64), many[part]
-        held = table.take(slots)
-        count = (held >> 8 if way else held & 0xFF) + more
-        over = np.flatnonzero(count > MOST)
-        fits = held + (more << 8 * way).astype(np.uint16)
-        if len(over):
-            pairs = np.empty((len(over), 2), np.int64)
-            pairs[:, way], pairs[:, 1 - way] = count[over], (held[over] & 0xFF if way else held[over] >> 8)
-            fits[over] = _states(pairs)
-        table[slots] = fits
+    slots = keys >> 1
+    first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
+    slots = slots[first].astype(np.int64)
+    held = table.take(slots).astype(np.int64)
+    # Both counts of a slot in one number, far apart.
+    both = np.add.reduceat(many << 32 * (keys & 1).astype(np.int64), first) + (held & 0xFF) + (held >> 8 << 32)
+    low, high = both & 0xFFFFFFFF, both >> 32
+    state = (high << 8 | low).astype(np.uint16)
+    over = np.flatnonzero(np.maximum(low, high) > MOST)
+    if len(over):
+        state[over] = _states(np.stack([low[over], high[over]], axis=1))
+    table[slots] = state
 
 
 class Learner:
@@ -389,12 +381,12 @@ class Learner:
 
     def __init__(self, code: Code, sizes: Sizes):
         self.code, self.sizes = code, sizes
-        self.nodes = [np.zeros(1 << sizes.of_node(i), np.uint16) for i in range(len(NODES))]
+        self.nodes = [np.zeros(1 << sizes.node, np.uint16) for _ in NODES]
         self.runs = [np.zeros(1 << sizes.run, np.uint32) for _ in RUNS]
         self.weights = np.broadcast_to(FIRST_WEIGHTS, (DEPTHS, GATES, INPUTS)).copy()
         self.curvature = np.broadcast_to(FIRMNESS * np.eye(INPUTS), (DEPTHS, GATES, INPUTS, INPUTS)).copy()
         self.right, self.wrong = np.zeros((2, len(RUNS), DEPTHS, RUN_BINS))
-        self.maps = np.zeros(2 * (256 + DEPTHS * GATES) * MAP_STEPS)
+        self.maps = np.zeros(2 * DEPTHS * GATES * MAP_STEPS)
         self.held: list[bytes] = []
         self.waiting = self.bytes = 0
 
@@ -428,16 +420,15 @@ class Learner:
                 x = d.x[:, s]
                 slope[d.level, g] += x @ error[s]
                 new[d.level, g] += (x * bend[s]) @ x.T
-            for place in _map_places(logit, d.node.astype(np.int64), d.level * GATES + d.gate.astype(np.int64)):
-                self.maps += np.bincount(place * 2 + d.bit, minlength=len(self.maps))
+            place = _map_places(logit, d.level * GATES + d.gate.astype(np.int64))
+            self.maps += np.bincount(place * 2 + d.bit, minlength=len(self.maps))
             for r, guesses in enumerate(d.guessed):
                 outcome = np.bincount(guesses, minlength=2 * RUN_BINS)
                 self.wrong[r, d.level] += outcome[::2]
                 self.right[r, d.level] += outcome[1::2]
-            way = d.bit.astype(np.int64) << 31
             for own, slot in zip(keys, d.slots):
-                np.bitwise_or(slot, way, out=own[done : done + len(way)], casting="unsafe")
-            done += len(way)
+                np.add(slot << 1, d.bit, out=own[done : done + len(slot)], casting="unsafe")
+            done += len(d.bit)
         start = FIRMNESS * np.eye(INPUTS)
         self.curvature = start + KEPT * (self.curvature - start) + new
         self.weights += np.linalg.solve(self.curvature, slope[..., None])[..., 0]
@@ -500,7 +491,7 @@ class Model:
             parts = sorted(k for k in segments if k[0] == t)
             content = b"".join(segments.pop(k) for k in parts)
             tables.append(np.frombuffer(content, np.uint8 if t < len(NODES) else np.uint32))
-        shapes = [(DEPTHS, GATES, INPUTS, INPUTS), (DEPTHS, GATES, INPUTS), *[(len(RUNS), DEPTHS, RUN_BINS)] * 2, ((256 + DEPTHS * GATES) * MAP_STEPS, 2)]
+        shapes = [(DEPTHS, GATES, INPUTS, INPUTS), (DEPTHS, GATES, INPUTS), *[(len(RUNS), DEPTHS, RUN_BINS)] * 2, (DEPTHS * GATES * MAP_STEPS, 2)]
         sums, at, arrays = np.frombuffer(segments[-1, 0]), 0, []
         for shape in shapes:
             size = int(np.prod(shape))
@@ -509,16 +500,16 @@ class Model:
         curvature, weighed, right, wrong, seen = arrays
         weights = np.linalg.solve(curvature, weighed[..., None])[..., 0]
         centre = 1 / (1 + np.exp(-(np.arange(MAP_STEPS) / 2 - 8)))
-        maps = (seen[:, 1] + np.tile(8 * centre, 256 + DEPTHS * GATES)) / (seen.sum(axis=1) + 8)
+        maps = (seen[:, 1] + np.tile(8 * centre, DEPTHS * GATES)) / (seen.sum(axis=1) + 8)
         return Model(code, sizes, tables, weights.astype(np.float32), run_worth(right, wrong), maps.astype(np.float32))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.split = np.zeros((DEPTHS, GATES, GROUPS, INPUTS), np.float32)
+        self.split = np.zeros((DEPTHS, GATES, INPUTS, GROUPS), np.float32)
         for i, group in enumerate(GROUP_OF):
-            self.split[:, :, group, i] = model.weights[:, :, i]
+            self.split[:, :, i, group] = model.weights[:, :, i]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
@@ -544,26 +535,25 @@ class Scorer:
         batch = Batch(parts, model.code)
         batch.follow(model.tables[len(NODES) :], model.sizes.run)
         bits = int(batch.until[-1])
-        logits = np.empty((GROUPS, bits), np.float32)
-        #: Gate, node and bit in one number.
+        logits = np.empty((bits, GROUPS), np.float32)
+        #: Gate and bit in one number.
         told = np.empty(bits, np.int32)
         for d in batch.depths(model.tables, ROUND_ODDS, model.worth, model.sizes):
             where = batch.in_text_order(d)
-            part = np.empty((GROUPS, len(where)), np.float32)
+            part = np.empty((len(where), GROUPS), np.float32)
             for g, s in d.gates():
-                np.matmul(self.split[d.level, g], d.x[:, s], out=part[:, s])
-            for group, values in enumerate(part):
-                logits[group][where] = values
-            told[where] = (d.gate.astype(np.int32) + d.level * GATES) << 9 | d.node.astype(np.int32) << 1 | d.bit
+                np.matmul(d.x[:, s].T, self.split[d.level, g], out=part[s])
+            logits[where] = part
+            told[where] = (d.gate.astype(np.int32) + d.level * GATES) << 1 | d.bit
         bit = told & 1
         ends = batch.until[np.cumsum(batch.bytes_of) - 1]
         logit, begin = np.empty(bits, np.float32), 0
         for follower, end in zip(followers, ends.tolist()):
-            follower.follow(logits[:, begin:end], bit[begin:end], logit[begin:end])
+            follower.follow(logits[begin:end], bit[begin:end], logit[begin:end])
             begin = end
-        a, b = _map_places(logit, told >> 1 & 0xFF, told >> 9)
-        p = np.clip((2 * probability(logit) + model.maps[a] + model.maps[b]) / 4, 1e-6, 1 - 1e-6)
-        price = np.log10(np.where(bit == 1, p, 1 - p))
+        p = probability(logit)
+        p += (model.maps.take(_map_places(logit, told >> 1)) - p) / 4
+        price = np.log10(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), None))
         return np.add.reduceat(price, np.append(0, ends[:-1]), dtype=float)
 
 
@@ -580,9 +570,9 @@ class Follower:
         begin = 0
         while begin < len(bit):
             end = begin + STEPS[min(self.steps, len(STEPS) - 1)]
-            x = logits[:, begin:end]
-            np.matmul(self.weights, x, out=out[begin:end])
+            x = logits[begin:end]
+            np.matmul(x, self.weights, out=out[begin:end])
             p = probability(out[begin:end])
-            self.curvature += (x * (p * (1 - p))) @ x.T
-            self.weights = (self.weights + np.linalg.solve(self.curvature, x @ (bit[begin:end] - p))).astype(np.float32)
+            self.curvature += x.T @ (x * (p * (1 - p))[:, None])
+            self.weights = (self.weights + np.linalg.solve(self.curvature, (bit[begin:end] - p) @ x)).astype(np.float32)
             begin, self.steps = end, self.steps + 1
