@@ -13,13 +13,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Marks that count as equal.
 QUOTES_AND_DASHES = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 ELLIPSIS = "…"
+BETWEEN_OPTIONS = "\ue000"
 #: Short words that don't count as letter-spaced fragments.
 SHORT_WORDS = ["a", "an", "of", "in", "to", "is", "on", "at", "by", "or", "if", "it", "as", "be", "we"]
+#: The patterns of the record model.
 NUMERIC_NAME = r"(?U)^[\d\s.\-]+\z"
 LEADING_NUMBER = r"(?U)^\s*(\d{1,3}[a-zA-Z]?)[.\):]\s+"
-PRINTED_PAGE = r"(?U)^[\[(]?(\d{1,4})[\])]?\z"
+PRINTED_PAGE = r"(?U)^[\[(]?\s*(\d{1,4})\s*[\])]?\z"
 OPTION_MARKER = r"^\(?([A-Da-d]|[ivx]{1,4})\)?[.\):]?\z"
 OPTION_PREFIX = r"(?U)^\s*\(?([A-Da-d]|[ivx]{1,4})\)?[.\):]\s*(?=\S)"
 MARKS_LINE = r"(?U)^[\s\d xX+\-=./,\[\]()]+\z"
@@ -53,7 +56,12 @@ def exact_text(text: Column, compose: bool = True) -> Column:
 
 def exact_key(kind: Column, text: Column, options: Column | None = None, compose: bool = True) -> Column:
     """type||stem||option|option."""
-    tail = F.lit("") if options is None else F.array_join(F.transform(options, lambda o: exact_text(o, False)), "|")
+    tail = F.lit("")
+    if options is not None:
+        # Options go through the composition together, between marks of private use that it leaves alone.
+        joined = F.array_join(F.transform(options, lambda o: F.coalesce(o, F.lit(""))), BETWEEN_OPTIONS)
+        each = F.split(nfkc(joined) if compose else joined, BETWEEN_OPTIONS)
+        tail = F.array_join(F.transform(each, lambda o: exact_text(o, False)), "|")
     return F.concat(kind, F.lit("||"), exact_text(text, compose), F.lit("||"), tail)
 
 

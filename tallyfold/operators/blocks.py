@@ -124,11 +124,16 @@ def bundle_options(blocks: DataFrame) -> DataFrame:
 
 
 def page_offset(blocks: DataFrame, least: int = 3) -> DataFrame:
-    """file_id and the offset of PDF pages to printed ones that most running heads agree on, the first seen among equals."""
-    heads = blocks.where(F.col("block_type").isin("page_header", "page_footer") & (F.size("page_numbers") > 0))
-    seen = heads.select("file_id", "pos", (F.array_min("page_numbers") - printed_page(F.col("text"))).alias("offset")).where(F.col("offset").isNotNull())
-    counts = seen.groupBy("file_id", "offset").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    totals = counts.groupBy("file_id").agg(F.sum("n").alias("all"), F.max(F.struct("n", (-F.col("first")).alias("f"), "offset")).alias("best"))
+    """file_id and the offset of PDF pages to printed ones that most running heads agree on, the first seen among equals.
+
+    A head votes once for each of its pages.
+    """
+    heads = blocks.where(F.col("block_type").isin("page_header", "page_footer"))
+    pages = heads.select("file_id", "pos", printed_page(F.col("text")).alias("printed"), F.posexplode("page_numbers").alias("i", "page"))
+    seen = pages.where(F.col("printed").isNotNull()).withColumn("offset", F.col("page") - F.col("printed"))
+    counts = seen.groupBy("file_id", "offset").agg(F.count("*").alias("n"), F.min(F.struct("pos", "i")).alias("first"))
+    best = F.max(F.struct("n", (-F.col("first.pos")).alias("p"), (-F.col("first.i")).alias("i"), "offset"))
+    totals = counts.groupBy("file_id").agg(F.sum("n").alias("all"), best.alias("best"))
     enough = (F.col("all") >= least) & (F.col("best.n") >= F.greatest(F.lit(least), F.floor(F.col("all") / 2)))
     return totals.where(enough).select("file_id", F.col("best.offset").cast("int").alias("offset"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_id
+from ..scratch import Scratch
 from .graph import connected_components
 
 SAME_TYPE, CROSS_TYPE = 0.85, 0.95
@@ -123,11 +124,16 @@ def assemble_canonicals(questions: DataFrame, decisions: DataFrame) -> tuple[Dat
     largest confidence); a larger one is an exact duplicate where all its merging
     edges are, else a semantic merge with the least confidence of its edges.
     """
+    scratch = Scratch(questions.sparkSession, "canonicals")
+    # Both are read several times below; decisions hold the keys of all texts in their plan.
+    decisions = scratch.keep(decisions, "decisions")
     merges = decisions.where(F.col("verdict") == "same_question")
-    labels = groups(questions, merges.select("a", "b"))
+    labels = scratch.keep(groups(questions, merges.select("a", "b")), "labels")
     members = questions.join(labels, "question_id")
     sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.collect_list("question_id").alias("ids"))
-    inner = merges.join(labels.select(F.col("question_id").alias("a"), "component"), "a").groupBy("component").agg(
+    # Decisions within a group only: another end that isn't a question says nothing of it.
+    ends = [labels.select(F.col("question_id").alias(e), F.col("component").alias(f"component_{e}")) for e in "ab"]
+    inner = merges.join(ends[0], "a").join(ends[1], "b").groupBy(F.col("component_a").alias("component")).agg(
         F.bool_and(F.col("decision_source") == EXACT).alias("all_exact"), F.min("confidence").alias("least")
     )
     unsure = decisions.where(F.col("verdict") == "uncertain")
@@ -151,7 +157,9 @@ def batches(rows: DataFrame, order: list[str], size: int = PAIR_BATCH) -> DataFr
     Two levels: row numbers within range partitions, then the partitions' running
     totals, so that no task sorts all rows.
     """
-    spread = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # Written once, so that both uses see the same partitions.
+    scratch = Scratch(rows.sparkSession, "batches")
+    spread = scratch.keep(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "spread")
     within = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     totals = spread.groupBy("part").agg(F.count("*").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

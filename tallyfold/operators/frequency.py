@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_parseable_year, year_key
 from ..schemas import QUESTION_TYPES, STATUSES, dimension
+from ..scratch import Scratch
 
 
 def dense_counts(rows: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -78,6 +79,17 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rnk") -> DataFrame
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def ranked_widely(rows: DataFrame, order: list[Column], name: str = "rnk") -> DataFrame:
+    """1..n by ``order`` for tables that grow: numbers within range partitions, and the partitions' running totals."""
+    scratch = Scratch(rows.sparkSession, "ranked")
+    spread = scratch.keep(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "spread")
+    within = spread.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    totals = spread.groupBy("part").agg(F.count("*").alias("n"))
+    # One row a partition.
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return within.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def rank_topics(summary: DataFrame) -> DataFrame:
     """Topics with occurrences by occurrences, canonicals, id."""
     seen = summary.where(F.col("total_occurrences") > 0)
@@ -124,7 +136,7 @@ def canonical_frequency(canonicals: DataFrame, links: DataFrame, questions: Data
 
 
 def rank_canonicals(frequency: DataFrame) -> DataFrame:
-    return ranked(frequency, [F.desc("occurrences"), F.desc("papers"), F.asc("canonical_question_id")])
+    return ranked_widely(frequency, [F.desc("occurrences"), F.desc("papers"), F.asc("canonical_question_id")])
 
 
 def most_repeated(ranking: DataFrame) -> DataFrame:

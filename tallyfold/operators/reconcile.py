@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_text, leading_number, strip
 
 PREFIX, LEAST = 30, 12
+#: Fixed values.
+STEM = r"(?s)STEM:\s*(.*?)(?=\nOPTION:|\z)"
+PRINTED_NUMBER = r"(?U)^(\d{1,3}[a-zA-Z]?)[.\):]?\z"
 
 
 def reconcile_topics(asked: DataFrame, topics: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -47,17 +50,18 @@ def apply_classifications(questions: DataFrame, classified: DataFrame, topics: D
 
 
 def evidence_candidates(blocks: DataFrame) -> DataFrame:
-    """paper_id, pos, number, snippet, options of blocks that may hold a question's stem."""
-    marker = strip(F.coalesce("marker", F.lit("")))
-    stem = strip(F.regexp_extract("text", r"(?s)STEM:\s*(.*?)(?=\nOPTION:|\z)", 1))
+    """paper_id, pos, number, snippet, options of the option groups, list items and texts that may hold a question's stem."""
+    marker = F.coalesce("marker", F.lit(""))
+    stem = strip(F.regexp_extract("text", STEM, 1))
     group = F.col("block_type") == "mcq_group"
-    source = F.when(group & (stem != ""), stem).otherwise(F.col("text"))
+    source = F.when(group & F.col("text").rlike(STEM), stem).otherwise(F.col("text"))
     number, rest = leading_number(source)
-    printed = F.nullif(F.regexp_extract(marker, r"^\(?(\d{1,3}[a-zA-Z]?)[.\):]?\z", 1), F.lit(""))
+    printed = F.nullif(F.regexp_extract(strip(marker), PRINTED_NUMBER, 1), F.lit(""))
     found = F.when(group, number).when(marker != "", printed).otherwise(number)
     body = F.when(~group & (marker != ""), F.col("text")).when(number.isNotNull(), rest).otherwise(source)
     options = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^OPTION:\s*(.*)$"), F.lit(1)), strip), lambda o: o != "")
-    rows = blocks.select("paper_id", "pos", found.alias("number"), alnum_text(body).alias("snippet"), F.when(group, options).otherwise(F.array().cast("array<string>")).alias("options"), group.alias("grouped"))
+    rows = blocks.where(F.col("block_type").isin("mcq_group", "list_item", "text"))
+    rows = rows.select("paper_id", "pos", found.alias("number"), alnum_text(body).alias("snippet"), F.when(group, options).otherwise(F.array().cast("array<string>")).alias("options"), group.alias("grouped"))
     return rows.where((F.col("grouped") | F.col("number").isNotNull()) & (F.length("snippet") >= LEAST)).drop("grouped")
 
 
@@ -69,23 +73,25 @@ def _backfill(key: tuple, questions: pd.DataFrame, candidates: pd.DataFrame) ->
         free.setdefault(snippet[:LEAST], []).append(i)
     out = []
     for q in questions.sort_values("pos").itertuples():
+        number, options = q.question_number, list(q.options) if q.options is not None else []
+        no_number, no_options = number is None, q.question_type == "mcq" and not options
         near = []
-        for i in free.get(q.snippet[:LEAST], []) if len(q.snippet) >= LEAST else []:
+        # A question that misses nothing leaves the blocks to the others.
+        for i in free.get(q.snippet[:LEAST], []) if (no_number or no_options) and len(q.snippet) >= LEAST else []:
             other = rows.at[i, "snippet"]
             n = min(len(other), len(q.snippet), PREFIX)
             if other[:n] == q.snippet[:n]:
                 near.append(i)
-        number, options = q.question_number, list(q.options) if q.options is not None else []
         if len(near) == 1:
             free[q.snippet[:LEAST]].remove(near[0])
-            number = number or rows.at[near[0], "number"]
-            options = options or list(rows.at[near[0], "options"])
+            number = rows.at[near[0], "number"] if no_number else number
+            options = list(rows.at[near[0], "options"]) if no_options else options
         out.append((q.paper_id, q.pos, number, q.question_text, options))
     return pd.DataFrame(out, columns=["paper_id", "pos", "question_number", "question_text", "options"])
 
 
 def backfill_questions(questions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Extracted questions with the number and options of the one unused block whose start agrees.
+    """Extracted questions with the number and, of type mcq, the options that they miss, from the one unused block whose start agrees.
 
     Greedy and stateful within a paper, so each paper is one group; papers are
     bounded by the list caps of the record model.

@@ -19,6 +19,7 @@ from ..scratch import Scratch
 SMALL_LIST, LARGE_LIST = 3, 500
 LAST_PAGES, BOOK_OFFSET, PAD_BEFORE, PAD_AFTER, RANGE_CAP = 30, 9, 6, 4, 60
 HEADING_CHARS, HEADINGS, EVIDENCE_CHARS = 120, 80, 3_500
+#: Fixed value.
 OUTLINE_MARKER = r"^(?:[-*•]\s+|\d+(?:\.\d+)*[.)]\s+|[A-Za-z][.)]\s+)"
 
 
@@ -76,7 +77,7 @@ def indented_topics(lines: DataFrame) -> DataFrame:
 
 def outline_topics(lines: DataFrame) -> DataFrame:
     """Markdown forests where any line starts with '#', indented outlines otherwise."""
-    marked = lines.groupBy("forest").agg(F.bool_or(F.ltrim("line").startswith("#")).alias("markdown"))
+    marked = lines.groupBy("forest").agg(F.bool_or(F.col("line").rlike(r"(?U)^\s*#")).alias("markdown"))
     markdown = lines.join(marked.where("markdown"), "forest", "left_semi")
     return markdown_topics(markdown).unionByName(indented_topics(lines.join(marked.where("NOT markdown"), "forest", "left_semi")))
 
@@ -130,22 +131,23 @@ def cycle_members(nodes: DataFrame, id_col: str = "id", parent_col: str = "paren
     rounds = max(1, jump.count()).bit_length()
     scratch = Scratch(nodes.sparkSession, "cycles")
     for step in range(rounds):
-        ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("far"))
         # Written each round: the plan would double otherwise. Pointers that meet are one.
-        jump = scratch.keep(jump.join(ahead, "to").select("id", F.col("far").alias("to")).distinct(), f"jump-{step}")
+        jump = scratch.keep(_doubled(jump), f"jump-{step}")
+        scratch.drop(f"jump-{step - 1}")
     return jump.select(F.col("to").alias("id")).distinct()
 
 
 def validate(topics: DataFrame, low: int, high: int) -> DataFrame:
-    """severity, code, topic_id of every broken rule; pages must lie in low..high."""
-    one = topics.select(
-        "id", "name", "level", "parent_id", "source_pages", "resolution_status",
-        F.count("*").over(Window.partitionBy("id")).alias("same_id"),
-    )
-    parents = topics.groupBy(F.col("id").alias("pid")).agg(F.max("level").alias("plevel"))
-    rows = one.join(parents, F.col("parent_id") == F.col("pid"), "left")
+    """severity, code, topic_id of every broken rule; pages must lie in low..high.
+
+    An id that several topics have stands for the last of them where it is a parent.
+    """
+    last = topics.groupBy("id").agg(F.count("*").alias("same_id"), F.max(F.struct("ord", "level", "parent_id")).alias("t"))
+    last = last.select("id", "same_id", "t.level", "t.parent_id")
+    parents = last.select(F.col("id").alias("pid"), F.col("level").alias("plevel"))
+    rows = topics.join(parents, F.col("parent_id") == F.col("pid"), "left")
     name, parent, level = F.col("name"), F.col("parent_id"), F.col("level")
-    resolved, given = F.col("resolution_status") == "resolved", F.coalesce(parent, F.lit("")) != ""
+    resolved, given = F.col("resolution_status") == "resolved", parent.isNotNull()
     issue = lambda severity, code: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
     of_name = (
         F.when(strip(name) == "", issue("error", "empty_name"))
@@ -164,30 +166,40 @@ def validate(topics: DataFrame, low: int, high: int) -> DataFrame:
     each = rows.select(F.col("id").alias("topic_id"), F.explode(F.array_compact(F.array(of_name, of_parent, of_pages))).alias("i"))
     found = [each.select("i.severity", "i.code", "topic_id")]
     named = lambda df, severity, code: df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "topic_id")
-    found.append(named(one.where(F.col("same_id") > 1).select(F.col("id").alias("topic_id")).distinct(), "error", "duplicate_topic_id"))
-    twice = topics.groupBy(F.lower(strip(name)).alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("topic_id")).where(F.col("n") > 1)
-    found.append(named(twice, "warning", "duplicate_topic_name"))
-    found.append(named(cycle_members(topics).withColumnRenamed("id", "topic_id"), "error", "parent_cycle"))
+    found.append(named(last.where(F.col("same_id") > 1).select(F.col("id").alias("topic_id")), "error", "duplicate_topic_id"))
+    twice = topics.groupBy(F.lower(strip(name)).alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    found.append(named(twice.withColumn("topic_id", F.lit(None).cast("string")), "warning", "duplicate_topic_name"))
+    found.append(named(cycle_members(last).withColumnRenamed("id", "topic_id"), "error", "parent_cycle"))
     size = topics.agg(F.count("*").alias("n")).withColumn("topic_id", F.lit(None).cast("string"))
     found.append(named(size.where(F.col("n") < SMALL_LIST), "warning", "suspiciously_small_topic_list"))
     found.append(named(size.where(F.col("n") > LARGE_LIST), "warning", "suspiciously_large_topic_list"))
     return reduce(DataFrame.unionByName, found)
 
 
-def ancestors_or_self(nodes: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
-    """Ids of ``start`` and everything above them; stops when nothing new is found, so cycles end."""
+def ancestors_or_self(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """Ids of ``start`` and everything above them.
+
+    Pointers double: after k rounds all ancestors within 2**k - 1 steps are
+    reached. Without pointers left nothing is above; with cycles as many rounds
+    as the number of nodes has bits are enough.
+    """
     scratch = Scratch(nodes.sparkSession, "ancestors")
-    reached = start.select("id").distinct()
-    fresh = reached
-    for step in range(depth):
-        up = fresh.join(nodes.select("id", "parent_id"), "id").where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("id")).distinct()
-        fresh = scratch.keep(up.join(reached, "id", "left_anti"), f"level-{step}")
-        if fresh.isEmpty():
+    jump = scratch.keep(nodes.select("id", F.col("parent_id").alias("to")).where(F.col("to").isNotNull()), "jump-0")
+    reached = scratch.keep(start.select("id").distinct(), "reached-0")
+    for step in range(1, max(1, jump.count()).bit_length() + 1):
+        up = reached.join(jump, "id").select(F.col("to").alias("id"))
+        reached = scratch.keep(reached.union(up).distinct(), f"reached-{step}")
+        jump = scratch.keep(_doubled(jump), f"jump-{step}")
+        scratch.drop(f"jump-{step - 1}", f"reached-{step - 1}")
+        if jump.isEmpty():
             break
-        reached = reached.union(fresh)
     return reached
 
 
+def _doubled(jump: DataFrame) -> DataFrame:
+    return jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")).distinct()
+
+
 def tested_topics(summary: DataFrame) -> DataFrame:
     """``summary`` (id, parent_id, total_occurrences) with tested: questions at the topic or below it."""
     above = ancestors_or_self(summary, summary.where(F.col("total_occurrences") > 0)).withColumn("tested", F.lit(True))
@@ -216,18 +228,33 @@ def rendered_headings(blocks: DataFrame) -> DataFrame:
     return kept.select("topic_id", F.substring(F.array_join(F.transform("h", lambda x: x["heading"]), "\n"), 1, EVIDENCE_CHARS).alias("evidence"))
 
 
-def tree_paths(topics: DataFrame, depth: int = 32) -> DataFrame:
-    """id, name, depth and a sort path that lists every tree in preorder, children in list order."""
-    step = lambda o: F.lpad(o.cast("string"), 8, "0")
-    nodes = topics.select("id", "name", "parent_id", "ord")
-    level = nodes.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", "name", F.lit(0).alias("depth"), step(F.col("ord")).alias("path"))
+def tree_paths(topics: DataFrame) -> DataFrame:
+    """id, name, depth and a sort path that lists every tree in preorder, children in list order.
+
+    Paths double: each round puts the part of the path above a node's in front of
+    it, until it begins at a root (a topic whose parent isn't listed). Topics on or
+    below a cycle have no root and are left out.
+    """
     scratch = Scratch(topics.sparkSession, "tree")
-    out = level
-    for d in range(1, depth):
-        above = level.select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent_id").select("id", "name", F.lit(d).alias("depth"), F.concat("above", step(F.col("ord"))).alias("path"))
-        level = scratch.keep(level, f"level-{d}")
-        if level.isEmpty():
+    step = F.lpad(F.col("ord").cast("string"), 12, "0")
+    known = topics.select(F.col("id").alias("parent_id"), F.lit(True).alias("listed")).distinct()
+    nodes = topics.join(known, "parent_id", "left").select(
+        "id", "name", "ord", F.when(F.col("listed"), F.col("parent_id")).alias("above"), F.lit(0).alias("depth"), step.alias("path")
+    )
+    nodes = scratch.keep(nodes, "paths-0")
+    for k in range(1, max(1, nodes.count()).bit_length() + 1):
+        upper = nodes.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("depth").alias("d"), F.col("path").alias("front"))
+        joined = nodes.join(upper, "above", "left")
+        moved = F.col("front").isNotNull()
+        nodes = scratch.keep(
+            joined.select(
+                "id", "name", "ord", F.col("next").alias("above"),
+                F.when(moved, F.col("depth") + F.col("d") + 1).otherwise(F.col("depth")).alias("depth"),
+                F.when(moved, F.concat("front", "path")).otherwise(F.col("path")).alias("path"),
+            ),
+            f"paths-{k}",
+        )
+        scratch.drop(f"paths-{k - 1}")
+        if nodes.where(F.col("above").isNotNull()).isEmpty():
             break
-        out = out.union(level)
-    return out
+    return nodes.where(F.col("above").isNull()).select("id", "name", "depth", "path")

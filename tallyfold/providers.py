@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.text import QUOTA_MARKERS
+
 RETRIES, MAX_TOKENS, TOKEN_GROWTH, TOKEN_LIMIT = 3, 6_000, 1.5, 16_000
 MODELS_PER_REQUEST = 3
 
@@ -38,7 +40,7 @@ def rotated(models: list[str], attempt: int, width: int = MODELS_PER_REQUEST) ->
 
 def classify_error(status: int, message: str) -> ProviderError:
     low = message.lower()
-    daily = any(m in low for m in ("per-day", "per day", "daily", "add credits", "add 10 credits", "credits to unlock"))
+    daily = any(m in low for m in QUOTA_MARKERS)
     if status in (401, 402):
         return ProviderError(message, retryable=False, out_of_quota=status == 402)
     if status == 429 and daily:

@@ -14,10 +14,13 @@ def latest(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 class VersionedTable:
-    """Upserts on Parquet: every write appends with a version, reads take the latest of each key."""
+    """Upserts on Parquet: every write appends with a version, reads take the latest of each key.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
+    ``order`` names columns that tell which of two rows of one key and version is the later one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str] | None = None):
+        self.spark, self.path, self.keys, self.order = spark, path, keys, order or []
 
     def upsert(self, rows: DataFrame, version: int) -> None:
         rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(self.path)
@@ -25,7 +28,16 @@ class VersionedTable:
     def read(self) -> DataFrame:
         """Later versions may have more columns; earlier rows have null there."""
         rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
-        return latest(rows, self.keys, ["version"])
+        return latest(rows, self.keys, ["version", *self.order])
+
+    def merged(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """``rows`` completed by what the table holds of their keys: columns of ``keep``, and those that ``rows`` doesn't have, stay."""
+        held = self.read().drop("version")
+        stay = [c for c in held.columns if c not in self.keys and (c in keep or c not in rows.columns)]
+        old = held.select(*self.keys, *[F.col(c).alias(f"held_{c}") for c in stay])
+        joined = rows.join(old, self.keys, "left")
+        both = {c: F.coalesce(f"held_{c}", c) if c in rows.columns else F.col(f"held_{c}") for c in stay}
+        return joined.withColumns(both).drop(*[f"held_{c}" for c in stay])
 
     def replace(self, rows: DataFrame) -> None:
         rows.withColumn("version", F.lit(0).cast("long")).write.mode("overwrite").parquet(self.path)
@@ -33,7 +45,7 @@ class VersionedTable:
     def compact(self, into: str) -> "VersionedTable":
         """The latest rows alone, at another path."""
         self.read().write.mode("overwrite").parquet(into)
-        return VersionedTable(self.spark, into, self.keys)
+        return VersionedTable(self.spark, into, self.keys, self.order)
 
 
 def pending(wanted: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -116,13 +119,90 @@ def test_components_agree_with_union_find(spark, pairs):
 def test_batches_and_backfill(spark):
     got = dedup.batches(spark.range(100).withColumnRenamed("id", "n"), ["n"], 40).collect()
     assert all(r["batch"] == r["n"] // 40 for r in got)
-    asked = spark.createDataFrame([("p", 0, None, "What is the pH of blood?", [])], "paper_id string, pos long, question_number string, question_text string, options array<string>")
-    block = ("p", 0, "mcq_group", "STEM: 3. What is the pH of blood?\nOPTION: 7.4\nOPTION: 6", None)
-    schema = "paper_id string, pos long, block_type string, text string, marker string"
-    row = reconcile.backfill_questions(asked, spark.createDataFrame([block], schema)).first()
-    assert (row["question_number"], row["options"]) == ("3", ["7.4", "6"])
-    twice = reconcile.backfill_questions(asked, spark.createDataFrame([block, (*block[:1], 1, *block[2:])], schema)).first()
-    assert (twice["question_number"], twice["options"]) == (None, [])
+
+
+ASKED = "paper_id string, pos long, question_number string, question_text string, question_type string, options array<string>"
+FOUND = "paper_id string, pos long, block_type string, text string, marker string"
+
+
+def backfilled(spark, asked, blocks):
+    rows = [("p", i, *q) for i, q in enumerate(asked)]
+    found = [("p", i, *b) for i, b in enumerate(blocks)]
+    out = reconcile.backfill_questions(spark.createDataFrame(rows, ASKED), spark.createDataFrame(found, FOUND))
+    return [(r["question_number"], r["options"]) for r in out.orderBy("pos").collect()]
+
+
+GROUP = ("mcq_group", "STEM: 3. What is the pH of blood?\nOPTION: 7.4\nOPTION: 6", None)
+STEM = "What is the pH of blood?"
+
+
+@pytest.mark.parametrize(
+    ("asked", "blocks", "expected"),
+    [
+        ([(None, STEM, "mcq", [])], [GROUP], [("3", ["7.4", "6"])]),
+        # Two blocks that agree decide nothing; a used one is gone.
+        ([(None, STEM, "mcq", [])], [GROUP, GROUP], [(None, [])]),
+        ([(None, STEM, "mcq", []), (None, STEM, "mcq", [])], [GROUP], [("3", ["7.4", "6"]), (None, [])]),
+        # Options are for mcq only; what is there stays; a question that misses nothing takes no block.
+        ([(None, STEM, "short_answer", [])], [GROUP], [("3", [])]),
+        ([("9", STEM, "mcq", ["x"]), (None, STEM, "mcq", [])], [GROUP], [("9", ["x"]), ("3", ["7.4", "6"])]),
+        # Titles are no stems; a bracket before a marker's number is none either.
+        ([(None, "Explain the Cori cycle.", "essay", [])], [("title", "4. Explain the Cori cycle.", None)], [(None, [])]),
+        ([(None, "Explain the Cori cycle.", "essay", [])], [("list_item", "Explain the Cori cycle.", "(4)")], [(None, [])]),
+        ([(None, "Explain the Cori cycle.", "essay", [])], [("list_item", "Explain the Cori cycle.", "4.")], [("4", [])]),
+        ([(None, "Explain the Cori cycle.", "essay", [])], [("text", "7) Explain the Cori cycle.", None)], [("7", [])]),
+    ],
+)
+def test_backfill(spark, asked, blocks, expected):
+    assert backfilled(spark, asked, blocks) == expected
+
+
+def greedy(asked, blocks):
+    """The rule of backfilling numbers, one question after another."""
+    norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    free = {}
+    for i, (kind, t, _) in enumerate(blocks):
+        m = re.match(r"\s*(\d{1,3}[a-zA-Z]?)[.\):]\s+", t)
+        if kind == "text" and m and len(norm(t[m.end() :])) >= 12:
+            free[i] = (m[1], norm(t[m.end() :]))
+    out = []
+    for number, text, *_ in asked:
+        own = norm(text)
+        near = [i for i, (_, s) in free.items() if (n := min(len(s), len(own), 30)) >= 12 and s[:n] == own[:n]] if number is None else []
+        out.append(free.pop(near[0])[0] if len(near) == 1 else number)
+    return out
+
+
+def test_backfill_against_its_rule(spark):
+    rng = random.Random(8)
+    texts = ["what is the name of the enzyme", "what is the name of the enzyme that cuts", "define osmosis now", "define osmosis", "short", "explain the cori cycle in full"]
+    for _ in range(6):
+        asked = [(rng.choice([None, None, None, "5"]), rng.choice(texts), "essay", []) for _ in range(12)]
+        blocks = [("text", f"{i + 1}. {rng.choice(texts)}", None) for i in range(8)]
+        assert [n for n, _ in backfilled(spark, asked, blocks)] == greedy(asked, blocks)
+
+
+def test_large_groups_give_all_pairs(spark):
+    rows = [(f"q{i:05d}", "same") for i in range(1_500)] + [("z", "other")]
+    pairs = dedup.exact_duplicate_pairs(spark.createDataFrame(rows, "question_id string, exact_key string"))
+    assert pairs.count() == pairs.distinct().count() == 1_500 * 1_499 // 2
+    assert pairs.where("a >= b").count() == 0
+
+
+def test_decisions_on_unknown_questions_say_nothing(spark):
+    q = [(x, False, 0.9, f"text {x}") for x in "ab"]
+    questions = spark.createDataFrame(q, "question_id string, ambiguous boolean, extraction_confidence double, question_text string")
+    made = [("a", "b", "exact_duplicate", "same_question", 1.0), ("b", "zz", "judge", "same_question", 0.7)]
+    decisions = spark.createDataFrame(made, "a string, b string, decision_source string, verdict string, confidence double")
+    row = dedup.assemble_canonicals(questions, decisions)[0].first()
+    assert (row["dedup_status"], row["dedup_confidence"], row["members"]) == ("exact_duplicate", 1.0, 2)
+
+
+def test_ranks_over_partitions(spark):
+    rows = spark.range(500).selectExpr("id", "id % 17 AS n")
+    got = frequency.ranked_widely(rows, [F.desc("n"), F.asc("id")]).collect()
+    expected = sorted(range(500), key=lambda i: (-(i % 17), i))
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rnk"])] == expected and [r["rnk"] for r in sorted(got, key=lambda r: r["rnk"])] == list(range(1, 501))
 
 
 def test_trials(spark):

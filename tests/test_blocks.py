@@ -87,3 +87,10 @@ def test_filters(spark):
     assert B.high_signal(frame).count() == 3
     assert [r["block_type"] for r in B.best_tier(frame).collect()] == ["table"]
     assert B.on_pages(frame, 2, 3).count() == 2
+
+
+def test_a_head_votes_for_each_of_its_pages(spark):
+    rows = [("f", 0, [14, 15], "page_header", "[ 4 ]", None), ("f", 1, [15], "page_footer", "( 5 )", None), ("f", 2, [20], "page_header", "10", None), ("g", 0, [1, 2, 3], "page_header", "1", None)]
+    got = {r["file_id"]: r["offset"] for r in B.page_offset(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # Four votes for f: 10, 11, 10, 10; three different ones for g.
+    assert got == {"f": 10}

@@ -96,3 +96,13 @@ def test_rules(spark):
     rows = spark.createDataFrame([("x", "b", "a"), ("y", "a", "b")], "k string, a string, b string")
     assert [tuple(r) for r in violations(rows, "k", {"order": pair_ok(F.col("a"), F.col("b"))}).collect()] == [("x", "order")]
     assert [r["k"] for r in over_cap(spark.createDataFrame([("x",)] * 3 + [("y",)], "k string"), "k", 2).collect()] == ["x"]
+
+
+def test_rows_of_one_version_and_columns_that_stay(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "v"), ["k"], ["seq"])
+    rows = spark.createDataFrame([("a", 1, "z", "first"), ("a", 2, "b", "later")], "k string, seq int, v string, seen string")
+    table.upsert(rows, 1)
+    assert table.read().first()["v"] == "b"
+    new = spark.createDataFrame([("a", 3, "new-seen"), ("n", 3, "now")], "k string, seq int, seen string")
+    table.upsert(table.merged(new, ["seen"]), 2)
+    assert {r["k"]: (r["v"], r["seen"]) for r in table.read().collect()} == {"a": ("b", "later"), "n": (None, "now")}

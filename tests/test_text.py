@@ -24,6 +24,17 @@ def test_exact_key_has_options(spark):
     assert one(spark, X.exact_key(F.lit("mcq"), F.col("t"), F.col("o")), t="Stem.", o=["A ", "b."]) == "mcq||stem||a|b"
 
 
+def test_exact_key_composes_options(spark):
+    key = lambda *o: one(spark, X.exact_key(F.lit("mcq"), F.col("t"), F.col("o")), t="Stem", o=list(o))
+    assert key("ﬁx", "e\u0301") == key("fix", "é") == "mcq||stem||fix|é"
+    assert key() == "mcq||stem||" and key("a|b") == key("a", "b")
+
+
+@pytest.mark.parametrize(("text", "page"), [("4", 4), ("[4]", 4), ("( 12 )", 12), ("[ 4 ]", 4), (" 7 ", 7), ("[ iv ]", None), ("Chapter 1 : CELLS", None), ("12345", None)])
+def test_printed_page(spark, text, page):
+    assert one(spark, X.printed_page(F.col("t")), t=text) == page
+
+
 @pytest.mark.parametrize(
     ("name", "years", "dates"),
     [("BIOCHEM_3rd_Sessionals_2024.pdf", ["2024"], []), ("exam_04-07-2025_final.pdf", ["2025"], ["04-07-2025"]), ("plain.pdf", [], [])],

@@ -71,12 +71,13 @@ def test_validation_codes(spark):
         ("g", "a", 2, "g", [5], "resolved"),
         ("h", "H", 2, "zz", [5], "resolved"),
     ]
-    frame = spark.createDataFrame(rows, "id string, name string, level int, parent_id string, source_pages array<int>, resolution_status string")
-    got = sorted((r["code"], r["topic_id"]) for r in T.validate(frame, 1, 10).collect())
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "id string, name string, level int, parent_id string, source_pages array<int>, resolution_status string, ord long")
+    got = sorted(((r["code"], r["topic_id"]) for r in T.validate(frame, 1, 10).collect()), key=str)
     assert got == sorted(
         [
             ("empty_name", "b"), ("inconsistent_resolution_status", "c"), ("source_page_out_of_range", "c"), ("unresolved_topic", "d"), ("inconsistent_child_level", "d"),
-            ("root_has_parent", "e"), ("missing_parent_for_nested_level", "f"), ("self_parent", "g"), ("parent_cycle", "g"), ("unknown_parent", "h"), ("duplicate_topic_name", "a"),
+            ("root_has_parent", "e"), ("missing_parent_for_nested_level", "f"), ("self_parent", "g"), ("parent_cycle", "g"), ("unknown_parent", "h"), ("duplicate_topic_name", None),
         ]
     )
 
@@ -87,3 +88,26 @@ def test_headings_and_tree(spark):
     forest = [("b", "B", None, 2), ("a", "A", None, 1), ("c", "C", "b", 3), ("d", "D", "a", 4)]
     paths = T.tree_paths(spark.createDataFrame(forest, "id string, name string, parent_id string, ord long")).orderBy("path").collect()
     assert [(r["id"], r["depth"]) for r in paths] == [("a", 0), ("d", 1), ("b", 0), ("c", 1)]
+
+
+def test_validation_of_repeated_ids_and_names(spark):
+    schema = "id string, name string, level int, parent_id string, source_pages array<int>, resolution_status string, ord long"
+    rows = [("p", "One", 3, None, [1], "resolved", 0), ("p", "Two", 1, None, [1], "resolved", 1), ("c", "two", 2, "p", [1], "resolved", 2), ("e", "Five", 1, "", [1], "resolved", 3)]
+    got = sorted((r["code"], r["topic_id"]) for r in T.validate(spark.createDataFrame(rows, schema), 1, 10).collect())
+    # The last topic of an id is the parent; a repeated name names no topic; an empty parent is an unknown one.
+    assert got == [("duplicate_topic_id", "p"), ("duplicate_topic_name", None), ("missing_parent_for_nested_level", "p"), ("unknown_parent", "e")]
+
+
+def test_long_chains(spark):
+    rows = [(str(i), "t", None if i == 0 else str(i - 1), i) for i in range(200)] + [("x", "t", "y", 500), ("y", "t", "x", 501), ("z", "t", "gone", 502)]
+    frame = spark.createDataFrame(rows, "id string, name string, parent_id string, ord long")
+    above = T.ancestors_or_self(frame, frame.where("id = '199'"))
+    assert {r["id"] for r in above.collect()} == {str(i) for i in range(200)}
+    assert {r["id"] for r in T.ancestors_or_self(frame, frame.where("id = 'x'")).collect()} == {"x", "y"}
+    paths = {r["id"]: (r["depth"], r["path"]) for r in T.tree_paths(frame).collect()}
+    assert {k: d for k, (d, _) in paths.items()} == {str(i): i for i in range(200)} | {"z": 0}
+    assert [k for k, _ in sorted(paths.items(), key=lambda x: x[1][1])] == [str(i) for i in range(200)] + ["z"]
+
+
+def test_a_tab_before_a_heading(spark):
+    assert shape(T.outline_topics(lines(spark, "\t# A\n## B"))) == [("a", 1, None), ("b", 2, "a")]
