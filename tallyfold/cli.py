@@ -1,54 +1,154 @@
-"""python -m tallyfold.cli topics | deduplicate | analyze: Parquet tables in, Parquet and Markdown out."""
+"""python -m tallyfold.cli COMMAND: Parquet tables in; Parquet, JSON and Markdown out.
+
+topics, extract-questions, classify-topics, deduplicate, analyze-frequency,
+generate-report, analyze. Commands that ask a provider take its module and
+function (``module:function`` giving a Provider). When no calls are left a command
+stops with exit code 2; what was stored is kept, and the next run goes on.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import listings
 from .operators.topics import validate
+from .plans import stages
 from .plans.analysis import NOTES, analyze, deduplicate, load_topics
-from .sources.writers import final_report
+from .providers import Provider, ProviderError
+from .shipping import ship_package
+from .sources import writers
+
+PAUSED = 2
+COMMANDS = {
+    "topics": ("source", "out"),
+    "extract-questions": ("blocks", "provider", "out"),
+    "classify-topics": ("topics", "questions", "provider", "out"),
+    "deduplicate": ("questions", "out"),
+    "analyze-frequency": ("topics", "questions", "out"),
+    "generate-report": ("topics", "questions", "out"),
+    "analyze": ("topics", "questions", "out"),
+}
+
+
+def _provider(name: str) -> Provider:
+    module, function = name.split(":")
+    return getattr(importlib.import_module(module), function)()
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def topics_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Topics of a file and what is wrong with them; the lines of the file are its pages."""
+    found = _kept(load_topics(spark, given.source), f"{given.out}/topics")
+    if found.isEmpty():
+        raise ValueError(f"no topics in {given.source}")
+    columns = found.columns
+    pages = F.col("source_pages") if "source_pages" in columns else F.array().cast("array<int>")
+    status = F.col("resolution_status") if "resolution_status" in columns else F.lit("resolved")
+    checked = found.withColumns({"source_pages": pages, "resolution_status": status})
+    issues = _kept(validate(checked, given.first_page, given.last_page), f"{given.out}/issues")
+    writers.topics_outputs(found, issues, spark.createDataFrame([], "file_id string, page int, structure string, confidence double"), f"{given.out}/json")
+
+
+def extract_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Papers, their details and their questions from blocks."""
+    provider, blocks = _provider(given.provider), spark.read.parquet(given.blocks)
+    papers = _kept(stages.detect_papers(blocks, provider), f"{given.out}/papers")
+    owned = _kept(listings.blocks_of_papers(blocks, papers), f"{given.out}/blocks")
+    read = _kept(stages.paper_structures(owned, provider), f"{given.out}/structures")
+    detailed = papers.join(read.select("paper_id", "sections"), "paper_id", "left")
+    rows, notes = stages.extract_questions(owned, detailed, provider)
+    ids = F.transform(F.coalesce("sections", F.array().cast(f"array<{stages.SECTION}>")), lambda s, i: F.concat("paper_id", F.lit("_s"), i.cast("string")))
+    questions = _kept(stages.numbered_questions(rows, detailed.select("paper_id", ids.alias("section_ids"))), f"{given.out}/questions")
+    notes = _kept(notes, f"{given.out}/notes")
+    counts = questions.groupBy("paper_id").agg(F.count("*").alias("questions"))
+    files = papers.join(counts, "paper_id", "left").groupBy("file_id").agg(F.count("*").alias("papers"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
+    shown = questions.select("paper_id", F.col("question_id").alias("ord"), F.lit(None).cast("string").alias("section"), "question_number", "question_text", "options")
+    writers.papers_outputs(papers, shown, files, f"{given.out}/json")
+
 
-REPORT_ROWS = 50
+def classify_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Questions with their topics."""
+    topics, questions = spark.read.parquet(given.topics), spark.read.parquet(given.questions)
+    for name, kind in (("classification_status", "string"), ("topic_id", "string"), ("topic_name", "string"), ("topic_confidence", "double")):
+        if name not in questions.columns:
+            questions = questions.withColumn(name, F.lit(None).cast(kind))
+    done = _kept(stages.classify_questions(questions, topics, _provider(given.provider)), f"{given.out}/questions")
+    writers.classification_outputs(topics, done, listings.classification_counts(done, ["paper_id"]), f"{given.out}/json")
 
 
-def main(arguments: list[str] | None = None) -> None:
+def deduplicate_command(spark: SparkSession, given: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    judged = spark.read.parquet(given.decisions) if given.decisions else None
+    canonicals, links = deduplicate(spark.read.parquet(given.questions), judged)
+    canonicals, links = _kept(canonicals, f"{given.out}/canonicals"), _kept(links, f"{given.out}/links")
+    decisions = judged if judged is not None else spark.createDataFrame([], "a string, b string, decision_source string, verdict string, confidence double")
+    writers.dedup_outputs(canonicals, decisions, listings.dedup_statistics(decisions, canonicals), f"{given.out}/json")
+    return canonicals, links
+
+
+def analyze_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Canonical records, every table of the analysis, and the report over whole tables."""
+    canonicals, links = deduplicate_command(spark, given)
+    tables = analyze(spark.read.parquet(given.topics), spark.read.parquet(given.questions), canonicals, links)
+    written = {name: _kept(table, f"{given.out}/{name}") for name, table in tables.items()}
+    if given.command != "generate-report":
+        ranking = written["topics"].drop(*[c for c in written["topics"].columns if c.startswith("n_")])
+        text = writers.frequency_report(ranking, written["types"], written["integrity"])
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out}/frequency_report")
+    if given.command != "analyze-frequency":
+        writers.analysis_outputs(written, f"{given.out}/json")
+        # Tables that grow with the questions are written beside the report, not into it.
+        shown = {name: table for name, table in written.items() if name not in ("summary", "unclassified", "repeated")}
+        text = writers.final_report(written["summary"], shown, NOTES)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out}/report")
+
+
+RUN = {
+    "topics": topics_command,
+    "extract-questions": extract_command,
+    "classify-topics": classify_command,
+    "deduplicate": deduplicate_command,
+    "analyze-frequency": analyze_command,
+    "generate-report": analyze_command,
+    "analyze": analyze_command,
+}
+
+
+def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallyfold")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, options in (
-        ("topics", ("source", "out")),
-        ("deduplicate", ("questions", "out")),
-        ("analyze", ("topics", "questions", "out")),
-    ):
+    for name, options in COMMANDS.items():
         command = commands.add_parser(name)
         for option in options:
             command.add_argument(f"--{option}", required=True)
         command.add_argument("--decisions", help="recorded verdicts on pairs")
+        command.add_argument("--first-page", type=int, default=1)
+        command.add_argument("--last-page", type=int, default=1_000_000)
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
-    judged = spark.read.parquet(given.decisions) if given.decisions else None
-    if given.command == "topics":
-        found = load_topics(spark, given.source)
-        found.write.mode("overwrite").parquet(f"{given.out}/topics")
-        rows = spark.read.parquet(f"{given.out}/topics")
-        checked = rows.selectExpr("*", "cast(array() as array<int>) as source_pages", "'resolved' as resolution_status")
-        validate(checked, 1, 1).write.mode("overwrite").parquet(f"{given.out}/issues")
-        return
-    questions = spark.read.parquet(given.questions)
-    canonicals, links = deduplicate(questions, judged)
-    canonicals.write.mode("overwrite").parquet(f"{given.out}/canonicals")
-    links.write.mode("overwrite").parquet(f"{given.out}/links")
-    if given.command == "analyze":
-        canonicals, links = (spark.read.parquet(f"{given.out}/{t}") for t in ("canonicals", "links"))
-        tables = analyze(spark.read.parquet(given.topics), questions, canonicals, links)
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{given.out}/{name}")
-        written = {name: spark.read.parquet(f"{given.out}/{name}") for name in tables}
-        shown = {name: table.limit(REPORT_ROWS) for name, table in written.items() if name != "summary"}
-        text = final_report(written["summary"], shown, NOTES)
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out}/report")
+    ship_package(spark)
+    try:
+        RUN[given.command](spark, given)
+    except ProviderError as failed:
+        if failed.out_of_quota:
+            return PAUSED
+        raise
+    except PySparkException as failed:
+        # An executor's error comes as text.
+        if "out of quota" in str(failed):
+            return PAUSED
+        raise
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

@@ -105,7 +105,10 @@ def option_runs(blocks: DataFrame) -> DataFrame:
 
 
 def bundle_options(blocks: DataFrame) -> DataFrame:
-    """file_id, pos, page_numbers, block_type, text: stems with their options as one mcq_group, other long or stemless runs tagged."""
+    """file_id, pos, page_numbers, block_type, text, marker: stems with their options as one mcq_group, other long or stemless runs tagged.
+
+    The text of a group or a tagged option has its marker in it.
+    """
     rows = option_runs(blocks).withColumn("shown", F.concat_ws(" ", F.nullif("marker", F.lit("")), "text"))
     options = rows.where(F.col("stem").isNotNull()).select("file_id", F.col("stem").alias("at"), F.col("pos").alias("opt_pos"), "shown", "page_numbers")
     grouped = options.groupBy(F.col("file_id").alias("of"), "at").agg(F.array_sort(F.collect_list(F.struct("opt_pos", "shown", "page_numbers"))).alias("o"))
@@ -115,12 +118,14 @@ def bundle_options(blocks: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.concat("page_numbers", F.flatten(F.transform("o", lambda x: x["page_numbers"]))))).alias("page_numbers"),
         F.lit("mcq_group").alias("block_type"),
         F.concat(F.lit("STEM: "), "shown", F.lit("\n"), F.array_join(F.transform("o", lambda x: F.concat(F.lit("OPTION: "), x["shown"])), "\n")).alias("text"),
+        F.lit(None).cast("string").alias("marker"),
     )
     taken = stems.select(F.col("file_id").alias("f"), F.col("pos").alias("p"))
     rest = rows.where(F.col("stem").isNull()).join(taken, (F.col("file_id") == F.col("f")) & (F.col("pos") == F.col("p")), "left_anti")
     tag = F.when(F.col("run_size") > LONGEST_RUN, F.lit(SUSPICIOUS)).when(F.col("run_size") >= 2, F.lit(UNASSOCIATED))
     text = F.when(tag.isNotNull(), F.concat_ws(" ", tag, "shown")).otherwise(F.col("text"))
-    return rest.select("file_id", "pos", "page_numbers", "block_type", text.alias("text")).unionByName(stems)
+    marker = F.when(tag.isNull(), F.col("marker"))
+    return rest.select("file_id", "pos", "page_numbers", "block_type", text.alias("text"), marker.alias("marker")).unionByName(stems)
 
 
 def page_offset(blocks: DataFrame, least: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ class ProviderError(Exception):
     """A failed call; only some may be tried again, and some say that no calls are left."""
 
     def __init__(self, message: str, retryable: bool = True, out_of_quota: bool = False):
-        super().__init__(message)
+        super().__init__(f"out of quota: {message}" if out_of_quota else message)
         self.retryable, self.out_of_quota = retryable, out_of_quota
 
 
@@ -48,30 +49,66 @@ def classify_error(status: int, message: str) -> ProviderError:
     return ProviderError(message, retryable=True)
 
 
-def call(provider: Provider, prompt: str) -> tuple[dict | None, str | None, int]:
-    """Answer, error and attempts of one prompt; a cut-off answer is asked for again with more room."""
-    room, error = MAX_TOKENS, None
+@dataclass
+class Metrics:
+    """What a run's calls came to."""
+
+    calls: int = 0
+    attempts: int = 0
+    failures: int = 0
+    truncations: int = 0
+
+
+Check = Callable[[dict], str | None]
+
+
+def call(provider: Provider, prompt: str, check: Check | None = None) -> tuple[dict | None, str | None, int, bool]:
+    """Answer, error, attempts, and whether every failure was an answer cut off.
+
+    An answer must be a JSON object that ``check`` has nothing to say against; one
+    that was cut off is asked for again with more room.
+    """
+    room, error, cut = MAX_TOKENS, None, 0
     for attempt in range(1, RETRIES + 1):
         try:
             text = provider.complete(prompt, room, attempt).strip()
-            if text.startswith("```") and text.endswith("```"):
+            if text.startswith("```") and text.endswith("```") and len(text) > 3:
                 text = text.strip("`").removeprefix("json").strip()
-            return json.loads(text), None, attempt
+            answer = json.loads(text)
+            error = "not an object" if not isinstance(answer, dict) else check(answer) if check else None
+            if error is None:
+                return answer, None, attempt, False
         except ProviderError as failed:
             if failed.out_of_quota:
                 raise
             error = str(failed)
             if not failed.retryable:
-                return None, error, attempt
+                return None, error, attempt, False
         except ValueError as failed:
             error = f"not JSON: {failed}"
             if text and not text.endswith("}"):
+                cut += 1
                 room = min(TOKEN_LIMIT, int(room * TOKEN_GROWTH))
-    return None, error, RETRIES
+    return None, error, RETRIES, cut == RETRIES
 
 
-def ask(prompts: DataFrame, provider: Provider) -> DataFrame:
-    """key, answer (JSON), error, attempts for prompts (key, prompt), called in batches on the executors.
+def required(fields: dict[str, type], lists: dict[str, int] | None = None) -> Check:
+    """A check that an answer has the named fields of the given types, and lists no longer than allowed."""
+
+    def check(answer: dict) -> str | None:
+        for name, kind in fields.items():
+            if not isinstance(answer.get(name), kind):
+                return f"{name} is missing or of another type"
+        for name, most in (lists or {}).items():
+            if isinstance(answer.get(name), list) and len(answer[name]) > most:
+                return f"{name} has more than {most} entries"
+        return None
+
+    return check
+
+
+def ask(prompts: DataFrame, provider: Provider, check: Check | None = None) -> DataFrame:
+    """key, answer (JSON), error, attempts, truncated for prompts (key, prompt), called in batches on the executors.
 
     Running out of quota fails the job, which then counts as paused.
     """
@@ -80,17 +117,23 @@ def ask(prompts: DataFrame, provider: Provider) -> DataFrame:
         for frame in frames:
             rows = []
             for key, prompt in zip(frame["key"], frame["prompt"]):
-                answer, error, attempts = call(provider, prompt)
-                rows.append((key, None if answer is None else json.dumps(answer, sort_keys=True), error, attempts))
-            yield pd.DataFrame(rows, columns=["key", "answer", "error", "attempts"])
+                answer, error, attempts, cut = call(provider, prompt, check)
+                rows.append((key, None if answer is None else json.dumps(answer, sort_keys=True), error, attempts, cut))
+            yield pd.DataFrame(rows, columns=["key", "answer", "error", "attempts", "truncated"])
 
-    return prompts.select("key", "prompt").mapInPandas(run, "key string, answer string, error string, attempts int")
+    return prompts.select("key", "prompt").mapInPandas(run, "key string, answer string, error string, attempts int, truncated boolean")
 
 
-def ask_new(prompts: DataFrame, provider: Provider, recorded: DataFrame) -> DataFrame:
+def metrics(answers: DataFrame) -> Metrics:
+    """Counts over the answers of a run, which name the model, its attempts and what failed in their columns."""
+    row = answers.agg(F.count("*"), F.sum("attempts"), F.count_if(F.col("error").isNotNull()), F.count_if("truncated")).first()
+    return Metrics(*[int(v or 0) for v in row])
+
+
+def ask_new(prompts: DataFrame, provider: Provider, recorded: DataFrame, check: Check | None = None) -> DataFrame:
     """Answers only for prompts that this provider has not answered; recorded has key, model."""
     known = recorded.where(F.col("model") == provider.name).select("key")
-    return ask(prompts.join(known, "key", "left_anti"), provider).withColumn("model", F.lit(provider.name))
+    return ask(prompts.join(known, "key", "left_anti"), provider, check).withColumn("model", F.lit(provider.name))
 
 
 def load_models(path: str, fallback: tuple[str, ...] = ()) -> tuple[str, ...]:
@@ -102,3 +145,42 @@ def load_models(path: str, fallback: tuple[str, ...] = ()) -> tuple[str, ...]:
         return fallback
     models = tuple(m for m in found if isinstance(m, str) and m.strip()) if isinstance(found, list) else ()
     return models or fallback
+
+
+class Scrub(logging.Filter):
+    """Takes registered secrets out of log records."""
+
+    def __init__(self, secrets: list[str]):
+        super().__init__()
+        self.secrets = [s for s in secrets if s]
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        message = record.getMessage()
+        for secret in self.secrets:
+            message = message.replace(secret, "***")
+        record.msg, record.args = message, ()
+        return True
+
+
+_LOADED: dict[tuple, object] = {}
+
+
+def once(kind: str, key: object, make: Callable[[], object]) -> object:
+    """A reader or model that a worker process makes once for each setting."""
+    if (kind, key) not in _LOADED:
+        _LOADED[kind, key] = make()
+    return _LOADED[kind, key]
+
+
+def embed_new(wanted: DataFrame, cache: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], model: str) -> DataFrame:
+    """id, content_hash, vector, model of the texts (id, content_hash, text) that the cache has no vector of; ``load`` gives the embedder."""
+    todo = wanted.join(cache.where(F.col("model") == model).select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = once("embedder", model, load)(list(frame["text"])) if len(frame) else []
+            yield pd.DataFrame({"id": frame["id"], "content_hash": frame["content_hash"], "vector": vectors})
+
+    kind = wanted.schema["id"].dataType.simpleString()
+    made = todo.select("id", "content_hash", "text").mapInPandas(run, f"id {kind}, content_hash string, vector array<double>")
+    return made.withColumn("model", F.lit(model))

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..providers import once
+from ..scratch import Scratch
+
 OUTLINES, JSON_LISTS, PAGED = (".txt", ".md", ".markdown"), (".json",), (".pdf",)
 INDEX_PAGES = 150
 BLOCKS = "file_id string, pos long, page_numbers array<int>, block_type string, text string, marker string"
@@ -81,6 +84,57 @@ def read_blocks(files: DataFrame, reader: Callable[[bytes], list[tuple[int, str,
     return raw.withColumn("block_type", block_type(F.col("block_type")))
 
 
+def read_evidence(files: DataFrame, load: Callable[[bool], Callable[[bytes], list[tuple[int, str, str, str | None]]]], ocr: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Blocks, and file_id, status, error of each file: success, partial_success (blank or unreadable blocks among others) or failure.
+
+    ``load(ocr)`` makes a reader, once a worker for each setting.
+    """
+    schema = "file_id string, status string, error string, blocks array<struct<pos:long,page_numbers:array<int>,label:string,text:string,marker:string>>"
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for file_id, content in zip(frame["file_hash"], frame["content"]):
+                try:
+                    found = once("reader", (load, ocr), lambda: load(ocr))(bytes(content))
+                except Exception as failed:
+                    out.append((file_id, "failure", str(failed) or type(failed).__name__, []))
+                    continue
+                kept = [b for b in found if b[2] and b[2].strip()]
+                status = "success" if len(kept) == len(found) and kept else "partial_success" if kept else "failure"
+                rows = [{"pos": i, "page_numbers": [page], "label": label, "text": text, "marker": marker} for i, (page, label, text, marker) in enumerate(kept)]
+                out.append((file_id, status, None if kept else "no text", rows))
+            yield pd.DataFrame(out, columns=["file_id", "status", "error", "blocks"])
+
+    # Written once by the caller's Scratch or read twice; the reader is the expensive part.
+    raw = Scratch(files.sparkSession, "evidence").keep(files.select("file_hash", "content").mapInPandas(read, schema), "files")
+    rows = raw.select("file_id", F.explode("blocks").alias("b")).select(
+        "file_id", "b.pos", "b.page_numbers", block_type(F.col("b.label")).alias("block_type"), "b.text", "b.marker"
+    )
+    return rows, raw.select("file_id", "status", "error")
+
+
+def page_counts(files: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
+    """file_hash and the number of pages that ``count`` finds in the content; null where it fails."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for content in frame["content"]:
+                try:
+                    out.append(int(count(bytes(content))))
+                except Exception:
+                    out.append(None)
+            yield pd.DataFrame({"file_hash": frame["file_hash"], "pages": pd.array(out, "Int32")})
+
+    return files.select("file_hash", "content").mapInPandas(run, "file_hash string, pages int")
+
+
+def index_pages(blocks: DataFrame) -> DataFrame:
+    """The blocks of the pages that a paged index is read from: the first INDEX_PAGES."""
+    return blocks.where(F.exists("page_numbers", lambda p: p <= INDEX_PAGES))
+
+
 def html_headings(pages: DataFrame) -> DataFrame:
     """forest (page id), ord, line: the headings of raw pages as '#' lines."""
     pattern = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"

@@ -66,13 +66,13 @@ def test_provider_calls(spark):
         seen.append(room)
         return '{"a": ' if attempt == 1 else '```json\n{"a": 1}\n```'
 
-    assert P.call(P.Provider("m", complete), "p") == ({"a": 1}, None, 2)
+    assert P.call(P.Provider("m", complete), "p") == ({"a": 1}, None, 2, False)
     assert seen == [6000, 9000]
 
     def fails(prompt, room, attempt):
         raise P.classify_error(401, "no")
 
-    assert P.call(P.Provider("m", fails), "p")[1:] == ("no", 1)
+    assert P.call(P.Provider("m", fails), "p")[1:] == ("no", 1, False)
     assert P.classify_error(429, "free-models-per-day").out_of_quota and P.classify_error(429, "slow down").retryable
     assert P.rotated(["a", "b", "c", "d"], 4) == ["d", "a", "b"]
     prompts = spark.createDataFrame([("k1", "x"), ("k2", "y")], "key string, prompt string")
