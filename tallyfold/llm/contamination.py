@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from .rows import with_computed
 from .words import alnum_words
 
 WINDOW = 13
+#: Words before A-Z are lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 HIT_SHARE = 20
 #: Words of the windows in one automaton. Items beyond it get an automaton of their own, in another pass over the same batch.
 AUTOMATON_WORDS = 4_000_000
@@ -20,7 +24,7 @@ REPORT = (
     .add("n_words", LongType())
     .add("n_hit", LongType())
     .add("items", ArrayType(StringType()))
-    .add("spans", ArrayType(StructType().add("first", LongType()).add("last", LongType())))
+    .add("spans", ArrayType(StructType().add("first", LongType()).add("last", LongType()).add("start", LongType()).add("stop", LongType())))
     .add("contaminated", BooleanType())
 )
 
@@ -74,7 +78,9 @@ def scan(text: str | None, automata: list[ahocorasick.Automaton]) -> tuple[int,
     np.add.at(edges, ends, -1)
     covered = np.cumsum(edges[:-1]) > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    spans = [{"first": int(a), "last": int(b) - 1} for a, b in turns.reshape(-1, 2)]
+    # Only texts with hits are looked through again, for where their words stand in the original.
+    places = [m.span() for m in WORD.finditer(text)]
+    spans = [{"first": int(a), "last": int(b) - 1, "start": places[a][0], "stop": places[b - 1][1]} for a, b in turns.reshape(-1, 2)]
     hit = int(covered.sum())
     return len(words), hit, sorted({i for _, (_, _, ids) in found for i in ids}), spans, HIT_SHARE * hit >= len(words)
 
@@ -85,7 +91,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep_text: bool =
     A word is hit when it lies in an occurrence of 13 consecutive words of an
     item, or of a whole shorter item. A document is contaminated when hit words
     are at least a twentieth of its words. Null texts and items have no words;
-    items of null id are named ''; spans are word positions, ends included.
+    items of null id are named ''; spans are word positions (first and last,
+    included) and code points of the original text (start and stop, excluded).
     The benchmark is the only thing sent to every executor; its windows are held
     in automata of at most AUTOMATON_WORDS words each.
     """

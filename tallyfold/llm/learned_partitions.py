@@ -5,6 +5,10 @@ edges between them. A small network learns which part a vector's neighbours lie
 in; it files every row of the table under its likeliest part and sends each query
 to several likely parts, whose rows are ranked by the exact inner product. How many
 parts are searched is chosen on the sample, so that the wanted recall is met.
+
+Parts are dealt to groups of about BLOCK_ROWS rows (a larger part is cut into
+blocks), so that a query is sent once to a group, with the parts that it asks for
+there, and no task depends on the size of a part.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .samples import first_in_hash_order
 
 TOP = 20
-#: Bounds of the fit: sampled vectors, and of them those that choose the number of searched parts.
-SAMPLE_ROWS, PROBE_ROWS = 3_000, 500
+#: Bounds of the fit: sampled vectors (of each part, and at least), and of them those that choose the number of searched parts.
+PART_SAMPLE, LEAST_SAMPLE, PROBE_ROWS = 12, 3_000, 500
 GRAPH_NEIGHBOURS = 10
-ROWS_PER_PART, LEAST_PARTS, MOST_PARTS = 4_000, 8, 64
+#: Parts follow the rows between these numbers; the upper one bounds the sample. A small table has a part for every SMALL_PART rows.
+ROWS_PER_PART, LEAST_PARTS, MOST_PARTS, SMALL_PART = 4_000, 256, 1_024, 8
 WANTED_RECALL = 0.95
 HIDDEN, STEPS = 96, 300
 #: Rows and queries that meet in one task.
@@ -140,14 +146,12 @@ def fit_router(vectors: np.ndarray, parts: int, seed: int = 11) -> Router:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a finite, non-zero vector of the commonest width."""
+    """Rows with an id and a finite, non-zero vector."""
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).where(
+    return vectors.select("vec_id", e.cast("array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda x: x != 0)
     )
-    widths = good.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
-    return good.where(F.size("embedding") == (widths[0]["w"] if widths else 0))
 
 
 def _matrix(column) -> np.ndarray:
@@ -157,24 +161,41 @@ def _matrix(column) -> np.ndarray:
 
 
 def _nearest(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The TOP rows of a block for each query; equal vectors are scored once, by one and the same sum."""
+    """The TOP rows of a block for each query, from the parts that it asks for; equal vectors are scored once, by one and the same sum."""
     if rows.empty or queries.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    rows = rows.sort_values("vec_id", kind="stable")
-    vectors, copies = np.unique(_matrix(rows["embedding"]), axis=0, return_inverse=True)
-    copies = copies.ravel()
+    rows = rows.sort_values(["part", "vec_id"], kind="stable")
+    vectors, first, copies = np.unique(_matrix(rows["embedding"]), axis=0, return_index=True, return_inverse=True)
+    part = rows["part"].to_numpy()[first]
+    by_part = np.argsort(part, kind="stable")
+    vectors, part = vectors[by_part], part[by_part]
+    place = np.empty(len(by_part), np.int64)
+    place[by_part] = np.arange(len(by_part))
+    copies = place[copies.ravel()]
     by_vector = np.argsort(copies, kind="stable")
     starts = np.searchsorted(copies[by_vector], np.arange(len(vectors) + 1))
     ids = rows["vec_id"].to_numpy()[by_vector]
+    parts, begins = np.unique(part, return_index=True)
+    ends = np.append(begins[1:], len(part))
     asked, names = _matrix(queries["embedding"]), queries["query_id"].to_numpy()
+    wants = np.zeros((len(asked), len(parts)), bool)
+    for q, own in enumerate(queries["parts"]):
+        wants[q] = np.isin(parts, own)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    wanted = min(TOP + 1, len(vectors))
     for begin in range(0, len(asked), 256):
-        scores = asked[begin : begin + 256] @ vectors.T
+        some = asked[begin : begin + 256]
+        scores = np.full((len(some), len(vectors)), -np.inf)
+        for k, (a, b) in enumerate(zip(begins, ends)):
+            here = np.flatnonzero(wants[begin : begin + 256, k])
+            scores[here, a:b] = some[here] @ vectors[a:b].T
+        wanted = min(TOP + 1, len(vectors))
         least = np.partition(scores, -wanted, axis=1)[:, -wanted]
-        slack = 1e-9 * (1 + np.abs(scores).max(axis=1))
         for q, row in enumerate(scores):
-            near = np.flatnonzero(row >= least[q] - slack[q])
+            open_ = np.isfinite(row)
+            if not open_.any():
+                continue
+            slack = 1e-9 * (1 + np.abs(row[open_]).max())
+            near = np.flatnonzero(open_ & (row >= least[q] - slack))
             exact = (asked[begin + q] * vectors[near]).sum(axis=1)
             held = [ids[starts[v] : min(starts[v + 1], starts[v] + TOP + 1)] for v in near]
             found = np.concatenate(held)
@@ -183,63 +204,102 @@ def _nearest(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFr
             found, value = found[other], value[other]
             best = np.lexsort((found, -value))[:TOP]
             out.append((np.full(len(best), names[begin + q]), found[best], value[best]))
+    if not out:
+        return _nearest(key, rows.iloc[:0], queries)
     return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
 
+def _groups(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """For each part its group and, of its own, the number of blocks: parts side by side up to BLOCK_ROWS rows, a larger one alone."""
+    out: dict[int, tuple[int, int]] = {}
+    group, held = 0, 0
+    for part in sorted(sizes):
+        if held and held + sizes[part] > BLOCK_ROWS:
+            group, held = group + 1, 0
+        out[part] = (group, max(1, -(-sizes[part] // BLOCK_ROWS)))
+        held += sizes[part]
+    return out
+
+
 def search_neighbours(vectors: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` picks, its nearest other rows.
 
     ``vectors`` has vec_id and embedding. Nearness is the inner product in double
     precision; equal scores rank by smaller vec_id; fewer than ``top`` candidates
-    give all of them. Vectors that are null, zero, of another width than most, or
-    hold null or non-finite components take no part. A repeated vec_id is one
-    query, and none of its rows is a candidate of it.
+    give all of them. Vectors that are null, zero, or hold null or non-finite
+    components take no part; vectors of several widths only meet their like, each
+    width with parts of its own. A repeated vec_id is one query, and none of its
+    rows is a candidate of it.
     """
     spark = vectors.sparkSession
-    usable = _usable(vectors)
-    total = usable.count()
-    sample = first_in_hash_order(usable, "vec_id", SAMPLE_ROWS).collect()
-    parts = max(LEAST_PARTS, min(MOST_PARTS, total // ROWS_PER_PART))
+    usable = _usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    # Widths are a handful; each is a table of its own.
+    widths = usable.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).orderBy("w").collect()
+    found = [_search(usable.where(F.size("embedding") == r["w"]), r["n"], is_query) for r in widths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scored = found[0]
+    for other in found[1:]:
+        scored = scored.union(other)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, top)
+    ranked = scored.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("i", "b"))
+    return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+
+
+def _search(usable: DataFrame, total: int, is_query: Column) -> DataFrame:
+    """query_id, vec_id, score of the best rows of each block that a query asks for."""
+    context = usable.sparkSession.sparkContext
+    parts = min(max(LEAST_PARTS, total // ROWS_PER_PART), MOST_PARTS, max(1, total // SMALL_PART))
+    sample = first_in_hash_order(usable, "vec_id", max(LEAST_SAMPLE, PART_SAMPLE * parts)).collect()
     fitted = fit_router(np.array([r["embedding"] for r in sample]), parts) if len(sample) > 1 else None
-    router = spark.sparkContext.broadcast(fitted)
-
-    def route(count: int):
-        def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                order = router.value.order(_matrix(batch.column(1))) if router.value else np.zeros((batch.num_rows, 1), int)
-                chosen = order[:, : count or router.value.searched if router.value else 1]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(list(chosen.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"]
-                )
-
-        return files
-
-    schema = "vec_id long, embedding array<double>, parts array<int>"
-    usable = usable.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    filed = usable.mapInArrow(route(1), schema).select("vec_id", "embedding", F.get("parts", F.lit(0)).alias("part"))
-    queries = usable.where(is_query).dropDuplicates(["vec_id"])
-    asked = queries.mapInArrow(route(0), schema).select(F.col("vec_id").alias("query_id"), "embedding", F.explode("parts").alias("part"))
-    sizes = filed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    router = context.broadcast(fitted)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = router.value.order(_matrix(batch.column(1)))[:, 0] if router.value else np.zeros(batch.num_rows, int)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["vec_id", "embedding", "part"])
+
+    scratch = Scratch(usable.sparkSession, "neighbours")
+    filed = scratch.keep(usable.mapInArrow(file, "vec_id long, embedding array<double>, part int"), "filed")
+    # One row a part, at most MOST_PARTS.
+    groups = _groups({r["part"]: r["n"] for r in filed.groupBy("part").agg(F.count("*").alias("n")).collect()})
+    dealt = context.broadcast(groups)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            order = router.value.order(_matrix(batch.column(1)))[:, : router.value.searched] if router.value else np.zeros((batch.num_rows, 1), int)
+            sent = []
+            for own in order.tolist():
+                by_group: dict[tuple[int, int], list[int]] = {}
+                for part in own:
+                    if part in dealt.value:
+                        by_group.setdefault(dealt.value[part], []).append(part)
+                sent.append([{"grp": g, "blocks": b, "parts": p} for (g, b), p in by_group.items()])
+            kind = pa.list_(pa.struct([("grp", pa.int32()), ("blocks", pa.int32()), ("parts", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent, kind)], names=["query_id", "embedding", "sent"])
+
+    queries = usable.where(is_query).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
     across = max(1, -(-queries.count() // BLOCK_QUERIES))
-    # One row per part: at most MOST_PARTS rows.
-    rows = filed.join(F.broadcast(sizes), "part").select(
-        "part",
-        F.pmod(F.xxhash64("vec_id", "embedding"), "blocks").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("side"),
-        "vec_id",
+    routed = queries.mapInArrow(route, "query_id long, embedding array<double>, sent array<struct<grp:int,blocks:int,parts:array<int>>>")
+    asked = routed.select("query_id", "embedding", F.explode("sent").alias("s")).select(
+        F.col("s.grp").alias("grp"),
+        F.explode(F.sequence(F.lit(0), F.col("s.blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("side"),
+        "query_id",
         "embedding",
+        F.col("s.parts").alias("parts"),
     )
-    sent = asked.join(F.broadcast(sizes), "part").select(
+    places = usable.sparkSession.createDataFrame([(part, g, n) for part, (g, n) in groups.items()], "part int, grp int, blocks int")
+    rows = filed.join(F.broadcast(places), "part").select(
+        "grp",
+        F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("side"),
         "part",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("side"),
-        "query_id",
+        "vec_id",
         "embedding",
     )
-    keys = ["part", "block", "side"]
-    found = rows.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_nearest, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, top)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("i", "b"))
-    return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    keys = ["grp", "block", "side"]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_nearest, "query_id long, vec_id long, score double")

@@ -39,7 +39,8 @@ ALPHABETS = [
     ("lower-36", "^[a-z0-9]+$", DIGITS + LOWER),
     ("upper-36", "^[A-Z0-9]+$", DIGITS + UPPER),
     ("base-62", "^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
-    ("base-64", "^.*$", UPPER + LOWER + DIGITS + "+/-_"),
+    ("base-64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("base-64-url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 ]
 LENGTH_BANDS = [28, 40, 64, 128]
 FALSE_DISCOVERIES = 0.05
@@ -65,9 +66,9 @@ def _sum(values: Column, of=lambda x: x) -> Column:
 
 
 def randomness(tokens: DataFrame) -> DataFrame:
-    """``tokens`` (column token) with encoding, band and p, the probability that a random token looks so odd."""
+    """``tokens`` (column token) with encoding, band and p, the probability that a random token looks so odd; tokens of no alphabet go."""
     case = lambda i: reduce(lambda c, e: c.when(F.col("token").rlike(e[1]), F.lit(e[i])), ALPHABETS, F)
-    named = tokens.withColumns({"encoding": case(0), "alphabet": case(2), "length": F.length("token")})
+    named = tokens.withColumns({"encoding": case(0), "alphabet": case(2), "length": F.length("token")}).where(F.col("encoding").isNotNull())
     place = F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.instr(F.col("alphabet"), F.substr(F.col("token"), i, F.lit(1))) - 1)
     coded = named.withColumns({"values": place, "base": F.length("alphabet"), "bins": F.least(F.length("alphabet"), F.greatest(F.lit(2), F.floor(F.col("length") / 5).cast("int")))})
     n, values, base, bins = F.col("length"), F.col("values"), F.col("base"), F.col("bins")

@@ -15,11 +15,11 @@ from tallyfold.llm.bpe import RankArrayBPE, encode_documents
 from tallyfold.llm.contamination import find_contamination
 from tallyfold.llm.context_mixing import score_documents
 from tallyfold.llm.jaccard_join import shingle_components
-from tallyfold.llm.learned_partitions import balanced_parts, neighbours, search_neighbours
-from tallyfold.llm.licenses import TEMPLATES, matching_templates, ordered_templates, pairs, scan_licenses
+from tallyfold.llm.learned_partitions import balanced_parts, fit_router, neighbours, search_neighbours
+from tallyfold.llm.licenses import CONTAINMENT, FULL_TEXTS, TEMPLATES, TemplateIndex, pairs, scan_licenses, template_counts
 from tallyfold.llm.line_runs import dedup_lines
 from tallyfold.llm.queries import tokenizer_path
-from tallyfold.llm.secret_scan import randomness, scan_secrets
+from tallyfold.llm.secret_scan import not_random, randomness, scan_secrets
 from tallyfold.llm.toxicity import score_toxicity, train_toxicity
 from tallyfold.llm.words import alnum_words, spaced_words
 
@@ -140,6 +140,8 @@ def test_contamination(spark, docs, corpus):
         assert (r["n_words"], r["n_hit"], sorted(r["items"])) == (len(words), len(hit), sorted(ids))
         assert r["contaminated"] is (bool(hit) and 20 * len(hit) >= len(words))
         assert {p for s in r["spans"] for p in range(s["first"], s["last"] + 1)} == hit
+        for span in r["spans"]:
+            assert alnum_words(t[span["start"] : span["stop"]]) == words[span["first"] : span["last"] + 1]
 
 
 def test_mixing_base_and_quality(docs, corpus):
@@ -171,15 +173,40 @@ def test_license_phrases_and_templates(spark):
     assert got[6]["first_word"] is None and got[6]["score"] == 0 and got[2]["score"] == 1
 
 
-def test_license_filters_lose_nothing():
-    templates = ordered_templates(TEMPLATES, {})
-    rare = {p for t in templates for p in t.prefix}
-    for _ in range(200):
-        words = alnum_words(RNG.choice(list(TEMPLATES.values())))
-        kept = [w for w in words if RNG.random() > 0.15]
-        block = set(pairs(kept))
-        expected = {t.label for t in templates if sum(p in block for p in t.ordered) >= t.needed}
-        assert set(matching_templates(kept, templates, rare)) == expected
+def windows_with(words, templates, size):
+    """Labels of the templates that some window contains, by counting pairs in every window."""
+    out = {}
+    for start in range(0, max(1, len(words)), size // 2):
+        block = set(pairs(words[start : start + size]))
+        for label, text_ in templates.items():
+            own = set(pairs(alnum_words(text_)))
+            share = len(own & block) / len(own)
+            if len(own & block) >= math.ceil(CONTAINMENT * len(own) - 1e-9):
+                out[label] = max(out.get(label, 0.0), share)
+    return out
+
+
+def test_license_filters_lose_nothing(spark):
+    templates = TEMPLATES | FULL_TEXTS
+    filler = [alnum_words(text(400)) for _ in range(10)]
+    made = []
+    for _ in range(150):
+        words = []
+        for _ in range(RNG.randint(1, 3)):
+            words += RNG.choice(filler)[: RNG.randint(0, 300)]
+            words += [w for w in alnum_words(RNG.choice(list(templates.values()))) if RNG.random() > RNG.choice([0, 0.1, 0.15, 0.2])]
+        made.append(words)
+    docs = spark.createDataFrame([(b" ".join(w).decode(),) for w in made], "text string")
+    index = TemplateIndex.of(templates, template_counts(docs, templates))
+    tested = pruned = 0
+    for words in made:
+        expected = windows_with(words, templates, index.block)
+        assert index.matching(words) == pytest.approx(expected)
+        for block in index.blocks(words):
+            near = {t for r in block for t, _ in index.postings.get(r, ())}
+            tested, pruned = tested + len(near), pruned + len(near - index.candidates(block))
+    # The filters spare a part of the counting even here, where every block is made of templates.
+    assert pruned > 0.1 * tested
 
 
 def test_neighbours_recall(spark):
@@ -204,6 +231,45 @@ def test_neighbours_recall(spark):
     assert found / (20 * 60) >= 0.9
 
 
+def test_recall_on_the_given_vectors_without_searching_all(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    if not Path("/root/testdata/sf0.1").exists():
+        pytest.skip("needs the test tables")
+    given = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    ids, vectors = np.array(given["vec_id"]), np.array(given["embedding"], float)
+    router = fit_router(vectors, 250)
+    order = router.order(vectors)
+    sizes = np.bincount(order[:, 0], minlength=250)
+    assert sizes[order[:, : router.searched]].sum(axis=1).mean() < 0.65 * len(vectors)
+    rows = search_neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 20 == 0).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_widths_meet_their_like_and_large_parts_are_cut(spark, monkeypatch):
+    from tallyfold.llm import learned_partitions as lp
+
+    monkeypatch.setattr(lp, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3 if i % 4 else 5).tolist()) for i in range(200)] + [(300, [0.0, 0.0, 0.0]), (301, None), (302, [1.0, float("nan"), 1.0])]
+    got = {}
+    for r in search_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == set(range(0, 200, 10))
+    for q, found in got.items():
+        assert all((v % 4 == 0) == (q % 4 == 0) for v in found) and len(found) == 20 and q not in found
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(300, 8))
@@ -237,6 +303,29 @@ def test_randomness_battery(spark):
     assert np.mean([p[t] > 0.01 for t in hexes]) > 0.95 and np.mean([p[t] > 0.01 for t in base62]) > 0.95
 
 
+def test_false_discovery_limits(spark):
+    rng = random.Random(6)
+    rows = [(e, b, min(2_000, int(rng.expovariate(1 / 60)) if rng.random() < 0.8 else rng.randint(200, 900))) for e in "xy" for b in (0, 1) for _ in range(200)]
+    got = {(r["encoding"], r["band"]): r["limit"] for r in not_random(spark.createDataFrame(rows, "encoding string, band int, p_bin int")).collect()}
+    for family in {(e, b) for e, b, _ in rows}:
+        # Benjamini and Hochberg's step-up rule on the largest p of each bin.
+        p = sorted(10 ** (-k / 100) for e, b, k in rows if (e, b) == family)
+        passed = [x for i, x in enumerate(p, 1) if x <= 0.05 * i / len(p)]
+        assert got.get(family) == (round(-100 * math.log10(max(passed))) if passed else None)
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = {"base-62": letters, "base-64": letters + "+/", "base-64-url": letters + "-_", "lower-hex": "0123456789abcdef"}
+    planted = ["".join(rng.choice(alphabets[k]) for _ in range(rng.randint(32, 60))) for k in alphabets for _ in range(40)]
+    words = ["user_profile_settings_v2_page_%d" % i for i in range(60)] + ["aaaaaaaaaaaaaaaaaaaa%d1111111111" % i for i in range(60)] + ["2024/01/02/report-final-version-%d" % i for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(planted + words)), "doc_id long, text string")
+    reported = {r["doc_id"] for r in scan_secrets(docs).collect() if "random" in r["spans"]}
+    found, wrong = len(reported & set(range(len(planted)))) / len(planted), len(reported - set(range(len(planted)))) / len(words)
+    assert found > 0.9 and wrong < 0.1
+
+
 def test_toxicity_held_out(spark):
     bad = ["vork", "zumb", "krell"]
     rows, labels = [], []
