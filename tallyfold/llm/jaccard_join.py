@@ -22,6 +22,10 @@ shingles under each of them, so that a pair that fails one needs no verification
    the second hash order, and then the exact overlap counts. A task returns only
    the links that join components. Large clusters are cut into a grid of tasks,
    the documents outside the largest component against all.
+6. Links are counted inside the components that came out: all different sets of
+   one meet in a grid of bounded tasks, behind the same filters. A task returns
+   one sum per document, weighed by how many documents hold the other set, so
+   that neither copies nor pairs are ever written.
 
 Sets are held as 64-bit shingle hashes.
 """
@@ -50,6 +54,8 @@ CHUNK_ROWS = 1_000
 #: Clusters beyond this many documents are compared with leaders first; a task holds about TASK_DOCS documents of a side.
 LARGE_CLUSTER = 200
 TASK_DOCS = 2_000
+#: Shingles that a side of a counting task holds, apart from a single longer document.
+TASK_SHINGLES = 2_000_000
 
 SKETCH = "doc_id long, n long, set_a long, set_b long, part int, tokens binary, ids binary"
 _LOW = np.uint64((1 << 40) - 1)
@@ -196,9 +202,37 @@ def _second_prefix(tokens: np.ndarray) -> np.ndarray:
     return turned[: len(tokens) - needed(len(tokens)) + 1]
 
 
+class _Filters:
+    """Sets by their prefixes under two orders and by all their shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        self.every = _Index(sets)
+        self.first = _Index([s[: len(s) - needed(len(s)) + 1] for s in sets])
+        self.second = _Index([_second_prefix(s) for s in sets])
+
+    def near(self, tokens: np.ndarray) -> np.ndarray:
+        """Which sets are of a fitting size and share the prefix in hash order."""
+        n = len(tokens)
+        shared = self.first.shared(tokens[: n - needed(n) + 1]) > 0
+        return shared & (100 * self.sizes >= PERCENT * n) & (100 * n >= PERCENT * self.sizes)
+
+    def linked(self, tokens: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Which of the near sets share the second prefix too and reach the threshold."""
+        near = near & (self.second.shared(_second_prefix(tokens)) > 0)
+        if not near.any():
+            return near
+        both = self.every.shared(tokens)
+        return near & (100 * both >= PERCENT * (len(tokens) + self.sizes - both))
+
+
+def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(s, np.int64).view(np.uint64) for s in rows["shingles"]]
+
+
 def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Links between the components of a task's documents, one for each time that two of them join."""
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in rows["shingles"]]
+    sets = _sets_of(rows)
     ids, mine = rows["doc_id"].to_numpy(), rows["mine"].to_numpy()
     held = np.flatnonzero(rows["held"].to_numpy())
     root = {c: c for c in rows["component"]}
@@ -212,22 +246,13 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
     component = rows["component"].to_numpy()
     out: list[tuple[int, int]] = []
     if len(held) and mine.any():
-        whole = [sets[i] for i in held]
-        sizes = np.array([len(s) for s in whole])
-        every = _Index(whole)
-        first = _Index([s[: len(s) - needed(len(s)) + 1] for s in whole])
-        second = _Index([_second_prefix(s) for s in whole])
+        filters = _Filters([sets[i] for i in held])
         for u in np.flatnonzero(mine):
-            n = len(sets[u])
-            near = (first.shared(sets[u][: n - needed(n) + 1]) > 0) & (100 * sizes >= PERCENT * n) & (100 * n >= PERCENT * sizes) & (ids[held] != ids[u])
+            near = filters.near(sets[u]) & (ids[held] != ids[u])
             own = find(component[u])
             if not any(find(component[held[k]]) != own for k in np.flatnonzero(near)):
                 continue
-            near &= second.shared(_second_prefix(sets[u])) > 0
-            if not near.any():
-                continue
-            both = every.shared(sets[u])
-            for k in np.flatnonzero(near & (100 * both >= PERCENT * (n + sizes - both))):
+            for k in np.flatnonzero(filters.linked(sets[u], near)):
                 a, b = find(component[u]), find(component[held[k]])
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -235,6 +260,22 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _count_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many documents hold the sets that each of a task's sets links with; two sides that meet are counted for both."""
+    sets, ids, weight = _sets_of(rows), rows["doc_id"].to_numpy(), rows["weight"].to_numpy()
+    mine, holds = rows["mine"].to_numpy(), rows["held"].to_numpy()
+    held = np.flatnonzero(holds)
+    links = np.zeros(len(rows), np.int64)
+    if len(held) and mine.any():
+        filters = _Filters([sets[i] for i in held])
+        for u in np.flatnonzero(mine):
+            to = held[filters.linked(sets[u], filters.near(sets[u]) & (ids[held] != ids[u]))]
+            links[u] += weight[to].sum()
+            if not holds[u]:
+                links[to] += weight[u]
+    return pd.DataFrame({"doc_id": ids[links > 0], "links": links[links > 0]})
+
+
 def _least(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
@@ -317,15 +358,39 @@ def _tasks(members: DataFrame, components: DataFrame, spread: int) -> DataFrame:
     return small.unionByName(held).unionByName(asked)
 
 
-def shingle_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (columns doc_id, text).
+def _counting_tasks(sets: DataFrame, labels: DataFrame, same: DataFrame) -> DataFrame:
+    """task, doc_id, shingles, weight, mine, held: the sets of each component, large ones cut into sides that meet pairwise."""
+    weights = same.groupBy(F.col("first").alias("doc_id")).agg(F.max("members").alias("weight"))
+    known = sets.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id")
+    counts = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TASK_DOCS), F.ceil(F.sum("n") / TASK_SHINGLES)).cast("int").alias("sides"))
+    sums = known.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
+    spread = 1 + sums["docs"] // TASK_DOCS + (sums["n"] or 0) // TASK_SHINGLES
+    rows = known.join(counts, "component").join(weights, "doc_id").withColumn("side", F.pmod(F.xxhash64("doc_id"), "sides").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
+    met = rows.select("component", "sides", "side", "doc_id", "shingles", "weight", other)
+    small = F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(spread)))
+    large = F.concat_ws(":", F.lit("b"), "component", F.least("side", "other"), F.greatest("side", "other"))
+    return met.select(
+        F.when(F.col("sides") == 1, small).otherwise(large).alias("task"),
+        "doc_id",
+        "shingles",
+        "weight",
+        (F.col("side") <= F.col("other")).alias("mine"),
+        (F.col("side") >= F.col("other")).alias("held"),
+    )
+
+
+def shingle_components(docs: DataFrame, width: int = WIDTH, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of each row of ``docs`` (columns doc_id, text).
 
     Words are maximal runs without blanks, A-Z lower-cased; a set holds the
     distinct runs of ``width`` words, or the whole of a shorter text. Documents
     link at a Jaccard similarity of 0.8; component_id is the smallest doc_id that
-    links reach. Texts without words (null too) have an empty set and link with
-    nothing; a null doc_id has a null component. Rows repeated with one doc_id
-    are copies of one document.
+    links reach, n_links how many other documents a document links with, those of
+    the same set included (left out without ``count_links``). Texts without words
+    (null too) have an empty set and link with nothing; a null doc_id has a null
+    component and null links. Rows repeated with one doc_id are copies of one
+    document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -334,7 +399,8 @@ def shingle_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     named = texts.where(F.col("doc_id").isNotNull())
     sketch = scratch.keep(texts.mapInArrow(_sketches(parts, width), SKETCH), "sketch")
     info = scratch.keep(sketch.where(F.col("part").isNull()).select("doc_id", "n", "set_a", "set_b"), "info")
-    same = info.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("first"))
+    same = info.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).distinct()
+    same = same.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("members"))
     same = scratch.keep(same, "classes")
     representatives = same.select(F.col("first").alias("doc_id"), "n").distinct()
     answers = sketch.where(F.col("part").isNotNull()).select("part", "tokens", "ids")
@@ -358,10 +424,18 @@ def shingle_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     links = work.groupBy("task").applyInPandas(_joining_links, "a long, b long")
     every = scratch.keep(links.union(led.select(F.col("id").alias("a"), F.col("component").alias("b"))), "links")
     labels = scratch.keep(connected_components(every, scratch=Scratch(spark, "jaccard-components")), "labels")
+    if count_links:
+        counted = _counting_tasks(sets, labels, same).groupBy("task").applyInPandas(_count_links, "doc_id long, links long")
+        counted = scratch.keep(counted.groupBy(F.col("doc_id").alias("linked_id")).agg(F.sum("links").alias("links")), "counted")
     scratch.drop("postings", "buckets-0", "partners", "sets", "clusters", "members", "leader-links", "led", "links")
 
-    classes = same.select(F.col("n").alias("n_c"), F.col("set_a").alias("a_c"), F.col("set_b").alias("b_c"), "first")
+    classes = same.select(F.col("n").alias("n_c"), F.col("set_a").alias("a_c"), F.col("set_b").alias("b_c"), "first", "members")
     joined = info.join(classes, (F.col("n") == F.col("n_c")) & (F.col("set_a") == F.col("a_c")) & (F.col("set_b") == F.col("b_c")), "left")
     joined = joined.join(labels, F.col("first") == F.col("id"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")]
+    if count_links:
+        joined = joined.join(counted, F.col("first") == F.col("linked_id"), "left")
+        others = F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+        out.append(F.when(F.col("doc_id").isNotNull(), others).alias("n_links"))
+    return joined.select(*out)

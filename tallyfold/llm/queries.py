@@ -157,8 +157,9 @@ sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
 links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM words UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
-SELECT words.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
-FROM words JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) AS r ON r.x = words.doc_id LEFT JOIN sizes ON sizes.doc_id = words.doc_id""",
+SELECT words.doc_id AS doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, coalesce(l, 0) AS n_links
+FROM words JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) AS r ON r.x = words.doc_id LEFT JOIN sizes ON sizes.doc_id = words.doc_id
+LEFT JOIN (SELECT x AS linked, count(*) AS l FROM links GROUP BY x) AS k ON linked = words.doc_id""",
     "op10_perspectives": r"""
 WITH turns AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said FROM conversations),
 people AS (SELECT DISTINCT conv_id AS c, speaker AS p FROM turns WHERE speaker <> 'system'),

@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies; rows of a null doc_id stay."""
-    groups = shingle_components(docs.select("doc_id", "text"))
+    groups = shingle_components(docs.select("doc_id", "text"), count_links=False)
     others = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.llm import jaccard_join
 from tallyfold.llm.bpe import RankArrayBPE, encode_documents
 from tallyfold.llm.contamination import find_contamination
 from tallyfold.llm.context_mixing import score_documents
@@ -66,7 +67,10 @@ def test_words_are_those_of_the_patterns():
         assert [w.decode() for w in alnum_words(t)] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def test_jaccard_components(docs, corpus):
+@pytest.mark.parametrize("large, side", [(200, 2_000), (3, 7)])
+def test_jaccard_components(docs, corpus, monkeypatch, large, side):
+    monkeypatch.setattr(jaccard_join, "LARGE_CLUSTER", large)
+    monkeypatch.setattr(jaccard_join, "TASK_DOCS", side)
     sets = {}
     for i, t in corpus.items():
         w = [x.decode() for x in spaced_words(t)]
@@ -78,13 +82,16 @@ def test_jaccard_components(docs, corpus):
             x = root[x]
         return x
 
+    links = dict.fromkeys(sets, 0)
     for i in sets:
         for j in range(i):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_components(docs).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in shingle_components(docs).collect()}
+    assert got == {i: (len(s), find(i), links[i]) for i, s in sets.items()}
 
 
 @pytest.mark.parametrize("batches", [1, 4, 7])

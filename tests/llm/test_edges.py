@@ -104,9 +104,9 @@ def test_line_texts(docs):
 
 
 def test_jaccard_groups(docs):
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in shingle_components(docs).collect()}
-    assert {(4, 6, 4), (5, 6, 4), (1, 0, 1), (3, 0, 3), (6, 1, 6)} <= got
-    assert any(r[0] is None and r[2] is None for r in got)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in shingle_components(docs).collect()}
+    assert {(4, 6, 4, 1), (5, 6, 4, 1), (1, 0, 1, 0), (3, 0, 3, 0), (6, 1, 6, 0)} <= got
+    assert any(r[0] is None and r[2] is None and r[3] is None for r in got)
 
 
 def test_neighbour_edges(spark):
