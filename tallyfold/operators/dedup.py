@@ -14,6 +14,8 @@ MERGE_FLOOR = 0.6
 PAIR_BATCH = 40
 #: Members of a group that one task compares with as many others.
 PAIR_SLICE = 1_000
+#: Vectors of a slice, and the slices of a table that would fit in fewer.
+VECTOR_SLICE, LEAST_SLICES = 4_000, 16
 EXACT = "exact_duplicate"
 DETERMINISTIC_MODEL = "deterministic"
 
@@ -31,22 +33,26 @@ def exact_duplicate_links(keyed: DataFrame) -> DataFrame:
     return hashed.join(first, "key_hash").where(F.col("a") < F.col("question_id")).select("a", F.col("question_id").alias("b"))
 
 
+def _meeting(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each two ``rows`` (slice, slices) of the same ``keys`` once, as ..._a and ..._b: a pair of slices meets in one task of its own."""
+    payload = [c for c in rows.columns if c not in (*keys, "slice", "slices")]
+    lower = rows.select("*", F.explode(F.sequence(F.col("slice"), F.col("slices") - 1)).alias("hi")).withColumnRenamed("slice", "lo")
+    upper = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("slice"))).alias("lo")).withColumnRenamed("slice", "hi")
+    left, right = (side.select(*keys, "lo", "hi", *[F.col(c).alias(f"{c}_{end}") for c in payload]) for side, end in ((lower, "a"), (upper, "b")))
+    return left.join(right, [*keys, "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
+
+
 def exact_duplicate_pairs(keyed: DataFrame) -> DataFrame:
     """All pairs a < b of each group (a record-level report).
 
     A group is cut into slices of about ``PAIR_SLICE`` members and each pair of
     slices meets once, so a large group is spread over many tasks.
     """
-    hashed = keyed.select("question_id", F.sha2("exact_key", 256).alias("key_hash"))
-    sizes = hashed.groupBy("key_hash").agg(F.count("*").alias("members")).where(F.col("members") > 1)
-    cut = F.ceil(F.col("members") / PAIR_SLICE).cast("int")
-    rows = hashed.join(sizes, "key_hash").withColumn("cut", cut).withColumn("slice", F.pmod(F.xxhash64("question_id"), F.col("cut")).cast("int"))
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
-    meet = spread.select("key_hash", "question_id", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"), "slice")
-    left, right = (meet.select("key_hash", "lo", "hi", F.col("question_id").alias(c), F.col("slice").alias(f"slice_{c}")) for c in "ab")
-    pairs = left.join(right, ["key_hash", "lo", "hi"]).where(F.col("a") < F.col("b"))
-    # Members of one slice meet in every task of that slice; the pair counts where it alone is named.
-    return pairs.where((F.least("slice_a", "slice_b") == F.col("lo")) & (F.greatest("slice_a", "slice_b") == F.col("hi"))).select("a", "b")
+    hashed = keyed.where(F.col("question_id").isNotNull()).select(F.col("question_id").alias("id"), F.sha2("exact_key", 256).alias("key_hash"))
+    sizes = hashed.groupBy("key_hash").agg(F.ceil(F.count("*") / PAIR_SLICE).cast("int").alias("slices"), F.count("*").alias("members"))
+    rows = hashed.join(sizes.where(F.col("members") > 1).drop("members"), "key_hash")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    return _meeting(rows, ["key_hash"]).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def representative_order() -> list[Column]:
@@ -71,25 +77,24 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when((norm_a == 0) | (norm_b == 0), F.lit(0.0)).otherwise(dot / (norm_a * norm_b))
 
 
-def cosine_candidates(vectors: DataFrame, same_type: float = SAME_TYPE, cross_type: float = CROSS_TYPE, blocks: int = 16) -> DataFrame:
+def cosine_candidates(vectors: DataFrame, same_type: float = SAME_TYPE, cross_type: float = CROSS_TYPE, slice_rows: int = VECTOR_SLICE) -> DataFrame:
     """a, b, sim, same of the pairs whose cosine reaches the threshold of their types.
 
-    ``vectors`` has id, kind, vector; null vectors give no pair. Rows are dealt to
-    ``blocks`` slices and each pair of slices meets once, so no task holds more than
-    two slices. The comparison of all pairs is the reference semantics; at scale use
-    an index such as the one in the llm package instead.
+    ``vectors`` has id, kind, vector; null ids and vectors give no pair. Rows are
+    dealt to slices of about ``slice_rows``, as many as the table asks for, and each pair of
+    slices meets once, so no task holds more than two slices. The comparison of all
+    pairs is the reference semantics; at scale use an index such as the one in the
+    llm package instead.
     """
-    rows = vectors.where(F.col("vector").isNotNull()).select("id", "kind", F.col("vector").cast("array<double>").alias("vector"))
-    rows = rows.withColumns({"norm": _norm(F.col("vector")), "slice": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    meet = spread.select("*", F.least("slice", "other").alias("lo"), F.greatest("slice", "other").alias("hi"))
-    left = meet.select("lo", "hi", *[F.col(c).alias(f"{c}_a") for c in ("id", "kind", "vector", "norm", "slice")])
-    right = meet.select("lo", "hi", *[F.col(c).alias(f"{c}_b") for c in ("id", "kind", "vector", "norm", "slice")])
-    pairs = left.join(right, ["lo", "hi"]).where(F.col("id_a") < F.col("id_b"))
-    pairs = pairs.where((F.least("slice_a", "slice_b") == F.col("lo")) & (F.greatest("slice_a", "slice_b") == F.col("hi")))
-    same = F.col("kind_a") == F.col("kind_b")
-    scored = pairs.select(
-        F.col("id_a").alias("a"), F.col("id_b").alias("b"), cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b")).alias("sim"), same.alias("same")
+    rows = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "kind", F.col("vector").cast("array<double>").alias("vector"))
+    # Small tables too are spread over a few tasks.
+    slices = max(LEAST_SLICES, -(-rows.count() // slice_rows))
+    rows = rows.withColumns({"norm": _norm(F.col("vector")), "slices": F.lit(slices), "slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")})
+    scored = _meeting(rows, []).select(
+        F.least("id_a", "id_b").alias("a"),
+        F.greatest("id_a", "id_b").alias("b"),
+        cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b")).alias("sim"),
+        (F.col("kind_a") == F.col("kind_b")).alias("same"),
     )
     return scored.where(F.col("sim") >= F.when(F.col("same"), same_type).otherwise(cross_type))
 

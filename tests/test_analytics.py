@@ -94,7 +94,7 @@ def test_canonical_states(spark):
 
 def test_cosine_gates(spark):
     rows = [("a", "mcq", [1.0, 0.0]), ("b", "essay", [0.9, 0.436]), ("c", "essay", [0.999, 0.045]), ("d", "mcq", None), ("e", "mcq", [0.0, 0.0])]
-    got = dedup.cosine_candidates(spark.createDataFrame(rows, "id string, kind string, vector array<double>"), blocks=3)
+    got = dedup.cosine_candidates(spark.createDataFrame(rows, "id string, kind string, vector array<double>"), slice_rows=1)
     assert {(r["a"], r["b"]) for r in got.collect()} == {("a", "c"), ("b", "c")}
 
 
