@@ -35,7 +35,16 @@ QUOTA_MARKERS = ["per-day", "per day", "daily", "add credits", "add 10 credits",
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no such function."""
-    return values.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
+    return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
+def composed(text: Column) -> Column:
+    """Compatibility composition; ASCII texts, which it leaves as they are, don't go to Python."""
+    return F.coalesce(nfkc(F.when(beyond_ascii(text), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -44,14 +53,15 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    # No blank but the plain one is left to be taken off the ends.
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def exact_text(text: Column, compose: bool = True) -> Column:
     """The form under which two texts count as equal: composed, plain quotes and dashes, single blanks, no final dots, lower case."""
-    base = nfkc(text) if compose else text
-    plain = F.translate(base, "".join(QUOTES_AND_DASHES), "".join(QUOTES_AND_DASHES.values()))
-    return F.lower(F.rtrim(collapse(F.replace(plain, F.lit(ELLIPSIS), F.lit("..."))), F.lit(".")))
+    base = composed(text) if compose else text
+    plain = F.replace(F.translate(base, "".join(QUOTES_AND_DASHES), "".join(QUOTES_AND_DASHES.values())), F.lit(ELLIPSIS), F.lit("..."))
+    return F.lower(F.rtrim(collapse(F.when(beyond_ascii(base), plain).otherwise(base)), F.lit(".")))
 
 
 def exact_key(kind: Column, text: Column, options: Column | None = None, compose: bool = True) -> Column:
@@ -60,7 +70,7 @@ def exact_key(kind: Column, text: Column, options: Column | None = None, compose
     if options is not None:
         # Options go through the composition together, between marks of private use that it leaves alone.
         joined = F.array_join(F.transform(options, lambda o: F.coalesce(o, F.lit(""))), BETWEEN_OPTIONS)
-        each = F.split(nfkc(joined) if compose else joined, BETWEEN_OPTIONS)
+        each = F.split(composed(joined) if compose else joined, BETWEEN_OPTIONS)
         tail = F.array_join(F.transform(each, lambda o: exact_text(o, False)), "|")
     return F.concat(kind, F.lit("||"), exact_text(text, compose), F.lit("||"), tail)
 
