@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, reduced to the columns of the contracts."""
+"""The operators over their whole tables, reduced to the columns of the contracts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_tree import ball_tree_clusters
 from .bpe import encode_documents
 from .contamination import find_contamination
 from .context_mixing import score_documents
@@ -93,6 +94,10 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "position", "speaker", digest, "start", "stop", "mask_start", "mask_stop")
 
 
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -104,9 +109,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_perspectives": op10_perspectives,
+    "op12_ball_tree": op12_ball_tree,
 }
 
+
+def ball_tree_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """SQL of op12: the same assignments and means over all vectors, a pair of expressions for each round."""
+    parts = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS w
+  FROM kept ORDER BY sha256('1:' || vec_id) NULLS LAST, v LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v,
+         min(CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) * {k} + c) AS best
+  FROM kept, c{r} GROUP BY rid)""")
+        if r < rounds:
+            parts.append(f"""p{r} AS (SELECT best % {k} AS c, unnest(v) AS x, unnest(range({dims})) AS i FROM a{r}),
+m{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM p{r} GROUP BY c, i),
+c{r + 1} AS (
+  SELECT c{r}.c AS c, coalesce(moved.w, c{r}.w) AS w
+  FROM c{r} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM m{r} GROUP BY c) AS moved ON moved.c = c{r}.c)""")
+    return f"""WITH {", ".join(parts)},
+found AS (SELECT vec_id, CAST(best % {k} AS INTEGER) AS cluster, CAST(best // {k} AS BIGINT) AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM found JOIN c{rounds} ON c = cluster"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_ball_tree": ball_tree_sql(),
     "op6_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
