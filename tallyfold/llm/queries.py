@@ -16,6 +16,7 @@ from .learned_partitions import search_neighbours
 from .licenses import scan_licenses
 from .line_runs import dedup_lines
 from .perspectives import rotate_perspectives
+from .repair import repair_conversations
 from .secret_scan import scan_secrets
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
 
@@ -94,6 +95,23 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "perspective", "position", "speaker", digest, "start", "stop", "mask_start", "mask_stop")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text and copies, after the contract's damage by crc32 of ``conv_id:turn``; nulls count as one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, F.lit("user")).otherwise(space("role")).alias("role"),
+        F.when(harm == 1, F.lit("")).when(harm == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text")).alias("text"),
+        F.when(harm == 0, 0).when(harm == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -109,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_perspectives": op10_perspectives,
+    "op11_repair": op11_repair,
     "op12_ball_tree": op12_ball_tree,
 }
 
@@ -142,6 +161,77 @@ SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster)
 FROM found JOIN c{rounds} ON c = cluster"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+crcs AS (
+  SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''),
+         lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+         lambda a, x: xor(xor(a, x) // 2, 3988292384 * (xor(a, x) % 2))) AS r
+  FROM keyed),
+harmed AS (SELECT *, (4294967295 - r) % 20 AS h FROM crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) AS again
+  FROM harmed),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, left(role, 1) AS c
+  FROM damaged),
+judged AS (
+  SELECT conv_id, turn, role, text, i, c, said = '' AS blank,
+         said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS twice,
+         lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS then_c, right(said, 1) NOT IN ('.', '!', '?') AS open_end
+  FROM placed),
+turns AS (
+  SELECT *, blank OR twice AS gone, CASE WHEN NOT blank AND NOT twice AND open_end THEN 3 ELSE 0 END AS extra FROM judged),
+sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE twice) AS duplicate, count(*) FILTER (WHERE extra > 0) AS truncated,
+         count(*) FILTER (WHERE c || then_c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+raw AS (
+  SELECT conv_id, n + 1 AS i, CAST(0 AS BIGINT) AS c0, CAST(6 AS BIGINT) AS c1, CAST(3 AS BIGINT) AS c2, CAST(0 AS BIGINT) AS c3 FROM sizes
+  UNION ALL
+  SELECT conv_id, i, least(b0, 3 + b2, 6 + b3), least(b1, 3 + b2, 6 + b3), least(b2, 3 + b3), least(b3, 3 + b2)
+  FROM (
+    SELECT turns.conv_id AS conv_id, turns.i AS i,
+           CASE WHEN gone THEN 4 + c0 ELSE least(4 + c0, 3 + extra + c2, CASE c WHEN 's' THEN extra + c1 WHEN 'u' THEN extra + c2 END) END AS b0,
+           CASE WHEN gone THEN 4 + c1 ELSE least(4 + c1, 3 + extra + c2, CASE c WHEN 'u' THEN extra + c2 END) END AS b1,
+           CASE WHEN gone THEN 4 + c2 ELSE least(4 + c2, 3 + extra + c3, CASE c WHEN 'a' THEN extra + c3 END) END AS b2,
+           CASE WHEN gone THEN 4 + c3 ELSE least(4 + c3, 3 + extra + c2, CASE c WHEN 'u' THEN extra + c2 END) END AS b3
+    FROM raw JOIN turns ON turns.conv_id IS NOT DISTINCT FROM raw.conv_id AND turns.i = raw.i - 1) AS before),
+costs AS (SELECT conv_id, i, [c0, c1, c2, c3] AS f FROM raw),
+pairs AS (
+  SELECT a.conv_id AS conv_id, a.i AS i, a.f AS f, b.f AS g, gone, extra, role, text, c, b.i IS NULL AS done
+  FROM costs a LEFT JOIN costs b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.i = a.i + 1
+  LEFT JOIN turns ON turns.conv_id IS NOT DISTINCT FROM a.conv_id AND turns.i = a.i),
+walk AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS i, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM sizes
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN kept ELSE nxt END, audit || e,
+         CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+              ELSE list_append(said, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT *, CASE WHEN NOT done AND f[s] = 4 + g[s] THEN 'D' WHEN f[s] = 3 + f[nxt] THEN 'I' WHEN f[s] = extra + g[kept] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT walk.conv_id AS conv_id, walk.i AS i, s, audit, said, f, g, extra, role, text, done, CASE WHEN s = 3 THEN 4 ELSE 3 END AS nxt,
+             CASE WHEN c = 's' AND s = 1 THEN 2 WHEN c = 'u' AND s <> 3 THEN 3 WHEN c = 'a' AND s = 3 THEN 4 END AS kept
+      FROM walk JOIN pairs ON pairs.conv_id IS NOT DISTINCT FROM walk.conv_id AND pairs.i = walk.i
+      WHERE NOT (done AND s IN (1, 4))) AS seen) AS chosen),
+ends AS (
+  SELECT walk.conv_id AS conv_id, audit, said FROM walk JOIN sizes ON sizes.conv_id IS NOT DISTINCT FROM walk.conv_id
+  WHERE i = n + 1 AND s IN (1, 4)),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(c0, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN sizes ON sizes.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN raw ON raw.conv_id IS NOT DISTINCT FROM ids.conv_id AND raw.i = 1
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id""",
     "op12_ball_tree": ball_tree_sql(),
     "op6_line_dedup": r"""
 WITH lines AS (
