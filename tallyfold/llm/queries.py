@@ -19,6 +19,7 @@ from .perspectives import rotate_perspectives
 from .repair import repair_conversations
 from .secret_scan import scan_secrets
 from .toxicity import THRESHOLD, score_toxicity, train_toxicity
+from .wrappers import extract_main_text
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -116,6 +117,10 @@ def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -129,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_perspectives": op10_perspectives,
     "op11_repair": op11_repair,
     "op12_ball_tree": op12_ball_tree,
+    "op13_wrappers": op13_wrappers,
 }
 
 

@@ -17,6 +17,7 @@ COLUMNS = {
     "op5_learned_partitions": {"query_id", "rank", "vec_id", "score"},
     "op7_bpe": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op8_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+    "op13_wrappers": {"page_id", "url", "text", "n_chars"},
 }
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the test tables")
@@ -48,6 +49,10 @@ def test_query_has_its_contract(spark, duck, name):
     if name == "op5_learned_partitions":
         assert {r["query_id"] for r in rows} == {r[0] for r in duck.sql("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
         return
+    if name == "op13_wrappers":
+        assert sorted((r["page_id"], r["url"]) for r in rows) == sorted(duck.sql("SELECT page_id, url FROM pages").fetchall())
+        assert all(r["text"] and r["n_chars"] == len(r["text"]) for r in rows)
+        return
     assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
     if name == "op3_context_mixing":
         assert all(r["score"] < 0 and r["base_score"] < 0 for r in rows)
