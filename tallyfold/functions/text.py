@@ -65,9 +65,10 @@ def exact_text(text: Column, compose: bool = True) -> Column:
 
 
 def exact_key(kind: Column, text: Column, options: Column | None = None, compose: bool = True) -> Column:
-    """type||stem||option|option."""
+    """type||stem||option|option; a null list of options is an empty one, a null text has no key."""
     tail = F.lit("")
     if options is not None:
+        options = F.coalesce(options, F.array().cast("array<string>"))
         # Options go through the composition together, between marks of private use that it leaves alone.
         joined = F.array_join(F.transform(options, lambda o: F.coalesce(o, F.lit(""))), BETWEEN_OPTIONS)
         each = F.split(composed(joined) if compose else joined, BETWEEN_OPTIONS)

@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_id
 from ..scratch import Scratch
 from .graph import connected_components
+from .similarity import SLICE_ROWS, cosine_join
 
 SAME_TYPE, CROSS_TYPE = 0.85, 0.95
 MERGE_FLOOR = 0.6
 PAIR_BATCH = 40
 #: Members of a group that one task compares with as many others.
 PAIR_SLICE = 1_000
-#: Vectors of a slice, and the slices of a table that would fit in fewer.
-VECTOR_SLICE, LEAST_SLICES = 4_000, 16
 EXACT = "exact_duplicate"
 DETERMINISTIC_MODEL = "deterministic"
 
 
 def exact_groups(keyed: DataFrame) -> DataFrame:
-    """exact_key, members, first_id of the keys that several rows share; the key is hashed for the shuffle."""
-    groups = keyed.groupBy(F.sha2("exact_key", 256).alias("key_hash")).agg(F.count("*").alias("members"), F.min("question_id").alias("first_id"))
+    """key_hash, members, first_id of the keys that several rows share; the key is hashed for the shuffle, a null key is no key."""
+    groups = keyed.where("exact_key IS NOT NULL").groupBy(F.sha2("exact_key", 256).alias("key_hash")).agg(F.count("*").alias("members"), F.min("question_id").alias("first_id"))
     return groups.where(F.col("members") > 1)
 
 
@@ -42,6 +41,13 @@ def _meeting(rows: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("id_a") < F.col("id_b")))
 
 
+def exact_classes(keyed: DataFrame) -> DataFrame:
+    """question_id, first_id, members of every row whose key others share: all pairs of a class, in rows that grow with the input."""
+    hashed = keyed.where("exact_key IS NOT NULL AND question_id IS NOT NULL").select("question_id", F.sha2("exact_key", 256).alias("key_hash"))
+    groups = hashed.groupBy("key_hash").agg(F.count("*").alias("members"), F.min("question_id").alias("first_id")).where(F.col("members") > 1)
+    return hashed.join(groups, "key_hash").select("question_id", "first_id", "members")
+
+
 def exact_duplicate_pairs(keyed: DataFrame) -> DataFrame:
     """All pairs a < b of each group (a record-level report).
 
@@ -66,37 +72,9 @@ def representatives(members: DataFrame, group: str) -> DataFrame:
     return members.groupBy(group).agg(best.alias("best")).select(group, F.col("best.question_id").alias("representative_question_id"))
 
 
-def _norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-
-
-def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    """0 where a norm is 0; the longer vector is cut to the shorter."""
-    n = F.least(F.size(a), F.size(b))
-    dot = F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return F.when((norm_a == 0) | (norm_b == 0), F.lit(0.0)).otherwise(dot / (norm_a * norm_b))
-
-
-def cosine_candidates(vectors: DataFrame, same_type: float = SAME_TYPE, cross_type: float = CROSS_TYPE, slice_rows: int = VECTOR_SLICE) -> DataFrame:
-    """a, b, sim, same of the pairs whose cosine reaches the threshold of their types.
-
-    ``vectors`` has id, kind, vector; null ids and vectors give no pair. Rows are
-    dealt to slices of about ``slice_rows``, as many as the table asks for, and each pair of
-    slices meets once, so no task holds more than two slices. The comparison of all
-    pairs is the reference semantics; at scale use an index such as the one in the
-    llm package instead.
-    """
-    rows = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "kind", F.col("vector").cast("array<double>").alias("vector"))
-    # Small tables too are spread over a few tasks.
-    slices = max(LEAST_SLICES, -(-rows.count() // slice_rows))
-    rows = rows.withColumns({"norm": _norm(F.col("vector")), "slices": F.lit(slices), "slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")})
-    scored = _meeting(rows, []).select(
-        F.least("id_a", "id_b").alias("a"),
-        F.greatest("id_a", "id_b").alias("b"),
-        cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b")).alias("sim"),
-        (F.col("kind_a") == F.col("kind_b")).alias("same"),
-    )
-    return scored.where(F.col("sim") >= F.when(F.col("same"), same_type).otherwise(cross_type))
+def cosine_candidates(vectors: DataFrame, same_type: float = SAME_TYPE, cross_type: float = CROSS_TYPE, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """a, b, sim, same of the pairs whose cosine reaches the threshold of their types; see ``similarity.cosine_join``."""
+    return cosine_join(vectors, same_type, cross_type, slice_rows)[0]
 
 
 def reconcile_pairs(asked: DataFrame, verdicts: DataFrame, floor: float = MERGE_FLOOR) -> DataFrame:

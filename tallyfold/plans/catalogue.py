@@ -157,14 +157,16 @@ def exact_match_key(spark, sf_dir):
     return keyed_questions(spark, sf_dir).select("question_id", F.sha2("exact_key", 256).alias("key_hash"))
 
 
-@query(f"WITH {Q}, {KEYED} SELECT sha256('x||' || norm || '||') AS key_hash, count(*) AS members, min(question_id) AS first_id FROM keyed GROUP BY norm HAVING count(*) > 1")
+@query(f"WITH {Q}, {KEYED} SELECT sha256('x||' || norm || '||') AS key_hash, count(*) AS members, min(question_id) AS first_id FROM keyed WHERE norm IS NOT NULL GROUP BY norm HAVING count(*) > 1")
 def exact_dup_groups(spark, sf_dir):
     return dedup.exact_groups(keyed_questions(spark, sf_dir))
 
 
-@query(f"WITH {Q}, {KEYED} SELECT x.question_id AS a, y.question_id AS b FROM keyed x JOIN keyed y ON x.norm = y.norm AND x.question_id < y.question_id")
+@query(f"""WITH {Q}, {KEYED} SELECT question_id, min(question_id) OVER (PARTITION BY norm) AS first_id, count(*) OVER (PARTITION BY norm) AS members
+FROM keyed WHERE norm IS NOT NULL QUALIFY count(*) OVER (PARTITION BY norm) > 1""")
 def exact_dup_pairs(spark, sf_dir):
-    return dedup.exact_duplicate_pairs(keyed_questions(spark, sf_dir))
+    """The pairs of each class as membership: two questions are a pair where their first_id is the same."""
+    return dedup.exact_classes(keyed_questions(spark, sf_dir))
 
 
 @query(f"""WITH {Q}, r AS (SELECT topic_id, question_id, row_number() OVER (PARTITION BY topic_id, paper_id ORDER BY ambiguous, extraction_confidence DESC, length(question_text) DESC, question_id) AS n, paper_id FROM q)
