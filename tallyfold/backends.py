@@ -11,7 +11,7 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from .providers import Provider, ProviderError, classify_error, rotated
+from .providers import Completion, Provider, ProviderError, classify_error, rotated
 
 ERROR_CHARS = 500
 
@@ -57,7 +57,9 @@ def hosted(base: str, key: str | None, models: list[str], seconds: float = 120.0
     def complete(prompt: str, room: int, attempt: int) -> str:
         wanted = rotated(models, attempt)
         body = {"model": wanted[0], "models": wanted, "messages": [{"role": "user", "content": prompt}], "max_tokens": room, "temperature": 0, "response_format": {"type": "json_object"}}
-        return _content(_post(f"{base}/chat/completions", body, headers(key, **extra), seconds))
+        answer = _post(f"{base}/chat/completions", body, headers(key, **extra), seconds)
+        usage = answer.get("usage") or {}
+        return Completion.of(_content(answer), answer.get("model") or wanted[0], usage.get("prompt_tokens"), usage.get("completion_tokens"))
 
     return Provider(f"hosted:{models[0]}", complete)
 
@@ -81,7 +83,8 @@ def local(base: str, model: str, context: int = 16_384, seconds: float = 1_800.0
 
     def complete(prompt: str, room: int, attempt: int) -> str:
         body = {"model": model, "messages": [{"role": "user", "content": prompt}], "format": "json", "stream": False, "options": options | {"num_predict": room}}
-        return _post(f"{base}/api/chat", body, {"Content-Type": "application/json"}, seconds).get("message", {}).get("content") or ""
+        answer = _post(f"{base}/api/chat", body, {"Content-Type": "application/json"}, seconds)
+        return Completion.of(answer.get("message", {}).get("content") or "", model, answer.get("prompt_eval_count"), answer.get("eval_count"))
 
     return Provider(f"local:{model}", complete)
 

@@ -1,9 +1,11 @@
 """python -m tallyfold.cli COMMAND: Parquet tables in; Parquet, JSON and Markdown out.
 
-topics, extract-questions, classify-topics, deduplicate, analyze-frequency,
-generate-report, analyze. Commands that ask a provider take its module and
-function (``module:function`` giving a Provider). When no calls are left a command
-stops with exit code 2; what was stored is kept, and the next run goes on.
+topics, extract-topics, extract-questions, classify-topics, deduplicate,
+analyze-frequency, generate-report, analyze. Commands that ask a provider take its
+module and function (``module:function`` giving a Provider) and keep every answer
+in a store (``--answers``; ``answers`` in the output folder unless given). When no
+calls are left a command stops with exit code 2; the next run asks exactly what has
+no answer yet.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import listings
+from .answers import AnswerStore, Recorded
+from .operators import dedup, listings
 from .operators.topics import validate
 from .plans import stages
-from .plans.analysis import NOTES, analyze, deduplicate, load_topics
-from .providers import Provider, ProviderError
+from .plans.analysis import NOTES, analyze, exact_and_judged, load_topics
+from .plans.deduplication import run_deduplication
+from .providers import ProviderError
 from .shipping import ship_package
 from .sources import writers
+from .sources.snapshots import Snapshots
 
 PAUSED = 2
 COMMANDS = {
     "topics": ("source", "out"),
+    "extract-topics": ("blocks", "provider", "out"),
     "extract-questions": ("blocks", "provider", "out"),
     "classify-topics": ("topics", "questions", "provider", "out"),
     "deduplicate": ("questions", "out"),
@@ -36,9 +42,13 @@ COMMANDS = {
 }
 
 
-def _provider(name: str) -> Provider:
+def _named(name: str):
     module, function = name.split(":")
-    return getattr(importlib.import_module(module), function)()
+    return getattr(importlib.import_module(module), function)
+
+
+def _provider(spark: SparkSession, given: argparse.Namespace) -> Recorded:
+    return Recorded(_named(given.provider)(), AnswerStore(spark, given.answers or f"{given.out}/answers"))
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -59,21 +69,37 @@ def topics_command(spark: SparkSession, given: argparse.Namespace) -> None:
     writers.topics_outputs(found, issues, spark.createDataFrame([], "file_id string, page int, structure string, confidence double"), f"{given.out}/json")
 
 
+def extract_topics_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """Topics of books from their blocks: the search for the contents, the topics of what was found, names that were missing."""
+    provider, blocks = _provider(spark, given), spark.read.parquet(given.blocks)
+    search = _kept(stages.detect_contents(blocks, provider), f"{given.out}/search")
+    listed = _kept(stages.extract_topics(stages.contents_blocks(blocks, search), provider), f"{given.out}/listed")
+    found = _kept(stages.recover_names(listed, blocks, provider), f"{given.out}/topics")
+    issues = _kept(validate(found, given.first_page, given.last_page), f"{given.out}/issues")
+    writers.topics_outputs(found, issues, search, f"{given.out}/json")
+
+
 def extract_command(spark: SparkSession, given: argparse.Namespace) -> None:
-    """Papers, their details and their questions from blocks."""
-    provider, blocks = _provider(given.provider), spark.read.parquet(given.blocks)
+    """Papers with their metadata and sections, and their questions, from blocks; ``--files`` (file_id, filename) gives the names."""
+    provider, blocks = _provider(spark, given), spark.read.parquet(given.blocks)
     papers = _kept(stages.detect_papers(blocks, provider), f"{given.out}/papers")
     owned = _kept(listings.blocks_of_papers(blocks, papers), f"{given.out}/blocks")
     read = _kept(stages.paper_structures(owned, provider), f"{given.out}/structures")
-    detailed = papers.join(read.select("paper_id", "sections"), "paper_id", "left")
+    names = spark.read.parquet(given.files).select("file_id", "filename") if given.files else blocks.select("file_id", F.lit(None).cast("string").alias("filename")).distinct()
+    merged = listings.merged_metadata(papers.join(read, "paper_id", "left").join(names, "file_id", "left"))
+    detailed = _kept(merged.select(*papers.columns, "filename", "metadata", "other_identifiers", "sections"), f"{given.out}/detailed")
     rows, notes = stages.extract_questions(owned, detailed, provider)
     ids = F.transform(F.coalesce("sections", F.array().cast(f"array<{stages.SECTION}>")), lambda s, i: F.concat("paper_id", F.lit("_s"), i.cast("string")))
     questions = _kept(stages.numbered_questions(rows, detailed.select("paper_id", ids.alias("section_ids"))), f"{given.out}/questions")
     notes = _kept(notes, f"{given.out}/notes")
     counts = questions.groupBy("paper_id").agg(F.count("*").alias("questions"))
     files = papers.join(counts, "paper_id", "left").groupBy("file_id").agg(F.count("*").alias("papers"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
-    shown = questions.select("paper_id", F.col("question_id").alias("ord"), F.lit(None).cast("string").alias("section"), "question_number", "question_text", "options")
-    writers.papers_outputs(papers, shown, files, f"{given.out}/json")
+    order = F.struct("chunk", "pos").alias("ord")
+    label = F.get("sections", F.col("section_index"))
+    titled = questions.join(detailed.select("paper_id", "sections"), "paper_id", "left")
+    title = F.coalesce(F.nullif(label["raw_label"], F.lit("")), label["section_type"]).alias("section")
+    shown = titled.select("paper_id", order, title, "question_id", "section_id", "question_number", "question_type", "question_text", "options", "source_pages", "extraction_confidence")
+    writers.papers_outputs(detailed, shown, files, f"{given.out}/json")
 
 
 def classify_command(spark: SparkSession, given: argparse.Namespace) -> None:
@@ -82,23 +108,48 @@ def classify_command(spark: SparkSession, given: argparse.Namespace) -> None:
     for name, kind in (("classification_status", "string"), ("topic_id", "string"), ("topic_name", "string"), ("topic_confidence", "double")):
         if name not in questions.columns:
             questions = questions.withColumn(name, F.lit(None).cast(kind))
-    done = _kept(stages.classify_questions(questions, topics, _provider(given.provider)), f"{given.out}/questions")
-    writers.classification_outputs(topics, done, listings.classification_counts(done, ["paper_id"]), f"{given.out}/json")
+    done = _kept(stages.classify_questions(questions, topics, _provider(spark, given)), f"{given.out}/questions")
+    if given.papers:
+        papers = spark.read.parquet(given.papers).select("paper_id", "file_id")
+        totals = listings.classification_totals(done, papers, papers.select("file_id", F.lit("success").alias("status")).distinct())
+    else:
+        totals = listings.classification_counts(done, ["paper_id"])
+    writers.classification_outputs(topics, done, totals, f"{given.out}/json")
 
 
 def deduplicate_command(spark: SparkSession, given: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    judged = spark.read.parquet(given.decisions) if given.decisions else None
-    canonicals, links = deduplicate(spark.read.parquet(given.questions), judged)
-    canonicals, links = _kept(canonicals, f"{given.out}/canonicals"), _kept(links, f"{given.out}/links")
-    decisions = judged if judged is not None else spark.createDataFrame([], "a string, b string, decision_source string, verdict string, confidence double")
-    writers.dedup_outputs(canonicals, decisions, listings.dedup_statistics(decisions, canonicals), f"{given.out}/json")
+    """Canonical records and links, replaced together: from recorded verdicts, or with an embedder and a judge.
+
+    With ``--provider`` candidates of vectors (``--embedder module:function`` makes the
+    embedder) are judged; vectors and verdicts are kept in ``stores``.
+    """
+    questions = spark.read.parquet(given.questions)
+    for name, kind in (("options", "array<string>"), ("topic_name", "string")):
+        if name not in questions.columns:
+            questions = questions.withColumn(name, F.lit(None).cast(kind))
+    if given.provider:
+        questions = questions.withColumn("options", F.coalesce("options", F.array().cast("array<string>")))
+        load = _named(given.embedder) if given.embedder else None
+        done = run_deduplication(questions, f"{given.out}/stores", _provider(spark, given), load, given.embedder or "")
+        canonicals, links, decisions, statistics = done.canonicals, done.links, done.decisions, done.statistics
+    else:
+        judged = spark.read.parquet(given.decisions) if given.decisions else None
+        decisions = _kept(exact_and_judged(questions, judged), f"{given.out}/decisions")
+        canonicals, links = dedup.assemble_canonicals(questions, decisions)
+        statistics = listings.dedup_statistics(decisions, canonicals)
+    state = Snapshots(spark, f"{given.out}/state")
+    state.write({"canonicals": canonicals, "links": links})
+    state.drop_unnamed()
+    canonicals, links = state.read("canonicals"), state.read("links")
+    writers.dedup_outputs(canonicals, decisions, statistics, f"{given.out}/json")
     return canonicals, links
 
 
 def analyze_command(spark: SparkSession, given: argparse.Namespace) -> None:
     """Canonical records, every table of the analysis, and the report over whole tables."""
     canonicals, links = deduplicate_command(spark, given)
-    tables = analyze(spark.read.parquet(given.topics), spark.read.parquet(given.questions), canonicals, links)
+    papers = spark.read.parquet(given.papers) if given.papers else None
+    tables = analyze(spark.read.parquet(given.topics), spark.read.parquet(given.questions), canonicals, links, papers)
     written = {name: _kept(table, f"{given.out}/{name}") for name, table in tables.items()}
     if given.command != "generate-report":
         ranking = written["topics"].drop(*[c for c in written["topics"].columns if c.startswith("n_")])
@@ -114,6 +165,7 @@ def analyze_command(spark: SparkSession, given: argparse.Namespace) -> None:
 
 RUN = {
     "topics": topics_command,
+    "extract-topics": extract_topics_command,
     "extract-questions": extract_command,
     "classify-topics": classify_command,
     "deduplicate": deduplicate_command,
@@ -131,6 +183,12 @@ def main(arguments: list[str] | None = None) -> int:
         for option in options:
             command.add_argument(f"--{option}", required=True)
         command.add_argument("--decisions", help="recorded verdicts on pairs")
+        command.add_argument("--answers", help="the store of answers")
+        command.add_argument("--files", help="names of files (file_id, filename)")
+        command.add_argument("--papers", help="papers with their metadata")
+        command.add_argument("--embedder", help="module:function that makes an embedder")
+        if "provider" not in options:
+            command.add_argument("--provider", help="the judge of candidate pairs")
         command.add_argument("--first-page", type=int, default=1)
         command.add_argument("--last-page", type=int, default=1_000_000)
     given = parser.parse_args(arguments)

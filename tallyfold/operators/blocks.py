@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MARKS_LINE, OPTION_MARKER, OPTION_PREFIX, printed_page, strip
+from ..scratch import Scratch
 
 #: Fixed values.
 STRUCTURAL = ["title", "section_header", "page_header", "page_footer"]
@@ -156,6 +159,47 @@ def toc_window(verdicts: DataFrame) -> DataFrame:
     return good.groupBy("file_id").agg(F.min("window").cast("long").alias("window"))
 
 
+def search_windows(blocks: DataFrame, width: int = TOC_WINDOW, most: int = TOC_PAGES) -> DataFrame:
+    """file_id, window, start_page, end_page, has_blocks: the windows of pages in which each file's contents may be, in order.
+
+    They end with the file or after ``most`` pages; windows without blocks are there too.
+    """
+    ends = blocks.groupBy("file_id").agg(F.least(F.max(F.array_max("page_numbers")), F.lit(most)).alias("last"))
+    windows = ends.where(F.col("last") >= 1).select("file_id", "last", F.explode(F.sequence(F.lit(0), F.floor((F.col("last") - 1) / width).cast("int"))).alias("window"))
+    paged = blocks.select("file_id", F.explode("page_numbers").alias("page")).where(F.col("page") <= most)
+    held = paged.groupBy("file_id", F.floor((F.col("page") - 1) / width).cast("int").alias("window")).agg(F.lit(True).alias("has_blocks"))
+    joined = windows.join(held, ["file_id", "window"], "left")
+    last = F.least((F.col("window") + 1) * width, F.col("last"))
+    return joined.select("file_id", "window", (F.col("window") * width + 1).alias("start_page"), last.alias("end_page"), F.coalesce("has_blocks", F.lit(False)).alias("has_blocks"))
+
+
+def search_frontier(windows: DataFrame, judge: Callable[[DataFrame], DataFrame], least: float = TOC_CONFIDENCE) -> DataFrame:
+    """The windows that were looked at, with structure, confidence and found.
+
+    In each round the next window of every undecided file is judged (``judge`` gives
+    file_id, structure, confidence of the windows it gets, and may leave some out); a
+    file leaves with its first confident verdict, so that nothing behind it is asked.
+    ``windows`` has file_id, window (from 0), has_blocks; those without blocks are
+    passed over without a call. There are as many rounds as windows of the longest
+    file, each written before the next.
+    """
+    scratch = Scratch(windows.sparkSession, "frontier")
+    windows = scratch.keep(windows, "windows")
+    rounds = windows.agg(F.max("window")).first()[0]
+    looked, decided = None, None
+    for number in range(0 if rounds is None else rounds + 1):
+        here = windows.where(F.col("window") == number)
+        if decided is not None:
+            here = here.join(decided, "file_id", "left_anti")
+        verdicts = scratch.keep(judge(here.where("has_blocks")), f"verdicts-{number}")
+        good = F.coalesce(F.col("structure").isin("table_of_contents", "index") & (F.col("confidence") >= least), F.lit(False))
+        seen = scratch.keep(here.join(verdicts, "file_id", "left").withColumn("found", good), f"looked-{number}")
+        found = seen.where("found").select("file_id")
+        looked = seen if looked is None else looked.unionByName(seen)
+        decided = found if decided is None else decided.union(found)
+    return looked if looked is not None else windows.withColumns({"structure": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "found": F.lit(False)})
+
+
 def rendered(blocks: DataFrame) -> DataFrame:
     """One text per file: a line for each block in order, cut at RENDERED_CHARS."""
     pages = F.concat(F.lit("[page "), F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ","), F.lit("] ("))

@@ -46,3 +46,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("id")).distinct()
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots.select("id", F.col("id").alias("component")))
+
+
+def component_changes(labels: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """id, component of the ids whose component changes, or which are new, when ``edges`` (a, b) are added to ``labels`` (id, component).
+
+    New edges meet labels, not the edges of earlier runs: they become edges between
+    labels, the components of this small graph rename labels, and only rows of renamed
+    labels are given. As a label is the smallest id of its component, so is the new one.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "changes")
+    held = labels.select("id", "component")
+    ends = [held.select(F.col("id").alias(f"id_{e}"), F.col("component").alias(f"label_{e}")) for e in "ab"]
+    met = edges.select("a", "b").where("a <> b").distinct()
+    met = met.join(ends[0], F.col("a") == F.col("id_a"), "left").join(ends[1], F.col("b") == F.col("id_b"), "left")
+    met = scratch.keep(met.select("a", "b", "label_a", "label_b"), "met")
+    renamed = connected_components(met.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")), scratch=scratch)
+    renamed = scratch.keep(renamed.select(F.col("id").alias("old"), F.col("component").alias("new")), "renamed")
+    moved = held.join(renamed.where("old <> new"), F.col("component") == F.col("old")).select("id", F.col("new").alias("component"))
+    fresh = met.where("label_a IS NULL").select(F.col("a").alias("id")).union(met.where("label_b IS NULL").select("b")).distinct()
+    return moved.unionByName(fresh.join(renamed, F.col("id") == F.col("old")).select("id", F.col("new").alias("component")))
+
+
+def with_changes(labels: DataFrame, changes: DataFrame) -> DataFrame:
+    """``labels`` after ``changes``."""
+    kept = labels.select("id", "component").join(changes.select("id"), "id", "left_anti")
+    return kept.unionByName(changes.select("id", "component"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import best_of, field_conflict, filename_metadata
 from ..schemas import STATUSES
+from .intervals import points_in_spans
 
 #: Pages around the expected one that are searched for a topic's heading: so many before and after.
 CANDIDATE_BEFORE, CANDIDATE_AFTER = 1, 2
@@ -15,18 +16,16 @@ FIELDS = ["exam_name", "institution", "subject", "date", "year", "paper_identifi
 
 def blocks_of_papers(blocks: DataFrame, papers: DataFrame) -> DataFrame:
     """Blocks with the paper_id of the paper (file_id, start_page, end_page) that has one of their pages; of two papers both."""
-    spans = papers.select(F.col("file_id").alias("of"), "paper_id", "start_page", "end_page")
-    inside = F.exists("page_numbers", lambda p: (p >= F.col("start_page")) & (p <= F.col("end_page")))
-    return blocks.join(spans, (F.col("file_id") == F.col("of")) & inside).select("paper_id", *blocks.columns)
+    spans = papers.select("file_id", "paper_id", "start_page", "end_page")
+    return points_in_spans(blocks, F.col("page_numbers"), spans, "file_id", "start_page", "end_page").select("paper_id", *blocks.columns)
 
 
 def candidate_blocks(topics: DataFrame, blocks: DataFrame, offset: DataFrame) -> DataFrame:
     """Blocks near the page on which a topic (id, file_id, declared_page_number) should begin; none without an offset."""
     expected = topics.where(F.col("declared_page_number").isNotNull()).join(offset.select("file_id", "offset"), "file_id")
     page = F.col("declared_page_number") + F.col("offset")
-    near = expected.select(F.col("file_id").alias("of"), F.col("id").alias("topic_id"), (page - CANDIDATE_BEFORE).alias("low"), (page + CANDIDATE_AFTER).alias("high"))
-    inside = F.exists("page_numbers", lambda p: (p >= F.col("low")) & (p <= F.col("high")))
-    return blocks.join(near, (F.col("file_id") == F.col("of")) & inside).select("topic_id", *blocks.columns)
+    near = expected.select("file_id", F.col("id").alias("topic_id"), (page - CANDIDATE_BEFORE).alias("low"), (page + CANDIDATE_AFTER).alias("high"))
+    return points_in_spans(blocks, F.col("page_numbers"), near, "file_id", "low", "high").select("topic_id", *blocks.columns)
 
 
 def section_id(ids: Column, index: Column) -> Column:

@@ -237,11 +237,9 @@ def components_minlabel(spark, sf_dir):
     return dedup.groups(vectors.select(F.col("id").alias("question_id")), edges)
 
 
-ASSEMBLY = f"""{Q}, {KEYED},
-first AS (SELECT norm, min(question_id) AS f FROM keyed GROUP BY norm),
-dec AS (SELECT f AS a, question_id AS b, 'exact_duplicate' AS src, 'same_question' AS verdict, 1.0 AS confidence FROM keyed JOIN first ON first.norm = keyed.norm WHERE f < question_id
-  UNION ALL SELECT x.question_id, y.question_id, 'llm_judge', CASE WHEN x.doc_id % 200 = 0 THEN 'same_question' ELSE 'uncertain' END, 0.7
-  FROM q x JOIN q y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 100 = 0),
+#: SQL of canonical records from exact links and judged pairs (f: the first of each exact class).
+CANONICALS = """dec AS (SELECT f AS a, question_id AS b, 'exact_duplicate' AS src, 'same_question' AS verdict, 1.0 AS confidence FROM keyed JOIN first ON first.norm = keyed.norm WHERE f < question_id
+  UNION ALL SELECT a, b, 'llm_judge', verdict, confidence FROM judged),
 two AS (SELECT a AS x, b AS y FROM dec WHERE verdict = 'same_question' UNION ALL SELECT b, a FROM dec WHERE verdict = 'same_question'),
 r AS (SELECT question_id AS x, question_id AS y FROM q UNION SELECT r.x, two.y FROM r JOIN two ON two.x = r.y),
 lab AS (SELECT x AS question_id, min(y) AS component FROM r GROUP BY x),
@@ -252,6 +250,11 @@ uns AS (SELECT component, max(confidence) AS most FROM (SELECT a AS question_id,
 best AS (SELECT component, question_id AS representative_question_id FROM (
   SELECT component, q.question_id AS question_id, row_number() OVER (PARTITION BY component ORDER BY ambiguous, extraction_confidence DESC, length(question_text) DESC, q.question_id) AS n
   FROM q JOIN lab ON lab.question_id = q.question_id) AS t WHERE n = 1)"""
+ASSEMBLY = f"""{Q}, {KEYED},
+first AS (SELECT norm, min(question_id) AS f FROM keyed GROUP BY norm),
+judged AS (SELECT x.question_id AS a, y.question_id AS b, CASE WHEN x.doc_id % 200 = 0 THEN 'same_question' ELSE 'uncertain' END AS verdict, 0.7 AS confidence
+  FROM q x JOIN q y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 100 = 0),
+{CANONICALS}"""
 
 
 def _assembly(spark, sf_dir):
@@ -264,11 +267,13 @@ def _assembly(spark, sf_dir):
     return dedup.assemble_canonicals(rows, exact.union(judged))
 
 
-@query(f"""WITH RECURSIVE {ASSEMBLY}
-SELECT 'canonical_' || substr(sha256(ids), 1, 16) AS canonical_question_id, representative_question_id, members,
+CANONICAL_ROWS = """SELECT 'canonical_' || substr(sha256(ids), 1, 16) AS canonical_question_id, representative_question_id, members,
   CASE WHEN members = 1 AND most IS NOT NULL THEN 'needs_review' WHEN members = 1 THEN 'singleton' WHEN all_exact THEN 'exact_duplicate' ELSE 'semantic_merge' END AS dedup_status,
   CAST(CASE WHEN members = 1 THEN most WHEN all_exact THEN 1.0 ELSE least END AS DOUBLE) AS dedup_confidence
-FROM sizes LEFT JOIN inn ON inn.component = sizes.component LEFT JOIN uns ON uns.component = sizes.component JOIN best ON best.component = sizes.component""")
+FROM sizes LEFT JOIN inn ON inn.component = sizes.component LEFT JOIN uns ON uns.component = sizes.component JOIN best ON best.component = sizes.component"""
+
+
+@query(f"WITH RECURSIVE {ASSEMBLY} {CANONICAL_ROWS}")
 def canonical_assembly(spark, sf_dir):
     return _assembly(spark, sf_dir)[0]
 

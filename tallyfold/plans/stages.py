@@ -1,8 +1,8 @@
 """Stages that ask a provider: prompts from evidence, answers to rows.
 
 Each stage is a table of prompts (key, prompt), asked on the executors, and a
-parser of the answers. Answers are stored by the caller (``VersionedTable``), so
-that a paused run asks only for what is missing. What the model says is checked
+parser of the answers. With a recorded provider
+(``answers.Recorded``) a paused run asks only for what is missing. What the model says is checked
 afterwards by the operators that reconcile it with what was asked.
 """
 
@@ -15,8 +15,9 @@ from ..functions.text import occurrence_ids
 from ..operators import blocks as B
 from ..operators import dedup, listings, reconcile, render
 from ..operators import topics as T
-from ..providers import Check, Provider, ask, required
-from ..schemas import LIST_CAPS
+from ..operators.intervals import points_in_spans
+from ..providers import Check, Provider, ask, confidence, entries, every, one_of, optional_text, required, text, whole_number
+from ..schemas import LIST_CAPS, QUESTION_TYPES, STATUSES
 from ..scratch import Scratch
 
 NAME_BATCH = 8
@@ -30,15 +31,46 @@ JUDGE = "Say for each pair whether one answer serves both questions, as JSON: ve
 NAMES = "Read the heading that belongs to each expected number, as JSON: resolutions, each with topic_id, status (resolved, ambiguous or not_found), name, reason. Give only names that stand in the evidence."
 ADJUDICATE = "Two topics were proposed for this question. Answer as JSON: topic_id (one of the two, or null if neither is clearly right), reason."
 
+
+
+def _grounded(field: object) -> bool:
+    """A metadata field: nothing, or value and evidence both or neither, with a confidence."""
+    if field is None:
+        return True
+    if not isinstance(field, dict):
+        return False
+    held = [bool(field.get(c)) for c in ("value", "evidence")]
+    return held[0] == held[1] and all(optional_text(field.get(c)) for c in ("value", "evidence")) and confidence(field.get("confidence", 0))
+
+
+def _list(name: str, cap: str, rules: dict, whole=None, least: int = 0) -> Check:
+    return every(required({name: list}, {name: LIST_CAPS[cap]}), entries(name, rules, whole, least))
+
+
+KINDS = one_of(*[k for k, _ in QUESTION_TYPES])
+PAGES = {"start_page": whole_number, "end_page": whole_number, "confidence": confidence}
 CHECKS: dict[str, Check] = {
-    "detect": required({"document_structure": str, "confidence": (int, float), "evidence": list}),
-    "topics": required({"topics": list}, {"topics": LIST_CAPS["topics"]}),
-    "boundaries": required({"papers": list}, {"papers": LIST_CAPS["boundaries"]}),
-    "structure": required({"sections": list}, {"sections": LIST_CAPS["sections"]}),
-    "questions": required({"questions": list}, {"questions": LIST_CAPS["questions"]}),
-    "classify": required({"classifications": list}, {"classifications": LIST_CAPS["classifications"]}),
-    "judge": required({"verdicts": list}, {"verdicts": LIST_CAPS["pair_verdicts"]}),
-    "names": required({"resolutions": list}, {"resolutions": LIST_CAPS["chapter_names"]}),
+    "detect": every(
+        required({"document_structure": str, "confidence": (int, float), "evidence": list}),
+        lambda a: None if confidence(a["confidence"]) else "confidence is not from 0 to 1",
+        lambda a: None if a["document_structure"] in ("table_of_contents", "index", "neither") else "document_structure is not allowed",
+    ),
+    "topics": _list("topics", "topics", {"id": text, "name": text, "level": lambda v: whole_number(v) and v >= 1, "resolution_status": one_of(None, "resolved", "name_unresolved", "ambiguous", "unidentified")}),
+    "boundaries": _list("papers", "boundaries", PAGES, least=1),
+    "structure": every(
+        _list("sections", "sections", PAGES | {"raw_label": optional_text, "section_type": KINDS}),
+        lambda a: next((f"{f}: a value needs evidence and evidence a value" for f in listings.FIELDS if not _grounded(a.get(f))), None),
+    ),
+    "questions": _list(
+        "questions", "questions", {"question_text": text, "question_type": KINDS, "extraction_confidence": confidence},
+        lambda q: not q.get("correction_applied") or bool(q.get("original_text")),
+    ),
+    "classify": _list(
+        "classifications", "classifications", {"question_id": text, "status": one_of(*[s for s in STATUSES if s != "unclassified"]), "confidence": confidence, "topic_id": optional_text},
+        lambda c: (c["status"] == "classified") == bool(c.get("topic_id")),
+    ),
+    "judge": _list("verdicts", "pair_verdicts", {"pair_id": text, "verdict": one_of("same_question", "different_question", "uncertain"), "confidence": confidence}),
+    "names": _list("resolutions", "chapter_names", {"topic_id": text, "status": one_of("resolved", "ambiguous", "not_found"), "name": optional_text}),
     "adjudicate": required({"reason": str}),
 }
 FIELD = "struct<value:string,evidence:string,source_pages:array<int>,confidence:double>"
@@ -60,24 +92,38 @@ def _listed(answers: DataFrame, key: str, field: str, entry: str) -> DataFrame:
 
 
 def detect_contents(blocks: DataFrame, provider: Provider) -> DataFrame:
-    """file_id, page, structure, confidence of every window of pages; a verdict without evidence counts as neither."""
-    paged = blocks.withColumn("window", F.floor((F.array_min("page_numbers") - 1) / B.TOC_WINDOW)).where(F.array_min("page_numbers") <= B.TOC_PAGES)
-    keyed = B.high_signal(paged).withColumn("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")))
-    answers = ask(_prompts(B.rendered(keyed), "file_id", DETECT, F.col("evidence")), provider, CHECKS["detect"])
+    """The windows of pages that were looked at for a table of contents or an index.
+
+    file_id, window, start_page, end_page, has_blocks, structure, confidence, found; a
+    file's search ends with its first confident verdict, and a verdict without
+    evidence counts as neither. Where a call fails, structure is null and the search
+    goes on.
+    """
+    paged = blocks.select("*", F.explode(F.array_distinct(F.transform("page_numbers", lambda p: F.floor((p - 1) / B.TOC_WINDOW).cast("int")))).alias("window"))
+    shown = B.high_signal(paged).withColumn("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")))
+    texts = B.rendered(shown)
     said = F.from_json("answer", "struct<document_structure:string,confidence:double,evidence:array<struct<page:int,text:string>>>")
-    parts = F.split("key", "#")
     grounded = (F.size(said["evidence"]) > 0) | (said["document_structure"] == "neither")
-    return answers.where(F.col("answer").isNotNull()).select(
-        parts[0].alias("file_id"),
-        (F.element_at(parts, -1).cast("int") * B.TOC_WINDOW + 1).alias("page"),
-        F.when(grounded, said["document_structure"]).otherwise("neither").alias("structure"),
-        said["confidence"].alias("confidence"),
-    )
+
+    def judge(windows: DataFrame) -> DataFrame:
+        keyed = windows.select("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")).alias("key"))
+        asked = keyed.join(texts.withColumnRenamed("file_id", "key"), "key", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+        answers = ask(_prompts(asked.drop("file_id"), "key", DETECT, F.col("evidence")), provider, CHECKS["detect"], "detect")
+        verdict = F.when(grounded, said["document_structure"]).otherwise("neither")
+        return keyed.join(answers.where(F.col("answer").isNotNull()), "key").select("file_id", verdict.alias("structure"), said["confidence"].alias("confidence"))
+
+    return B.search_frontier(B.search_windows(blocks), judge)
+
+
+def contents_blocks(blocks: DataFrame, search: DataFrame) -> DataFrame:
+    """The blocks of the window in which each file's contents were found."""
+    found = search.where("found").select("file_id", "start_page", "end_page")
+    return points_in_spans(blocks, F.col("page_numbers"), found, "file_id", "start_page", "end_page").select(*blocks.columns)
 
 
 def extract_topics(blocks: DataFrame, provider: Provider) -> DataFrame:
     """Topics of each file's contents pages, with parents, and names that can't be right marked unresolved."""
-    answers = ask(_prompts(B.rendered(B.best_tier(blocks)), "file_id", TOPICS, F.col("evidence")), provider, CHECKS["topics"])
+    answers = ask(_prompts(B.rendered(B.best_tier(blocks)), "file_id", TOPICS, F.col("evidence")), provider, CHECKS["topics"], "topics")
     entry = "struct<id:string,name:string,level:int,parent_id:string,source_pages:array<int>,declared_page_number:int,resolution_status:string>"
     rows = _listed(answers, "forest", "topics", entry).withColumnRenamed("pos", "ord").withColumn("resolution_status", F.coalesce("resolution_status", F.lit("resolved")))
     return T.downgrade_resolution(T.derive_parents(rows))
@@ -98,7 +144,7 @@ def recover_names(topics: DataFrame, blocks: DataFrame, provider: Provider) -> D
     text = F.concat(F.lit("--- topic_id="), "file_id", F.lit(", expected: "), "name", F.lit(" ---\n"), "evidence")
     batched = dedup.batches(named.select("file_id", text.alias("told")), ["file_id"], NAME_BATCH)
     joined = batched.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_id", "told"))), lambda x: x["told"]), "\n\n").alias("told"))
-    answers = ask(_prompts(joined, "batch", NAMES, F.col("told")), provider, CHECKS["names"])
+    answers = ask(_prompts(joined, "batch", NAMES, F.col("told")), provider, CHECKS["names"], "names")
     said = _listed(answers, "batch", "resolutions", "struct<topic_id:string,status:string,name:string>")
     known = said.select(F.col("topic_id").alias("id"), F.col("pos").alias("seq"), "status", F.col("name").alias("recovered")).join(confirmed, "id", "left_semi")
     found = reconcile.recovered_names(topics, known)
@@ -114,7 +160,7 @@ def detect_papers(blocks: DataFrame, provider: Provider) -> DataFrame:
     last = blocks.groupBy("file_id").agg(F.max(F.array_max("page_numbers")).alias("total_pages"))
     texts = last.join(B.rendered(B.structural(blocks)), "file_id", "left").join(resets, "file_id", "left")
     hint = F.concat(F.lit("Pages where numbering begins anew: "), F.coalesce("resets", F.lit("none")), F.lit("\n\n"))
-    answers = ask(_prompts(texts, "file_id", BOUNDARIES, F.concat(hint, F.coalesce("evidence", F.lit("")))), provider, CHECKS["boundaries"])
+    answers = ask(_prompts(texts, "file_id", BOUNDARIES, F.concat(hint, F.coalesce("evidence", F.lit("")))), provider, CHECKS["boundaries"], "boundaries")
     spans = _listed(answers, "file_id", "papers", "struct<start_page:int,end_page:int,confidence:double>").join(last, "file_id")
     papers = B.resolve_spans(spans.select("file_id", "start_page", "end_page", "total_pages"))
     return papers.select(occurrence_ids(F.col("file_id"), F.col("start"), "p").alias("paper_id"), "file_id", F.col("start").alias("start_page"), F.col("end").alias("end_page"))
@@ -123,7 +169,7 @@ def detect_papers(blocks: DataFrame, provider: Provider) -> DataFrame:
 def paper_structures(blocks: DataFrame, provider: Provider) -> DataFrame:
     """paper_id, the metadata fields and sections of each paper (``blocks`` has paper_id)."""
     shown = blocks.withColumn("file_id", F.col("paper_id"))
-    answers = ask(_prompts(B.rendered(shown), "file_id", STRUCTURE, F.col("evidence")), provider, CHECKS["structure"])
+    answers = ask(_prompts(B.rendered(shown), "file_id", STRUCTURE, F.col("evidence")), provider, CHECKS["structure"], "structure")
     said = F.from_json("answer", f"struct<{','.join(f'{f}:{FIELD}' for f in listings.FIELDS)},other_identifiers:array<string>,sections:array<{SECTION}>>")
     return answers.where(F.col("answer").isNotNull()).select(F.col("key").alias("paper_id"), said.alias("s")).select("paper_id", "s.*")
 
@@ -146,7 +192,7 @@ def extract_questions(blocks: DataFrame, papers: DataFrame, provider: Provider)
     grouped = B.bundle_options(blocks.withColumn("file_id", F.col("paper_id")))
     sections = papers.select(F.col("paper_id").alias("file_id"), render.section_list(F.col("sections")).alias("told"))
     text = F.concat(F.lit("Sections:\n"), "told", F.lit("\n\n"), "evidence")
-    whole = ask(_prompts(B.rendered(grouped).join(sections, "file_id"), "file_id", QUESTIONS, text), provider, CHECKS["questions"])
+    whole = ask(_prompts(B.rendered(grouped).join(sections, "file_id"), "file_id", QUESTIONS, text), provider, CHECKS["questions"], "questions")
     scratch = Scratch(papers.sparkSession, "questions")
     # Written, so that no call is made twice.
     whole = scratch.keep(whole, "whole")
@@ -155,8 +201,12 @@ def extract_questions(blocks: DataFrame, papers: DataFrame, provider: Provider)
     parts = chunks(again)
     inside = F.exists("page_numbers", lambda p: (p >= F.col("start")) & (p <= F.col("end")))
     cut = grouped.withColumnRenamed("file_id", "paper_id").join(parts, "paper_id").where(inside)
-    cut = cut.withColumn("file_id", F.concat_ws("#", "paper_id", F.col("chunk").cast("string"), F.coalesce(F.col("forced").cast("string"), F.lit(""))))
-    smaller = scratch.keep(ask(_prompts(B.rendered(cut), "file_id", QUESTIONS, F.col("evidence")), provider, CHECKS["questions"]), "smaller")
+    part_key = F.concat_ws("#", "paper_id", F.col("chunk").cast("string"), F.coalesce(F.col("forced").cast("string"), F.lit("")))
+    # A page is shown all sections of its paper, a section itself alone.
+    own = F.when(F.col("forced").isNotNull(), F.slice("sections", F.col("forced") + 1, F.lit(1))).otherwise(F.col("sections"))
+    told = parts.join(papers.select("paper_id", "sections"), "paper_id").select(part_key.alias("file_id"), render.section_list(own).alias("told"))
+    shown = B.rendered(cut.withColumn("file_id", part_key)).join(told, "file_id")
+    smaller = scratch.keep(ask(_prompts(shown, "file_id", QUESTIONS, text), provider, CHECKS["questions"], "questions"), "smaller")
     key = F.split("paper_id", "#")
     late = _listed(smaller.where(F.col("answer").isNotNull()), "paper_id", "questions", QUESTION)
     late = late.withColumns({"chunk": key[1].cast("int"), "section_index": F.coalesce(F.nullif(key[2], F.lit("")).cast("int"), "section_index"), "paper_id": key[0]})
@@ -182,7 +232,7 @@ def classify_questions(questions: DataFrame, topics: DataFrame, provider: Provid
     shown = render.topic_lists(topics).select(F.col("text").alias("topics"))
     # One row: the list is cut at TOPIC_LIST_CHARS.
     texts = render.question_lists(questions).crossJoin(F.broadcast(shown))
-    answers = ask(_prompts(texts, "paper_id", CLASSIFY, F.concat(F.lit("Topics:\n"), "topics", F.lit("\n\nQuestions:\n"), "text")), provider, CHECKS["classify"])
+    answers = ask(_prompts(texts, "paper_id", CLASSIFY, F.concat(F.lit("Topics:\n"), "topics", F.lit("\n\nQuestions:\n"), "text")), provider, CHECKS["classify"], "classify")
     said = _listed(answers, "paper_id", "classifications", "struct<question_id:string,status:string,topic_id:string,confidence:double>").withColumnRenamed("pos", "seq")
     named = topics.select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
     return reconcile.apply_classifications(questions, reconcile.reconcile_topics(questions, named, said), named)
@@ -191,7 +241,7 @@ def classify_questions(questions: DataFrame, topics: DataFrame, provider: Provid
 def judge_pairs(pairs: DataFrame, questions: DataFrame, provider: Provider) -> DataFrame:
     """pair_id, verdict, confidence of each pair (a, b), asked in batches."""
     batched = dedup.batches(pairs.select("a", "b").distinct(), ["a", "b"])
-    answers = ask(_prompts(render.pair_lists(batched, questions), "batch", JUDGE, F.col("text")), provider, CHECKS["judge"])
+    answers = ask(_prompts(render.pair_lists(batched, questions), "batch", JUDGE, F.col("text")), provider, CHECKS["judge"], "judge")
     said = _listed(answers, "batch", "verdicts", "struct<pair_id:string,verdict:string,confidence:double>").withColumnRenamed("pos", "seq")
     return dedup.reconcile_pairs(pairs.select(F.concat_ws("::", "a", "b").alias("pair_id")).distinct(), said)
 
@@ -202,7 +252,7 @@ def adjudicate(rows: DataFrame, topics: DataFrame, provider: Provider) -> DataFr
     a, b = (named.select(F.col("id").alias(x), F.col("name").alias(f"{x}_name")) for x in ("first", "second"))
     told = rows.join(a, "first").join(b, "second")
     text = F.concat(F.lit("Question: "), "question_text", F.lit("\n["), "first", F.lit("] "), "first_name", F.lit("\n["), "second", F.lit("] "), "second_name")
-    answers = ask(_prompts(told, "question_id", ADJUDICATE, text), provider, CHECKS["adjudicate"])
+    answers = ask(_prompts(told, "question_id", ADJUDICATE, text), provider, CHECKS["adjudicate"], "adjudicate")
     said = answers.select(F.col("key").alias("question_id"), F.from_json("answer", "struct<topic_id:string>")["topic_id"].alias("said"))
     joined = rows.join(said, "question_id", "left")
     return joined.select("question_id", F.when(F.col("said").isin(F.col("first"), F.col("second")), F.col("said")).alias("answered"))

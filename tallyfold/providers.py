@@ -25,9 +25,23 @@ class ProviderError(Exception):
         self.retryable, self.out_of_quota = retryable, out_of_quota
 
 
+class Completion(str):
+    """A JSON text that knows the model that wrote it and the tokens it took."""
+
+    model: str | None = None
+    tokens_in: int = 0
+    tokens_out: int = 0
+
+    @classmethod
+    def of(cls, text: str, model: str | None, tokens_in: int | None, tokens_out: int | None) -> Completion:
+        out = cls(text)
+        out.model, out.tokens_in, out.tokens_out = model, tokens_in or 0, tokens_out or 0
+        return out
+
+
 @dataclass(frozen=True)
 class Provider:
-    """complete(prompt, max_tokens, attempt) gives a JSON text; name is part of the key of recorded answers."""
+    """complete(prompt, max_tokens, attempt) gives a JSON text (a ``Completion`` where it knows more); name is part of the key of recorded answers."""
 
     name: str
     complete: Callable[[str, int, int], str]
@@ -62,16 +76,23 @@ class Metrics:
 Check = Callable[[dict], str | None]
 
 
-def call(provider: Provider, prompt: str, check: Check | None = None) -> tuple[dict | None, str | None, int, bool]:
+def call(provider: Provider, prompt: str, check: Check | None = None, used: dict | None = None) -> tuple[dict | None, str | None, int, bool]:
     """Answer, error, attempts, and whether every failure was an answer cut off.
 
     An answer must be a JSON object that ``check`` has nothing to say against; one
-    that was cut off is asked for again with more room.
+    that was cut off is asked for again with more room. ``used`` is given the tokens
+    of all attempts and the model of the last one.
     """
+    used = {} if used is None else used
     room, error, cut = MAX_TOKENS, None, 0
     for attempt in range(1, RETRIES + 1):
         try:
-            text = provider.complete(prompt, room, attempt).strip()
+            said = provider.complete(prompt, room, attempt)
+            if isinstance(said, Completion):
+                used["used_model"] = said.model
+                used["tokens_in"] = used.get("tokens_in", 0) + said.tokens_in
+                used["tokens_out"] = used.get("tokens_out", 0) + said.tokens_out
+            text = said.strip()
             if text.startswith("```") and text.endswith("```") and len(text) > 3:
                 text = text.strip("`").removeprefix("json").strip()
             answer = json.loads(text)
@@ -107,11 +128,59 @@ def required(fields: dict[str, type], lists: dict[str, int] | None = None) -> Ch
     return check
 
 
-def ask(prompts: DataFrame, provider: Provider, check: Check | None = None) -> DataFrame:
+def entries(name: str, rules: dict[str, Callable[[object], bool]], whole: Callable[[dict], bool] | None = None, least: int = 0) -> Check:
+    """A check that every entry of the list ``name`` is an object whose fields keep their ``rules``, and which ``whole`` accepts."""
+
+    def check(answer: dict) -> str | None:
+        found = answer.get(name) or []
+        if len(found) < least:
+            return f"{name} has fewer than {least} entries"
+        for i, entry in enumerate(found):
+            if not isinstance(entry, dict):
+                return f"{name}[{i}] is not an object"
+            for field, rule in rules.items():
+                if not rule(entry.get(field)):
+                    return f"{name}[{i}].{field} is missing or not allowed"
+            if whole is not None and not whole(entry):
+                return f"{name}[{i}]: its fields contradict each other"
+        return None
+
+    return check
+
+
+def every(*checks: Check) -> Check:
+    """The first objection of several checks."""
+    return lambda answer: next((said for c in checks if (said := c(answer)) is not None), None)
+
+
+def one_of(*allowed: str) -> Callable[[object], bool]:
+    return lambda value: value in allowed
+
+
+def text(value: object) -> bool:
+    return isinstance(value, str)
+
+
+def optional_text(value: object) -> bool:
+    return value is None or isinstance(value, str)
+
+
+def whole_number(value: object) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def confidence(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value <= 1
+
+
+def ask(prompts: DataFrame, provider: Provider, check: Check | None = None, stage: str = "") -> DataFrame:
     """key, answer (JSON), error, attempts, truncated for prompts (key, prompt), called in batches on the executors.
 
-    Running out of quota fails the job, which then counts as paused.
+    A recorded provider (``answers.Recorded``) asks only what its store has no answer
+    to. With a plain one, running out of quota fails the job and its answers are lost.
     """
+    if not isinstance(provider, Provider):
+        return provider.ask(prompts, check, stage)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -130,12 +199,6 @@ def metrics(answers: DataFrame) -> Metrics:
     return Metrics(*[int(v or 0) for v in row])
 
 
-def ask_new(prompts: DataFrame, provider: Provider, recorded: DataFrame, check: Check | None = None) -> DataFrame:
-    """Answers only for prompts that this provider has not answered; recorded has key, model."""
-    known = recorded.where(F.col("model") == provider.name).select("key")
-    return ask(prompts.join(known, "key", "left_anti"), provider, check).withColumn("model", F.lit(provider.name))
-
-
 def load_models(path: str, fallback: tuple[str, ...] = ()) -> tuple[str, ...]:
     """The models of a JSON list; the fallback where there is no readable one."""
     try:

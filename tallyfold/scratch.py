@@ -19,6 +19,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path, as the JVM has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = file_system(spark, path)
+    return system.exists(where)
+
+
 class Scratch:
     """Named Parquet tables of one operator run.
 
@@ -42,8 +53,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(conf).delete(path, True)
+            system, where = file_system(self.spark, self.path(table))
+            system.delete(where, True)

@@ -2,6 +2,7 @@ import json
 
 from tallyfold.cli import main
 from tallyfold.plans.analysis import load_topics
+from tallyfold.sources.snapshots import Snapshots
 
 SCHEMA = (
     "question_id string, paper_id string, topic_id string, paper_year string, question_type string, classification_status string, "
@@ -23,7 +24,7 @@ def test_end_to_end(spark, tmp_path):
     read = lambda name: spark.read.parquet(str(tmp_path / "o" / name))
     assert [(r["topic_id"], r["total_occurrences"], r["unique_canonical"]) for r in read("topics").orderBy("rnk").collect()] == [("blood", 1, 1), ("membranes", 2, 1)][::-1]
     assert {r["id"] for r in read("tree").where("tested").collect()} == {"cells", "membranes", "blood"}
-    assert read("repeated").first()["occurrences"] == 2 and read("canonicals").count() == 3
+    assert read("repeated").first()["occurrences"] == 2 and Snapshots(spark, str(tmp_path / "o/state")).read("canonicals").count() == 3
     assert read("integrity").first()["reconciled"] is True
     assert "## Data quality" not in (text := spark.read.text(str(tmp_path / "o/report"), wholetext=True).first()[0]) and "membranes" in text
 
@@ -49,7 +50,7 @@ def stub():
             return json.dumps({"sections": [{"raw_label": "A", "section_type": "essay", "start_page": 1, "end_page": 9, "confidence": 1}]})
         if prompt.startswith("Extract every question"):
             found = re.findall(r"list_item\) (?:\d\. )?(.*)", prompt)
-            return json.dumps({"questions": [{"question_text": t, "question_type": "essay", "options": [], "section_index": 0} for t in found]})
+            return json.dumps({"questions": [{"question_text": t, "question_type": "essay", "extraction_confidence": 1, "options": [], "section_index": 0} for t in found]})
         asked = re.findall(r"\[(\S+_q\d)\]", prompt)
         return json.dumps({"classifications": [{"question_id": q, "status": "classified", "topic_id": "blood", "confidence": 0.5} for q in asked]})
 

@@ -75,10 +75,6 @@ def test_provider_calls(spark):
     assert P.call(P.Provider("m", fails), "p")[1:] == ("no", 1, False)
     assert P.classify_error(429, "free-models-per-day").out_of_quota and P.classify_error(429, "slow down").retryable
     assert P.rotated(["a", "b", "c", "d"], 4) == ["d", "a", "b"]
-    prompts = spark.createDataFrame([("k1", "x"), ("k2", "y")], "key string, prompt string")
-    recorded = spark.createDataFrame([("k1", "m"), ("k2", "other")], "key string, model string")
-    got = P.ask_new(prompts, P.Provider("m", lambda p, r, a: json.dumps({"echo": p})), recorded).collect()
-    assert [(r["key"], r["answer"], r["model"]) for r in got] == [("k2", '{"echo": "y"}', "m")]
 
 
 def test_stream_upserts_once(spark, tmp_path):

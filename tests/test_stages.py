@@ -32,9 +32,12 @@ def test_contents_and_topics(spark):
         found = "Cells" in prompt
         return {"document_structure": "table_of_contents" if found else "index", "confidence": 0.9, "evidence": [{"page": 3, "text": "Cells 1"}] if found else []}
 
-    got = {(r["page"], r["structure"]) for r in stages.detect_contents(blocks(spark, rows), answering(detect)).collect()}
-    # An index without evidence is none; prose and pages beyond the search aren't shown.
-    assert got == {(1, "table_of_contents"), (26, "neither")}
+    rows += [("g", 40, "table", "Blood", None), ("g", 60, "table", "Cells 2", None), ("g", 61, "text", "Cells prose " * 50, None)]
+    search = stages.detect_contents(blocks(spark, rows), answering(detect))
+    got = {(r["file_id"], r["start_page"], r["end_page"], r["structure"], r["found"]) for r in search.collect()}
+    # An index without evidence is none; prose isn't shown; nothing is asked after a confident verdict.
+    assert got == {("f", 1, 25, "table_of_contents", True), ("g", 1, 25, None, False), ("g", 26, 50, "neither", False), ("g", 51, 61, "table_of_contents", True)}
+    assert {r["text"][:7] for r in stages.contents_blocks(blocks(spark, rows), search).collect()} == {"Cells 1", "prose p", "Cells 2", "Cells p"}
     listed = [{"id": "a", "name": "Cells", "level": 1}, {"id": "b", "name": "B l o o d c e l l", "level": 2, "source_pages": [3]}]
     topics = stages.extract_topics(blocks(spark, rows), answering(lambda p: {"topics": listed} if "Blood" not in p else {"topics": "no"}))
     assert [(r["id"], r["parent_id"], r["resolution_status"]) for r in topics.orderBy("ord").collect()] == [("a", None, "resolved"), ("b", "a", "name_unresolved")]
@@ -145,7 +148,7 @@ def test_classification_and_judgement(spark):
         asked = re.findall(r"\[(q\d)\]", prompt)
         assert "- [b] Walls" in prompt
         verdicts = {"q0": ("classified", "b"), "q1": ("classified", "made_up"), "q2": ("ambiguous", None)}
-        return {"classifications": [{"question_id": q, "status": verdicts[q][0], "topic_id": verdicts[q][1], "confidence": 0.8} for q in asked if q in verdicts] + [{"question_id": "q9", "status": "no_match"}]}
+        return {"classifications": [{"question_id": q, "status": verdicts[q][0], "topic_id": verdicts[q][1], "confidence": 0.8} for q in asked if q in verdicts] + [{"question_id": "q9", "status": "no_match", "confidence": 0.5}]}
 
     done = stages.classify_questions(questions(spark), topics(spark), answering(classify))
     got = {r["question_id"]: (r["classification_status"], r["topic_id"], r["topic_name"]) for r in done.collect()}
