@@ -6,15 +6,14 @@ and for validation source_pages and resolution_status.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMERIC_NAME, collapse, letter_spaced, strip, topic_slug
 from ..scratch import Scratch
+from .nearest import depths, nearest_smaller
 
 SMALL_LIST, LARGE_LIST = 3, 500
 LAST_PAGES, BOOK_OFFSET, PAD_BEFORE, PAD_AFTER, RANGE_CAP = 30, 9, 6, 4, 60
@@ -25,12 +24,14 @@ OUTLINE_MARKER = r"^(?:[-*•]\s+|\d+(?:\.\d+)*[.)]\s+|[A-Za-z][.)]\s+)"
 
 def derive_parents(topics: DataFrame) -> DataFrame:
     """parent_id: the given one, else the nearest earlier topic of a lower level; level 1 has none of its own."""
-    highest = topics.agg(F.max("level")).first()[0] or 1
-    before = Window.partitionBy("forest").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    nearest = [F.max(F.when(F.col("level") <= l, F.struct("ord", "id"))).over(before)["id"] for l in range(1, highest)]
-    found = F.coalesce(*[F.when(F.col("level") == l + 2, p) for l, p in enumerate(nearest)]) if nearest else F.lit(None).cast("string")
+    # Written once: the topics are read from several sides below.
+    topics = Scratch(topics.sparkSession, "parents").keep(topics, "topics")
+    above = nearest_smaller(topics, "forest", "ord", "level").where("before IS NOT NULL")
+    names = topics.select(F.col("forest").alias("_g"), F.col("ord").alias("_o"), F.col("id").alias("_above"))
+    found = above.join(names, (F.col("forest") == F.col("_g")) & (F.col("before") == F.col("_o"))).select("_g", F.col("ord").alias("_ord"), "_above")
+    joined = topics.join(found, (F.col("forest") == F.col("_g")) & (F.col("ord") == F.col("_ord")), "left")
     kept = F.nullif(F.col("parent_id"), F.lit(""))
-    return topics.withColumn("parent_id", F.coalesce(kept, F.when(F.col("level") > 1, found)))
+    return joined.withColumn("parent_id", F.coalesce(kept, F.when(F.col("level") > 1, F.col("_above")))).drop("_g", "_ord", "_above")
 
 
 def slug_ids(topics: DataFrame) -> DataFrame:
@@ -53,26 +54,18 @@ def markdown_topics(lines: DataFrame) -> DataFrame:
     return _finished(found.select("forest", "ord", strip(name).alias("name"), F.length(marks).alias("level")))
 
 
-def _levels(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("ord")
-    open_indents: list[int] = []
-    levels = []
-    for indent in rows["indent"]:
-        while open_indents and open_indents[-1] >= indent:
-            open_indents.pop()
-        open_indents.append(indent)
-        levels.append(len(open_indents))
-    return rows.assign(level=levels)[["forest", "ord", "name", "level"]]
-
-
 def indented_topics(lines: DataFrame) -> DataFrame:
     """Topics of an outline whose levels are its indents, list markers taken off."""
     body = F.regexp_replace("line", r"(?U)^\s+|\s+\z", "")
     rows = lines.withColumns(
         {"indent": F.length(F.regexp_extract("line", r"^[ \t]*", 0)), "name": strip(F.regexp_replace(body, OUTLINE_MARKER, ""))}
     ).where(F.col("name") != "")
-    leveled = rows.select("forest", "ord", "name", "indent").groupBy("forest").applyInPandas(_levels, "forest string, ord long, name string, level int")
-    return _finished(leveled)
+    scratch = Scratch(lines.sparkSession, "outline")
+    # A line belongs to the nearest line above that is less indented; its level is the length of that chain.
+    rows = scratch.keep(rows.select("forest", "ord", "name", "indent"), "rows")
+    above = nearest_smaller(rows, "forest", "ord", "indent").select(F.col("forest").alias("g"), F.col("ord").alias("o"), "before")
+    levels = depths(above, scratch).select(F.col("g").alias("forest"), F.col("o").alias("ord"), F.col("depth").alias("level"))
+    return _finished(rows.join(levels, ["forest", "ord"]).select("forest", "ord", "name", "level"))
 
 
 def outline_topics(lines: DataFrame) -> DataFrame:
@@ -90,29 +83,32 @@ def flat_json_topics(texts: DataFrame) -> DataFrame:
     return derive_parents(named).select("forest", "ord", "id", "name", "level", "parent_id")
 
 
-def _nested(rows: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple] = []
-    for forest, text in zip(rows["forest"], rows["json"]):
-        used: dict[str, int] = {}
-        # A stack instead of recursion: children wait in reverse, so that the walk is in preorder.
-        waiting = [(node, None, 1) for node in reversed(json.loads(text) or [])]
-        while waiting:
-            node, parent, level = waiting.pop()
-            name = str(node["name"]).strip()
-            own = node.get("id")
-            if not own:
-                base = "_".join(p for p in "".join(c if "a" <= c <= "z" or "0" <= c <= "9" else " " for c in name.lower()).split()) or "topic"
-                used[base] = used.get(base, 0) + 1
-                own = base if used[base] == 1 else f"{base}_{used[base]}"
-            out.append((forest, len(out), str(own), name, level, parent))
-            waiting += [(child, str(own), level + 1) for child in reversed(node.get("children") or [])]
-    return pd.DataFrame(out, columns=["forest", "ord", "id", "name", "level", "parent_id"])
-
-
 def nested_json_topics(texts: DataFrame) -> DataFrame:
-    """Topics of JSON trees of {name, children} in preorder."""
-    schema = "forest string, ord long, id string, name string, level int, parent_id string"
-    return texts.select("forest", "json").groupBy("forest").applyInPandas(_nested, schema)
+    """Topics of JSON trees of {name, id?, children?} in preorder; the trees are opened level by level."""
+    scratch = Scratch(texts.sparkSession, "trees")
+    children = lambda node, path: F.expr(f"variant_get({node}, '{path}', 'array<variant>')")
+    opened = texts.select("forest", F.try_parse_json("json").alias("tree")).select("forest", F.array().cast("array<int>").alias("above"), children("tree", "$").alias("nodes"))
+    levels, level = None, 0
+    while True:
+        level += 1
+        here = opened.select("forest", "above", F.posexplode("nodes").alias("place", "node"))
+        name, own = (F.expr(f"variant_get(node, '$.{c}', 'string')") for c in ("name", "id"))
+        here = here.select("forest", "above", F.concat("above", F.array("place")).alias("path"), strip(name).alias("name"), F.nullif(own, F.lit("")).alias("given"), F.lit(level).alias("level"), children("node", "$.children").alias("nodes"))
+        here = scratch.keep(here, f"level-{level}")
+        if here.limit(1).count() == 0:
+            break
+        rows = here.drop("nodes")
+        levels = rows if levels is None else levels.unionByName(rows)
+        opened = here.select("forest", F.col("path").alias("above"), "nodes")
+    if levels is None:
+        levels = here.drop("nodes")
+    placed = levels.withColumn("ord", F.row_number().over(Window.partitionBy("forest").orderBy("path")).cast("long") - 1)
+    # Slugs are counted among the topics without an id of their own.
+    named = slug_ids(placed.where("given IS NULL")).unionByName(placed.where("given IS NOT NULL").withColumn("id", F.col("given")))
+    named = scratch.keep(named, "named")
+    parents = named.select(F.col("forest").alias("_f"), F.col("path").alias("_p"), F.col("id").alias("parent_id"))
+    joined = named.join(parents, (F.col("forest") == F.col("_f")) & (F.col("above") == F.col("_p")), "left")
+    return joined.select("forest", "ord", "id", "name", "level", "parent_id")
 
 
 def downgrade_resolution(topics: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import json
 import random
 
+import pytest
+
 from tallyfold.operators import topics as T
+from tallyfold.operators.nearest import nearest_smaller
 
 LINES = "forest string, ord long, line string"
 
@@ -111,3 +114,49 @@ def test_long_chains(spark):
 
 def test_a_tab_before_a_heading(spark):
     assert shape(T.outline_topics(lines(spark, "\t# A\n## B"))) == [("a", 1, None), ("b", 2, "a")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_smaller_against_a_stack(spark, seed):
+    rng = random.Random(seed)
+    rows = [(g, i * 3, rng.randrange((seed + 1) * 6)) for g in "ab" for i in range(120)]
+    want, stack = {}, []
+    for g, o, v in rows:
+        stack = [] if o == 0 else stack
+        while stack and stack[-1][1] >= v:
+            stack.pop()
+        want[g, o] = stack[-1][0] if stack else None
+        stack.append((o, v))
+    odd = [("a", None, 1), (None, 1, 1), ("a", 999, None)]
+    frame = spark.createDataFrame(rows + odd, "g string, o int, v int").repartition(3)
+    assert {(r["g"], r["o"]): r["before"] for r in nearest_smaller(frame, "g", "o", "v").collect()} == want
+
+
+def test_a_deep_outline_and_tree_without_python_workers(spark):
+    text = "\n".join(" " * (i % 200) + f"- Topic {i}" for i in range(450))
+    topics = T.outline_topics(lines(spark, text))
+    assert "Python" not in topics._jdf.queryExecution().toString() and "Pandas" not in topics._jdf.queryExecution().toString()
+    rows = topics.orderBy("ord").collect()
+    assert [r["level"] for r in rows] == [i % 200 + 1 for i in range(450)]
+    assert all(r["parent_id"] == (None if i % 200 == 0 else rows[i - 1]["id"]) for i, r in enumerate(rows))
+    tree = [{"name": "leaf"}]
+    for i in range(12):
+        tree = [{"name": f"N {i}", "children": tree}, {"name": f"N {i}", "id": f"own{i}"}, {"name": "leaf", "children": None}]
+    nested = T.nested_json_topics(spark.createDataFrame([("f", json.dumps(tree)), ("g", "[]"), ("h", "no json"), ("i", None), ("j", '[{"name": " x "}]')], "forest string, json string"))
+    assert "Python" not in nested._jdf.queryExecution().toString()
+    got = {}
+    for r in nested.orderBy("forest", "ord").collect():
+        got.setdefault(r["forest"], []).append((r["ord"], r["id"], r["name"], r["level"], r["parent_id"]))
+    want, used = [], {}
+
+    def walk(nodes, parent, level):
+        for node in nodes or []:
+            slug = node["name"].strip().lower().replace(" ", "_")
+            if not node.get("id"):
+                used[slug] = used.get(slug, 0) + 1
+            own = node.get("id") or (slug if used[slug] == 1 else f"{slug}_{used[slug]}")
+            want.append((len(want), own, node["name"].strip(), level, parent))
+            walk(node.get("children"), own, level + 1)
+
+    walk(tree, None, 1)
+    assert got == {"f": want, "j": [(0, "x", "x", 1, None)]}
