@@ -12,6 +12,7 @@ from ..operators import dedup, graph
 from ..operators.intervals import points_in_spans
 from ..providers import Provider
 from ..scratch import Scratch
+from ..streaming.ingest import deduplicated, run_available, stream_table, windowed_counts
 from . import deduplication
 from .adapters import Q, questions, table
 from .catalogue import CANONICAL_ROWS, CANONICALS, EDGES, KEYED, query
@@ -146,3 +147,58 @@ UNION ALL SELECT 'run', 'pairs_from_store', count(*) FROM judged
 UNION ALL SELECT 'run', 'pairs_judged', 0""")
 def deduplication_statistics(spark, sf_dir):
     return _two_runs(spark, sf_dir).statistics
+
+
+#: Arrivals of the events: six batches by number, a seventh of the rows one batch and an eleventh two batches late, a fifth again two days on.
+BATCHES, LATE_DAYS = 6, 3
+ARRIVED = f"""n AS (SELECT max(event_id) + 1 AS n FROM events),
+own AS (SELECT event_id, event_type, ts, least({BATCHES - 1}, event_id * {BATCHES} // n + CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 2 ELSE 0 END) AS b FROM events, n),
+arrived AS (
+  SELECT event_id, event_type, ts, b, FALSE AS again FROM own
+  UNION ALL SELECT event_id, event_type, ts + INTERVAL 2 DAY, least({BATCHES - 1}, b + 1 + event_id % 3), TRUE FROM own WHERE event_id % 5 = 0 AND b < {BATCHES - 1}),
+seen AS (SELECT i AS b, (SELECT max(ts) FROM arrived WHERE arrived.b < i) - INTERVAL {LATE_DAYS} DAY AS mark FROM range(0, {BATCHES + 1}) AS t(i)),
+live AS (
+  SELECT arrived.*, late.mark AS late_mark FROM arrived LEFT JOIN seen AS late ON late.b = arrived.b - 1)"""
+
+
+def _arrivals(spark, sf_dir, scratch: Scratch):
+    """The events as a stream of BATCHES files, one a micro-batch."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    total = events.agg(F.max("event_id")).first()[0] + 1
+    late = F.when(F.col("event_id") % 7 == 0, 1).when(F.col("event_id") % 11 == 0, 2).otherwise(0)
+    own = events.withColumn("b", F.least(F.lit(BATCHES - 1), F.floor(F.col("event_id") * BATCHES / total) + late))
+    again = own.where((F.col("event_id") % 5 == 0) & (F.col("b") < BATCHES - 1))
+    again = again.select("event_id", "event_type", (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.least(F.lit(BATCHES - 1), F.col("b") + 1 + F.col("event_id") % 3).alias("b"))
+    rows = scratch.keep(own.unionByName(again), "rows")
+    for b in range(BATCHES):
+        rows.where(F.col("b") == b).coalesce(1).write.mode("append").parquet(scratch.path("arrived"))
+    return stream_table(spark, scratch.path("arrived"), rows.schema, files_per_trigger=1)
+
+
+@query(f"""WITH {ARRIVED},
+firsts AS (SELECT * FROM live WHERE NOT again AND (late_mark IS NULL OR ts > late_mark)),
+repeats AS (
+  SELECT live.* FROM live LEFT JOIN firsts ON firsts.event_id = live.event_id
+  WHERE live.again AND (live.late_mark IS NULL OR live.ts > live.late_mark)
+    AND (firsts.event_id IS NULL OR firsts.ts + INTERVAL {LATE_DAYS} DAY <= live.late_mark))
+SELECT event_id, event_type, ts FROM firsts UNION ALL SELECT event_id, event_type, ts FROM repeats""")
+def stream_dedupe_watermarked(spark, sf_dir):
+    """First arrivals within the watermark; what is known of an event is dropped with it, so that a repeat long after counts as new."""
+    scratch = Scratch(spark, "stream-dedupe")
+    rows = deduplicated(_arrivals(spark, sf_dir, scratch), ["event_id"], "ts", f"{LATE_DAYS} days")
+    out = scratch.path("kept")
+    run_available(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), scratch.path("progress"))
+    return spark.read.parquet(out).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"""WITH {ARRIVED},
+days AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, late_mark FROM live)
+SELECT start, event_type, count(*) AS n FROM days
+WHERE (late_mark IS NULL OR start + INTERVAL 1 DAY > late_mark) AND start + INTERVAL 1 DAY <= (SELECT mark FROM seen WHERE b = {BATCHES}) GROUP BY start, event_type""")
+def stream_window_counts(spark, sf_dir):
+    """Daily counts that are final: a day is given once the watermark has passed it, and later rows of it are left out."""
+    scratch = Scratch(spark, "stream-counts")
+    rows = windowed_counts(_arrivals(spark, sf_dir, scratch), "ts", "event_type", "1 day", f"{LATE_DAYS} days")
+    out = scratch.path("kept")
+    run_available(rows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), scratch.path("progress"))
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
