@@ -44,6 +44,8 @@ def _meeting(rows: DataFrame, keys: list[str]) -> DataFrame:
 def exact_classes(keyed: DataFrame) -> DataFrame:
     """question_id, first_id, members of every row whose key others share: all pairs of a class, in rows that grow with the input."""
     hashed = keyed.where("exact_key IS NOT NULL AND question_id IS NOT NULL").select("question_id", F.sha2("exact_key", 256).alias("key_hash"))
+    # Written once: the key is dear to make, and its hash is small.
+    hashed = Scratch(keyed.sparkSession, "classes").keep(hashed, "hashed")
     groups = hashed.groupBy("key_hash").agg(F.count("*").alias("members"), F.min("question_id").alias("first_id")).where(F.col("members") > 1)
     return hashed.join(groups, "key_hash").select("question_id", "first_id", "members")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import QUESTION_TYPES
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def question_id() -> Column:
+    return F.concat(F.lit("q"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("question_id")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as questions: the source is the paper, the language the topic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_id"), "quality", "toxic")
@@ -22,7 +26,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kinds = F.array(*[F.lit(k) for k in TYPES])
     return docs.join(labels, F.col("doc_id") == F.col("l_id"), "left").select(
-        F.concat(F.lit("q"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("question_id"),
+        question_id(),
         "doc_id",
         F.col("source").alias("paper_id"),
         F.col("lang").alias("topic_id"),
@@ -38,7 +42,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents; every 97th has none, every 101st a second one."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    qid = F.concat(F.lit("q"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("question_id")
+    qid = question_id()
     some = docs.where(F.col("doc_id") % 97 != 0).select(qid, F.concat(F.lit("c"), (F.col("doc_id") % 311).cast("string")).alias("canonical_question_id"))
     return some.union(docs.where(F.col("doc_id") % 101 == 0).select(qid, F.lit("c_extra").alias("canonical_question_id")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup, frequency, report
-from .adapters import KINDS, LINKS, OCC, Q, links, orders_by_nation, questions, table
+from .adapters import KINDS, LINKS, OCC, Q, links, orders_by_nation, question_id, questions, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,8 +148,9 @@ KEYED = r"""keyed AS (
 
 
 def keyed_questions(spark, sf_dir):
-    rows = questions(spark, sf_dir)
-    return rows.select("question_id", "doc_id", X.exact_key(F.lit("x"), F.col("question_text")).alias("exact_key"))
+    """Keys of the questions, from the documents alone: the labels have no part in them, and a join would shuffle the texts."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(question_id(), "doc_id", X.exact_key(F.lit("x"), F.col("text")).alias("exact_key"))
 
 
 @query(f"WITH {Q}, {KEYED} SELECT question_id, sha256('x||' || norm || '||') AS key_hash FROM keyed")
