@@ -26,13 +26,13 @@ from .plans.analysis import NOTES, analyze, exact_and_judged, load_topics
 from .plans.deduplication import run_deduplication
 from .providers import ProviderError
 from .shipping import ship_package
-from .sources import writers
+from .sources import files, writers
 from .sources.snapshots import Snapshots
 
 PAUSED = 2
 COMMANDS = {
     "topics": ("source", "out"),
-    "extract-topics": ("blocks", "provider", "out"),
+    "extract-topics": ("provider", "out"),
     "extract-questions": ("blocks", "provider", "out"),
     "classify-topics": ("topics", "questions", "provider", "out"),
     "deduplicate": ("questions", "out"),
@@ -70,9 +70,21 @@ def topics_command(spark: SparkSession, given: argparse.Namespace) -> None:
 
 
 def extract_topics_command(spark: SparkSession, given: argparse.Namespace) -> None:
-    """Topics of books from their blocks: the search for the contents, the topics of what was found, names that were missing."""
-    provider, blocks = _provider(spark, given), spark.read.parquet(given.blocks)
-    search = _kept(stages.detect_contents(blocks, provider), f"{given.out}/search")
+    """Topics of books: the search for the contents, the topics of what was found, names that were missing.
+
+    From ``--blocks``, or from the PDFs of ``--folder`` with ``--reader module:function``
+    (its ``load(ocr)`` makes a reader of page ranges, its ``count`` counts pages), of
+    which only the pages that are asked about are read.
+    """
+    provider = _provider(spark, given)
+    if given.blocks:
+        blocks = spark.read.parquet(given.blocks)
+        search = _kept(stages.detect_contents(blocks, provider), f"{given.out}/search")
+    else:
+        load, found = _named(given.reader), files.pdf_files(spark, given.folder)
+        pages = _kept(files.page_counts(found, load.count), f"{given.out}/pages")
+        search, blocks = stages.search_files(found, pages, files.EvidenceStore(spark, f"{given.out}/evidence"), load, provider, given.reader)
+        search, blocks = _kept(search, f"{given.out}/search"), _kept(blocks, f"{given.out}/blocks")
     listed = _kept(stages.extract_topics(stages.contents_blocks(blocks, search), provider), f"{given.out}/listed")
     found = _kept(stages.recover_names(listed, blocks, provider), f"{given.out}/topics")
     issues = _kept(validate(found, given.first_page, given.last_page), f"{given.out}/issues")
@@ -93,13 +105,13 @@ def extract_command(spark: SparkSession, given: argparse.Namespace) -> None:
     questions = _kept(stages.numbered_questions(rows, detailed.select("paper_id", ids.alias("section_ids"))), f"{given.out}/questions")
     notes = _kept(notes, f"{given.out}/notes")
     counts = questions.groupBy("paper_id").agg(F.count("*").alias("questions"))
-    files = papers.join(counts, "paper_id", "left").groupBy("file_id").agg(F.count("*").alias("papers"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
+    totals = papers.join(counts, "paper_id", "left").groupBy("file_id").agg(F.count("*").alias("papers"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
     order = F.struct("chunk", "pos").alias("ord")
     label = F.get("sections", F.col("section_index"))
     titled = questions.join(detailed.select("paper_id", "sections"), "paper_id", "left")
     title = F.coalesce(F.nullif(label["raw_label"], F.lit("")), label["section_type"]).alias("section")
     shown = titled.select("paper_id", order, title, "question_id", "section_id", "question_number", "question_type", "question_text", "options", "source_pages", "extraction_confidence")
-    writers.papers_outputs(detailed, shown, files, f"{given.out}/json")
+    writers.papers_outputs(detailed, shown, totals, f"{given.out}/json")
 
 
 def classify_command(spark: SparkSession, given: argparse.Namespace) -> None:
@@ -187,6 +199,10 @@ def main(arguments: list[str] | None = None) -> int:
         command.add_argument("--files", help="names of files (file_id, filename)")
         command.add_argument("--papers", help="papers with their metadata")
         command.add_argument("--embedder", help="module:function that makes an embedder")
+        if "blocks" not in options:
+            command.add_argument("--blocks", help="blocks of files")
+        command.add_argument("--folder", help="a folder of PDFs")
+        command.add_argument("--reader", help="module:function that makes a reader of page ranges")
         if "provider" not in options:
             command.add_argument("--provider", help="the judge of candidate pairs")
         command.add_argument("--first-page", type=int, default=1)

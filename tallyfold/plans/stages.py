@@ -8,6 +8,9 @@ afterwards by the operators that reconcile it with what was asked.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from ..operators.intervals import points_in_spans
 from ..providers import Check, Provider, ask, confidence, entries, every, one_of, optional_text, required, text, whole_number
 from ..schemas import LIST_CAPS, QUESTION_TYPES, STATUSES
 from ..scratch import Scratch
+from ..sources.files import BLOCKS, EvidenceStore, PageReader, evidence_blocks
 
 NAME_BATCH = 8
 DETECT = "Say whether these pages hold a table of contents or an index. Answer as JSON: document_structure (table_of_contents, index or neither), confidence 0 to 1, evidence (list of page, text) taken from the pages alone."
@@ -99,20 +103,49 @@ def detect_contents(blocks: DataFrame, provider: Provider) -> DataFrame:
     evidence counts as neither. Where a call fails, structure is null and the search
     goes on.
     """
+    texts = _window_texts(blocks)
+    return B.search_frontier(B.search_windows(blocks), lambda windows: _judged_windows(windows, texts, provider))
+
+
+def search_files(files: DataFrame, pages: DataFrame, store: EvidenceStore, load: Callable[[bool], PageReader], provider: Provider, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same search over files (file_hash, content) with their page counts (file_hash, pages), and the blocks that it read.
+
+    In each round the pages of the windows that are asked about are read, no others;
+    what the store has is not read again.
+    """
+    scratch = Scratch(files.sparkSession, "search")
+    ends = pages.select(F.col("file_hash").alias("file_id"), F.array(F.col("pages")).alias("page_numbers"))
+    windows = scratch.keep(B.search_windows(ends.where("pages > 0")).withColumn("has_blocks", F.lit(True)), "windows")
+    read: list[DataFrame] = []
+
+    def judge(asked: DataFrame) -> DataFrame:
+        ranges = asked.select("file_id", "start_page", "end_page")
+        blocks = scratch.keep(evidence_blocks(store.evidence(files, ranges, load, name=name)), f"blocks-{len(read)}")
+        read.append(blocks)
+        # A window that can't be read, or holds nothing, costs no call.
+        return _judged_windows(asked.join(blocks.select("file_id").distinct(), "file_id", "left_semi"), _window_texts(blocks), provider)
+
+    search = B.search_frontier(windows, judge)
+    none = files.sparkSession.createDataFrame([], BLOCKS)
+    return search, reduce(DataFrame.unionByName, read, none)
+
+
+def _window_texts(blocks: DataFrame) -> DataFrame:
+    """key (file and window), evidence: what is shown of each window."""
     paged = blocks.select("*", F.explode(F.array_distinct(F.transform("page_numbers", lambda p: F.floor((p - 1) / B.TOC_WINDOW).cast("int")))).alias("window"))
     shown = B.high_signal(paged).withColumn("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")))
-    texts = B.rendered(shown)
-    said = F.from_json("answer", "struct<document_structure:string,confidence:double,evidence:array<struct<page:int,text:string>>>")
-    grounded = (F.size(said["evidence"]) > 0) | (said["document_structure"] == "neither")
+    return B.rendered(shown).withColumnRenamed("file_id", "key")
 
-    def judge(windows: DataFrame) -> DataFrame:
-        keyed = windows.select("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")).alias("key"))
-        asked = keyed.join(texts.withColumnRenamed("file_id", "key"), "key", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
-        answers = ask(_prompts(asked.drop("file_id"), "key", DETECT, F.col("evidence")), provider, CHECKS["detect"], "detect")
-        verdict = F.when(grounded, said["document_structure"]).otherwise("neither")
-        return keyed.join(answers.where(F.col("answer").isNotNull()), "key").select("file_id", verdict.alias("structure"), said["confidence"].alias("confidence"))
 
-    return B.search_frontier(B.search_windows(blocks), judge)
+def _judged_windows(windows: DataFrame, texts: DataFrame, provider: Provider) -> DataFrame:
+    """file_id, structure, confidence of the windows whose call gave an answer."""
+    said = F.from_json("answer", "struct<document_structure:string,confidence:double,evidence:array<struct<page:int,text:string>>>")
+    grounded = (F.size(said["evidence"]) > 0) | (said["document_structure"] == "neither")
+    keyed = windows.select("file_id", F.concat_ws("#", "file_id", F.col("window").cast("string")).alias("key"))
+    asked = keyed.join(texts, "key", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    answers = ask(_prompts(asked.drop("file_id"), "key", DETECT, F.col("evidence")), provider, CHECKS["detect"], "detect")
+    verdict = F.when(grounded, said["document_structure"]).otherwise("neither")
+    return keyed.join(answers.where(F.col("answer").isNotNull()), "key").select("file_id", verdict.alias("structure"), said["confidence"].alias("confidence"))
 
 
 def contents_blocks(blocks: DataFrame, search: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+
 
 from tallyfold.answers import AnswerStore, Recorded
 from tallyfold.cli import main
@@ -186,3 +186,56 @@ def test_checks_look_at_entries():
     assert check("structure", {"sections": [], "year": {"value": "2020", "evidence": "2020", "confidence": 1}}) is None
     assert "year" in check("structure", {"sections": [], "year": {"value": "2020", "confidence": 1}})
     assert "0 to 1" in check("detect", {"document_structure": "index", "confidence": 7, "evidence": []})
+
+
+def page_reader(ocr):
+    """Reads 'books' whose bytes are a name and a number of pages, and notes every page."""
+
+    def read(content, first, last):
+        name, pages, folder = content.decode().split("|")
+        if name == "broken":
+            raise ValueError("no such page")
+        with open(f"{folder}/read-{name}", "a") as f:
+            f.writelines(f"{p}\n" for p in range(first, min(last, int(pages)) + 1))
+        return [(p, "document_index" if p == 30 else "section_header", f"Contents of {name}" if p == 30 else f"{name} page {p}", None) for p in range(first, min(last, int(pages)) + 1)]
+
+    return read
+
+
+page_reader.count = lambda content: int(content.decode().split("|")[1])
+
+
+def test_only_pages_that_are_asked_about_are_read(spark, tmp_path):
+    (tmp_path / "pdf").mkdir()
+    for name, pages in (("long", 809), ("short", 40), ("broken", 60)):
+        (tmp_path / f"pdf/{name}.pdf").write_text(f"{name}|{pages}|{tmp_path}")
+    count = COUNTED["now"] = Counted(tmp_path, book_rule)
+    given = ["extract-topics", "--folder", str(tmp_path / "pdf"), "--reader", "tests.test_answers:page_reader", "--out", str(tmp_path / "o"), "--provider", "tests.test_answers:provider"]
+    count.allow(2)
+    assert main(given) == 2
+    pages_of = lambda name: [int(x) for x in (tmp_path / f"read-{name}").read_text().split()]
+    # The first windows of both books are read and asked about, then no calls are left for the second ones.
+    assert pages_of("long") == [*range(1, 51)] and pages_of("short") == [*range(1, 41)]
+    count.allow(100)
+    assert main(given) == 0
+    # Of 809 pages 50 are read, each once over both runs; four windows and two lists of topics are asked for.
+    assert pages_of("long") == [*range(1, 51)] and pages_of("short") == [*range(1, 41)] and count.calls() == 6
+    search = spark.read.parquet(str(tmp_path / "o/search"))
+    assert {(r["start_page"], r["end_page"]) for r in search.where("found").collect()} == {(26, 50), (26, 40)}
+    assert search.where("structure IS NULL").count() == 3  # the windows of the file that can't be read
+    assert spark.read.parquet(str(tmp_path / "o/topics")).count() == 4
+
+
+def test_a_reader_is_made_once_a_worker(spark, tmp_path):
+    from tallyfold.sources import files
+
+    def load(ocr):
+        with open(f"{tmp_path}/made", "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda content: [(1, "title", content.decode(), None)]
+
+    rows = spark.createDataFrame([(f"h{i}", bytearray(b"x")) for i in range(40)], "file_hash string, content binary").repartition(10)
+    _, state = files.read_evidence(rows, load, name="one")
+    assert state.where("status = 'success'").count() == 40
+    made = (tmp_path / "made").read_text().split()
+    assert len(made) == len(set(made))
