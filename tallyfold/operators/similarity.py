@@ -25,10 +25,12 @@ from pyspark.sql.types import StructType
 
 from ..scratch import Scratch
 
-#: Vectors of a slice, and the most cells of a table.
-SLICE_ROWS, MOST_CELLS = 4_000, 256
+#: Vectors of a slice, and the fewest and most cells of a table.
+SLICE_ROWS, FEWEST_CELLS, MOST_CELLS = 16_000, 8, 256
 #: The share of coordinates that is multiplied first, and rows of a tile of the product.
-FIRST_SHARE, TILE_ROWS = 0.25, 1_024
+FIRST_SHARE, TILE_ROWS = 0.5, 256
+#: Where more of a tile than this share may reach the floor, the tile is multiplied in full.
+DENSE_SHARE = 0.02
 #: Pairs compared in full at once.
 PAIRS_AT_ONCE = 1 << 16
 #: Covers rounding: nothing is left out for being this close to a bound.
@@ -69,11 +71,16 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, c
         able = bound >= floor - MARGIN
         if right is None:
             able &= np.arange(begin, begin + len(able))[:, None] < np.arange(able.shape[1])
-            met += sum(able.shape[1] - 1 - i for i in range(begin, begin + len(able)))
+            here = sum(able.shape[1] - 1 - i for i in range(begin, begin + len(able)))
         else:
-            met += able.size
+            here = able.size
+        met += here
+        if np.count_nonzero(able) > DENSE_SHARE * able.size:
+            compared += here
+            able &= units[0][rows] @ units[1].T >= floor - MARGIN
+        else:
+            compared += int(np.count_nonzero(able))
         i, j = np.nonzero(able)
-        compared += len(i)
         for at in range(0, len(i), PAIRS_AT_ONCE):
             x, y = i[at : at + PAIRS_AT_ONCE] + begin, j[at : at + PAIRS_AT_ONCE]
             # Summed in the order of the coordinates, as a plan over arrays sums them.
@@ -92,7 +99,7 @@ def cosine_join(vectors: DataFrame, same_type: float, cross_type: float, slice_r
     vectors, zero vectors and those with null or non-finite components give no pair;
     of vectors of several lengths the shorter counts as followed by zeros. Rows of
     one id give no pair with each other. ``met`` counts the pairs of slices that came
-    together, ``compared`` those multiplied in full, ``pairs`` all pairs of the table.
+    together, ``compared`` those multiplied in all coordinates, ``pairs`` all pairs of the table.
     """
     if min(same_type, cross_type) <= 0:
         raise ValueError("the floors of the cosine must be above 0")
@@ -109,7 +116,7 @@ def cosine_join(vectors: DataFrame, same_type: float, cross_type: float, slice_r
     if not count:
         empty = spark.createDataFrame([], schema)
         return empty.select("a", "b", "sim", "same"), spark.createDataFrame([(0, 0, 0)], "pairs long, met long, compared long")
-    cells = min(MOST_CELLS, 2 * max(1, -(-count // slice_rows)))
+    cells = min(MOST_CELLS, max(FEWEST_CELLS, 2 * -(-count // slice_rows)))
     # A bounded number of rows, the same ones whatever the partitions.
     picked = [r["vector"] for r in rows.select("vector").orderBy(F.xxhash64("id"), "id", "vector").limit(cells).collect()]
     pivots = np.stack([np.pad(v, (0, dims - len(v))) for v in map(np.array, picked)])
