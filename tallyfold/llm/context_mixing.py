@@ -1,9 +1,11 @@
 """Language-model scores by logistic context mixing, beside a word-unigram base.
 
-The byte model (``byte_model``) is learned in tasks that each run along a share of
+The byte model (``byte_model``) is learned by learners that each run along a share of
 the training text, predicting every block from what came before it; their tables,
 weights and maps are summed segment by segment, in rounds of bounded fan-in, and
-the sum is sent to every worker. Scoring is one pass over all texts. The base needs
+the sum is sent to every worker. Which learner a row goes to, and its place there,
+are hashes of its id and text, and the number of learners follows the bytes, so that
+a score depends on the table alone and not on how its rows are dealt. Scoring is one pass over all texts. The base needs
 the count of each word: those of common words go to every worker, the others are
 joined.
 """
@@ -31,6 +33,8 @@ COUNTED_WORDS = 400_000
 #: Training text of one learner (some run side by side from so many bytes each on), and learners summed by one task.
 LEARNER_BYTES, LEAST_BYTES, LEAST_LEARNERS, FAN_IN = 115_000_000, 60_000_000, 4, 16
 SCORED_ROWS = 500
+#: Partitions for each learner, so that few learners share one.
+SPREAD = 8
 _FOLLOWERS = b" "
 
 
@@ -66,29 +70,46 @@ def _followers(counted: DataFrame) -> np.ndarray:
 
 
 def _add_segments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": [int(key[2])], "table": [key[0]], "segment": [key[1]], "content": [merged(key[0], list(rows["content"]))]})
+    # In the order of the learners, as sums of fractions depend on theirs.
+    contents = list(rows.sort_values("part")["content"])
+    return pd.DataFrame({"part": [int(key[2])], "table": [key[0]], "segment": [key[1]], "content": [merged(key[0], contents)]})
 
 
 def train(texts: DataFrame, followers: np.ndarray, scratch: Scratch) -> Model:
-    """The model of all ``texts`` (column text) whose follower counts are given."""
+    """The model of all ``texts`` (doc_id, text) whose follower counts are given."""
     size = int(followers.sum())
     learners = max(1, min(LEAST_LEARNERS, size // LEAST_BYTES), round(size / LEARNER_BYTES))
     code, sizes = Code.of(followers), Sizes.of(size)
     sent = texts.sparkSession.sparkContext.broadcast((code, sizes))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(*sent.value)
+        """Rows come sorted by learner; a partition may hold several, one after the other."""
+        learner, number = None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            learner.learn([], last=True)
+            for table, segment, content in learner.segments():
+                columns = [pa.array([number], pa.int32()), pa.array([table], pa.int32()), pa.array([segment], pa.int32()), pa.array([content], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "table", "segment", "content"])
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, SCORED_ROWS):
-                learner.learn([utf8(t) for t in batch.column(0).slice(begin, SCORED_ROWS).to_pylist()])
-        learner.learn([], last=True)
-        number = TaskContext.get().partitionId()
-        for table, segment, content in learner.segments():
-            columns = [pa.array([number], pa.int32()), pa.array([table], pa.int32()), pa.array([segment], pa.int32()), pa.array([content], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "table", "segment", "content"])
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts, cuts[1:]):
+                if first < last and (learner is None or numbers[first] != number):
+                    if learner is not None:
+                        yield from told()
+                    learner, number = Learner(*sent.value), int(numbers[first])
+                for begin in range(first, last, SCORED_ROWS):
+                    learner.learn([utf8(t) for t in batch.column(1).slice(begin, min(SCORED_ROWS, last - begin)).to_pylist()])
+        if learner is not None:
+            yield from told()
 
     schema = "part int, table int, segment int, content binary"
-    rows = texts.select("text").coalesce(learners).mapInArrow(learn, schema)
+    place = F.xxhash64("doc_id", "text")
+    dealt = texts.select(F.pmod(place, F.lit(learners)).cast("int").alias("learner"), F.xxhash64(place).alias("place"), "text")
+    dealt = dealt.repartition(SPREAD * learners, "learner").sortWithinPartitions("learner", "place", "text")
+    rows = dealt.select("learner", "text").mapInArrow(learn, schema)
     step = 0
     while True:
         rows = rows.groupBy("table", "segment", F.floor(F.col("part") / FAN_IN).cast("int").alias("part")).applyInPandas(_add_segments, schema)
@@ -98,7 +119,7 @@ def train(texts: DataFrame, followers: np.ndarray, scratch: Scratch) -> Model:
         rows, step = scratch.keep(rows, f"segments-{step}"), step + 1
     segments = {(r["table"], r["segment"]): finished(r["table"], bytes(r["content"])) for r in rows.toLocalIterator()}
     if not segments:
-        # A scan without a single partition starts no learner.
+        # Without a training row no learner starts.
         segments = {(t, k): finished(t, c) for t, k, c in Learner(code, sizes).segments()}
     return Model.of(code, sizes, segments)
 
@@ -135,8 +156,8 @@ def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     context = spark.sparkContext
     scratch = Scratch(spark, "mixing")
     texts = docs.select("doc_id", "text", training.alias("training"))
-    learned = texts.where("training").select("text")
-    counted = learned.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    learned = texts.where("training").select("doc_id", "text")
+    counted = learned.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = scratch.keep(counted, "counted")
     followers = _followers(counted)
     words = counted.where(F.substring("word", 1, 1) != F.lit(_FOLLOWERS))

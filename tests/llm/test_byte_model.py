@@ -189,3 +189,21 @@ def test_no_training_text_costs_a_bit_a_decision():
     raw = b"ab"
     bits = sum(len(d[-1]) for d in decisions(model.code, raw))
     assert bm.Scorer(model).scores([raw])[0] == pytest.approx(bits * math.log10(0.5), rel=1e-6)
+
+
+def test_scores_depend_on_the_table_alone(spark, monkeypatch):
+    """Rows dealt in one partition, in seven or backwards, with several learners: the same scores."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.llm import context_mixing
+
+    monkeypatch.setattr(context_mixing, "LEARNER_BYTES", 6_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.substring("text", 1, 400).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 5"))  # repeated rows
+    scores = []
+    for dealt in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("doc_id")).repartition(3, "text")):
+        out = context_mixing.score_documents(dealt, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+        scores.append(sorted((r["doc_id"], r["score"], r["base_score"]) for r in out.collect()))
+    for other in scores[1:]:
+        assert [r[0] for r in other] == [r[0] for r in scores[0]]
+        np.testing.assert_allclose([r[1:] for r in other], [r[1:] for r in scores[0]], rtol=1e-6)
