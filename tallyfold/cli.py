@@ -5,7 +5,8 @@ analyze-frequency, generate-report, analyze. Commands that ask a provider take i
 module and function (``module:function`` giving a Provider) and keep every answer
 in a store (``--answers``; ``answers`` in the output folder unless given). When no
 calls are left a command stops with exit code 2; the next run asks exactly what has
-no answer yet.
+no answer yet. run goes from the blocks of exam files and a topic list to the report,
+with the state of its stages in a job table.
 """
 
 from __future__ import annotations
@@ -13,21 +14,26 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import time
+from collections.abc import Callable
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .answers import AnswerStore, Recorded
+from .functions.text import job_id
 from .operators import dedup, listings
 from .operators.topics import validate
 from .plans import stages
 from .plans.analysis import NOTES, analyze, exact_and_judged, load_topics
 from .plans.deduplication import run_deduplication
 from .providers import ProviderError
+from .scratch import exists
 from .shipping import ship_package
 from .sources import files, writers
 from .sources.snapshots import Snapshots
+from .sources.tables import VersionedTable
 
 PAUSED = 2
 COMMANDS = {
@@ -39,6 +45,7 @@ COMMANDS = {
     "analyze-frequency": ("topics", "questions", "out"),
     "generate-report": ("topics", "questions", "out"),
     "analyze": ("topics", "questions", "out"),
+    "run": ("blocks", "topics", "provider", "out"),
 }
 
 
@@ -102,7 +109,10 @@ def extract_command(spark: SparkSession, given: argparse.Namespace) -> None:
     detailed = _kept(merged.select(*papers.columns, "filename", "metadata", "other_identifiers", "sections"), f"{given.out}/detailed")
     rows, notes = stages.extract_questions(owned, detailed, provider)
     ids = F.transform(F.coalesce("sections", F.array().cast(f"array<{stages.SECTION}>")), lambda s, i: F.concat("paper_id", F.lit("_s"), i.cast("string")))
-    questions = _kept(stages.numbered_questions(rows, detailed.select("paper_id", ids.alias("section_ids"))), f"{given.out}/questions")
+    numbered = stages.numbered_questions(rows, detailed.select("paper_id", ids.alias("section_ids")))
+    years = detailed.select("paper_id", listings.best_value(F.col("metadata.year"))[0].alias("paper_year"))
+    numbered = numbered.join(years, "paper_id", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    questions = _kept(numbered, f"{given.out}/questions")
     notes = _kept(notes, f"{given.out}/notes")
     counts = questions.groupBy("paper_id").agg(F.count("*").alias("questions"))
     totals = papers.join(counts, "paper_id", "left").groupBy("file_id").agg(F.count("*").alias("papers"), F.coalesce(F.sum("questions"), F.lit(0)).alias("questions"))
@@ -159,7 +169,10 @@ def deduplicate_command(spark: SparkSession, given: argparse.Namespace) -> tuple
 
 def analyze_command(spark: SparkSession, given: argparse.Namespace) -> None:
     """Canonical records, every table of the analysis, and the report over whole tables."""
-    canonicals, links = deduplicate_command(spark, given)
+    _report(spark, given, *deduplicate_command(spark, given))
+
+
+def _report(spark: SparkSession, given: argparse.Namespace, canonicals: DataFrame, links: DataFrame) -> None:
     papers = spark.read.parquet(given.papers) if given.papers else None
     tables = analyze(spark.read.parquet(given.topics), spark.read.parquet(given.questions), canonicals, links, papers)
     written = {name: _kept(table, f"{given.out}/{name}") for name, table in tables.items()}
@@ -175,6 +188,54 @@ def analyze_command(spark: SparkSession, given: argparse.Namespace) -> None:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{given.out}/report")
 
 
+class Job:
+    """The stages of a run in a table of jobs, one row a job and stage with its state; the last version of a row counts.
+
+    A run that finds its job unfinished passes over the stages that succeeded; a
+    finished job begins anew.
+    """
+
+    def __init__(self, spark: SparkSession, given: argparse.Namespace):
+        self.spark, self.path = spark, f"{given.out}/jobs"
+        self.table = VersionedTable(spark, self.path, ["job_id", "stage"])
+        self.job_id = spark.range(1).select(job_id(F.lit("run"), F.lit(given.blocks), F.lit(given.topics))).first()[0]
+        held = self.table.read().where(F.col("job_id") == self.job_id) if exists(spark, self.path) else None
+        states = {r["stage"]: r["status"] for r in held.collect()} if held is not None else {}
+        self.done = {s for s, state in states.items() if state == "success"} if states.get("report") != "success" else set()
+
+    def _note(self, stage: str, status: str) -> None:
+        row = self.spark.createDataFrame([(self.job_id, stage, status)], "job_id string, stage string, status string")
+        self.table.upsert(row.withColumn("updated_at", F.current_timestamp()), time.time_ns())
+
+    def stage(self, name: str, work: Callable[[], object]) -> None:
+        if name in self.done:
+            return
+        self._note(name, "running")
+        try:
+            work()
+        except (ProviderError, PySparkException) as failed:
+            self._note(name, "paused" if _out_of_quota(failed) else "failed")
+            raise
+        self._note(name, "success")
+
+
+def _out_of_quota(failed: Exception) -> bool:
+    """An executor's error comes as text."""
+    return failed.out_of_quota if isinstance(failed, ProviderError) else "out of quota" in str(failed)
+
+
+def run_command(spark: SparkSession, given: argparse.Namespace) -> None:
+    """From the blocks of exam files and a topic list to the report, stage by stage."""
+    job, out = Job(spark, given), given.out
+    part = lambda name, **more: argparse.Namespace(**(vars(given) | {"command": name, "out": f"{out}/{name}"} | more))
+    asked = {"questions": f"{out}/classify-topics/questions", "papers": f"{out}/extract-questions/detailed"}
+    job.stage("extract-questions", lambda: extract_command(spark, part("extract-questions")))
+    job.stage("classify-topics", lambda: classify_command(spark, part("classify-topics", questions=f"{out}/extract-questions/questions", papers=asked["papers"])))
+    job.stage("deduplicate", lambda: deduplicate_command(spark, part("deduplicate", **asked)))
+    state = Snapshots(spark, f"{out}/deduplicate/state")
+    job.stage("report", lambda: _report(spark, part("report", **asked), state.read("canonicals"), state.read("links")))
+
+
 RUN = {
     "topics": topics_command,
     "extract-topics": extract_topics_command,
@@ -184,6 +245,7 @@ RUN = {
     "analyze-frequency": analyze_command,
     "generate-report": analyze_command,
     "analyze": analyze_command,
+    "run": run_command,
 }
 
 
@@ -212,13 +274,8 @@ def main(arguments: list[str] | None = None) -> int:
     ship_package(spark)
     try:
         RUN[given.command](spark, given)
-    except ProviderError as failed:
-        if failed.out_of_quota:
-            return PAUSED
-        raise
-    except PySparkException as failed:
-        # An executor's error comes as text.
-        if "out of quota" in str(failed):
+    except (ProviderError, PySparkException) as failed:
+        if _out_of_quota(failed):
             return PAUSED
         raise
     return 0

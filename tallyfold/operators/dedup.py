@@ -68,9 +68,15 @@ def representative_order() -> list[Column]:
     return [F.asc("ambiguous"), F.desc("extraction_confidence"), F.desc(F.length("question_text")), F.asc("question_id")]
 
 
+def lean(questions: DataFrame) -> DataFrame:
+    """What the choice of representatives needs of questions, without their texts, so that no join carries these."""
+    return questions.select("question_id", "ambiguous", "extraction_confidence", F.length("question_text").alias("text_length"))
+
+
 def representatives(members: DataFrame, group: str) -> DataFrame:
-    """The best member of each group: a minimum of structs, so that it is taken before the shuffle too."""
-    best = F.min(F.struct("ambiguous", (-F.col("extraction_confidence")).alias("c"), (-F.length("question_text")).alias("l"), "question_id"))
+    """The best member of each group: a minimum of structs, so that it is taken before the shuffle too. See ``lean`` for the columns."""
+    length = F.col("text_length") if "text_length" in members.columns else F.length("question_text")
+    best = F.min(F.struct("ambiguous", (-F.col("extraction_confidence")).alias("c"), (-length).alias("l"), "question_id"))
     return members.groupBy(group).agg(best.alias("best")).select(group, F.col("best.question_id").alias("representative_question_id"))
 
 
@@ -114,7 +120,7 @@ def assemble_canonicals(questions: DataFrame, decisions: DataFrame) -> tuple[Dat
     decisions = scratch.keep(decisions, "decisions")
     merges = decisions.where(F.col("verdict") == "same_question")
     labels = scratch.keep(groups(questions, merges.select("a", "b")), "labels")
-    members = questions.join(labels, "question_id")
+    members = lean(questions).join(labels, "question_id")
     sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.collect_list("question_id").alias("ids"))
     # Decisions within a group only: another end that isn't a question says nothing of it.
     ends = [labels.select(F.col("question_id").alias(e), F.col("component").alias(f"component_{e}")) for e in "ab"]

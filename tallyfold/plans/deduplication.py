@@ -22,6 +22,8 @@ from . import stages
 VECTORS = "id string, content_hash string, model string, vector array<double>"
 DECISIONS = "a string, b string, model_used string, hash_a string, hash_b string, decision_source string, verdict string, confidence double"
 JUDGE = "llm_judge"
+#: Ids that are sent to all tasks at most.
+BROADCAST_IDS = 100_000
 EDGES = ["a", "b", "decision_source", "verdict", "confidence"]
 
 
@@ -49,6 +51,12 @@ class Deduplicated:
     statistics: DataFrame
 
 
+def only_rows_of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` with one of the ``ids``. Up to BROADCAST_IDS of them go to the rows; more are joined, and the texts of the rows with them."""
+    ids = ids.select(key)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the smallest by ``order``: a minimum of structs, so that it is taken before the shuffle too."""
     rest = [c for c in rows.columns if c not in {*keys, *order}]
@@ -83,16 +91,24 @@ def run_deduplication(
     scratch = Scratch(spark, "dedup")
     vectors, decisions = GrowingTable(spark, f"{folder}/vectors", VECTORS), GrowingTable(spark, f"{folder}/decisions", DECISIONS)
     key = exact_key(F.col("question_type"), F.col("question_text"), F.col("options"))
-    keyed = scratch.keep(questions.select("question_id", F.sha2(key, 256).alias("exact_key")), "keyed")
-    exact = dedup.exact_duplicate_links(keyed).select("a", "b", F.lit(dedup.EXACT).alias("decision_source"), F.lit("same_question").alias("verdict"), F.lit(1.0).alias("confidence"))
-    classes = keyed.select("question_id", F.coalesce("exact_key", F.concat(F.lit("id:"), "question_id")).alias("class"))
-    chosen = dedup.representatives(questions.join(classes, "question_id"), "class").select(F.col("representative_question_id").alias("question_id"))
     text = embedding_text(F.col("question_type"), F.col("question_text"), F.coalesce("options", F.array().cast("array<string>")))
-    wanted = questions.where("question_text IS NOT NULL").join(chosen, "question_id", "left_semi")
-    wanted = scratch.keep(wanted.select(F.col("question_id").alias("id"), F.col("question_type").alias("kind"), text.alias("text"), F.sha2(text, 256).alias("content_hash")), "wanted")
+    # One pass over the texts; what follows needs their hashes and lengths alone.
+    about = dedup.lean(questions).columns[1:]
+    keyed = questions.withColumn("text_length", F.length("question_text")).select(
+        "question_id", *about, F.col("question_type").alias("kind"), F.sha2(key, 256).alias("exact_key"), F.sha2(text, 256).alias("content_hash")
+    )
+    keyed = scratch.keep(keyed, "keyed")
+    exact = dedup.exact_duplicate_links(keyed).select("a", "b", F.lit(dedup.EXACT).alias("decision_source"), F.lit("same_question").alias("verdict"), F.lit(1.0).alias("confidence"))
+    classes = keyed.withColumn("class", F.coalesce("exact_key", F.concat(F.lit("id:"), "question_id")))
+    chosen = dedup.representatives(classes, "class").select(F.col("representative_question_id").alias("question_id"))
+    wanted = keyed.where("text_length IS NOT NULL").join(chosen, "question_id", "left_semi")
+    wanted = scratch.keep(wanted.select(F.col("question_id").alias("id"), "kind", "content_hash"), "wanted")
 
     if load is not None:
-        vectors.append(embed_new(wanted, vectors.read(), load, model))
+        texts = questions.select(F.col("question_id").alias("id"), text.alias("text"))
+        missing = wanted.join(vectors.read().where(F.col("model") == model), ["id", "content_hash"], "left_anti")
+        missing = scratch.keep(missing.select("id", "content_hash"), "missing")
+        vectors.append(embed_new(only_rows_of(texts, missing, "id").join(missing, "id"), vectors.read(), load, model))
     held = vectors.read().where(F.col("model") == model).select("id", "content_hash", "vector")
     placed = wanted.join(first_of(held, ["id", "content_hash"], ["vector"]), ["id", "content_hash"])
     found = dedup.cosine_candidates(placed.select("id", "kind", "vector"), same_type, cross_type).select("a", "b")
@@ -103,11 +119,16 @@ def run_deduplication(
     known = first_of(decisions.read().where(F.col("model_used") == judge.name), on, ["decision_source", "verdict", "confidence"])
     cached = scratch.keep(pairs.join(known, on), "cached")
     todo = pairs.join(cached, on, "left_anti")
-    said = stages.judge_pairs(todo.select("a", "b"), questions, judge)
-    ends = F.split("pair_id", "::")
-    new = said.select(ends[0].alias("a"), ends[1].alias("b"), F.lit(JUDGE).alias("decision_source"), "verdict", "confidence").join(pairs, ["a", "b"])
-    new = scratch.keep(new.withColumn("model_used", F.lit(judge.name)), "new")
-    decisions.append(new)
+    todo = scratch.keep(todo, "todo")
+    if todo.limit(1).count():
+        ends = F.split("pair_id", "::")
+        told = only_rows_of(questions, todo.select(F.explode(F.array("a", "b")).alias("question_id")).distinct(), "question_id")
+        said = stages.judge_pairs(todo.select("a", "b"), told, judge)
+        new = said.select(ends[0].alias("a"), ends[1].alias("b"), F.lit(JUDGE).alias("decision_source"), "verdict", "confidence").join(pairs, ["a", "b"])
+        new = scratch.keep(new.withColumn("model_used", F.lit(judge.name)), "new")
+        decisions.append(new)
+    else:
+        new = spark.createDataFrame([], DECISIONS)
 
     union = scratch.keep(united(exact, cached, new), "union")
     canonicals, links = dedup.assemble_canonicals(questions, union)

@@ -12,6 +12,7 @@ from tallyfold.operators import graph
 from tallyfold.operators.intervals import points_in_spans
 from tallyfold.plans.deduplication import united
 from tallyfold.sources.snapshots import Snapshots
+from tallyfold.sources.tables import VersionedTable
 from tests.test_answers import COUNTED, Counted
 
 
@@ -181,3 +182,42 @@ def dated():
         return json.dumps(answer)
 
     return Provider("dated", complete)
+
+
+def run_rule(prompt):
+    """Answers of a whole run: one paper a file, its numbered lines, topics by a word, pairs judged the same."""
+    from tests.test_answers import exam_rule
+
+    if prompt.startswith("Say for each pair"):
+        pairs = [line[1:-1] for line in prompt.split("\n") if line.startswith("[") and "::" in line]
+        return {"verdicts": [{"pair_id": p, "verdict": "same_question", "confidence": 0.9} for p in pairs]}
+    return exam_rule(prompt)
+
+
+def test_a_run_from_blocks_to_the_report_stops_and_goes_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tests.test_workflows.load", partial(embedder, str(tmp_path)), raising=False)
+    count = COUNTED["now"] = Counted(tmp_path, run_rule)
+    rows = [(f * 16, i, [i + 1], "list_item", f"{i + 1}. {t}", None) for f in "ab" for i, t in enumerate([f"Explain the heart, as {f} does.", "Name the parts of a cell."])]
+    spark.createDataFrame(rows, "file_id string, pos long, page_numbers array<int>, block_type string, text string, marker string").write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([("f", 0, "t1", "Cells", 1, None)], "forest string, ord long, id string, name string, level int, parent_id string").write.parquet(str(tmp_path / "t"))
+    out = str(tmp_path / "o")
+    given = ["run", "--blocks", str(tmp_path / "b"), "--topics", str(tmp_path / "t"), "--out", out, "--provider", "tests.test_answers:provider", "--embedder", "tests.test_workflows:load"]
+    codes, states = [], []
+    while not codes or codes[-1] == 2:
+        count.allow(3)
+        codes.append(main(given))
+        jobs = VersionedTable(spark, f"{out}/jobs", ["job_id", "stage"]).read().collect()
+        states.append({r["stage"]: r["status"] for r in jobs})
+    # One call for the papers of both files, two each for details, questions and topics, one for the pairs that are alike.
+    assert codes == [2, 2, 0] and count.calls() == 8
+    assert states[0] == {"extract-questions": "paused"} and states[1] == {"extract-questions": "success", "classify-topics": "paused"}
+    assert set(states[2].values()) == {"success"} and set(states[2]) == {"extract-questions", "classify-topics", "deduplicate", "report"}
+    # By their letters all four are candidates, and every candidate is judged the same.
+    links = Snapshots(spark, f"{out}/deduplicate/state").read("links").groupBy("canonical_question_id").count()
+    assert [r["count"] for r in links.collect()] == [4]
+    topics = spark.read.parquet(f"{out}/report/topics").collect()
+    assert [(r["topic_id"], r["total_occurrences"], r["unique_canonical"]) for r in topics] == [("t1", 4, 1)]
+    assert "Cells" in spark.read.text(f"{out}/report/report", wholetext=True).first()[0]
+    # A finished job begins anew, and finds all its answers.
+    count.allow(0)
+    assert main(given) == 0 and count.calls() == 8
