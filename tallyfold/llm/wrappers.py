@@ -48,10 +48,11 @@ NOISE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu
     breadcrumb breadcrumbs sidebar sidebars aside footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay
     newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond disqus
-    replies widget widgets toolbar pagination pager search copyright legal hidden complementary contentinfo skip""".split()
+    replies widget widgets toolbar pagination pager search copyright legal hidden complementary contentinfo skip notification notifications disclaimer
+    announcement paywall adslot adbox adsense sidemenu topnav sitenav mainnav discussion responses""".split()
 )
 MAIN_WORDS = frozenset("article articlebody content main post entry story".split())
-NEVER_MAIN = frozenset("hidden comment comments commentlist respond disqus replies".split())
+NEVER_MAIN = frozenset("hidden comment comments commentlist respond disqus replies discussion responses".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAF_TAGS = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 figcaption caption hr br option".split())
 LIST_TAGS = frozenset("ul ol dl table div section".split())
@@ -277,28 +278,34 @@ def _open(parts: list[Part], whole: int, inside: bool = False) -> list[Part]:
     return out
 
 
+def _open_weight(parts: list[Part], whole: int) -> int:
+    """Characters outside links and noise at any depth."""
+    return sum(p.chars - p.linked if p.kind == "t" else _open_weight(p.kids, whole) for p in _open(parts, whole))
+
+
 def _regions(parts: list[Part], whole: int) -> list[list[Part]]:
     """What the outermost article elements hold, else main ones or those named so."""
     for fits in (lambda tag, words: tag == "article", lambda tag, words: tag == "main" or "main" in words or "articlebody" in words):
-        if found := list(_outermost(parts, whole, fits)):
+        if found := list(_outermost(parts, whole, _open_weight(parts, whole), fits)):
             return found
     return []
 
 
-def _outermost(parts: list[Part], whole: int, fits) -> Iterator[list[Part]]:
+def _outermost(parts: list[Part], whole: int, clear: int, fits) -> Iterator[list[Part]]:
     for p in _open(parts, whole):
         tag, *words = p.sign.split(".")
-        if p.kind == "e" and fits(tag, words) and 20 * _weight(p.kids) >= whole:
+        if p.kind == "e" and fits(tag, words) and 20 * _open_weight(p.kids, whole) >= clear:
             yield p.kids
         else:
-            yield from _outermost(p.kids, whole, fits)
+            yield from _outermost(p.kids, whole, clear, fits)
 
 
 def _dense(parts: list[Part]) -> list[Part]:
     """Goes down while one container holds most of the unlinked text."""
     while True:
-        whole = _weight(parts)
-        inner = [p for p in _open(parts, whole) if p.kind == "e" and p.sign.split(".", 1)[0] not in LEAF_TAGS and 10 * _weight(p.kids) >= 6 * whole > 0]
+        all_, opened = _weight(parts), _open(parts, _weight(parts))
+        whole = _open_weight(parts, all_)
+        inner = [p for p in opened if p.kind == "e" and p.sign.split(".", 1)[0] not in LEAF_TAGS and 10 * _open_weight(p.kids, all_) >= 6 * whole > 0]
         if len(inner) != 1:
             return parts
         parts = inner[0].kids

@@ -129,6 +129,13 @@ def test_template_texts_go_only_with_enough_distinct_pages():
     assert main_text(page.format(1), decide(aligned(*[page.format(1)] * 9))) == "T1\nSame line.\nText 1"
 
 
+def test_what_is_named_as_noise_stays_out_however_long_it_is():
+    noise = ["div class=adBox", "section id='discussion-list'", "p class=site-notification", "div class='post-comments'", "div role=search", "div style='display: none'", "aside"]
+    around = "".join(f"<{n}>{'noise text ' * 60}</{n.split()[0]}>" for n in noise)
+    for page in (f"<div>{around}</div><div><p>Short but real.</p><p>And more of it.</p></div>", f"<article>{around}<p>Short but real.</p><p>And more of it.</p></article>"):
+        assert main_text(page, None) == "Short but real.\nAnd more of it."
+
+
 def test_tidy_tree_of_odd_markup():
     tree = lambda nodes: [n.text if hasattr(n, "text") else (n.signature, tree(n.kids)) for n in nodes]
     assert tree(parse("a &lt;b&gt; &#233;&nbsp; z<br>y < 3", is_noise)) == ["a <b> é z y < 3"]
