@@ -39,12 +39,12 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def outline_lines(spark: SparkSession, path: str) -> DataFrame:
     """forest (file name), ord, line of outline files."""
-    texts = spark.read.option("wholetext", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("forest"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("forest"), "value")
     return texts.select("forest", F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
 
 
 def json_texts(spark: SparkSession, path: str) -> DataFrame:
-    texts = spark.read.option("wholetext", "true").text(path)
+    texts = spark.read.text(path, wholetext=True)
     return texts.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("forest"), F.col("value").alias("json"))
 
 
