@@ -47,12 +47,20 @@ def question_lists(questions: DataFrame, key: str = "paper_id") -> DataFrame:
 
 
 def pair_lists(pairs: DataFrame, questions: DataFrame, key: str = "batch") -> DataFrame:
-    """``key`` and its pairs (a, b): both questions below their pair's id."""
-    told = questions.select("question_id", question_text().alias("told"))
-    left, right = (told.select(F.col("question_id").alias(x), F.col("told").alias(f"told_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("pair_id", F.concat_ws("::", "a", "b"))
-    text = F.concat(F.lit("["), "pair_id", F.lit("]\nQuestion A ("), "a", F.lit("):\n"), "told_a", F.lit("\n\nQuestion B ("), "b", F.lit("):\n"), "told_b")
-    return _lines(both, key, "pair_id", text, BETWEEN_PAIRS)
+    """``key`` and its pairs (a, b): both questions below their pair's id. The ids of all ``pairs`` go to the questions, so give a bounded number at once.
+
+    A text is sent once to each key that shows it, not once for each of its pairs.
+    """
+    uses = pairs.select(key, F.explode(F.array("a", "b")).alias("question_id")).distinct()
+    told = questions.select("question_id", question_text().alias("told")).join(F.broadcast(uses), "question_id")
+    held = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("question_id", "told"))).alias("held"))
+    first = F.filter("held", lambda x, i: (i == 0) | (F.get(F.col("held"), i - 1)["question_id"] != x["question_id"]))
+    listed = pairs.select(key, F.concat_ws("::", "a", "b").alias("pair_id"), "a", "b").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pair_id", "a", "b"))).alias("l"))
+    both = listed.join(held.select(key, F.map_from_entries(first).alias("told")), key)
+    end = lambda name, id_: F.concat(F.lit(f"Question {name} ("), id_, F.lit("):\n"), F.col("told")[id_])
+    line = lambda p: F.concat(F.lit("["), p["pair_id"], F.lit("]\n"), end("A", p["a"]), F.lit("\n\n"), end("B", p["b"]))
+    shown = F.filter(F.transform("l", line), lambda t: t.isNotNull())
+    return both.select(key, shown.alias("l")).where(F.size("l") > 0).select(key, F.array_join("l", BETWEEN_PAIRS).alias("text"))
 
 
 def section_list(sections: Column) -> Column:
