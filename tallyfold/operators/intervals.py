@@ -19,6 +19,21 @@ def bin_of(point: Column, width: int) -> Column:
     return F.floor(point / width).cast("long")
 
 
+def span_totals(rows: DataFrame, points: Column, spans: DataFrame, key: str, low: str, high: str, value: Column, width: int = BIN_WIDTH) -> DataFrame:
+    """``spans`` with the number of ``rows`` that have one of their ``points`` in it (n) and the sum of ``value`` over these (total); spans without rows are left out.
+
+    The pairs of ``points_in_spans`` are counted without being made: rows of the same
+    points and spans of the same ends go through the join as one, so that its size
+    follows the different points and ends of a key, not the rows.
+    """
+    places = rows.select(F.col(key).alias("_place"), points.alias("_at"), value.alias("_value"))
+    places = places.groupBy("_place", "_at").agg(F.count("*").alias("_n"), F.sum("_value").alias("_total"))
+    ends = spans.select(F.col(key).alias("_of"), F.col(low).alias("_low"), F.col(high).alias("_high")).distinct()
+    met = points_in_spans(places.withColumnRenamed("_place", "_file"), F.col("_at"), ends.withColumnRenamed("_of", "_file"), "_file", "_low", "_high", width)
+    totals = met.groupBy("_file", "_low", "_high").agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"))
+    return spans.join(totals, (F.col(key) == F.col("_file")) & (F.col(low) == F.col("_low")) & (F.col(high) == F.col("_high"))).drop("_file", "_low", "_high")
+
+
 def points_in_spans(rows: DataFrame, points: Column, spans: DataFrame, key: str, low: str, high: str, width: int = BIN_WIDTH) -> DataFrame:
     """``rows`` joined with the ``spans`` (key, low, high and other columns, named unlike those of ``rows``) that hold one of their ``points`` (an array).
 

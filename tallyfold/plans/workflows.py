@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import dedup, graph
-from ..operators.intervals import points_in_spans
+from ..operators.intervals import span_totals
 from ..providers import Provider
 from ..scratch import Scratch
 from ..streaming.ingest import deduplicated, run_available, stream_table, windowed_counts
@@ -59,8 +59,8 @@ def blocks_in_spans(spark, sf_dir):
     low = F.col("p_partkey") * 37 % 2500
     papers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), (F.col("p_partkey") % 5).alias("file_id"), low.alias("low"), (low + F.col("p_size") - 1).alias("high"))
     pages = F.array("page", F.col("page") + F.col("l_linenumber"))
-    found = points_in_spans(blocks, pages, papers, "file_id", "low", "high")
-    return found.groupBy("paper_id").agg(F.count("*").alias("blocks"), F.sum("page").cast("long").alias("first_pages"))
+    found = span_totals(blocks, pages, papers, "file_id", "low", "high", F.col("page"))
+    return found.groupBy("paper_id").agg(F.sum("n").alias("blocks"), F.sum("total").cast("long").alias("first_pages"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, two AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
