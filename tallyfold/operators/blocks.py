@@ -67,14 +67,18 @@ def resolve_spans(spans: DataFrame) -> DataFrame:
 
 def span_issues(spans: DataFrame) -> DataFrame:
     """file_id, code, page: overlap_clipped at a clipped or dropped span, gap_filled and gap_unassigned at a gap's first page."""
-    rows = _clipped(spans)
-    clipped = rows.where((F.col("before") > 0) & (F.col("start_page") <= F.col("before"))).select("file_id", F.lit("overlap_clipped").alias("code"), F.col("start_page").alias("page"))
-    kept = rows.where(F.col("start") <= F.col("stop"))
-    order = Window.partitionBy("file_id").orderBy("start")
-    nexts = kept.withColumns({"after": F.coalesce(F.lead("start").over(order), F.col("total_pages") + 1), "n": F.row_number().over(order)})
-    filled = nexts.where(F.col("after") > F.col("stop") + 1).select("file_id", F.lit("gap_filled").alias("code"), (F.col("stop") + 1).alias("page"))
-    leading = nexts.where((F.col("n") == 1) & (F.col("start") > 1)).select("file_id", F.lit("gap_unassigned").alias("code"), F.lit(1).cast(filled.schema["page"].dataType).alias("page"))
-    return clipped.union(filled).union(leading)
+    order = Window.partitionBy("file_id").orderBy("start_page", "end_page")
+    rows = _clipped(spans).withColumn("kept", F.when(F.col("start") <= F.col("stop"), F.col("start")))
+    # Starts of kept spans rise in the order of the clipping, so one sort serves both, and a row carries all its issues.
+    after = F.expr("lead(kept) IGNORE NULLS OVER (PARTITION BY file_id ORDER BY start_page, end_page)")
+    rows = rows.withColumns({"after": F.coalesce(after, F.col("total_pages") + 1), "earlier": F.count("kept").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    is_kept = F.col("kept").isNotNull()
+    page = (F.col("stop") + 1).alias("page")
+    clipped = F.when((F.col("before") > 0) & (F.col("start_page") <= F.col("before")), F.struct(F.lit("overlap_clipped").alias("code"), F.col("start_page").alias("page")))
+    filled = F.when(is_kept & (F.col("after") > F.col("stop") + 1), F.struct(F.lit("gap_filled").alias("code"), page))
+    leading = F.when(is_kept & (F.col("earlier") == 0) & (F.col("start") > 1), F.struct(F.lit("gap_unassigned").alias("code"), F.lit(1).cast(spans.schema["start_page"].dataType).alias("page")))
+    issues = F.filter(F.array(clipped, filled, leading), lambda x: x.isNotNull())
+    return rows.select("file_id", F.explode(issues).alias("i")).select("file_id", "i.code", "i.page")
 
 
 def is_option(kind: Column, text: Column, marker: Column) -> Column:
