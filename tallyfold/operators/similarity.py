@@ -32,7 +32,7 @@ FIRST_SHARE, TILE_ROWS = 0.5, 256
 #: Where more of a tile than this share may reach the floor, the tile is multiplied in full.
 DENSE_SHARE = 0.02
 #: Pairs compared in full at once.
-PAIRS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 13
 #: Covers rounding: nothing is left out for being this close to a bound.
 MARGIN = 1e-7
 
@@ -52,8 +52,8 @@ def _meetings(cells: np.ndarray, angles: np.ndarray, radii: np.ndarray, slices:
     return out
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, cross_type: float) -> tuple[pd.DataFrame, int, int]:
-    """Pairs of two slices (of one with itself if there is no right one) that reach the floor, pairs that met, and pairs compared in full."""
+def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, cross_type: float) -> Iterator[tuple[pd.DataFrame, int, int]]:
+    """Of two slices (of one with itself if there is no right one), tile by tile: pairs that reach the floor, pairs that met, and pairs compared in full."""
     whole = [np.stack([np.frombuffer(v) for v in side["vector"]]) for side in (left, left if right is None else right)]
     norms = [side["norm"].to_numpy() for side in (left, left if right is None else right)]
     units = [v / n[:, None] for v, n in zip(whole, norms)]
@@ -64,7 +64,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, c
     rests = [np.sqrt(np.maximum(0.0, 1.0 - np.square(h).sum(axis=1))) for h in heads]
     ids = [(left if s == 0 or right is None else right)["id"].to_numpy() for s in (0, 1)]
     kinds = [(left if s == 0 or right is None else right)["kind"].to_numpy() for s in (0, 1)]
-    floor, met, compared, found = min(same_type, cross_type), 0, 0, []
+    floor, none = min(same_type, cross_type), pd.DataFrame({"a": [], "b": [], "sim": [], "same": []})
     for begin in range(0, len(heads[0]), TILE_ROWS):
         rows = slice(begin, begin + TILE_ROWS)
         bound = heads[0][rows] @ heads[1].T + rests[0][rows, None] * rests[1]
@@ -74,12 +74,12 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, c
             here = sum(able.shape[1] - 1 - i for i in range(begin, begin + len(able)))
         else:
             here = able.size
-        met += here
+        compared = here
         if np.count_nonzero(able) > DENSE_SHARE * able.size:
-            compared += here
             able &= units[0][rows] @ units[1].T >= floor - MARGIN
         else:
-            compared += int(np.count_nonzero(able))
+            compared = int(np.count_nonzero(able))
+        yield none, here, compared
         i, j = np.nonzero(able)
         for at in range(0, len(i), PAIRS_AT_ONCE):
             x, y = i[at : at + PAIRS_AT_ONCE] + begin, j[at : at + PAIRS_AT_ONCE]
@@ -88,8 +88,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, c
             same = kinds[0][x] == kinds[1][y]
             good = (sim >= np.where(same, same_type, cross_type)) & (ids[0][x] != ids[1][y])
             a, b = ids[0][x[good]], ids[1][y[good]]
-            found.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[good], "same": same[good]}))
-    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "sim": [], "same": []}), met, compared
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim[good], "same": same[good]}), 0, 0
 
 
 def cosine_join(vectors: DataFrame, same_type: float, cross_type: float, slice_rows: int = SLICE_ROWS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -160,20 +159,27 @@ def cosine_join(vectors: DataFrame, same_type: float, cross_type: float, slice_r
     dealt = placed.withColumn("place", F.pmod(F.xxhash64("id"), F.greatest(F.get(counts, F.col("cell")), F.lit(1))).cast("int"))
     sent = dealt.mapInArrow(meet, meets_schema).select("id", "kind", "vector", "norm", F.explode("meets").alias("m")).select("id", "kind", "vector", "norm", "m.*")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    out_schema = to_arrow_schema(schema)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).to_pandas()
         one = group.iloc[0]
         if (one["c"], one["s"]) == (one["d"], one["t"]):
             sides = group, None
         else:
             sides = group[group["first"]], group[~group["first"]]
             if not len(sides[0]) or not len(sides[1]):
-                return pd.DataFrame({"a": [], "b": [], "sim": [], "same": [], "met": [], "compared": []})
-        found, met, compared = _compare(*sides, same_type, cross_type)
+                return
+        met, compared = 0, 0
+        # Pairs leave tile by tile, so that a task holds two slices and one tile whatever they come to.
+        for found, here, whole in _compare(*sides, same_type, cross_type):
+            met, compared = met + here, compared + whole
+            if len(found):
+                columns = [pa.array(found[c], out_schema.field(c).type, from_pandas=False) for c in ("a", "b", "sim", "same")]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(found), pa.int64())] * 2], schema=out_schema)
         # One more row tells what the group took.
-        work = pd.DataFrame({"a": [None], "b": [None], "sim": [None], "same": [None], "met": [met], "compared": [compared]})
-        out = pd.concat([found.assign(met=None, compared=None).astype(object), work.astype(object)])
-        return out
+        yield pa.RecordBatch.from_pylist([{"met": met, "compared": compared}], schema=out_schema)
 
-    joined = scratch.keep(sent.groupBy("c", "s", "d", "t").applyInPandas(compare, schema), "joined")
+    joined = scratch.keep(sent.groupBy("c", "s", "d", "t").applyInArrow(compare, schema), "joined")
     work = joined.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
     return joined.where("a IS NOT NULL").select("a", "b", "sim", "same"), work.select(F.lit(count * (count - 1) // 2).alias("pairs"), "met", "compared")

@@ -83,3 +83,15 @@ def test_null_texts_and_options_in_exact_classes(spark):
     assert {(r["first_id"], r["members"]) for r in dedup.exact_groups(keyed).collect()} == {("a", 2), ("e", 2)}
     assert {tuple(r) for r in dedup.exact_duplicate_links(keyed).collect()} == {("a", "b"), ("e", "f")}
     assert {tuple(r) for r in dedup.exact_duplicate_pairs(keyed).collect()} == {("a", "b"), ("e", "f")}
+
+
+def test_pairs_leave_a_task_tile_by_tile():
+    import pandas as pd
+
+    from tallyfold.operators.similarity import TILE_ROWS, _compare
+
+    rng = np.random.default_rng(7)
+    vectors = 1 + rng.normal(size=(3 * TILE_ROWS, 8)) * 0.01
+    side = pd.DataFrame({"id": range(len(vectors)), "kind": "a", "vector": [v.tobytes() for v in vectors], "norm": np.linalg.norm(vectors, axis=1)})
+    parts = [found for found, _, _ in _compare(side, None, 0.5, 0.5)]
+    assert sum(map(len, parts)) == len(side) * (len(side) - 1) // 2 and max(map(len, parts)) <= 1 << 13
