@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 
@@ -44,6 +45,8 @@ MAP_STEPS = 33
 MOST_BITS, FREE_RUN_BITS = 24, 22
 SEGMENTS = 32
 BLOCK_BYTES, LEAST_BLOCK = 128_000, 1_000
+#: Bytes whose decisions are made at once, so that they fit the caches; nothing else depends on them.
+SCORED_BYTES, LEARNED_BYTES = 32_000, 48_000
 #: Mixer: weights that learning starts from, how firmly, and how much of its past a block keeps.
 FIRST_WEIGHTS, FIRMNESS, KEPT = np.array([0.2, 0.4, 0.4, 0.3, 0.3, 0.0]), 20.0, 0.995
 #: Texts: how firmly their groups' weights start from one; bits after which they are adapted, the last one over and over.
@@ -77,14 +80,17 @@ def before(last: np.ndarray, last_but_one: np.ndarray) -> np.ndarray:
 
 def follower_counts(texts: Iterable[bytes], counts: np.ndarray) -> None:
     """Adds how often each byte, and the end of a text, stands behind each ``before``."""
-    flat = counts.reshape(-1)
     parts = [part for raw in texts for part in units(raw)]
     if not parts:
         return
     data = np.frombuffer(b"".join(parts), np.uint8)
     at = _told(parts, len(data))
-    keys, many = _summed(before(data[at - 1], data[at - 2]) * 256 + data[at])
-    flat[keys] += many
+    keys = before(data[at - 1], data[at - 2]) * 256 + data[at]
+    if len(keys) < counts.size // 16:
+        keys, many = _summed(keys)
+        counts.reshape(-1)[keys] += many
+    else:
+        counts += np.bincount(keys, minlength=counts.size).reshape(counts.shape)
 
 
 def _told(parts: list[bytes], size: int) -> np.ndarray:
@@ -108,9 +114,13 @@ class Code:
     #: How many first bits two ranks share.
     common: np.ndarray
 
-    @property
-    def least(self) -> int:
-        return int(self.length.min())
+    def __post_init__(self) -> None:
+        """The decisions of all codes one after another: where those of a rank begin, their depths, nodes and bits."""
+        self.begin = np.cumsum(self.length) - self.length
+        rank = np.repeat(np.arange(len(self.length)), self.length)
+        depth = np.arange(len(rank)) - self.begin[rank]
+        self.depths = depth.astype(np.int8)
+        self.nodes, self.bits = self.node[depth, rank], self.bit[depth, rank]
 
     @staticmethod
     def of(followers: np.ndarray) -> Code:
@@ -171,6 +181,19 @@ def units(raw: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
         yield raw[begin - LOOK_BACK : begin + size]
 
 
+def _grouped(parts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Parts in groups of at least ``size`` bytes, but for the last."""
+    held, total = [], 0
+    for part in parts:
+        held.append(part)
+        total += len(part)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 class Batch:
     """The bytes of several units with their contexts, and the bits of their codes."""
 
@@ -211,80 +234,69 @@ class Batch:
         self.run_hash = [hashed(k) for k in RUNS]
 
     def follow(self, runs: list[np.ndarray], bits: int) -> None:
-        """Looks up what the following predictors say, and orders the bytes by gate."""
-        self.run_slot = [(h >> np.uint64(64 - bits)).astype(np.int64) for h in self.run_hash]
-        self.run_check = [((h >> np.uint64(48 - bits) & np.uint64(0xFFFF)) | _ONE).astype(np.uint32) for h in self.run_hash]
-        self.guess, self.sightings = [], []
-        for table, slot, check in zip(runs, self.run_slot, self.run_check):
-            entry = table.take(slot)
-            self.sightings.append(np.where(entry >> 16 == check, entry & 0xFF, 0).astype(np.uint8))
-            self.guess.append(self.code.rank.take(self.before * 256 + (entry >> 8 & 0xFF)))
+        """Looks up what the following predictors say, and with it the gates."""
+        self.run_slot = [(h >> np.uint64(64 - bits)).view(np.int64) for h in self.run_hash]
+        self.run_check = [(h >> np.uint64(48 - bits)).astype(np.uint16).astype(np.uint32) | np.uint32(1) for h in self.run_hash]
+        self.agree, self.bins = [], []
         gate = np.zeros(len(self.place), np.uint8)
-        for r, seen in reversed(list(enumerate(self.sightings, 1))):
-            gate = np.where(seen > 0, 2 * r - 1 + (seen >= SURE), gate)
-        gate = gate.astype(np.uint8) * np.uint8(PLACES) + self.place
-        self.order = np.argsort(gate, kind="stable")
-        self.gate = gate[self.order]
-        length = self.code.length[self.rank]
-        self.until = np.cumsum(length)
-        self.bits_before = self.until - length
-
-    def depths(self, states: list[np.ndarray], odds: np.ndarray, worth: np.ndarray, sizes: Sizes) -> Iterator[Depth]:
-        """All bits at one depth of the code after another, ordered by gate; ``odds`` tells what the ``states`` of counting tables mean."""
-        code, order = self.code, self.order
-        rank, gate, alive = self.rank[order], self.gate, order
-        bases = [(h >> np.uint64(64 - sizes.node)).astype(np.int64)[order] for h in self.node_hash]
-        guess = [g[order] for g in self.guess]
-        bins = [RUN_BIN[s[order]] for s in self.sightings]
-        agree = [np.where(b > 0, code.common.take(g.astype(np.int64) * 256 + rank), np.int8(-1)) for g, b in zip(guess, bins)]
-        signed = np.concatenate([-worth, worth], axis=2)
-        for j in range(len(code.node)):
-            if code.least <= j:
-                left = np.flatnonzero(code.length[rank] > j)
-                if not len(left):
-                    return
-                if len(left) < len(rank):
-                    rank, gate, alive = rank[left], gate[left], alive[left]
-                    bases, guess, bins, agree = ([v[left] for v in values] for values in (bases, guess, bins, agree))
-            level = min(j, DEPTHS - 1)
-            node, bit = code.node[j][rank], code.bit[j][rank]
-            x = np.empty((INPUTS, len(rank)), np.float32)
-            slots = []
-            for i, base in enumerate(bases):
-                slots.append(base ^ _salts(sizes.node)[node])
-                odds.take(states[i].take(slots[i]), out=x[i], mode="clip")
-            guessed = []
-            for r, same in enumerate(agree):
-                still = np.flatnonzero(same >= j)
-                told, bin_ = code.bit[j][guess[r][still]], bins[r][still]
-                x[len(NODES) + r] = 0
-                x[len(NODES) + r, still] = signed[r, level][told * RUN_BINS + bin_]
-                guessed.append(bin_ * 2 + (told == bit[still]))
-            x[-1] = 1
-            yield Depth(level, j, x, bit, gate, np.searchsorted(gate, np.arange(GATES + 1)).tolist(), slots, guessed, alive)
-
-    def in_text_order(self, depth: Depth) -> np.ndarray:
-        return self.bits_before[depth.alive] + depth.depth
+        for r, (table, slot, check) in reversed(list(enumerate(zip(runs, self.run_slot, self.run_check)))):
+            entry = table.take(slot, mode="clip")
+            seen = entry.astype(np.uint8) * (entry >> np.uint32(16) == check)
+            guess = self.code.rank.take((self.before << 8) + (entry >> np.uint32(8)).astype(np.uint8), mode="clip")
+            common = self.code.common.take((guess.astype(np.int64) << 8) + self.rank, mode="clip")
+            known = seen > 0
+            self.agree.insert(0, np.where(known, common, np.int8(-1)))
+            self.bins.insert(0, RUN_BIN.take(seen))
+            gate = np.where(known, (np.uint8(2 * r + 1) + (seen >= SURE)).astype(np.uint8), gate)
+        self.gate = gate * np.uint8(PLACES) + self.place
+        self.length = self.code.length.take(self.rank)
+        self.until = np.cumsum(self.length)
+
+    def decisions(self, states: list[np.ndarray], sizes: Sizes) -> Decisions:
+        """All bits in text order, so that those of a byte, whose slots are neighbours, come together."""
+        code = self.code
+        byte = np.repeat(np.arange(len(self.rank)), self.length)
+        at = (code.begin.take(self.rank) - (self.until - self.length)).take(byte, mode="clip")
+        at += np.arange(len(at))
+        depth, bit = code.depths.take(at, mode="clip"), code.bits.take(at, mode="clip")
+        gate = (np.minimum(code.depths, DEPTHS - 1).astype(np.int64) * GATES).take(at, mode="clip")
+        gate += self.gate.take(byte, mode="clip")
+        salt = _salts(sizes.node)[code.nodes].take(at, mode="clip")
+        slots, held = [], []
+        for table, h in zip(states, self.node_hash):
+            slot = (h >> np.uint64(64 - sizes.node)).view(np.int64).take(byte, mode="clip")
+            slot ^= salt
+            slots.append(slot)
+            held.append(table.take(slot, mode="clip"))
+        guesses = []
+        for agree, bins in zip(self.agree, self.bins):
+            same = agree.take(byte, mode="clip")
+            key = gate * RUN_BINS
+            # A guess speaks up to the first bit in which it differs.
+            key += bins.take(byte, mode="clip") * (same >= depth)
+            key <<= 1
+            key += bit ^ (same == depth)
+            guesses.append(key)
+        return Decisions(gate, bit, slots, held, guesses)
 
 
 @dataclass
-class Depth:
-    level: int
-    depth: int
-    x: np.ndarray
-    bit: np.ndarray
+class Decisions:
+    #: Level (depth up to DEPTHS) and gate in one number.
     gate: np.ndarray
-    cuts: list[int]
+    bit: np.ndarray
+    #: For each counting predictor the slot and what stands there.
     slots: list[np.ndarray]
-    #: For each following predictor its guesses: bin of sightings, doubled, and whether they were right.
-    guessed: list[np.ndarray]
-    alive: np.ndarray
+    held: list[np.ndarray]
+    #: For each following predictor gate, bin of sightings (0: no guess) and the guessed bit in one number.
+    guesses: list[np.ndarray]
 
-    def gates(self) -> Iterator[tuple[int, slice]]:
-        """Runs of bits of one gate, short enough for caches and for one thread of the matrix library."""
-        for g in range(GATES):
-            for begin in range(self.cuts[g], self.cuts[g + 1], 1_024):
-                yield g, slice(begin, min(begin + 1_024, self.cuts[g + 1]))
+
+def _said(worth: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """By ``Decisions.guesses`` what a following predictor of this worth (level, bin) says, times a weight for each level and gate."""
+    said = worth[:, None, :] * weights.reshape(DEPTHS, GATES, 1)
+    said[..., 0] = 0
+    return np.stack([-said, said], axis=-1).astype(np.float32).ravel()
 
 
 _SALTS: dict[int, np.ndarray] = {}
@@ -299,11 +311,20 @@ def _salts(bits: int) -> np.ndarray:
 
 
 def probability(logit: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
+    p = np.minimum(logit, 12)
+    np.maximum(p, -12, out=p)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 def _map_places(logit: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    return gate * MAP_STEPS + (np.clip(logit, -8, 8) * 2 + 16.5).astype(np.int64)
+    step = np.minimum(logit, 8)
+    np.maximum(step, -8, out=step)
+    step *= 2
+    step += 16.5
+    return gate * MAP_STEPS + step.astype(np.int32)
 
 
 def run_worth(right: np.ndarray, wrong: np.ndarray) -> np.ndarray:
@@ -362,18 +383,20 @@ def _states(pairs: np.ndarray) -> np.ndarray:
 def _add_counts(table: np.ndarray, keys: np.ndarray) -> None:
     """Counts the keys 2 * slot + way."""
     keys, many = _summed(keys)
-    slots = keys >> 1
-    first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]]))
-    slots = slots[first].astype(np.int64)
-    held = table.take(slots).astype(np.int64)
-    # Both counts of a slot in one number, far apart.
-    both = np.add.reduceat(many << 32 * (keys & 1).astype(np.int64), first) + (held & 0xFF) + (held >> 8 << 32)
-    low, high = both & 0xFFFFFFFF, both >> 32
-    state = (high << 8 | low).astype(np.uint16)
-    over = np.flatnonzero(np.maximum(low, high) > MOST)
+    # A slot's two bytes, the first of which is the low one, are the counts of its keys.
+    ways = table.view(np.uint8)
+    keys = keys.astype(np.int64)
+    many += ways.take(keys, mode="clip")
+    over = np.flatnonzero(many > MOST)
+    if len(over):
+        slots = np.unique(keys[over] >> 1)
+        pairs = ways.reshape(-1, 2)[slots].astype(np.int64)
+        for way in (0, 1):
+            at = np.minimum(np.searchsorted(keys, 2 * slots + way), len(keys) - 1)
+            pairs[:, way] = np.where(keys[at] == 2 * slots + way, many[at], pairs[:, way])
+    ways[keys] = many.astype(np.uint8)
     if len(over):
-        state[over] = _states(np.stack([low[over], high[over]], axis=1))
-    table[slots] = state
+        table[slots] = _states(pairs)
 
 
 class Learner:
@@ -402,41 +425,68 @@ class Learner:
             self._block()
 
     def _block(self) -> None:
-        batch = Batch(self.held, self.code)
-        self.held, self.waiting = [], 0
-        batch.follow(self.runs, self.sizes.run)
         worth = run_worth(self.right, self.wrong)
-        slope = np.zeros((DEPTHS, GATES, INPUTS))
-        new = np.zeros_like(self.curvature)
-        keys, done = np.empty((len(NODES), int(batch.until[-1])), np.uint32), 0
-        for d in batch.depths(self.nodes, ODDS, worth, self.sizes):
-            logit = np.empty(len(d.bit), np.float32)
-            weights = self.weights[d.level].astype(np.float32)
-            for g, s in d.gates():
-                logit[s] = weights[g] @ d.x[:, s]
-            p = probability(logit)
-            error, bend = d.bit - p, p * (1 - p)
-            for g, s in d.gates():
-                x = d.x[:, s]
-                slope[d.level, g] += x @ error[s]
-                new[d.level, g] += (x * bend[s]) @ x.T
-            place = _map_places(logit, d.level * GATES + d.gate.astype(np.int64))
-            self.maps += np.bincount(place * 2 + d.bit, minlength=len(self.maps))
-            for r, guesses in enumerate(d.guessed):
-                outcome = np.bincount(guesses, minlength=2 * RUN_BINS)
-                self.wrong[r, d.level] += outcome[::2]
-                self.right[r, d.level] += outcome[1::2]
-            for own, slot in zip(keys, d.slots):
-                np.add(slot << 1, d.bit, out=own[done : done + len(slot)], casting="unsafe")
-            done += len(d.bit)
+        said = [_said(w, np.ones(DEPTHS * GATES)) for w in worth]
+        weights = self.weights.reshape(-1, INPUTS).astype(np.float32)
+        sums = np.zeros((DEPTHS * GATES, INPUTS + 1, INPUTS + 1))
+        keys: list[list[np.ndarray]] = [[] for _ in NODES]
+        seen = []
+        for parts in _grouped(self.held, LEARNED_BYTES):
+            batch = Batch(parts, self.code)
+            batch.follow(self.runs, self.sizes.run)
+            self._weigh(batch, weights, said, sums, keys)
+            seen.append((batch.run_slot, batch.run_check, batch.symbol))
+            self.bytes += len(batch.symbol)
+        self.held, self.waiting = [], 0
+        upper = sums[:, :-1, :-1]
+        slope, new = sums[:, :-1, -1].reshape(self.weights.shape), (upper + np.triu(upper, 1).transpose(0, 2, 1)).reshape(self.curvature.shape)
         start = FIRMNESS * np.eye(INPUTS)
         self.curvature = start + KEPT * (self.curvature - start) + new
         self.weights += np.linalg.solve(self.curvature, slope[..., None])[..., 0]
         for table, own in zip(self.nodes, keys):
-            _add_counts(table, own)
+            _add_counts(table, np.concatenate(own))
         for r, table in enumerate(self.runs):
-            _add_runs(table, batch.run_slot[r], batch.run_check[r], batch.symbol)
-        self.bytes += len(batch.symbol)
+            _add_runs(table, *(np.concatenate(c) for c in zip(*((slots[r], checks[r], symbols) for slots, checks, symbols in seen))))
+
+    def _weigh(self, batch: Batch, weights: np.ndarray, said: list[np.ndarray], sums: np.ndarray, keys: list[list[np.ndarray]]) -> None:
+        """Predicts the decisions of a batch; adds to ``sums`` what a step needs and to ``keys`` what enters the tables after it."""
+        d = batch.decisions(self.nodes, self.sizes)
+        # By gate, for the matrix library.
+        order = np.argsort(d.gate.astype(np.uint16), kind="stable")
+        gate, bit = d.gate.take(order), d.bit.take(order)
+        x = np.empty((INPUTS + 1, len(order)), np.float32)
+        for i, held in enumerate(d.held):
+            ODDS.take(held.take(order), out=x[i], mode="clip")
+        for r, guesses in enumerate(d.guesses):
+            said[r].take(guesses.take(order), out=x[len(NODES) + r], mode="clip")
+            # By level, bin, guessed bit and bit.
+            guesses <<= 1
+            guesses += d.bit
+            outcome = np.bincount(guesses, minlength=4 * RUN_BINS * DEPTHS * GATES).reshape(DEPTHS, GATES, RUN_BINS, 2, 2).sum(axis=1)
+            outcome[:, 0] = 0
+            self.right[r] += outcome[..., 0, 0] + outcome[..., 1, 1]
+            self.wrong[r] += outcome[..., 0, 1] + outcome[..., 1, 0]
+        x[-2] = 1
+        logit = np.empty(len(order), np.float32)
+        # Runs of bits of one gate, short enough for caches and for one thread of the matrix library.
+        cuts = np.searchsorted(gate, np.arange(DEPTHS * GATES + 1)).tolist()
+        runs = [(g, slice(b, min(b + 1_024, cuts[g + 1]))) for g in range(DEPTHS * GATES) for b in range(cuts[g], cuts[g + 1], 1_024)]
+        for g, s in runs:
+            np.matmul(weights[g], x[:-1, s], out=logit[s])
+        p = probability(logit)
+        root = np.sqrt(p * (1 - p))
+        # Products of rows hold both the curvature (of inputs times root) and the slope (of these with the error below).
+        x[:-1] *= root
+        np.divide(bit - p, root, out=x[-1])
+        gates = np.flatnonzero(np.diff(cuts))
+        begins = np.array(cuts)[gates]
+        for i, j in combinations_with_replacement(range(INPUTS + 1), 2):
+            sums[gates, i, j] += np.add.reduceat(np.multiply(x[i], x[j], out=p), begins)
+        self.maps += np.bincount(_map_places(logit, gate) * 2 + bit, minlength=len(self.maps))
+        for own, slot in zip(keys, d.slots):
+            slot <<= 1
+            slot += d.bit
+            own.append(slot.astype(np.uint32))
 
     def segments(self) -> Iterator[tuple[int, int, bytes]]:
         """(table, segment, content) rows, the tables cut into ranges of slots; last a row of all sums."""
@@ -507,9 +557,11 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.split = np.zeros((DEPTHS, GATES, INPUTS, GROUPS), np.float32)
-        for i, group in enumerate(GROUP_OF):
-            self.split[:, :, i, group] = model.weights[:, :, i]
+        weights = model.weights.reshape(DEPTHS * GATES, INPUTS)
+        #: Weights of what counting tables hold (see ROUND_ODDS) and of the bias, and what following predictors say, weighed.
+        self.node_weights = [np.ascontiguousarray(weights[:, i]) / 16 for i in range(len(NODES))]
+        self.bias = np.ascontiguousarray(weights[:, -1])
+        self.said = [_said(w, weights[:, len(NODES) + r]) for r, w in enumerate(model.worth)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
@@ -517,62 +569,81 @@ class Scorer:
         for i, raw in enumerate(texts):
             parts = list(units(raw))
             if len(parts) > 1:
-                follower = Follower()
-                out[i] = sum(self._batch([part], [follower])[0] for part in parts)
+                follower = Follower(1)
+                out[i] = sum(self._batch([part], follower, part is not parts[-1])[0] for part in parts)
                 continue
             held += parts
             owners.append(i)
             size += len(raw)
-            if size >= BLOCK_BYTES:
-                out[owners] = self._batch(held, [Follower() for _ in held])
+            if size >= SCORED_BYTES:
+                out[owners] = self._batch(held, Follower(len(held)))
                 held, owners, size = [], [], 0
         if held:
-            out[owners] = self._batch(held, [Follower() for _ in held])
+            out[owners] = self._batch(held, Follower(len(held)))
         return out
 
-    def _batch(self, parts: list[bytes], followers: list[Follower]) -> np.ndarray:
+    def _batch(self, parts: list[bytes], follower: Follower, more: bool = False) -> np.ndarray:
+        """Prices of units; ``more`` of their texts may follow."""
         model = self.model
         batch = Batch(parts, model.code)
         batch.follow(model.tables[len(NODES) :], model.sizes.run)
-        bits = int(batch.until[-1])
-        logits = np.empty((bits, GROUPS), np.float32)
-        #: Gate and bit in one number.
-        told = np.empty(bits, np.int32)
-        for d in batch.depths(model.tables, ROUND_ODDS, model.worth, model.sizes):
-            where = batch.in_text_order(d)
-            part = np.empty((len(where), GROUPS), np.float32)
-            for g, s in d.gates():
-                np.matmul(d.x[:, s].T, self.split[d.level, g], out=part[s])
-            logits[where] = part
-            told[where] = (d.gate.astype(np.int32) + d.level * GATES) << 1 | d.bit
-        bit = told & 1
+        d = batch.decisions(model.tables, model.sizes)
+        logits = np.zeros((GROUPS, len(d.bit)), np.float32)
+        for group, held, weights in zip(GROUP_OF.tolist(), d.held, self.node_weights):
+            x = held.astype(np.float32)
+            x -= 128
+            x *= weights.take(d.gate, mode="clip")
+            logits[group] += x
+        for group, guesses, said in zip(GROUP_OF[len(NODES) :].tolist(), d.guesses, self.said):
+            logits[group] += said.take(guesses, mode="clip")
+        logits[GROUP_OF[-1]] += self.bias.take(d.gate, mode="clip")
         ends = batch.until[np.cumsum(batch.bytes_of) - 1]
-        logit, begin = np.empty(bits, np.float32), 0
-        for follower, end in zip(followers, ends.tolist()):
-            follower.follow(logits[begin:end], bit[begin:end], logit[begin:end])
-            begin = end
+        logit = follower.follow(logits, d.bit, ends, more)
         p = probability(logit)
-        p += (model.maps.take(_map_places(logit, told >> 1)) - p) / 4
-        price = np.log10(np.clip(np.where(bit == 1, p, 1 - p), np.float32(1e-6), None))
-        return np.add.reduceat(price, np.append(0, ends[:-1]), dtype=float)
+        p += (model.maps.take(_map_places(logit, d.gate), mode="clip") - p) / 4
+        # What the bit that came was given.
+        p -= 1 - d.bit
+        np.abs(p, out=p)
+        np.maximum(p, np.float32(1e-6), out=p)
+        return np.add.reduceat(np.log(p, out=p), np.append(0, ends[:-1]), dtype=float) / np.log(10)
 
 
 class Follower:
-    """The weights of the groups along one text."""
+    """The weights of the groups along texts that are followed side by side."""
 
-    def __init__(self) -> None:
-        self.weights = np.ones(GROUPS, np.float32)
-        self.curvature = TEXT_FIRMNESS * np.eye(GROUPS)
+    def __init__(self, texts: int) -> None:
+        self.weights = np.ones((texts, GROUPS), np.float32)
+        self.curvature = np.broadcast_to(TEXT_FIRMNESS * np.eye(GROUPS), (texts, GROUPS, GROUPS)).copy()
         self.steps = 0
 
-    def follow(self, logits: np.ndarray, bit: np.ndarray, out: np.ndarray) -> None:
-        """Mixes the next bits of the text, each step with weights that know the bits before it."""
-        begin = 0
-        while begin < len(bit):
-            end = begin + STEPS[min(self.steps, len(STEPS) - 1)]
-            x = logits[begin:end]
-            np.matmul(x, self.weights, out=out[begin:end])
-            p = probability(out[begin:end])
-            self.curvature += x.T @ (x * (p * (1 - p))[:, None])
-            self.weights = (self.weights + np.linalg.solve(self.curvature, (bit[begin:end] - p) @ x)).astype(np.float32)
-            begin, self.steps = end, self.steps + 1
+    def follow(self, logits: np.ndarray, bit: np.ndarray, ends: np.ndarray, more: bool) -> np.ndarray:
+        """Mixes the next bits of the texts, each step with weights that know the bits before it; none are learned behind a text's last bits."""
+        out = np.empty(len(bit), np.float32)
+        begins, texts = np.append(0, ends[:-1]), np.arange(len(ends))
+        while len(texts):
+            stops = np.minimum(begins + STEPS[min(self.steps, len(STEPS) - 1)], ends)
+            lengths = stops - begins
+            first = np.cumsum(lengths) - lengths
+            at = np.repeat(begins - first, lengths)
+            at += np.arange(len(at))
+            x, weights = logits.take(at, axis=1, mode="clip"), self.weights[texts].T
+            own = np.zeros(len(at), np.float32)
+            for row, weight in zip(x, weights):
+                own += row * np.repeat(weight, lengths)
+            out[at] = own
+            self.steps += 1
+            on = np.flatnonzero(more | (stops < ends))
+            if len(on):
+                p = probability(own)
+                error, bend = bit.take(at, mode="clip") - p, p * (1 - p)
+                slope, new = np.empty((len(texts), GROUPS)), np.empty((len(texts), GROUPS, GROUPS))
+                for i in range(GROUPS):
+                    slope[:, i] = np.add.reduceat(x[i] * error, first)
+                    bent = x[i] * bend
+                    for j in range(i, GROUPS):
+                        new[:, i, j] = new[:, j, i] = np.add.reduceat(np.multiply(bent, x[j], out=p), first)
+                self.curvature[texts[on]] += new[on]
+                self.weights[texts[on]] += np.linalg.solve(self.curvature[texts[on]], slope[on, :, None])[..., 0].astype(np.float32)
+            on = np.flatnonzero(stops < ends)
+            texts, begins, ends = texts[on], stops[on], ends[on]
+        return out

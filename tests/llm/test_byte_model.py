@@ -122,6 +122,26 @@ def test_scores_are_those_of_single_decisions():
     assert got == pytest.approx([slow_score(model, t) for t in texts], rel=2e-3)
 
 
+def test_texts_are_followed_side_by_side(monkeypatch):
+    """Steps are solved for all texts of a batch at once, and a text's score doesn't depend on its neighbours or on the sizes of batches."""
+    model = model_of(TEXTS)
+    texts, solve, calls = [text(n) for n in (0, 30, 200, 400)] * 10, np.linalg.solve, []
+    alone = [bm.Scorer(model).scores([t])[0] for t in texts]
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: calls.append(len(a)) or solve(a, b))
+    assert bm.Scorer(model).scores(texts) == pytest.approx(alone, rel=1e-5)
+    assert max(calls) >= 10 and len(calls) < len(texts)
+
+
+@pytest.mark.parametrize("size", [500, 10**9])
+def test_learning_depends_on_blocks_alone(monkeypatch, size):
+    """However many bytes are decided at once, a block is learned as a whole."""
+    expected = model_of(TEXTS)
+    monkeypatch.setattr(bm, "LEARNED_BYTES", size)
+    model = model_of(TEXTS)
+    assert all((a == b).all() for a, b in zip(model.tables, expected.tables))
+    np.testing.assert_allclose(model.weights, expected.weights, rtol=1e-3, atol=1e-4)
+
+
 def test_counts_are_those_of_single_decisions():
     _, code = code_of(TEXTS[:8])
     learner = bm.Learner(code, bm.Sizes(20, 20))
