@@ -216,3 +216,43 @@ def test_trials(spark):
 def test_outcomes(spark, kind, expected, answered, outcome):
     rows = spark.createDataFrame([(kind, expected, answered)], "kind string, expected string, answered string")
     assert report.adjudication_outcomes(rows).first()["outcome"] == outcome
+
+
+def jaccard_slow(left, right, top):
+    def sets(rows):
+        out = {}
+        for i, t in rows:
+            if i is not None:
+                out.setdefault(i, []).extend(set(re.split("[^a-z0-9]+", (t or "").lower())) - {""})
+        return out
+
+    a, b, found = sets(left), sets(right), set()
+    for i, x in a.items():
+        scored = []
+        for k, y in b.items():
+            shared = sum(x.count(w) * y.count(w) for w in set(x))
+            if shared >= 2:
+                scored.append((-((2_000_000 * shared + (n := len(x) + len(y) - shared)) // (2 * n)) / 1e6, k))
+        found |= {(i, n, k, -s) for n, (s, k) in enumerate(sorted(scored)[:top], 1)}
+    return found
+
+
+@pytest.mark.parametrize("bounds", [{}, {"COUNTED_MATCHES": 3}, {"BROADCAST_IDS": 0}, {"LISTED_WORDS": 0}])
+def test_word_jaccard(spark, monkeypatch, bounds):
+    """With long and short references, ids that repeat on both sides, nulls and a word of many texts."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(report, name, value)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice("abcdefghijkl") * rng.randint(1, 2) for _ in range(n)).upper()
+    left = [(i, text(rng.randint(0, 14)) + rng.choice(["", ", the", "-7"])) for i in range(60)] + [(None, "a b c"), (61, None), (62, ""), (3, "A b! kk"), (3, "b 7 the")]
+    right = [(f"r{i}", text(rng.randint(0, 9)) + " The 7") for i in range(20)] + [("r5", "aa b c"), (None, "a b"), ("x", None)]
+    got = report.token_jaccard(spark.createDataFrame(left, "id long, text string"), spark.createDataFrame(right, "id string, text string"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(jaccard_slow(left, right, 3))
+
+
+def test_word_jaccard_shuffles_no_words(spark):
+    left = spark.createDataFrame([(i, "one two three") for i in range(20)], "id long, text string")
+    found = report.token_jaccard(left, spark.createDataFrame([(1, "one two"), (2, "two three four")], "id long, text string"), 3)
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
