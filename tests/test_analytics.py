@@ -256,3 +256,10 @@ def test_word_jaccard_shuffles_no_words(spark):
     assert found.count() == 40
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_word_jaccard_of_empty_tables(spark):
+    rows = lambda r: spark.createDataFrame(r, "id long, text string")
+    some = rows([(1, "a b c"), (2, None)])
+    for left, right in ((some, rows([])), (rows([]), some), (some, rows([(7, None), (8, "zz")]))):
+        assert report.token_jaccard(left, right, 3).collect() == []
