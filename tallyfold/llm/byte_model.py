@@ -51,16 +51,16 @@ SCORED_BYTES, LEARNED_BYTES = 32_000, 48_000
 FIRST_WEIGHTS, FIRMNESS, KEPT = np.array([0.2, 0.4, 0.4, 0.3, 0.3, 0.0]), 20.0, 0.995
 #: Texts: how firmly their groups' weights start from one; bits after which they are adapted, the last one over and over.
 TEXT_FIRMNESS, STEPS = 25.0, (512, 1_024, 2_048)
-RUN_BIN = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 64, 128], np.arange(256), side="right").astype(np.int16)
+RUN_BIN = np.searchsorted([1, 2, 3, 4, 6, 9, 16, 32, 64, 128], np.arange(256), side="right").astype(np.uint8)
 RUN_BINS = int(RUN_BIN.max()) + 1
+_RUN_BIN = RUN_BIN.tobytes()
 #: What a slot of a counting table (times the second branch was taken in the high byte, the first in the low one) says: log odds.
 MOST = 255
 ODDS = (np.log(np.arange(65_536) // 256 + 0.2) - np.log(np.arange(65_536) % 256 + 0.2)).astype(np.float32)
 #: The same in sixteenths, as a model holds it.
 ROUND_ODDS = ((np.arange(256) - 128) / 16).astype(np.float32)
 _ROUNDED = (np.rint(ODDS * 16) + 128).astype(np.uint8)
-_BLANK = np.isin(np.arange(256), list(b" \n\t\r\x0b\x0c\xff"))
-_FOLD = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
+_BLANK = np.isin(np.arange(256), list(b" \n\t\r\x0b\x0c\xff")).tobytes()
 _ONE, _SPREAD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,22 +70,28 @@ for _k, _members in ((27, b"0123456789"), (28, b".!?"), (29, b",;:"), (26, b" \n
     _KIND[list(_members)] = _k
 _KIND[0x80:0xFF] = 30
 _KIND[0x61:0x7B] = _KIND[0x41:0x5B] = np.arange(26)
+_KINDS = _KIND.astype(np.uint8).tobytes()
 BEFORE = 256 * 32
 
 
-def before(last: np.ndarray, last_but_one: np.ndarray) -> np.ndarray:
-    """What ranks depend on: the byte before and the kind of the one before that."""
-    return last.astype(np.int64) * 32 + _KIND[last_but_one]
+def after(joined: bytes) -> np.ndarray:
+    """What ranks behind each byte depend on: that byte and the kind of the one before it."""
+    out = np.frombuffer(joined, np.uint8).astype(np.int64)
+    out <<= 5
+    out[1:] += np.frombuffer(joined.translate(_KINDS), np.uint8)[:-1]
+    return out
 
 
 def follower_counts(texts: Iterable[bytes], counts: np.ndarray) -> None:
-    """Adds how often each byte, and the end of a text, stands behind each ``before``."""
+    """Adds how often each byte, and the end of a text, stands behind what ``after`` tells of the bytes before it."""
     parts = [part for raw in texts for part in units(raw)]
     if not parts:
         return
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    at = _told(parts, len(data))
-    keys = before(data[at - 1], data[at - 2]) * 256 + data[at]
+    joined = b"".join(parts)
+    at = _told(parts, len(joined))
+    keys = after(joined).take(at - 1)
+    keys <<= 8
+    keys += np.frombuffer(joined, np.uint8).take(at)
     if len(keys) < counts.size // 16:
         keys, many = _summed(keys)
         counts.reshape(-1)[keys] += many
@@ -121,6 +127,7 @@ class Code:
         depth = np.arange(len(rank)) - self.begin[rank]
         self.depths = depth.astype(np.int8)
         self.nodes, self.bits = self.node[depth, rank], self.bit[depth, rank]
+        self.levels = np.minimum(depth, DEPTHS - 1) * GATES
 
     @staticmethod
     def of(followers: np.ndarray) -> Code:
@@ -199,25 +206,30 @@ class Batch:
 
     def __init__(self, parts: list[bytes], code: Code):
         self.code = code
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        lengths = np.array([len(p) for p in parts], np.int64)
-        self.bytes_of = lengths - LOOK_BACK
+        joined = b"".join(parts)
+        data = np.frombuffer(joined, np.uint8)
+        self.bytes_of = np.array([len(p) for p in parts], np.int64) - LOOK_BACK
         at = _told(parts, len(data))
-        self.symbol = data[at]
-        self.before = before(data[at - 1], data[at - 2])
-        self.rank = code.rank.take(self.before * 256 + self.symbol)
-        blank = np.where(_BLANK[data], np.arange(1, len(data) + 1), 0)
-        begins = np.append(0, np.maximum.accumulate(blank))
+        self.symbol = data.take(at)
+        self.before = after(joined).take(at - 1)
+        self.rank = code.rank.take((self.before << 8) + self.symbol)
+        blank = np.arange(1, len(data) + 1)
+        blank *= np.frombuffer(joined.translate(_BLANK), bool)
+        begins = np.zeros(len(data) + 1, np.int64)
+        np.maximum.accumulate(blank, out=begins[1:])
         # Where the word at a place begins, and the word before it.
-        word = begins[at]
-        last = begins[np.maximum(word - 1, 0)]
-        self.place = np.minimum((at - word + 1) // 2, PLACES - 1).astype(np.uint8)
+        word = begins.take(at)
+        last = begins.take(np.maximum(word - 1, 0))
+        self.place = np.minimum((at - word + 1) >> 1, PLACES - 1).astype(np.uint8)
         # The eight bytes before, as one number.
         eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).take(at - 8)
         up, down = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_FOLD[data] + _ONE) * up[:-1], out=sums[1:])
-        till = sums[at]
+        folded = np.frombuffer(joined.lower(), np.uint8).astype(np.uint64)
+        folded += _ONE
+        folded *= up[:-1]
+        np.cumsum(folded, out=sums[1:])
+        till = sums.take(at)
 
         def hashed(kind: int | str) -> np.ndarray:
             if kind in range(9):
@@ -227,8 +239,12 @@ class Batch:
                 since, salt = np.maximum(word, at - WORD_BACK), self.before.view(np.uint64)
             else:
                 since, salt = np.maximum(last, at - LOOK_BACK) if kind == "words" else at - kind, np.uint64(0)
-            h = (till - sums[since]) * down[since] + salt
-            return (h ^ h >> np.uint64(31)) * _SPREAD
+            h = till - sums.take(since)
+            h *= down.take(since)
+            h += salt
+            h ^= h >> np.uint64(31)
+            h *= _SPREAD
+            return h
 
         self.node_hash = [hashed(k) for k in NODES]
         self.run_hash = [hashed(k) for k in RUNS]
@@ -236,30 +252,56 @@ class Batch:
     def follow(self, runs: list[np.ndarray], bits: int) -> None:
         """Looks up what the following predictors say, and with it the gates."""
         self.run_slot = [(h >> np.uint64(64 - bits)).view(np.int64) for h in self.run_hash]
-        self.run_check = [(h >> np.uint64(48 - bits)).astype(np.uint16).astype(np.uint32) | np.uint32(1) for h in self.run_hash]
+        self.run_check = [(h >> np.uint64(48 - bits)).astype(np.uint16) | np.uint16(1) for h in self.run_hash]
+        self.run_held = [table.take(slot, mode="clip") for table, slot in zip(runs, self.run_slot)]
         self.agree, self.bins = [], []
-        gate = np.zeros(len(self.place), np.uint8)
-        for r, (table, slot, check) in reversed(list(enumerate(zip(runs, self.run_slot, self.run_check)))):
-            entry = table.take(slot, mode="clip")
-            seen = entry.astype(np.uint8) * (entry >> np.uint32(16) == check)
-            guess = self.code.rank.take((self.before << 8) + (entry >> np.uint32(8)).astype(np.uint8), mode="clip")
-            common = self.code.common.take((guess.astype(np.int64) << 8) + self.rank, mode="clip")
+        gate, before = np.zeros(len(self.place), np.uint8), self.before << 8
+        for r, (entry, check) in reversed(list(enumerate(zip(self.run_held, self.run_check)))):
+            low, checks = entry.view(np.uint8).reshape(-1, 4), entry.view(np.uint16)[1::2]
+            seen = low[:, 0] * (checks == check)
+            guess = self.code.rank.take(before + low[:, 1], mode="clip").astype(np.int64)
+            guess <<= 8
+            guess += self.rank
             known = seen > 0
-            self.agree.insert(0, np.where(known, common, np.int8(-1)))
-            self.bins.insert(0, RUN_BIN.take(seen))
-            gate = np.where(known, (np.uint8(2 * r + 1) + (seen >= SURE)).astype(np.uint8), gate)
+            self.agree.insert(0, np.where(known, self.code.common.take(guess, mode="clip"), np.int8(-1)))
+            self.bins.insert(0, np.frombuffer(seen.tobytes().translate(_RUN_BIN), np.uint8))
+            gate = np.where(known, np.uint8(2 * r + 1) + (seen >= SURE).view(np.uint8), gate)
         self.gate = gate * np.uint8(PLACES) + self.place
         self.length = self.code.length.take(self.rank)
-        self.until = np.cumsum(self.length)
 
-    def decisions(self, states: list[np.ndarray], sizes: Sizes) -> Decisions:
-        """All bits in text order, so that those of a byte, whose slots are neighbours, come together."""
-        code = self.code
-        byte = np.repeat(np.arange(len(self.rank)), self.length)
-        at = (code.begin.take(self.rank) - (self.until - self.length)).take(byte, mode="clip")
+    def by_gate(self) -> None:
+        """Puts what decisions are made of in the order of gates, in which learning needs it; the slots of followers stay in text order."""
+        order = np.argsort(self.gate, kind="stable")
+        self.gate, self.rank, self.length = self.gate.take(order), self.rank.take(order), self.length.take(order)
+        self.node_hash, self.agree, self.bins = ([a.take(order) for a in arrays] for arrays in (self.node_hash, self.agree, self.bins))
+
+    def in_text_order(self) -> tuple[np.ndarray, np.ndarray]:
+        """The byte of every bit, and its place among the decisions of all codes."""
+        self.until = np.cumsum(self.length)
+        byte = np.zeros(int(self.until[-1]), np.int64)
+        byte[self.until[:-1]] = 1
+        np.cumsum(byte, out=byte)
+        at = (self.code.begin.take(self.rank) - (self.until - self.length)).take(byte, mode="clip")
         at += np.arange(len(at))
+        return byte, at
+
+    def in_order_of_depth(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same, first the first bits of all bytes, then the second ones."""
+        short = self.length.astype(np.uint8)
+        bytes_at, left = [], np.arange(len(short))
+        while len(left):
+            bytes_at.append(left)
+            left = left.take(np.flatnonzero(short.take(left) > len(bytes_at)))
+        byte = np.concatenate(bytes_at)
+        at = self.code.begin.take(self.rank).take(byte, mode="clip")
+        at += np.repeat(np.arange(len(bytes_at)), [len(b) for b in bytes_at])
+        return byte, at
+
+    def decisions(self, states: list[np.ndarray], sizes: Sizes, byte: np.ndarray, at: np.ndarray) -> Decisions:
+        """The bits in the order given; those of a byte, whose slots are neighbours, best come together."""
+        code = self.code
         depth, bit = code.depths.take(at, mode="clip"), code.bits.take(at, mode="clip")
-        gate = (np.minimum(code.depths, DEPTHS - 1).astype(np.int64) * GATES).take(at, mode="clip")
+        gate = code.levels.take(at, mode="clip")
         gate += self.gate.take(byte, mode="clip")
         salt = _salts(sizes.node)[code.nodes].take(at, mode="clip")
         slots, held = [], []
@@ -339,10 +381,15 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     else:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    if counts is None:
-        return keys[first], np.diff(np.append(first, len(keys)))
-    return keys[first], np.add.reduceat(counts, first)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    if counts is not None:
+        return keys[first], np.add.reduceat(counts, first)
+    many = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=many[:-1])
+    many[-1:] = len(keys) - first[-1:]
+    return keys.take(first), many
 
 
 def _best_runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,14 +407,13 @@ def _best_runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return slot[slots].astype(np.int64), entry << 8 | left
 
 
-def _add_runs(table: np.ndarray, slot: np.ndarray, check: np.ndarray, symbol: np.ndarray) -> None:
-    """One more sighting each: it strengthens its own guess, or weakens what the slot holds and replaces it at last.
+def _add_runs(table: np.ndarray, slot: np.ndarray, held: np.ndarray, check: np.ndarray, symbol: np.ndarray) -> None:
+    """One more sighting each: it strengthens its own guess, or weakens what the slot holds (``held``) and replaces it at last.
 
     Sightings that meet in a slot within one block count as the last of them.
     """
-    held = table.take(slot)
     count = held & np.uint32(0xFF)
-    own = check << np.uint32(16) | symbol.astype(np.uint32) << np.uint32(8)
+    own = check.astype(np.uint32) << np.uint32(16) | symbol.astype(np.uint32) << np.uint32(8)
     same = held ^ count == own
     weaker = np.where(count > 1, held - np.uint32(1), own | np.uint32(1))
     table[slot] = np.where(same, np.where(count < MOST, held + np.uint32(1), held), weaker)
@@ -435,7 +481,7 @@ class Learner:
             batch = Batch(parts, self.code)
             batch.follow(self.runs, self.sizes.run)
             self._weigh(batch, weights, said, sums, keys)
-            seen.append((batch.run_slot, batch.run_check, batch.symbol))
+            seen.append((batch.run_slot, batch.run_held, batch.run_check, batch.symbol))
             self.bytes += len(batch.symbol)
         self.held, self.waiting = [], 0
         upper = sums[:, :-1, :-1]
@@ -446,46 +492,46 @@ class Learner:
         for table, own in zip(self.nodes, keys):
             _add_counts(table, np.concatenate(own))
         for r, table in enumerate(self.runs):
-            _add_runs(table, *(np.concatenate(c) for c in zip(*((slots[r], checks[r], symbols) for slots, checks, symbols in seen))))
+            _add_runs(table, *(np.concatenate(c) for c in zip(*((slots[r], held[r], checks[r], symbols) for slots, held, checks, symbols in seen))))
 
     def _weigh(self, batch: Batch, weights: np.ndarray, said: list[np.ndarray], sums: np.ndarray, keys: list[list[np.ndarray]]) -> None:
         """Predicts the decisions of a batch; adds to ``sums`` what a step needs and to ``keys`` what enters the tables after it."""
-        d = batch.decisions(self.nodes, self.sizes)
-        # By gate, for the matrix library.
-        order = np.argsort(d.gate.astype(np.uint16), kind="stable")
-        gate, bit = d.gate.take(order), d.bit.take(order)
-        x = np.empty((INPUTS + 1, len(order)), np.float32)
+        batch.by_gate()
+        d = batch.decisions(self.nodes, self.sizes, *batch.in_order_of_depth())
+        bit = d.bit
+        x = np.empty((INPUTS + 1, len(bit)), np.float32)
         for i, held in enumerate(d.held):
-            ODDS.take(held.take(order), out=x[i], mode="clip")
+            ODDS.take(held, out=x[i], mode="clip")
         for r, guesses in enumerate(d.guesses):
-            said[r].take(guesses.take(order), out=x[len(NODES) + r], mode="clip")
+            said[r].take(guesses, out=x[len(NODES) + r], mode="clip")
             # By level, bin, guessed bit and bit.
             guesses <<= 1
-            guesses += d.bit
+            guesses += bit
             outcome = np.bincount(guesses, minlength=4 * RUN_BINS * DEPTHS * GATES).reshape(DEPTHS, GATES, RUN_BINS, 2, 2).sum(axis=1)
             outcome[:, 0] = 0
             self.right[r] += outcome[..., 0, 0] + outcome[..., 1, 1]
             self.wrong[r] += outcome[..., 0, 1] + outcome[..., 1, 0]
         x[-2] = 1
-        logit = np.empty(len(order), np.float32)
-        # Runs of bits of one gate, short enough for caches and for one thread of the matrix library.
-        cuts = np.searchsorted(gate, np.arange(DEPTHS * GATES + 1)).tolist()
-        runs = [(g, slice(b, min(b + 1_024, cuts[g + 1]))) for g in range(DEPTHS * GATES) for b in range(cuts[g], cuts[g + 1], 1_024)]
-        for g, s in runs:
-            np.matmul(weights[g], x[:-1, s], out=logit[s])
+        logit = np.empty(len(bit), np.float32)
+        # Runs of bits of one gate (those beyond DEPTHS have several), short enough for caches and for one thread of the matrix library.
+        short = d.gate.astype(np.int16)
+        begins = np.append(0, np.flatnonzero(short[1:] != short[:-1]) + 1)
+        gates = d.gate.take(begins)
+        for g, begin, end in zip(gates.tolist(), begins.tolist(), [*begins[1:].tolist(), len(bit)]):
+            for b in range(begin, end, 1_024):
+                e = min(b + 1_024, end)
+                np.matmul(weights[g], x[:-1, b:e], out=logit[b:e])
         p = probability(logit)
         root = np.sqrt(p * (1 - p))
         # Products of rows hold both the curvature (of inputs times root) and the slope (of these with the error below).
         x[:-1] *= root
         np.divide(bit - p, root, out=x[-1])
-        gates = np.flatnonzero(np.diff(cuts))
-        begins = np.array(cuts)[gates]
         for i, j in combinations_with_replacement(range(INPUTS + 1), 2):
-            sums[gates, i, j] += np.add.reduceat(np.multiply(x[i], x[j], out=p), begins)
-        self.maps += np.bincount(_map_places(logit, gate) * 2 + bit, minlength=len(self.maps))
+            sums[:, i, j] += np.bincount(gates, np.add.reduceat(np.multiply(x[i], x[j], out=p), begins), minlength=len(sums))
+        self.maps += np.bincount(_map_places(logit, d.gate) * 2 + bit, minlength=len(self.maps))
         for own, slot in zip(keys, d.slots):
             slot <<= 1
-            slot += d.bit
+            slot += bit
             own.append(slot.astype(np.uint32))
 
     def segments(self) -> Iterator[tuple[int, int, bytes]]:
@@ -587,19 +633,19 @@ class Scorer:
         model = self.model
         batch = Batch(parts, model.code)
         batch.follow(model.tables[len(NODES) :], model.sizes.run)
-        d = batch.decisions(model.tables, model.sizes)
+        d = batch.decisions(model.tables, model.sizes, *batch.in_text_order())
+        # The bias belongs to the first group.
         logits = np.zeros((GROUPS, len(d.bit)), np.float32)
+        self.bias.take(d.gate, out=logits[0], mode="clip")
+        x = np.empty(len(d.bit), np.float32)
         for group, held, weights in zip(GROUP_OF.tolist(), d.held, self.node_weights):
-            x = held.astype(np.float32)
-            x -= 128
-            x *= weights.take(d.gate, mode="clip")
+            weights.take(d.gate, out=x, mode="clip")
+            x *= held.astype(np.float32) - np.float32(128)
             logits[group] += x
         for group, guesses, said in zip(GROUP_OF[len(NODES) :].tolist(), d.guesses, self.said):
-            logits[group] += said.take(guesses, mode="clip")
-        logits[GROUP_OF[-1]] += self.bias.take(d.gate, mode="clip")
+            logits[group] += said.take(guesses, out=x, mode="clip")
         ends = batch.until[np.cumsum(batch.bytes_of) - 1]
-        logit = follower.follow(logits, d.bit, ends, more)
-        p = probability(logit)
+        logit, p = follower.follow(logits, d.bit, ends, more)
         p += (model.maps.take(_map_places(logit, d.gate), mode="clip") - p) / 4
         # What the bit that came was given.
         p -= 1 - d.bit
@@ -616,34 +662,46 @@ class Follower:
         self.curvature = np.broadcast_to(TEXT_FIRMNESS * np.eye(GROUPS), (texts, GROUPS, GROUPS)).copy()
         self.steps = 0
 
-    def follow(self, logits: np.ndarray, bit: np.ndarray, ends: np.ndarray, more: bool) -> np.ndarray:
-        """Mixes the next bits of the texts, each step with weights that know the bits before it; none are learned behind a text's last bits."""
-        out = np.empty(len(bit), np.float32)
+    def follow(self, logits: np.ndarray, bit: np.ndarray, ends: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Mixes the next bits of the texts, each step with weights that know the bits before it: log odds and probabilities.
+
+        None are learned behind a text's last bits, so the texts that go on all have a step of one length.
+        """
+        out, told = np.empty((2, len(bit)), np.float32)
         begins, texts = np.append(0, ends[:-1]), np.arange(len(ends))
         while len(texts):
-            stops = np.minimum(begins + STEPS[min(self.steps, len(STEPS) - 1)], ends)
-            lengths = stops - begins
-            first = np.cumsum(lengths) - lengths
-            at = np.repeat(begins - first, lengths)
-            at += np.arange(len(at))
-            x, weights = logits.take(at, axis=1, mode="clip"), self.weights[texts].T
-            own = np.zeros(len(at), np.float32)
-            for row, weight in zip(x, weights):
-                own += row * np.repeat(weight, lengths)
-            out[at] = own
+            step = STEPS[min(self.steps, len(STEPS) - 1)]
             self.steps += 1
-            on = np.flatnonzero(more | (stops < ends))
-            if len(on):
-                p = probability(own)
-                error, bend = bit.take(at, mode="clip") - p, p * (1 - p)
-                slope, new = np.empty((len(texts), GROUPS)), np.empty((len(texts), GROUPS, GROUPS))
-                for i in range(GROUPS):
-                    slope[:, i] = np.add.reduceat(x[i] * error, first)
-                    bent = x[i] * bend
-                    for j in range(i, GROUPS):
-                        new[:, i, j] = new[:, j, i] = np.add.reduceat(np.multiply(bent, x[j], out=p), first)
-                self.curvature[texts[on]] += new[on]
-                self.weights[texts[on]] += np.linalg.solve(self.curvature[texts[on]], slope[on, :, None])[..., 0].astype(np.float32)
-            on = np.flatnonzero(stops < ends)
-            texts, begins, ends = texts[on], stops[on], ends[on]
-        return out
+            stops = np.minimum(begins + step, ends)
+            on = more | (stops < ends)
+            for text, b, e in zip(texts[~on].tolist(), begins[~on].tolist(), stops[~on].tolist()):
+                out[b:e] = _mixed(self.weights[text], logits[:, b:e])
+                told[b:e] = probability(out[b:e])
+            texts, begins, ends, stops = texts[on], begins[on], ends[on], stops[on]
+            if not len(texts):
+                break
+            spans = [slice(b, e) for b, e in zip(begins.tolist(), stops.tolist())]
+            x = np.stack([logits[:, s] for s in spans], axis=1)
+            own = _mixed(self.weights[texts].T[..., None], x)
+            p = probability(own)
+            for s, mixed, chance in zip(spans, own, p):
+                out[s], told[s] = mixed, chance
+            error, bend = np.stack([bit[s] for s in spans]) - p, p * (1 - p)
+            slope, new = np.empty((len(texts), GROUPS)), np.empty((len(texts), GROUPS, GROUPS))
+            for i in range(GROUPS):
+                slope[:, i] = np.multiply(x[i], error, out=p).sum(axis=1)
+                bent = x[i] * bend
+                for j in range(i, GROUPS):
+                    new[:, i, j] = new[:, j, i] = np.multiply(bent, x[j], out=p).sum(axis=1)
+            self.curvature[texts] += new
+            self.weights[texts] += np.linalg.solve(self.curvature[texts], slope[..., None])[..., 0].astype(np.float32)
+            texts, begins, ends = (a[stops < ends] for a in (texts, stops, ends))
+        return out, told
+
+
+def _mixed(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The weighed sum of the rows, always in their order, so that it doesn't depend on where a text lies in its batch."""
+    out = rows[0] * weights[0]
+    for row, weight in zip(rows[1:], weights[1:]):
+        out += row * weight
+    return out

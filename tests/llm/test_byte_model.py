@@ -132,6 +132,24 @@ def test_texts_are_followed_side_by_side(monkeypatch):
     assert max(calls) >= 10 and len(calls) < len(texts)
 
 
+def test_every_decision_is_priced_once(monkeypatch):
+    """Mixing along a text and the price of its bits share one probability each; before, each was worked out twice."""
+    model = model_of(TEXTS)
+    texts, priced, plain = [text(n) for n in (0, 30, 200, 400)] * 3, [], bm.probability
+    monkeypatch.setattr(bm, "probability", lambda logit: priced.append(logit.size) or plain(logit))
+    bm.Scorer(model).scores(texts)
+    assert sum(priced) == sum(len(bits) for raw in texts for *_, bits in decisions(model.code, raw))
+
+
+def test_learning_sorts_bytes_not_decisions(monkeypatch):
+    """Bytes are put in order of gates once; their decisions, three times as many, follow that order."""
+    _, code = code_of(TEXTS)
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kinds: sorted_.append(len(a)) or argsort(a, *args, **kinds))
+    bm.Learner(code, bm.Sizes(14, 14)).learn(TEXTS, last=True)
+    assert sum(sorted_) <= sum(len(raw) + 1 for raw in TEXTS)
+
+
 @pytest.mark.parametrize("size", [500, 10**9])
 def test_learning_depends_on_blocks_alone(monkeypatch, size):
     """However many bytes are decided at once, a block is learned as a whole."""
