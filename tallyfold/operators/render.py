@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .topics import tree_paths
 
@@ -46,21 +51,55 @@ def question_lists(questions: DataFrame, key: str = "paper_id") -> DataFrame:
     return _lines(questions, key, "question_id", line)
 
 
-def pair_lists(pairs: DataFrame, questions: DataFrame, key: str = "batch") -> DataFrame:
-    """``key`` and its pairs (a, b): both questions below their pair's id. The ids of all ``pairs`` go to the questions, so give a bounded number at once.
+def pair_rows(pairs: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """Rows (key, a, b, told): every text of ``told`` (question_id, told) once for each key whose ``pairs`` name it, without b, and the pairs themselves."""
+    uses = pairs.select(key, F.explode(F.array("a", "b")).alias("question_id")).distinct()
+    texts = told.where("told IS NOT NULL").join(uses, "question_id").select(key, F.col("question_id").alias("a"), F.lit(None).cast("string").alias("b"), "told")
+    return texts.unionByName(pairs.select(key, "a", "b", F.lit(None).cast("string").alias("told")))
+
+
+def pair_order(key: str) -> list[Column]:
+    """The order in which ``pair_texts`` takes the rows of ``pair_rows``: by key, texts before pairs."""
+    return [F.col(key), F.col("b").isNotNull(), F.col("a"), F.col("b"), F.col("told")]
+
+
+def pair_texts(rows: Iterator[pa.RecordBatch], most: int | None = None, head: str = "") -> Iterator[tuple[object, list[tuple[str, str]], str]]:
+    """Key, pairs and text of up to ``most`` pairs (or of all of a key) of rows as ``pair_order`` sorts them: both questions below their pair's id.
 
-    A text is sent once to each key that shows it, not once for each of its pairs.
+    It holds the texts of one key and those of one list. A list may go on in the next
+    key, and then counts to that; a pair without both texts is left out.
     """
-    uses = pairs.select(key, F.explode(F.array("a", "b")).alias("question_id")).distinct()
-    told = questions.select("question_id", question_text().alias("told")).join(F.broadcast(uses), "question_id")
-    held = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("question_id", "told"))).alias("held"))
-    first = F.filter("held", lambda x, i: (i == 0) | (F.get(F.col("held"), i - 1)["question_id"] != x["question_id"]))
-    listed = pairs.select(key, F.concat_ws("::", "a", "b").alias("pair_id"), "a", "b").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pair_id", "a", "b"))).alias("l"))
-    both = listed.join(held.select(key, F.map_from_entries(first).alias("told")), key)
-    end = lambda name, id_: F.concat(F.lit(f"Question {name} ("), id_, F.lit("):\n"), F.col("told")[id_])
-    line = lambda p: F.concat(F.lit("["), p["pair_id"], F.lit("]\n"), end("A", p["a"]), F.lit("\n\n"), end("B", p["b"]))
-    shown = F.filter(F.transform("l", line), lambda t: t.isNotNull())
-    return both.select(key, shown.alias("l")).where(F.size("l") > 0).select(key, F.array_join("l", BETWEEN_PAIRS).alias("text"))
+    now, held, pairs, pieces = None, {}, [], [head]
+    for batch in rows:
+        for key, a, b, told in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != now:
+                if pairs and most is None:
+                    yield now, pairs, "".join(pieces)
+                    pairs, pieces = [], [head]
+                now, held = key, {}
+            if b is None:
+                held.setdefault(a, told)
+            elif a in held and b in held:
+                between = BETWEEN_PAIRS if pairs else ""
+                pieces += (f"{between}[{a}::{b}]\nQuestion A ({a}):\n", held[a], f"\n\nQuestion B ({b}):\n", held[b])
+                pairs.append((a, b))
+                if len(pairs) == most:
+                    yield now, pairs, "".join(pieces)
+                    pairs, pieces = [], [head]
+    if pairs:
+        yield now, pairs, "".join(pieces)
+
+
+def pair_lists(pairs: DataFrame, questions: DataFrame, key: str = "batch") -> DataFrame:
+    """``key`` and its pairs (a, b): both questions below their pair's id. A text is sent once to each key that shows it, not once for each of its pairs."""
+    rows = pair_rows(pairs, questions.select("question_id", question_text().alias("told")), key)
+    schema = StructType([pairs.schema[key], StructField("text", StringType())])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, _, text in pair_texts(batches):
+            yield pa.RecordBatch.from_pylist([{key: k, "text": text}], schema=to_arrow_schema(schema))
+
+    return rows.repartition(key).sortWithinPartitions(*pair_order(key)).mapInArrow(listed, schema)
 
 
 def section_list(sections: Column) -> Column:

@@ -35,6 +35,8 @@ DENSE_SHARE = 0.02
 PAIRS_AT_ONCE = 1 << 13
 #: Covers rounding: nothing is left out for being this close to a bound.
 MARGIN = 1e-7
+#: Of a product of two unit vectors in single precision, for each coordinate.
+SINGLE_ROUNDING = 2.0**-23
 
 
 def _meetings(cells: np.ndarray, angles: np.ndarray, radii: np.ndarray, slices: np.ndarray, homes: np.ndarray, places: np.ndarray, reach: float) -> list[list[dict]]:
@@ -60,29 +62,41 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, same_type: float, c
     weight = np.square(units[0]).sum(axis=0) + np.square(units[1]).sum(axis=0)
     order = np.argsort(-weight)
     first = order[: max(1, int(len(order) * FIRST_SHARE))]
-    heads = [u[:, first] for u in units]
-    rests = [np.sqrt(np.maximum(0.0, 1.0 - np.square(h).sum(axis=1))) for h in heads]
+    heads = [u[:, first].astype(np.float32) for u in units]
+    rests = [np.sqrt(np.maximum(0.0, 1.0 - np.square(u[:, first]).sum(axis=1))).astype(np.float32) for u in units]
+    units = [u.astype(np.float32) for u in units]
     ids = [(left if s == 0 or right is None else right)["id"].to_numpy() for s in (0, 1)]
     kinds = [(left if s == 0 or right is None else right)["kind"].to_numpy() for s in (0, 1)]
-    floor, none = min(same_type, cross_type), pd.DataFrame({"a": [], "b": [], "sim": [], "same": []})
+    none = pd.DataFrame({"a": [], "b": [], "sim": [], "same": []})
+    # Single precision only says which pairs are compared; the margin covers its rounding over all coordinates.
+    floor = np.float32(min(same_type, cross_type) - MARGIN - (len(order) + 8) * SINGLE_ROUNDING)
+    dense = False
     for begin in range(0, len(heads[0]), TILE_ROWS):
         rows = slice(begin, begin + TILE_ROWS)
-        bound = heads[0][rows] @ heads[1].T + rests[0][rows, None] * rests[1]
-        able = bound >= floor - MARGIN
+        # Of a slice with itself only the columns from the tile on; the tile's own are halved below.
+        start = begin if right is None else 0
+        if not dense:
+            bound = heads[0][rows] @ heads[1][start:].T
+            bound += rests[0][rows, None] * rests[1][start:]
+            able = bound >= floor
+            dense = np.count_nonzero(able) > DENSE_SHARE * able.size
+        # Where one tile is dense, the others are taken to be, and the bound isn't tried again.
+        compared = None
+        if dense:
+            able = units[0][rows] @ units[1][start:].T >= floor
+        else:
+            compared = int(np.count_nonzero(able))
         if right is None:
-            able &= np.arange(begin, begin + len(able))[:, None] < np.arange(able.shape[1])
-            here = sum(able.shape[1] - 1 - i for i in range(begin, begin + len(able)))
+            able[:, : len(able)] = np.triu(able[:, : len(able)], 1)
+            here = sum(able.shape[1] - 1 - i for i in range(len(able)))
+            compared = here if compared is None else int(np.count_nonzero(able))
         else:
             here = able.size
-        compared = here
-        if np.count_nonzero(able) > DENSE_SHARE * able.size:
-            able &= units[0][rows] @ units[1].T >= floor - MARGIN
-        else:
-            compared = int(np.count_nonzero(able))
+            compared = here if compared is None else compared
         yield none, here, compared
-        i, j = np.nonzero(able)
+        i, j = np.divmod(np.flatnonzero(able), able.shape[1])
         for at in range(0, len(i), PAIRS_AT_ONCE):
-            x, y = i[at : at + PAIRS_AT_ONCE] + begin, j[at : at + PAIRS_AT_ONCE]
+            x, y = i[at : at + PAIRS_AT_ONCE] + begin, j[at : at + PAIRS_AT_ONCE] + start
             # Summed in the order of the coordinates, as a plan over arrays sums them.
             sim = np.cumsum(whole[0][x] * whole[1][y], axis=1)[:, -1] / (norms[0][x] * norms[1][y])
             same = kinds[0][x] == kinds[1][y]
@@ -129,7 +143,11 @@ def cosine_join(vectors: DataFrame, same_type: float, cross_type: float, slice_r
         for batch in batches:
             if not batch.num_rows:
                 continue
-            whole = np.stack([np.pad(np.array(v, np.float64), (0, dims - len(v))) for v in batch.column(2).to_pylist()])
+            lists = batch.column(2)
+            if (lists.value_lengths().to_numpy() == dims).all():
+                whole = lists.flatten().to_numpy().reshape(len(lists), dims)
+            else:
+                whole = np.stack([np.pad(np.array(v, np.float64), (0, dims - len(v))) for v in lists.to_pylist()])
             norm = np.sqrt(np.cumsum(np.square(whole), axis=1)[:, -1])
             near = np.clip((whole / norm[:, None]) @ pivots.T, -1, 1)
             cell = near.argmax(axis=1)
