@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -88,11 +89,20 @@ SAME, CROSS = 0.3, 0.4
 LABELS_SENT = 1_000_000
 
 
+def _pairs_shown(prompt: str) -> Iterator[str]:
+    """The ids that stand alone in a line, as [a::b]. Lines are looked for by their start: a pattern takes longer over long texts than making them."""
+    at = prompt.find("\n[q")
+    while at >= 0:
+        found = re.compile(r"(?m)\[(q\d+::q\d+)\]$").match(prompt, at + 1)
+        if found:
+            yield found[1]
+        at = prompt.find("\n[q", at + 1)
+
+
 def _rule(prompt: str, room: int, attempt: int) -> str:
     """Verdicts from the numbers of the documents in a pair's id."""
     verdicts = []
-    # A line's end first: it is found quickly in long texts.
-    for pair in re.findall(r"(?m)\n\[(q\d+::q\d+)\]$", prompt):
+    for pair in _pairs_shown(prompt):
         n = sum(int(x[1:]) for x in pair.split("::"))
         verdicts.append({"pair_id": pair, "verdict": ("same_question", "different_question", "uncertain")[n % 3], "confidence": (5 + n % 5) / 10})
     return json.dumps({"verdicts": verdicts})
