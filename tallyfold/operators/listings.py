@@ -83,9 +83,12 @@ def classification_totals(questions: DataFrame, papers: DataFrame, files: DataFr
 def dedup_statistics(decisions: DataFrame, canonicals: DataFrame) -> DataFrame:
     """kind, name, n: pair decisions by source and verdict, canonical records by state, and those with several members."""
     pairs = decisions.groupBy(F.lit("pairs").alias("kind"), F.concat_ws(":", "decision_source", "verdict").alias("name")).agg(F.count("*").alias("n"))
-    states = canonicals.groupBy(F.lit("canonicals").alias("kind"), F.col("dedup_status").alias("name")).agg(F.count("*").alias("n"))
-    groups = canonicals.agg(F.count_if(F.col("members") > 1).alias("n")).select(F.lit("groups").alias("kind"), F.lit("repeated").alias("name"), "n")
-    return pairs.unionByName(states).unionByName(groups)
+    # Both counts of a record in one pass over the records; where there are none, none is repeated.
+    state = F.struct(F.lit("canonicals").alias("kind"), F.col("dedup_status").alias("name"), F.lit(1).alias("n"))
+    repeated = F.struct(F.lit("groups").alias("kind"), F.lit("repeated").alias("name"), (F.col("members") > 1).cast("int").alias("n"))
+    none = decisions.sparkSession.createDataFrame([("groups", "repeated", 0)], "kind string, name string, n int")
+    records = canonicals.select(F.explode(F.array(state, repeated)).alias("r")).select("r.*").unionByName(none)
+    return pairs.unionByName(records.groupBy("kind", "name").agg(F.sum("n").alias("n")))
 
 
 def pair_decisions(decisions: DataFrame, verdict: str | None = None) -> DataFrame:

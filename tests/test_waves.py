@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.answers import AnswerStore, Recorded
 from tallyfold.functions.text import collapse, exact_text
-from tallyfold.operators import render
+from tallyfold.operators import listings, render
 from tallyfold.plans import stages
 from tallyfold.plans.deduplication import still_valid
 from tallyfold.providers import Provider
@@ -95,3 +95,17 @@ def test_blanks_of_all_kinds_collapse(spark):
     assert [tuple(r) for r in got] == [("a b", "a b")]
     odd = spark.createDataFrame([("\x1ca\x1d",), (None,)], "t string").select(collapse(F.col("t"))).collect()
     assert [r[0] for r in odd] == ["\x1ca\x1d", None]
+
+
+def test_statistics_work_out_the_records_once(spark, tmp_path):
+    def noted(batches):
+        (tmp_path / f"{time.time_ns()}").touch()
+        yield from batches
+
+    made = spark.createDataFrame([("singleton", 1), ("semantic_merge", 3), ("semantic_merge", 2)], "dedup_status string, members long").coalesce(1)
+    decisions = spark.createDataFrame([("a", "b", "x", "y", 0.5)], "a string, b string, decision_source string, verdict string, confidence double")
+    got = {tuple(r) for r in listings.dedup_statistics(decisions, made.mapInArrow(noted, made.schema)).collect()}
+    assert got == {("pairs", "x:y", 1), ("canonicals", "singleton", 1), ("canonicals", "semantic_merge", 2), ("groups", "repeated", 2)}
+    assert len(list(tmp_path.iterdir())) == 1
+    empty = listings.dedup_statistics(decisions.limit(0), made.limit(0)).collect()
+    assert [tuple(r) for r in empty] == [("groups", "repeated", 0)]
